@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from slotwise.llm.quality import op4_quality_classifier
+from slotwise.llm.secrets import op5_secret_scan
 from slotwise.llm.token_output import op3_token_output
+from slotwise.llm.toxicity import op9_toxicity
 
 
 def queries():
-    return {
-        "op3_token_output": op3_token_output,
-    }
+    own = (op3_token_output, op4_quality_classifier, op5_secret_scan, op9_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():

@@ -170,6 +170,8 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lowers = self.ids("AbÄÖÉ çÑ") == self.ids("abäöé çñ")
+        bar = self.ids("|")
+        self.bar = bar[0] if len(bar) == 1 and self.ids("a | b |") == [*self.ids("a"), *bar, *self.ids("b"), *bar] else None
         probe = ["a b", "It's 12\n\tx-y  z, ä", "the  the", " lead trail "]
         self.by_piece = all(self.ids(t) == [i for w in self.pieces(t) for i in self.ids(w)] for t in probe)
     def pieces(self, text: str) -> list[str]:
@@ -185,16 +187,31 @@ class Encoder:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces into the cache; what the cache before it had is moved."""
-        fresh = []
+        """Put the ids of new pieces into the cache; what the older generation has is moved.
+
+        Many pieces are encoded as one text, with a bar between them that is
+        then found again in the ids; pieces that hold a bar go alone.
+        """
+        cache, old, fresh = self.cache, self.old, []
         for w in new:
-            known = self.old.get(w)
+            known = old.get(w)
             if known is None:
                 fresh.append(w)
             else:
-                self.cache[w] = known
-        for w, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[w] = array("I", e.ids).tobytes()
+                cache[w] = known
+        safe = [w for w in fresh if "|" not in w] if self.bar is not None else []
+        groups = [safe[i : i + 64] for i in range(0, len(safe), 64)]
+        found = self.tok.encode_batch_fast([" | ".join([*g, ""]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, found, strict=True):
+            ids = np.fromiter(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(g, np.flatnonzero(ids == self.bar).tolist(), strict=True):
+                cache[w] = raw[at : 4 * end]
+                at = 4 * end + 4
+        if len(safe) < len(fresh):
+            alone = [w for w in fresh if w not in cache]
+            for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+                cache[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian u32."""
