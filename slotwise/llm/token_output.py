@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,81 +154,115 @@ class Encoder:
 
     Valid for a tokenizer whose pieces never span white space, which the
     constructor checks on samples; other tokenizers encode whole texts.  Texts
-    of Latin-1 characters are lower-cased first where the tokenizer lower-cases
-    too, so that the cache holds fewer forms.  The cache has two generations:
-    when the younger is full it becomes the older one, and pieces met again
-    move back.
+    of Latin-1 characters are lower-cased first, and in ASCII texts sentence
+    marks after a letter set apart, where the tokenizer does the same, so that the cache
+    holds fewer forms.  When the cache is full it starts anew.
     """
 
-    CACHE = 500_000
+    CACHE = 900_000
+    #: Texts are worked on in groups of about so many characters.
+    GROUP = 8_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.end = np.uint32(end_id).tobytes()
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.lowers = self.ids("AbÄÖÉ çÑ") == self.ids("abäöé çñ")
+        self.end = end_id
+        self.lowers = self.ids("AbÄÖÉ çÑ") == self.ids("abäöé çñ") and self.ids("ab, x1. é,") == self.ids("ab , x1 . é ,")
         bar = self.ids("|")
         self.bar = bar[0] if len(bar) == 1 and self.ids("a | b |") == [*self.ids("a"), *bar, *self.ids("b"), *bar] else None
         probe = ["a b", "It's 12\n\tx-y  z, ä", "the  the", " lead trail "]
-        self.by_piece = all(self.ids(t) == [i for w in self.pieces(t) for i in self.ids(w)] for t in probe)
-    def pieces(self, text: str) -> list[str]:
+        self.by_piece = all(self.ids(t) == [i for w in self.plain(t).split(" ") for i in self.ids(w)] for t in probe)
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.filled = np.zeros(1 << 18, np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32), 0
+
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def plain(self, text: str) -> str:
+        """The text with spaces as the only white space of its own kind, and fewer forms of words."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if self.lowers and "<|" not in text:  # the special tokens' own case counts
             try:
                 text.encode("latin-1")
-                text = text.lower()
+                return text.lower()
             except UnicodeEncodeError:
                 pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces into the cache; what the older generation has is moved.
-
-        Many pieces are encoded as one text, with a bar between them that is
-        then found again in the ids; pieces that hold a bar go alone.
+        return text
+
+    def keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Put words into the cache, whose ids stand one after another."""
+        n, m = len(self.cache), len(words)
+        while n + m > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.starts[n : n + m] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m] = sizes
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        self.cache.update(zip(words, range(n, n + m), strict=True))
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode new pieces, many as one text, with a bar between them that is then found in the ids.
+
+        Pieces that hold a bar go alone.
         """
-        cache, old, fresh = self.cache, self.old, []
-        for w in new:
-            known = old.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
-                cache[w] = known
         safe = [w for w in fresh if "|" not in w] if self.bar is not None else []
-        groups = [safe[i : i + 64] for i in range(0, len(safe), 64)]
-        found = self.tok.encode_batch_fast([" | ".join([*g, ""]) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, found, strict=True):
-            ids = np.fromiter(e.ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(g, np.flatnonzero(ids == self.bar).tolist(), strict=True):
-                cache[w] = raw[at : 4 * end]
-                at = 4 * end + 4
+        if safe:
+            found = self.tok.encode_batch_fast([" | ".join([*safe[i : i + 64], ""]) for i in range(0, len(safe), 64)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            bars = ids == self.bar
+            ends = np.flatnonzero(bars)
+            self.keep(safe, np.diff(ends, prepend=-1) - 1, ids[~bars])
         if len(safe) < len(fresh):
-            alone = [w for w in fresh if w not in cache]
-            for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-                cache[w] = array("I", e.ids).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, as little-endian u32."""
-        if not self.by_piece:
-            return [np.asarray(self.ids(t or ""), "<u4").tobytes() + self.end for t in texts]
-        own = [self.pieces(t or "") for t in texts]
+            alone = [w for w in fresh if w not in self.cache]
+            found = [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
+            self.keep(alone, np.array([len(i) for i in found]), np.array([x for i in found for x in i], np.uint32))
+
+    def group(self, texts: list[str]) -> list[np.ndarray]:
+        column = pa.array(texts, pa.large_string())
+        if self.lowers:
+            latin = pa.array(["<|" not in t and t.isascii() for t in texts])
+            column = pc.if_else(latin, pc.replace_substring_regex(column, "([a-z])([.,]) ", r"\1 \2 "), column)
+        words = pc.split_pattern(column, " ")
+        flat = pc.dictionary_encode(words.flatten())
+        forms = flat.dictionary.to_pylist()
         if len(self.cache) > self.CACHE:
-            self.old, self.cache = self.cache, {}
-        new = set().union(*own).difference(self.cache)
-        if new:
-            self.learn(list(new))
-        out = [b"".join(map(self.cache.__getitem__, words)) + self.end for words in own]
-        return out
+            self.clear()
+        at = list(map(self.cache.get, forms))
+        if None in at:
+            self.learn([w for w, i in zip(forms, at, strict=True) if i is None])
+            at = list(map(self.cache.__getitem__, forms))
+        at = np.array(at, np.int64)[flat.indices.to_numpy()]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        if not self.by_piece:
+            return [np.array([*self.ids(t or ""), self.end], np.uint32) for t in texts]
+        out: list[np.ndarray] = []
+        own, held = [], 0
+        for k, t in enumerate(texts):
+            own.append(self.plain(t or ""))
+            held += len(own[-1])
+            if held > self.GROUP or k == len(texts) - 1:
+                out += self.group(own)
+                own, held = [], 0
+        return [np.append(x, x.dtype.type(self.end)) for x in out]
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): ids as zstd-compressed u32; null texts count as empty."""
+    """(doc_id, n, ids): ids as zstd-compressed u16, or u32 where they need it; null texts count as empty."""
 
     def run(batches):
         import os
@@ -239,20 +273,16 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, pack = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                raw = enc(texts[i : i + 256])
+            for i in range(0, len(texts), 1024):
+                runs = enc(texts[i : i + 1024])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i : i + 256], pa.array([len(x) // 4 for x in raw], pa.int64()),
-                     pa.array([pack.compress(np.frombuffer(x, "<u4").astype("<u2").tobytes() if narrow(x) else x) for x in raw], pa.binary())],
+                    [b.column(0)[i : i + 1024], pa.array([len(x) for x in runs], pa.int64()),
+                     pa.array([pack.compress(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in runs], pa.binary())],
                     ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def narrow(raw: bytes) -> bool:
-    return bool(np.frombuffer(raw, "<u4").max() < 65536)
-
-
 def unpacked(n: int, packed: bytes, unpack) -> np.ndarray:
     raw = unpack.decompress(packed)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
