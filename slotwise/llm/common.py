@@ -131,3 +131,30 @@ def shingle_hashes(h: np.ndarray, n: int = 5) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as Spark's long."""
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
+
+
+def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
+    """(id, comp) of every id in edges (a, b); comp is the smallest id that links reach.
+
+    Alternating large-star and small-star steps: every node's neighbours move
+    to the smallest of them.  A step is an aggregation of minima and a join,
+    so that no node's neighbours are gathered; each round is written out.
+    """
+    step = ws.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    before, n = None, 0
+    while True:
+        both = step.union(step.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        large = both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
+        small = large.join(low, F.col("u") == F.col("_u"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("_u", "m")).where("u <> v").distinct()
+        n += 1
+        step = ws.put(small, f"{name}-{n}")
+        ws.drop(f"{name}-{n - 1}")
+        # order-independent state of the graph
+        state = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first()
+        if state == before or state[0] == 0:
+            break
+        before = state
+    return step.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(step.select(F.col("v"), F.col("v")).distinct())

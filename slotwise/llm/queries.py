@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from slotwise.llm.minhash import op2_minhash
 from slotwise.llm.mixing import op10_mixing
 from slotwise.llm.quality import op4_quality_classifier
 from slotwise.llm.secrets import op5_secret_scan
@@ -10,7 +11,7 @@ from slotwise.llm.toxicity import op9_toxicity
 
 
 def queries():
-    own = (op3_token_output, op4_quality_classifier, op5_secret_scan, op9_toxicity, op10_mixing)
+    own = (op2_minhash, op3_token_output, op4_quality_classifier, op5_secret_scan, op9_toxicity, op10_mixing)
     return {f.__name__: f for f in own}
 
 
