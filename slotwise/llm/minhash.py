@@ -26,6 +26,13 @@ LEAST = 0.8
 BANDS, ROWS = 24, 4
 #: Rounds in which a bucket's members meet one member only, before all that are still apart meet.
 STAR_ROUNDS = 2
+#: Then larger buckets are dealt into blocks of about so many members.
+BLOCK = 256
+#: Rows that one group of blocks has, about.
+GROUP_ROWS = 4000
+#: Agreeing coordinates, in standard deviations below what the least similarity gives, from
+#: which two members of a block are held against each other.
+DEVIATIONS = 4.5
 _U = np.uint64
 
 
@@ -96,15 +103,18 @@ def elements(text: str | None) -> np.ndarray:
     return shingle_hashes(word_hashes(words_of(text)), WORDS)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two multisets of element hashes; 0 where one is empty."""
-    if not len(a) or not len(b):
-        return 0.0
-    ua, na = np.unique(a, return_counts=True)
-    ub, nb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    both = int(np.minimum(na[i], nb[j]).sum())
-    return both / (len(a) + len(b) - both)
+def units_of(e: np.ndarray) -> np.ndarray:
+    """The multiset of element hashes as a sorted set: an element's n-th occurrence is one of its own.
+
+    32 bits each: among n and m of them about n * m / 2**32 meet by chance.
+    """
+    return np.unique((mix(e + _U(BASE) * occurrences(e).astype(np.uint64)) >> _U(32)).astype(np.uint32))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 0 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -130,27 +140,84 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, n int, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (rep, text) are similar enough."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+def sketches(texts: DataFrame) -> DataFrame:
+    """(rep, sig, units) of (rep, text): the low 16 bits of each coordinate, and the units."""
 
     def run(batches):
-        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            reps, texts = b.column(0), b.column(1).to_pylist()
+            for i in range(0, len(texts), 512):
+                own = [elements(t) for t in texts[i : i + 512]]
+                low = (signatures(own) & _U(0xFFFF)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([reps[i : i + 512], pa.array([x.tobytes() for x in low], pa.binary()), pa.array([units_of(e).tobytes() for e in own], pa.binary())], ["rep", "sig", "units"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, sig binary, units binary")
 
-        def of(t):
-            if t not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[t] = elements(t)
-            return held[t]
 
+def verified(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) that are similar enough."""
+
+    def run(batches):
         for batch in batches:
-            keep = pa.array([weighted_jaccard(of(x), of(y)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in both], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    left = sketch.select(F.col("rep").alias("a"), F.col("units").alias("_ua"))
+    right = sketch.select(F.col("rep").alias("b"), F.col("units").alias("_ub"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_ua", "_ub").mapInArrow(run, "a long, b long")
+
+
+def linked_in_blocks(members: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members (key, band, rep, comp) of one key and of different components.
+
+    A bucket is dealt into blocks and every pair of blocks is a piece of work
+    of bounded size.  A pair is looked at in the first band that it shares,
+    and first on the signatures; what comes out joins components, so a piece
+    returns fewer links than it has members.
+    """
+    least_same = least - DEVIATIONS * math.sqrt(least * (1 - least) / (BANDS * ROWS))
+    counts = members.groupBy("key").agg(F.count("*").alias("_n")).withColumnRenamed("key", "_key")
+    own = members.join(counts, F.col("key") == F.col("_key")).withColumn("_k", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    own = own.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    own = own.select("key", "band", F.least("x", "_y").alias("p"), F.greatest("x", "_y").alias("q"), "x", "rep", "comp")
+    groups = max(1, members.count() // GROUP_ROWS)
+    own = own.join(sketch, "rep").select(F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)).alias("g"), "key", "band", "p", "q", "x", "rep", "comp", "sig", "units")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        col = {c: table.column(c).to_numpy() for c in ("key", "band", "p", "q", "x", "rep", "comp")}
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        units = [np.frombuffer(u, np.uint32) for u in table.column("units").to_pylist()]
+        order = np.lexsort((col["rep"], col["q"], col["p"], col["key"]))
+        new = np.flatnonzero(np.r_[True, np.any([np.diff(col[c][order]) != 0 for c in ("key", "p", "q")], axis=0)])
+        out: list[tuple[int, int]] = []
+        for at in np.split(order, new[1:]):
+            p, q, band = col["p"][at[0]], col["q"][at[0]], col["band"][at[0]]
+            root = {c: c for c in col["comp"][at].tolist()}
+
+            def top(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            rows, cols = at[col["x"][at] == p], at[col["x"][at] == q]
+            for n, i in enumerate(rows):
+                js = cols[n + 1 :] if p == q else cols
+                js = js[col["comp"][js] != col["comp"][i]]
+                if not len(js):
+                    continue
+                same = sig[js] == sig[i]
+                first = same.reshape(len(js), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                likely = np.flatnonzero((same.mean(axis=1) >= least_same) & (first == band))
+                for j in js[likely].tolist():
+                    a, b = top(int(col["comp"][i])), top(int(col["comp"][j]))
+                    if a != b and jaccard(units[i], units[j]) >= least:
+                        root[max(a, b)] = min(a, b)
+                        out.append((int(col["rep"][i]), int(col["rep"][j])))
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return own.groupBy("g").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -169,29 +236,29 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     reps = own.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"))
     reps = ws.put(reps, "reps")
     bands = own.join(reps, (own["doc_id"] == reps["rep"]) & (own["content"] == reps["content"])).select("rep", "bands").dropDuplicates(["rep"])
-    members = ws.put(bands.select("rep", F.explode("bands").alias("key")), "members")
+    members = ws.put(bands.select("rep", F.posexplode("bands").alias("band", "key")), "members")
     shared = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
-    members = ws.put(members.join(shared, F.col("key") == F.col("_key")).select("key", "rep"), "shared")
+    members = ws.put(members.join(shared, F.col("key") == F.col("_key")).select("key", "band", "rep"), "shared")
     ws.drop("members")
-    need = members.select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"])
-    texts = ws.put(texts, "texts")
-    links, comps = None, members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct()
+    need = ws.put(members.select("rep").distinct(), "need")
+    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    sketch = ws.put(sketches(texts).dropDuplicates(["rep"]), "sketches")
+    links, comps = None, need.select(F.col("rep").alias("id"), F.col("rep").alias("comp"))
     for r in range(STAR_ROUNDS + 1):
-        here = members.join(comps, F.col("rep") == F.col("id")).select("key", "rep", "comp")
+        here = members.join(comps, F.col("rep") == F.col("id")).select("key", "band", "rep", "comp")
         apart = here.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), F.col("rep").alias("center"), F.col("comp").alias("other"))).alias("m")).where("_c < _d")
         apart = apart.select(F.col("key").alias("_key"), "m.center", "m.other")
+        here = here.join(apart, F.col("key") == F.col("_key"))
         if r < STAR_ROUNDS:
-            pairs = here.join(apart, F.col("key") == F.col("_key")).where("comp <> other").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+            pairs = here.where("comp <> other").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+            found = verified(pairs.distinct(), sketch, least)
         else:  # all that share a key and are still apart
-            rest = here.join(apart.select("_key"), F.col("key") == F.col("_key")).select("key", "rep", "comp")
-            more = rest.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("comp").alias("_comp"))
-            pairs = rest.join(more, (F.col("key") == F.col("_key")) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("_comp"))).select(F.col("rep").alias("a"), "b")
-        found = ws.put(verified(pairs.distinct(), texts, least), f"links-{r}")
+            found = linked_in_blocks(ws.put(here.select("key", "band", "rep", "comp"), "rest"), sketch, least)
+        found = ws.put(found, f"links-{r}")
         links = found if links is None else links.union(found)
         ids = ws.put(connected_components(ws, links, f"comps-{r}"), f"comps-{r}-all")
-        comps = members.select("rep").distinct().join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp"))
-    ws.drop("texts", "shared")
+        comps = need.join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp"))
+    ws.drop("sketches", "shared", "rest")
     classes = reps.join(ids, F.col("rep") == F.col("id"), "left").select(F.col("content").alias("_content"), F.coalesce("comp", "rep").alias("_class"))
     out = own.join(classes, F.col("content") == F.col("_content"), "left").select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
