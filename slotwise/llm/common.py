@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -93,18 +92,58 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-_CACHE: dict[str, int] = {}
+#: Characters outside ASCII that are no part of words: spaces and punctuation.
+_OTHER = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f\ufe30-\ufe4f\uff00-\uff0f]+")
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
+_INVERSE = pow(BASE, -1, 2**64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every process; bounded cache."""
-    if len(_CACHE) > 400_000:
-        _CACHE.clear()
-    get = _CACHE
-    for w in set(words).difference(get):
-        b = w.encode("utf-8", "surrogatepass")
-        get[w] = (zlib.crc32(b) << 32) | zlib.crc32(b, 0x5BD1E995)
-    return np.fromiter(map(get.__getitem__, words), dtype=np.uint64, count=len(words))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    if len(_POWERS[0]) < n:
+        m = 1 << (n - 1).bit_length()
+        for k, b in enumerate((BASE, _INVERSE)):
+            x = np.full(m, b, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS[0], _POWERS[1]
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin (one bound more than texts).
+
+    A word is a run of letters, digits and underscores, lower-cased; characters
+    outside ASCII count as letters unless they are spaces or punctuation.
+    """
+    parts = []
+    for t in texts:
+        t = (t or "").lower()
+        parts.append((t if t.isascii() else _OTHER.sub(" ", t)).encode("utf-8", "surrogatepass"))
+    raw = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    word = _IS_WORD[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    first, end = edge[::2] + 1, edge[1::2] + 1
+    up, down = _powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(np.where(word, raw, 0).astype(np.uint64) * up[: len(raw)], dtype=np.uint64)
+        out = mix((sums[end - 1] - sums[first - 1]) * down[first] + (end - first).astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    starts = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    return out, np.searchsorted(first, starts)
+
+
+def hashed_texts(texts: list[str | None], size: int = 4_000_000):
+    """hashed_words of each text, worked out for about `size` characters at a time."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end] or "") <= size):
+            held += len(texts[end] or "")
+            end += 1
+        h, bounds = hashed_words(texts[at:end])
+        yield from (h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+        at = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, connected_components, mix, read, shingle_hashes, signed, word_hashes, words_of
+from slotwise.llm.common import BASE, Workspace, connected_components, hashed_texts, mix, read, shingle_hashes, signed
 
 WORDS = 5
 LEAST = 0.8
@@ -100,7 +100,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def elements(text: str | None) -> np.ndarray:
-    return shingle_hashes(word_hashes(words_of(text)), WORDS)
+    return shingle_hashes(next(hashed_texts([text])), WORDS)
 
 
 def units_of(e: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 512):
-                words = [word_hashes(words_of(t)) for t in texts[i : i + 512]]
+                words = list(hashed_texts(texts[i : i + 512]))
                 content = []
                 for h in words:
                     with np.errstate(over="ignore"):
@@ -147,7 +147,7 @@ def sketches(texts: DataFrame) -> DataFrame:
         for b in batches:
             reps, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 512):
-                own = [elements(t) for t in texts[i : i + 512]]
+                own = [shingle_hashes(h, WORDS) for h in hashed_texts(texts[i : i + 512])]
                 low = (signatures(own) & _U(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([reps[i : i + 512], pa.array([x.tobytes() for x in low], pa.binary()), pa.array([units_of(e).tobytes() for e in own], pa.binary())], ["rep", "sig", "units"])
 
