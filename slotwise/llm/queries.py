@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotwise.llm.decontaminate import op8_decontamination
 from slotwise.llm.embedding_dedup import op7_embedding_dedup
+from slotwise.llm.licenses import op6_license_scan
 from slotwise.llm.line_dedup import op1_line_dedup
 from slotwise.llm.minhash import op2_minhash
 from slotwise.llm.mixing import op10_mixing
@@ -14,7 +15,7 @@ from slotwise.llm.toxicity import op9_toxicity
 
 
 def queries():
-    own = (op1_line_dedup, op2_minhash, op3_token_output, op4_quality_classifier, op5_secret_scan, op7_embedding_dedup, op8_decontamination, op9_toxicity, op10_mixing)
+    own = (op1_line_dedup, op2_minhash, op3_token_output, op4_quality_classifier, op5_secret_scan, op6_license_scan, op7_embedding_dedup, op8_decontamination, op9_toxicity, op10_mixing)
     return {f.__name__: f for f in own}
 
 
