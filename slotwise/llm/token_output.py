@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,9 @@ MAGIC = b"SWR1"
 HEAD = struct.Struct("<4sBBHIQQIIII")
 SCALE = 20  # table slots: 2**SCALE
 LOW = 1 << 31
-LANES = 1024
-ROWS_BETWEEN = 192
-BLOCK_IDS = 1 << 19
+LANES = 4096
+ROWS_BETWEEN = 64
+BLOCK_IDS = 1 << 20
 _U = np.uint64
 
 
@@ -149,19 +150,28 @@ def decode_block(table: Table, block: bytes, from_mark: int = 0) -> tuple[np.nda
     return doc_ids, lengths, ids, place
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, where lower case is the same everywhere and nothing combines."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """The tokenizers library with a bounded cache of white-space separated pieces.
 
     Valid for a tokenizer whose pieces never span white space, which the
     constructor checks on samples; other tokenizers encode whole texts.  Texts
-    of Latin-1 characters are lower-cased first, and in ASCII texts sentence
-    marks after a letter set apart, where the tokenizer does the same, so that the cache
+    of Latin-1 characters are lower-cased first, and sentence marks after an
+    ASCII letter set apart, where the tokenizer does the same, so that the cache
     holds fewer forms.  When the cache is full it starts anew.
     """
 
     CACHE = 900_000
     #: Texts are worked on in groups of about so many characters.
-    GROUP = 8_000_000
+    GROUP = 16_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -186,13 +196,8 @@ class Encoder:
     def plain(self, text: str) -> str:
         """The text with spaces as the only white space of its own kind, and fewer forms of words."""
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if self.lowers and "<|" not in text:  # the special tokens' own case counts
-            try:
-                text.encode("latin-1")
-                return text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text
+        # the special tokens' own case counts
+        return text.lower() if self.lowers and "<|" not in text and is_latin(text) else text
 
     def keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Put words into the cache, whose ids stand one after another."""
@@ -227,7 +232,7 @@ class Encoder:
     def group(self, texts: list[str]) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
         if self.lowers:
-            latin = pa.array(["<|" not in t and t.isascii() for t in texts])
+            latin = pa.array(["<|" not in t and is_latin(t) for t in texts])
             column = pc.if_else(latin, pc.replace_substring_regex(column, "([a-z])([.,]) ", r"\1 \2 "), column)
         words = pc.split_pattern(column, " ")
         flat = pc.dictionary_encode(words.flatten())
@@ -236,8 +241,10 @@ class Encoder:
             self.clear()
         at = list(map(self.cache.get, forms))
         if None in at:
-            self.learn([w for w, i in zip(forms, at, strict=True) if i is None])
-            at = list(map(self.cache.__getitem__, forms))
+            fresh = [w for w, i in zip(forms, at, strict=True) if i is None]
+            self.learn(fresh)
+            learned = map(self.cache.__getitem__, fresh)
+            at = [next(learned) if i is None else i for i in at]
         at = np.array(at, np.int64)[flat.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -273,10 +280,10 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, pack = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 1024):
-                runs = enc(texts[i : i + 1024])
+            for i in range(0, len(texts), 4096):
+                runs = enc(texts[i : i + 4096])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i : i + 1024], pa.array([len(x) for x in runs], pa.int64()),
+                    [b.column(0)[i : i + 4096], pa.array([len(x) for x in runs], pa.int64()),
                      pa.array([pack.compress(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in runs], pa.binary())],
                     ["doc_id", "n", "ids"])
 
@@ -296,8 +303,9 @@ def frequencies(ids: DataFrame, vocab: int) -> np.ndarray:
 
         unpack, counts = zstandard.ZstdDecompressor(), np.zeros(vocab, np.int64)
         for b in batches:
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts += np.bincount(unpacked(n, raw, unpack), minlength=vocab)
+            own = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            while held := [unpacked(n, raw, unpack) for n, raw in islice(own, 2048)]:
+                counts += np.bincount(np.concatenate(held), minlength=vocab)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
