@@ -169,9 +169,9 @@ class Encoder:
     holds fewer forms.  When the cache is full it starts anew.
     """
 
-    CACHE = 900_000
+    CACHE = 1_200_000
     #: Texts are worked on in groups of about so many characters.
-    GROUP = 16_000_000
+    GROUP = 12_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
