@@ -26,17 +26,20 @@ ORACLE_SQL = None
 
 def keep_good(spark, docs, sf_dir):
     """Documents that the quality classifier doesn't reject."""
+    docs = docs.select(*COLUMNS)
     return score(docs, fit(docs, read(spark, sf_dir, "labels")), "_score").where(F.col("_score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def keep_one_of_each(spark, docs, sf_dir):
     """One document of each group of near-duplicates, the one of the smallest doc_id; of repeated rows one."""
+    docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents without any benchmark item."""
+    docs = docs.select(*COLUMNS)
     found = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
 
@@ -46,6 +49,7 @@ def mix_sources(spark, docs, sf_dir):
 
     A run keeps its words' spacing; n_chars is its own length.
     """
+    docs = docs.select(*COLUMNS)
     ws = Workspace(spark, "mix")
     at, taken = mixed(docs, ws)
     # neighbouring blocks of a document that one epoch takes are one run

@@ -54,6 +54,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id):
     """True for the rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -47,6 +47,8 @@ TEMPLATES = (
 MENTION = re.compile(r"licen[cs]|copyright|rights|spdx|public domain|permission|redistribut|free software", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 LEAST = 0.75
+#: A licence file is hardly anything but a licence.
+LEAST_FILE = 0.9
 #: A longer stretch without a line end is looked at by sentences only.
 LONGEST_LINE = 80
 
@@ -107,7 +109,7 @@ class Matcher:
                 if own:
                     found = max(found, self.best(own), key=lambda x: x[0])
         whole = self.best(words_of(text))
-        if whole[0] >= LEAST:
+        if whole[0] >= LEAST_FILE:
             return "file", whole[0], whole[1]
         return ("header", *found) if found[0] >= LEAST else ("none", found[0], None)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, _powers, hashed_words, mix, read, signed
+from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed
 
 #: Shorter lines are compared for equality only: one word of them is too much.
 LEAST_WORDS = 5
@@ -212,9 +212,10 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of their texts; for repeated doc_ids each row loses what all of them lose."""
-    own = line_decisions(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", F.when(F.col("text").isNotNull(), kept)).select(*docs.columns)
+    mine, gone = free_name(docs, "_id"), free_name(docs, "_gone")
+    own = line_decisions(docs).groupBy(F.col("doc_id").alias(mine)).agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col(mine))).withColumn("text", F.when(F.col("text").isNotNull(), kept)).select(*docs.columns)
 
 
 def op1_line_dedup(spark, sf_dir):

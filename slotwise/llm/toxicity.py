@@ -22,7 +22,8 @@ from slotwise.llm.quality import logistic
 
 STEM = 4
 PRIOR = 50.0
-LEAST_Z = 5.0
+#: How many deviations a stem's log-odds must exceed zero by; which, the labelled sample decides.
+LEAST_Z = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
 LEAST_ODDS = 2.0
 LOSS = 1.0
 #: Labelled rows of each class that the fit may see.
@@ -59,7 +60,7 @@ def stems(text: str | None) -> list[str]:
     return [w[:STEM] for w in words_of(text)]
 
 
-def log_odds(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]:
+def log_odds(toxic: list[list[str]], clean: list[list[str]], least_z: float) -> dict[str, float]:
     """Lower bounds of the log-odds of significantly toxic stems, counted once a text."""
     a, b = Counter(), Counter()
     for into, texts in ((a, toxic), (b, clean)):
@@ -72,7 +73,7 @@ def log_odds(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]
         prior = PRIOR * (ya + yb) / (na + nb) + 0.01
         odds = math.log((ya + prior) / (na + 2 * PRIOR - ya)) - math.log((yb + prior) / (nb + 2 * PRIOR - yb))
         sd = math.sqrt(1 / (ya + prior) + 1 / (yb + prior))
-        if odds >= LEAST_ODDS and odds >= LEAST_Z * sd:
+        if odds >= LEAST_ODDS and odds >= least_z * sd:
             out[w] = odds - sd
     return out
 
@@ -114,14 +115,36 @@ def features(found: list[tuple[int, int, float]]) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """(stem scores, rate, weights); without labels of both classes a constant 0.5."""
     rows = labelled_sample(docs, labels, "toxic", per_class)
-    texts = {y: [stems(t) for t in dict.fromkeys(t for t, k in rows if k == y)] for y in (0, 1)}
+    one: dict[str, str] = {}  # equal stems are one object: the sample stays small in memory
+    texts = {y: [[one.setdefault(w, w) for w in stems(t)] for t in dict.fromkeys(t for t, k in rows if k == y)] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return {}, 1.0, [0.0, 0.0]
-    table = log_odds(texts[1], texts[0])
-    rate = decay(table, texts[0]) if table else 1.0
-    x = np.array([features(passages(t, table, rate)) for y in (0, 1) for t in texts[y]])
-    y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
-    return table, rate, logistic(x, y, np.ones(len(y))).tolist()
+    best = None
+    for least_z in LEAST_Z:
+        # each half is scored with what the other half teaches
+        x, y = [], []
+        for k in (0, 1):
+            learn = {c: t[k::2] for c, t in texts.items()}
+            table, rate = learned(learn, least_z)
+            for c, t in texts.items():
+                own = [features(passages(w, table, rate)) for w in t[1 - k :: 2]]
+                x += own
+                y += [float(c)] * len(own)
+        x, y = np.array(x), np.array(y)
+        weights = logistic(x, y, np.ones(len(y)))
+        p = np.clip(1 / (1 + np.exp(-x @ weights)), 1e-6, 1 - 1e-6)
+        loss = -float(np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
+        if best is None or loss < best[0] - 1e-9:
+            best = (loss, least_z, weights)
+    table, rate = learned(texts, best[1])
+    return table, rate, best[2].tolist()
+
+
+def learned(texts: dict[int, list[list[str]]], least_z: float) -> tuple[dict[str, float], float]:
+    if not texts[0] or not texts[1]:
+        return {}, 1.0
+    table = log_odds(texts[1], texts[0], least_z)
+    return table, decay(table, texts[0]) if table else 1.0
 
 
 def score(docs: DataFrame, model) -> DataFrame:
