@@ -61,10 +61,12 @@ def sniffed(text: Column, path: Column) -> Column:
     top = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Za-z_][\w-]*:( |$)")))
     ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
     by_ext = F.when(ext.isin("md", "markdown"), "markdown").when(ext == "json", "json").when(ext.isin("jsonl", "ndjson"), "jsonl").when(ext.isin("yaml", "yml"), "yaml").when(ext.isin("csv", "tsv"), "csv").when(ext == "log", "log")
+    # the parser reads the first value and ignores what follows it, so lines of objects are told apart first
+    objects = (n >= 3) & (share(lines, r"^\s*\{.*\}\s*$") > 0.8)
     content = (
         F.when((F.size(head) >= 3) & (share(head, r"^\[?\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}") > 0.4), "log")
-        .when(F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), "json")
-        .when((n >= 3) & (share(lines, r"^\s*\{.*\}\s*$") > 0.8), "jsonl")
+        .when(F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull() & ~objects, "json")
+        .when(objects, "jsonl")
         .when((top >= 2) & (share(lines, r"^\s+\S") > 0.2), "yaml").when(csv, "csv").otherwise("text"))
     return F.coalesce(by_ext, content)
 
