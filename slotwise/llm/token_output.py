@@ -169,9 +169,9 @@ class Encoder:
     holds fewer forms.  When the cache is full it starts anew.
     """
 
-    CACHE = 1_200_000
+    CACHE = 700_000
     #: Texts are worked on in groups of about so many characters.
-    GROUP = 12_000_000
+    GROUP = 6_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -268,6 +268,17 @@ class Encoder:
         return [np.append(x, x.dtype.type(self.end)) for x in out]
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """The process's own encoder, whose cache later tasks find warm."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids): ids as zstd-compressed u16, or u32 where they need it; null texts count as empty."""
 
@@ -277,7 +288,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, pack = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
+        enc, pack = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i in range(0, len(texts), 4096):
