@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import read, words_of
+from slotwise.llm.common import Workspace, read, words_of
 
 # Notices by which licences are named, and the opening of their texts.
 TEMPLATES = (
@@ -141,7 +141,8 @@ def license_scan(files: DataFrame) -> DataFrame:
 
     kind = files.schema["id"].dataType.simpleString()
     scanned = files.mapInArrow(run, f"id {kind}, path string, basis string, score double, license string")
-    scanned = scanned.withColumn("_dir", F.element_at(ancestors(F.col("path")), 1))
+    # read three times below
+    scanned = Workspace(files.sparkSession, "licenses").put(scanned.withColumn("_dir", F.element_at(ancestors(F.col("path")), 1)), "scanned")
     licensed = scanned.where("basis = 'file' and _dir is not null").groupBy("_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m")).select(F.col("_dir").alias("directory"), F.col("m.license").alias("_license"))
     # a row for each directory, not for each file
     dirs = scanned.where("basis = 'none' and _dir is not null").select("_dir").distinct()
