@@ -140,7 +140,7 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(first, starts)
 
 
-def hashed_texts(texts: list[str | None], size: int = 4_000_000):
+def hashed_texts(texts: list[str | None], size: int = 1_000_000):
     """hashed_words of each text, worked out for about `size` characters at a time."""
     at = 0
     while at < len(texts):

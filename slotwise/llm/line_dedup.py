@@ -23,7 +23,7 @@ from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_word
 
 #: Shorter lines are compared for equality only: one word of them is too much.
 LEAST_WORDS = 5
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _U = np.uint64
 
 
