@@ -19,6 +19,7 @@ blocks; Spark commits their files as a whole, so a lost task leaves nothing.
 from __future__ import annotations
 
 import struct
+import threading
 import zlib
 from itertools import islice
 
@@ -269,16 +270,29 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
+_DROP: list[threading.Timer] = []
+#: Seconds without a task after which a process gives its encoder's memory back.
+IDLE_S = 2.0
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    """The process's own encoder, whose cache later tasks find warm."""
+    """The process's own encoder, whose cache a task that follows soon finds warm."""
+    while _DROP:
+        _DROP.pop().cancel()
     if (path, end_id) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, end_id] = Encoder(path, end_id)
     return _ENCODERS[path, end_id]
 
 
+def idle() -> None:
+    """A task is over: drop the encoder unless another begins soon."""
+    timer = threading.Timer(IDLE_S, _ENCODERS.clear)
+    timer.daemon = True
+    timer.start()
+    _DROP.append(timer)
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids): ids as zstd-compressed u16, or u32 where they need it; null texts count as empty."""
 
@@ -297,6 +311,8 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     [b.column(0)[i : i + 4096], pa.array([len(x) for x in runs], pa.int64()),
                      pa.array([pack.compress(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in runs], pa.binary())],
                     ["doc_id", "n", "ids"])
+        del enc
+        idle()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
