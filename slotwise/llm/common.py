@@ -140,13 +140,6 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(first, starts)
 
 
-def pieces(batches, rows: int = 512):
-    """Arrow batches in slices, so that few texts are Python objects at a time."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def hashed_texts(texts: list[str | None], size: int = 1_000_000):
     """hashed_words of each text, worked out for about `size` characters at a time."""
     at = 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import hashed_texts, pieces, read, shingle_hashes
+from slotwise.llm.common import hashed_texts, read, shingle_hashes
 
 WORDS = 5
 LEAST = 0.8
@@ -156,7 +156,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], least: float) ->
     def run(batches):
         index = Index(items)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
-        for b in pieces(batches):
+        for b in batches:
             found = [sorted(index.found(h, least).items()) for h in hashed_texts(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"item_id": i, "similarity": s} for i, s in f] for f in found], kind)], ["doc_id", "items"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, connected_components, hashed_texts, mix, pieces, read, shingle_hashes, signed
+from slotwise.llm.common import BASE, Workspace, connected_components, hashed_texts, mix, read, shingle_hashes, signed
 
 WORDS = 5
 LEAST = 0.8
@@ -121,7 +121,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, content, n, bands): a hash of the words, their number, the join keys (null without words)."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 512):
                 words = list(hashed_texts(texts[i : i + 512]))
@@ -144,7 +144,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(rep, sig, units) of (rep, text): the low 16 bits of each coordinate, and the units."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in batches:
             reps, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 512):
                 own = [shingle_hashes(h, WORDS) for h in hashed_texts(texts[i : i + 512])]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import held_out, labelled_sample, pieces, read
+from slotwise.llm.common import held_out, labelled_sample, read
 
 PIECE = 2048
 DICTIONARY = 32768
@@ -98,7 +98,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], column: str
 
     def run(batches):
         c, w = Compressors(good, bad), np.array(weights)
-        for b in pieces(batches):
+        for b in batches:
             x = np.array([c.features(t) for t in b.column("text").to_pylist()]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, column])

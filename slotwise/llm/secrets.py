@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from slotwise.llm.common import pieces, read
+from slotwise.llm.common import read
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -141,7 +141,7 @@ def secret_scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
     """
 
     def run(batches):
-        for b in pieces(batches):
+        for b in batches:
             found = [spans_of(t, least_bits) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(x[1] == k for x in own) for _, own in found], pa.int64()) for k in range(4)]
             sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import held_out, labelled_sample, pieces, read, words_of
+from slotwise.llm.common import held_out, labelled_sample, read, words_of
 from slotwise.llm.quality import logistic
 
 STEM = 4
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("worth", pa.float64())]))
-        for b in pieces(batches):
+        for b in batches:
             found = [passages(words_of(t), table, rate) for t in b.column(1).to_pylist()]
             x = np.array([features(f) for f in found]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
