@@ -15,6 +15,12 @@ PATH = re.compile(r"^[A-Za-z_]\w*(\[\])?(\.[A-Za-z_]\w*(\[\])?)*$")
 MOST_STARTS = 4
 # Other names of a card's fields, by rank.
 ALIASES = {"type": ("type", "category"), "title": ("title", "name"), "subject": ("subject",), "predicate": ("predicate",), "value": ("value", "key"), "body": ("body", "content", "text", "desc", "summary")}
+# Other names of the types.
+LABELS = {
+    "身份": "profile", "身份事实": "profile", "偏好": "preference", "偏好约定": "preference", "环境": "environment", "环境事实": "environment",
+    "项目": "project", "进行中工作": "project", "规程": "procedure", "操作规程": "procedure", "流程": "procedure", "教训": "lesson", "经验": "lesson",
+    "经验教训": "lesson", "决策": "decision", "决策记录": "decision", "事件": "episode", "事件记录": "episode",
+}
 
 
 def loose(text: str | None):
@@ -58,6 +64,9 @@ def coerced(raw: dict) -> dict:
     out["value"] = out["value"] or out["title"]
     tags = raw.get("tags") or []
     out["tags"] = [t.strip() for t in (re.split("[,，、]", tags) if isinstance(tags, str) else map(str, tags)) if t.strip()]
+    if out["type"] is not None:
+        kind = str(out["type"]).strip()
+        out["type"] = LABELS.get(kind, kind.lower())
     return {k: v if k == "tags" or v is None else str(v) for k, v in out.items()}
 
 
@@ -88,6 +97,13 @@ def progress(manifest: DataFrame, results: DataFrame) -> DataFrame:
     return manifest.join(r, "chunk", "left").select("chunk", F.when(F.col("rows").isNull(), "missing").when(F.col("cards") == 0, "error").otherwise("ok").alias("state"), F.coalesce("cards", F.lit(0)).alias("cards"))
 
 
+def recipe_progress(manifest: DataFrame, recipes: DataFrame) -> DataFrame:
+    """State of the recipe of each source of a manifest: missing, invalid (and why) or ok."""
+    r = recipes.select("source", F.lit(True).alias("_has"), recipe_problem(F.col("strategy"), F.col("fields")).alias("problem")).dropDuplicates(["source"])
+    state = F.when(F.col("_has").isNull(), "missing").when(F.col("problem").isNotNull(), "invalid").otherwise("ok")
+    return manifest.join(r, "source", "left").select("source", state.alias("state"), "problem")
+
+
 def resolved(cards: DataFrame, decisions: DataFrame) -> DataFrame:
     """Cards after decisions (slot, verdict, keep): losers superseded, kept or archived, bodies unchanged."""
     d = decisions.select("slot", "verdict", F.col("keep").alias("_keep"))

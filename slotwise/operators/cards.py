@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -201,17 +203,33 @@ def search(cards: DataFrame, query: str, ref: str, limit: int = 8, config: Confi
     compact = F.regexp_replace(flat, r"[\s_]", "")
     exact = F.when(F.contains(compact, last), 0.6).otherwise(0.0) + F.when((F.length(pred) > 2) & F.contains(compact, pred), 0.6).otherwise(0.0)
     tag = F.when(F.exists("tags", lambda t: F.array_contains(q, F.lower(t)) | F.contains(flat, F.lower(t))), 1.0).otherwise(0.0)
+    alias = F.lit(0.0)
+    if "aliases" in cards.columns:
+        joined = F.lower(F.array_join("aliases", " "))
+        met = F.size(F.array_intersect(q, T.tokens(joined)))
+        alias = F.when(met > 0, F.least(F.lit(1.0), met / F.greatest(F.lit(1), F.least(F.size(q), F.lit(6))))).when((joined != "") & F.contains(flat, joined), 1.0).otherwise(0.0)
     age = D.age_days(F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
-    s = rows.select("id", "num", "slot", "status", lexical.alias("lexical"), exact.alias("slot_exact"), tag.alias("tag_hit"), "importance", "confidence",
+    s = rows.withColumn("alias_hit", alias).select("alias_hit", "id", "num", "slot", "status", lexical.alias("lexical"), exact.alias("slot_exact"), tag.alias("tag_hit"), "importance", "confidence",
                     D.recency(age, config.half_life_days).alias("recency"), D.reuse(F.col("hits")).alias("reuse"))
     w = config.weights
     total = lambda names: sum((F.col(x) * w[x] for x in names[1:]), F.col(names[0]) * w[names[0]])
-    s = s.withColumn("relevance", total(["lexical", "slot_exact", "tag_hit"])).withColumn("prior", total(["importance", "confidence", "recency", "reuse"]))
+    s = s.withColumn("relevance", total(["lexical", "slot_exact", "tag_hit", "alias_hit"])).withColumn("prior", total(["importance", "confidence", "recency", "reuse"]))
     penalty = F.element_at(F.create_map(*[F.lit(x) for kv in config.penalties.items() for x in kv]), F.col("status"))
     s = s.withColumn("score", F.col("relevance") * (1 + F.col("prior")) + penalty)
     return s.where("relevance > 0 and score > 0").orderBy(F.desc("score"), "num").limit(limit)
 
 
+def term_search(cards: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Active cards by how many of the query's terms they contain, with two points for all of it and half the importance."""
+    whole = query.lower()
+    terms = [t for t in re.split(r"[\s,.;:!?，。；：、]+", whole) if t]
+    lists = [F.array_join(c, " ") for c in ("tags", "aliases") if c in cards.columns]
+    hay = F.lower(F.concat_ws(" ", "title", "value", "subject", "predicate", *lists, "body"))
+    met = sum((F.contains(hay, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    score = met + F.contains(hay, F.lit(whole)).cast("int") * 2 + F.coalesce("importance", F.lit(0.0)) * 0.5
+    return active(cards).withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "num").limit(limit)
+
+
 def keyed_order(seed: int, key: Column) -> Column:
     """A pseudorandom sort key that depends on nothing but seed and key."""
     return F.sha1(F.concat(F.lit(f"{seed}|"), key).cast("binary"))

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from slotwise.operators import nested
+
 HEADING = r"^#{1,3}\s+"
 STAMP = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)"
 YAML_KEY = r"^(\[[^\]]+\]|[A-Za-z_][\w.-]*\s*:)"
 LONGEST_BLOCK = 4000
+#: The speaker of what stands before the first marked turn.
+UNMARKED = "(未标注)"
+META = "file-meta"
+BUDGET, MOST_RECORDS = 6000, 40
+#: Rows of a CSV text; line breaks in quotes don't end a row, and a lone quote is text.
+CSV_ROW = r'(?:[^"\r\n]++|"[^"]*+"|")++'
 
 
 def _numbered(parts: DataFrame, kind: str) -> DataFrame:
@@ -40,9 +48,20 @@ def whole(texts: DataFrame) -> DataFrame:
     return texts.select("source", F.lit(0).alias("seq"), F.lit("whole").alias("kind"), "text", F.length("text").alias("chars"))
 
 
+def _refilled(sentences: Column) -> Column:
+    """Sentences put together again up to the longest block; one that is longer stays whole."""
+    zero = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(a, s):
+        full = (a["now"] != "") & (F.length(a["now"]) + F.length(s) > LONGEST_BLOCK)
+        return F.struct(F.when(full, s).otherwise(F.concat(a["now"], s)).alias("now"), F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"))
+
+    return F.aggregate(sentences, zero, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+
+
 def by_sentences(texts: DataFrame) -> DataFrame:
-    """Paragraphs; long ones cut after sentence marks."""
-    parts = F.flatten(F.transform(F.split("text", r"\n\s*\n", -1), lambda b: F.when(F.length(b) > LONGEST_BLOCK, F.split(b, r"(?<=[。！？.!?;；\n])")).otherwise(F.array(b))))
+    """Paragraphs; long ones cut after sentence marks and refilled."""
+    parts = F.flatten(F.transform(F.split("text", r"\n\s*\n", -1), lambda b: F.when(F.length(b) > LONGEST_BLOCK, _refilled(F.split(b, r"(?<=[。！？.!?;；\n])"))).otherwise(F.array(b))))
     return _numbered(texts.select("source", F.posexplode(parts).alias("pos", "text")), "text")
 
 
@@ -78,19 +97,24 @@ def yaml_blocks(texts: DataFrame) -> DataFrame:
 def turns(texts: DataFrame, speakers: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
     """A record a turn; a line that begins with a speaker and a colon begins one."""
     rule = r"(?i)^(" + "|".join(speakers) + r")\s*[:：]"
-    return islands(texts, F.col("line").rlike(rule), "conversation", F.lower(F.regexp_extract("line", rule, 1)))
+    out = islands(texts, F.col("line").rlike(rule), "conversation", F.lower(F.regexp_extract("line", rule, 1)))
+    return out.withColumn("section", F.coalesce("section", F.lit(UNMARKED)))
 
 
 def csv_rows(texts: DataFrame) -> DataFrame:
-    """A record a row, rendered "name: value" by the header; the delimiter is the header's most frequent one."""
-    head = F.get(F.split("text", "\r?\n", -1), F.lit(0))
+    """A record a row, rendered "name: value" by the header; the delimiter is the header's most frequent one.
+
+    Cells beyond the header are called colN.
+    """
+    rows = F.regexp_extract_all("text", F.lit(CSV_ROW), F.lit(0))
+    head = F.get(rows, F.lit(0))
     counted = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate((",", "\t", ";", "|"))]
     base = texts.withColumn("d", F.greatest(*counted)["d"])
     rule = F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     cells = lambda line: F.transform(F.split(line, rule, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    rows = base.select("source", cells(head).alias("head"), "d", F.posexplode(F.split("text", "\r?\n", -1)).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
-    named = F.zip_with("head", cells(F.col("line")), lambda h, c: F.when(c.isNotNull() & (c != ""), F.concat(F.coalesce(h, F.lit("col")), F.lit(": "), c)))
-    return _numbered(rows.select("source", "pos", F.array_join(F.filter(named, lambda x: x.isNotNull()), "\n").alias("text")), "csv")
+    own = base.select("source", cells(head).alias("head"), "d", F.posexplode(rows).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
+    named = F.transform(cells(F.col("line")), lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("head", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c)))
+    return _numbered(own.select("source", "pos", F.array_join(F.filter(named, lambda x: x.isNotNull()), "\n").alias("text")), "csv")
 
 
 def jsonl(texts: DataFrame, paths: dict[str, str]) -> DataFrame:
@@ -101,17 +125,92 @@ def jsonl(texts: DataFrame, paths: dict[str, str]) -> DataFrame:
     return _numbered(lines.select("source", "pos", shown.alias("text")), "jsonl")
 
 
-STRATEGIES = {"lines": by_lines, "blank_line": by_blank_lines, "separator": by_separator, "whole": whole, "text": by_sentences}
+def _nested(split):
+    """A splitter of JSON texts as one of this module."""
+
+    def run(texts: DataFrame) -> DataFrame:
+        return split(texts).select("source", F.col("pos").alias("seq"), "kind", "locator", "text", F.length("text").alias("chars"))
+
+    return run
+
+
+json_walk, json_lines, json_array, jsonl_by_recipe = map(_nested, (nested.json_walk, nested.json_lines, nested.json_array, nested.lines_by_recipe))
+
+STRATEGIES = {
+    "lines": by_lines, "jsonl": jsonl_by_recipe, "json_array": json_array, "conversation": turns, "separator": by_separator, "markdown": markdown, "yaml": yaml_blocks,
+    "csv": csv_rows, "log": log_lines, "blank_line": by_blank_lines, "whole": whole, "text": by_sentences,
+}
+#: Paths that a recipe without fields takes.
+DEFAULT_FIELDS = {"jsonl": {"角色": "role", "内容": "content[].text"}, "json_array": {"角色": "role", "内容": "content"}}
+#: Splitters by the sniffed format; any other text is cut at blank lines and sentences.
+BY_FORMAT = {"markdown": markdown, "log": log_lines, "json": json_walk, "jsonl": json_lines, "yaml": yaml_blocks, "csv": csv_rows, "text": by_sentences}
+FIELDS = ("source", "seq", "kind", "text", "chars")
+
+
+def _dispatched(texts: DataFrame, by: str, branches: dict, other: str) -> DataFrame:
+    """Each text through the splitter that column `by` names; an unknown name means `other`."""
+    named = texts.withColumn(by, F.when(F.col(by).isin(*branches), F.col(by)).otherwise(other))
+    parts = [split(named.where(F.col(by) == name)).select(*FIELDS) for name, split in branches.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _noise() -> Column:
+    return F.length(F.regexp_replace("text", r"(?U)[\s\p{P}]", "")) == 0
+
+
+def _with_recipe(texts: DataFrame) -> DataFrame:
+    """Columns fields and meta, filled with defaults where a recipe has none."""
+    default = F.when(F.col("strategy") == "jsonl", F.create_map(*[F.lit(x) for kv in DEFAULT_FIELDS["jsonl"].items() for x in kv])).when(
+        F.col("strategy") == "json_array", F.create_map(*[F.lit(x) for kv in DEFAULT_FIELDS["json_array"].items() for x in kv]))
+    fields = F.coalesce("fields", default) if "fields" in texts.columns else default
+    meta = F.coalesce("meta", F.array().cast("array<string>")) if "meta" in texts.columns else F.array().cast("array<string>")
+    return texts.select("source", "text", "strategy", fields.alias("fields"), meta.alias("meta"))
 
 
 def by_recipe(texts: DataFrame) -> DataFrame:
-    """Records of texts (source, text, strategy); an unknown strategy keeps the text whole."""
-    out = None
-    for name, split in STRATEGIES.items():
-        mine = texts.where(F.col("strategy") == name) if name != "whole" else texts.where(~F.coalesce(F.col("strategy").isin(*[s for s in STRATEGIES if s != "whole"]), F.lit(False)))
-        part = split(mine.select("source", "text")).select("source", "seq", "kind", "text", "chars")
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.length(F.regexp_replace("text", r"[\s\p{P}]", "")) > 0)
+    """Records of texts (source, text, strategy, and optionally fields, meta); an unknown strategy keeps the text whole."""
+    return _dispatched(_with_recipe(texts), "strategy", STRATEGIES, "whole").where(~_noise())
+
+
+def recipe_warnings(texts: DataFrame) -> DataFrame:
+    """(source, warning, n): unknown strategies, records without words, texts without records."""
+    cut = _dispatched(_with_recipe(texts), "strategy", STRATEGIES, "whole")
+    n = cut.groupBy("source").agg(F.count_if(_noise()).alias("noise"), F.count("*").alias("n"))
+    known = F.coalesce(F.col("strategy").isin(*STRATEGIES), F.lit(False))
+    all_ = texts.select("source", known.alias("known")).join(n, "source", "left")
+    said = [F.when(~F.col("known"), F.struct(F.lit("unknown_strategy").alias("warning"), F.lit(1).cast("long").alias("n"))),
+            F.when(F.col("noise") > 0, F.struct(F.lit("noise_dropped").alias("warning"), F.col("noise").alias("n"))),
+            F.when(F.coalesce("n", F.lit(0)) == 0, F.struct(F.lit("no_records").alias("warning"), F.lit(0).cast("long").alias("n")))]
+    return all_.select("source", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("w")).select("source", "w.*")
+
+
+def by_rules(texts: DataFrame) -> DataFrame:
+    """Records of texts (source, text, format) by format, behind a header record that says what the file is.
+
+    A text that gives no record is kept whole up to 4000 characters.
+    """
+    cut = _dispatched(texts.select("source", "text", "format"), "format", BY_FORMAT, "text")
+    n = cut.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
+    own = texts.join(n, F.col("source") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    kept = F.substring("text", 1, LONGEST_BLOCK)
+    bare = own.where("n = 0 and trim(text) <> ''").select("source", F.lit(0).alias("seq"), F.lit("text-whole").alias("kind"), kept.alias("text"), F.length(kept).alias("chars"))
+    said = F.concat_ws("\n", F.concat(F.lit("file: "), F.col("source").cast("string")), F.concat(F.lit("format: "), F.coalesce("format", F.lit("text"))),
+                       F.concat(F.lit("records: "), F.when((F.col("n") == 0) & (F.trim("text") != ""), 1).otherwise(F.col("n")).cast("string")))
+    head = own.select("source", F.lit(0).alias("seq"), F.lit(META).alias("kind"), said.alias("text"), F.length(said).alias("chars"))
+    later = cut.unionByName(bare).withColumn("seq", F.col("seq") + 1)
+    return head.unionByName(later)
+
+
+def of_cards(cards: DataFrame) -> DataFrame:
+    """A record a card, so that cards can be extracted again."""
+    opt = lambda c, label: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
+    lists = [F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", "))) for c, label in (("tags", "tags: "), ("aliases", "aliases: ")) if c in cards.columns]
+    text = F.concat_ws("\n", F.concat(F.lit("[card "), F.col("id"), F.lit("]")), opt("type", "type: "), opt("title", "title: "), F.concat(F.lit("slot: "), F.col("subject"), F.lit("::"), F.col("predicate")),
+                       opt("value", "value: "), F.when(F.col("status") != "active", F.concat(F.lit("status: "), F.col("status"))), *lists, opt("body", "body:\n"))
+    return cards.select(F.col("id").alias("source"), F.lit(0).alias("seq"), F.lit("card").alias("kind"), text.alias("text"), F.length(text).alias("chars"))
 
 
 def sliced(records: DataFrame, budget: int) -> DataFrame:
@@ -123,31 +222,46 @@ def sliced(records: DataFrame, budget: int) -> DataFrame:
     return cut.withColumn("text", text).withColumn("chars", F.length("text")).drop("_n")
 
 
-def packed(records: DataFrame, budget: int = 6000, most: int = 40) -> DataFrame:
-    """(source, seq, part, chunk): next-fit packing in order, a source's records folded in one pass."""
-    budget = max(64, budget)
+def limits(budget: float | None, most: float | None) -> tuple[int, int]:
+    """Usable limits: no, zero or unreadable ones mean the defaults; a budget has a floor."""
+    usable = lambda x: x is not None and x == x and x > 0
+    return max(64, int(budget)) if usable(budget) else BUDGET, int(most) if usable(most) else MOST_RECORDS
+
+
+def packed(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS) -> DataFrame:
+    """(source, seq, part, chunk): next-fit packing in order, a source's records folded in one pass; header records stay alone."""
+    budget, most = limits(budget, most)
     own = sliced(records, budget)
-    items = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "part", (F.col("chars") + 2).alias("cost")))).alias("xs"))
+    meta = F.col("kind") == META if "kind" in records.columns else F.lit(False)
+    items = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "part", (F.col("chars") + 2).alias("cost"), meta.alias("alone")))).alias("xs"))
     out = "array<struct<seq:int,part:int,chunk:int>>"
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.array().cast(out).alias("o"))
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(False).alias("alone"), F.array().cast(out).alias("o"))
 
     def step(a, x):
-        new = (a["n"] > 0) & ((a["used"] + x["cost"] > budget) | (a["n"] >= most))
+        new = (a["n"] > 0) & ((a["used"] + x["cost"] > budget) | (a["n"] >= most) | a["alone"] | x["alone"])
         chunk = a["chunk"] + new.cast("int")
         used = F.when(new, x["cost"]).otherwise(a["used"] + x["cost"])
         n = F.when(new, 1).otherwise(a["n"] + 1)
-        return F.struct(used.alias("used"), n.alias("n"), chunk.alias("chunk"), F.concat(a["o"], F.array(F.struct(x["seq"].alias("seq"), x["part"].alias("part"), chunk.alias("chunk")))).alias("o"))
+        return F.struct(used.alias("used"), n.alias("n"), chunk.alias("chunk"), x["alone"].alias("alone"), F.concat(a["o"], F.array(F.struct(x["seq"].alias("seq"), x["part"].alias("part"), chunk.alias("chunk")))).alias("o"))
 
     return items.select("source", F.explode(F.aggregate("xs", zero, step, lambda a: a["o"])).alias("x")).select("source", "x.seq", "x.part", "x.chunk")
 
 
-def chunks(records: DataFrame, budget: int = 6000, most: int = 40) -> DataFrame:
+def chunks(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS) -> DataFrame:
     """(source, chunk, record_count, chars, text) with the records rendered in order."""
-    own = sliced(records, max(64, budget)).join(packed(records, budget, most), ["source", "seq", "part"])
+    own = sliced(records, limits(budget, most)[0]).join(packed(records, budget, most), ["source", "seq", "part"])
     shown = F.concat(F.lit('<record id="'), F.col("seq").cast("string"), F.lit('">\n'), F.col("text"), F.lit("\n</record>"))
     g = own.groupBy("source", "chunk").agg(F.count("*").alias("record_count"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("seq", "part", shown.alias("t")))).alias("r"))
     return g.select("source", "chunk", "record_count", "chars", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def numbered_across(chunks_: DataFrame) -> DataFrame:
+    """Chunks of many sources with one running number; only a row a source goes through the unpartitioned window."""
+    sizes = chunks_.groupBy("source").agg((F.max("chunk") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("source").alias("_s"), before.alias("_b"))
+    return chunks_.join(starts, F.col("source") == F.col("_s")).withColumn("number", F.col("_b") + F.col("chunk")).drop("_s", "_b")
+
+
 def file_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("source").agg(F.count("*").alias("records"), F.sum("chars").alias("chars"), F.floor(F.avg("chars") + 0.5).alias("avg_chars"))

@@ -29,18 +29,32 @@ def inline_list(raw: Column) -> Column:
     return F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r'^["\x27]|["\x27]$', "")), lambda x: x != "")
 
 
+def block_list(block: Column, key: str) -> Column:
+    """Items of "- item" lines below a key."""
+    lines = F.regexp_extract(block, rf"(?m)^{key}\s*:[ \t]*\r?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))+)", 1)
+    items = F.transform(F.split(lines, "\r?\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[ \t]*-[ \t]+", "")), r'^["\x27]|["\x27]$', ""))
+    return F.filter(items, lambda x: x != "")
+
+
+def samples(texts: DataFrame, head: int = 3000, tail: int = 1200) -> DataFrame:
+    """(source, chars, head, tail): the beginning of a text, and the end of one longer than both."""
+    long = F.length("text") > head + tail
+    return texts.select("source", F.length("text").alias("chars"), F.substring("text", 1, head).alias("head"), F.when(long, F.right("text", F.lit(tail))).alias("tail"))
+
+
 def parsed_cards(files: DataFrame) -> DataFrame:
     """Cards of (path, text); files without front matter or id have a problem instead."""
     spark_policy = files.sparkSession
     spark_policy.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    m = front_matter(F.regexp_extract("text", FENCED, 1))
+    block = F.regexp_extract("text", FENCED, 1)
+    m = front_matter(block)
     base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$")).withColumn("m", m)
     get = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
     texts = [get(k).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
     return base.select(
         "path", *texts, F.coalesce(get("confidence").try_cast("double"), F.lit(0.8)).alias("confidence"), F.coalesce(get("importance").try_cast("double"), F.lit(0.6)).alias("importance"),
         get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
-        *[F.coalesce(inline_list(get(k)), F.array().cast("array<string>")).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
+        *[F.coalesce(inline_list(get(k)), block_list(block, k)).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
         F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"),
         F.when(~F.col("text").rlike(FENCED), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
 

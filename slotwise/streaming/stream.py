@@ -38,3 +38,35 @@ def upsert(path: str):
         newest.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return write
+
+
+def expiring(claims: DataFrame, ttl: str = "30 days", late: str = "0 seconds") -> DataFrame:
+    """(id, recorded_at, event) in append mode: "seen" for each card's news, "expired" once event time is past its time to live.
+
+    State is one timestamp a card, and a timer removes it.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    life = pd.Timedelta(ttl)
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            (at,) = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "recorded_at": [pd.Timestamp(at, unit="us")], "event": ["expired"]})
+            return
+        newest = max(b["recorded_at"].max() for b in batches)
+        if state.exists:
+            newest = max(newest, pd.Timestamp(state.get[0], unit="us"))
+        state.update((newest.value // 1000,))
+        state.setTimeoutTimestamp(max(int((newest + life).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": [key[0]], "recorded_at": [newest], "event": ["seen"]})
+
+    own = claims.withWatermark("recorded_at", late).select("id", "recorded_at")
+    return own.groupBy("id").applyInPandasWithState(step, "id string, recorded_at timestamp, event string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_stream(results: DataFrame) -> DataFrame:
+    """Cards and errors of each chunk so far, of a stream of extractor results (chunk, error); run in update mode."""
+    return results.groupBy("chunk").agg(F.count_if(F.col("error").isNull()).alias("cards"), F.count_if(F.col("error").isNotNull()).alias("errors"))
