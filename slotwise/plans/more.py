@@ -14,7 +14,7 @@ from slotwise.sources import cards as S
 from slotwise.sources import sinks
 from slotwise.sources.claims import claims
 
-SEQ = "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1"
+SEQ = "(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER"
 
 
 def _event_texts(spark, sf_dir, row, before="", after="", between="\n"):
@@ -37,7 +37,7 @@ def _object(_):
 
 # --- splitters -------------------------------------------------------------------------------
 
-TURNS_SQL = "SELECT conv_id AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, "
+TURNS_SQL = "SELECT conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, "
 
 
 @query(TURNS_SQL + "role AS section, trim('## ' || role || chr(10) || text) AS text FROM conversations", None)
@@ -104,7 +104,7 @@ def r12_separator(spark, sf_dir):
     return R.by_separator(_turn_texts(spark, sf_dir, "\n---\n")).select("source", "seq", "text")
 
 
-@query(r"SELECT source, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS seq, trim(t) AS text FROM (SELECT doc_id AS source, unnest(regexp_split_to_array(text, '\n\s*\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS pos FROM documents) WHERE regexp_replace(t, '\s', '', 'g') <> ''", None)
+@query(r"SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos) - 1)::INTEGER AS seq, trim(t) AS text FROM (SELECT doc_id AS source, unnest(regexp_split_to_array(text, '\n\s*\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS pos FROM documents) WHERE regexp_replace(t, '\s', '', 'g') <> ''", None)
 def r13_paragraphs(spark, sf_dir):
     return R.by_blank_lines(_texts(spark, sf_dir)).select("source", "seq", "text")
 
@@ -125,7 +125,7 @@ def r17_card_records(spark, sf_dir):
     return R.of_cards(claims(spark, sf_dir)).select("source", "text")
 
 
-@query(" SELECT source, seq, p AS part, CASE WHEN n = 1 THEN length(text) ELSE least(85, length(text) - p * 85) END AS chars FROM (SELECT *, CASE WHEN length(text) > 100 THEN ceil(length(text) / 85.0)::INTEGER ELSE 1 END AS n FROM k), LATERAL (SELECT unnest(range(n)) AS p)", LINES_SQL)
+@query(" SELECT source, seq, p::INTEGER AS part, (CASE WHEN n = 1 THEN length(text) ELSE least(85, length(text) - p * 85) END)::INTEGER AS chars FROM (SELECT *, CASE WHEN length(text) > 100 THEN ceil(length(text) / 85.0)::INTEGER ELSE 1 END AS n FROM k), LATERAL (SELECT unnest(range(n)) AS p)", LINES_SQL)
 def k2_slices(spark, sf_dir):
     return R.sliced(R.by_lines(_texts(spark, sf_dir)), 100).select("source", "seq", "part", "chars")
 
@@ -137,12 +137,12 @@ def k4_numbered(spark, sf_dir):
 
 # --- sources ---------------------------------------------------------------------------------
 
-@query("SELECT doc_id AS source, length(text) AS chars, substr(text, 1, 3000) AS head, CASE WHEN length(text) > 4200 THEN right(text, 1200) END AS tail FROM documents", None)
+@query("SELECT doc_id AS source, length(text)::INTEGER AS chars, substr(text, 1, 3000) AS head, CASE WHEN length(text) > 4200 THEN right(text, 1200) END AS tail FROM documents", None)
 def s9_samples(spark, sf_dir):
     return S.samples(_texts(spark, sf_dir))
 
 
-@query(r"SELECT coalesce(nullif(trim(regexp_extract(text, '(?m)^#+(.*)$', 1)), ''), CAST(doc_id AS VARCHAR)) AS title, 'import:' || CAST(doc_id AS VARCHAR) AS subject, 'import:' || CAST(doc_id AS VARCHAR) || '.md' AS source, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars FROM documents WHERE trim(text) <> ''", None)
+@query(r"SELECT coalesce(nullif(trim(regexp_extract(text, '(?m)^#+(.*)$', 1)), ''), CAST(doc_id AS VARCHAR)) AS title, 'import:' || CAST(doc_id AS VARCHAR) AS subject, 'import:' || CAST(doc_id AS VARCHAR) || '.md' AS source, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::INTEGER AS chars FROM documents WHERE trim(text) <> ''", None)
 def s11_imported(spark, sf_dir):
     files = _texts(spark, sf_dir).select(F.concat(F.lit("notes/"), F.col("source").cast("string"), F.lit(".md")).alias("path"), "text")
     return sinks.imported(files, "2024-03-01").select("title", "subject", "source", F.length("body").alias("chars"))
@@ -156,7 +156,7 @@ def s12_stale_maps(spark, sf_dir):
     return U.stale_maps(maps, c)
 
 
-@query(r"SELECT source, pos - 1 AS pos, trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g')) AS line FROM (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g'))) > 12 AND NOT starts_with(trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g')), '#')", None)
+@query(r"SELECT source, (pos - 1)::INTEGER AS pos, trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g')) AS line FROM (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g'))) > 12 AND NOT starts_with(trim(regexp_replace(t, '^[-* ]+|[-* ]+$', '', 'g')), '#')", None)
 def s13_candidates(spark, sf_dir):
     return U.candidates(_texts(spark, sf_dir))
 
@@ -239,7 +239,7 @@ def p1_planned(spark, sf_dir):
     return U.planned(claims(spark, sf_dir), "slot", ratio=0.05, seed=7).rows.select("id", "slot")
 
 
-@query(", r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY importance DESC, hits DESC, num) AS ord, count(*) OVER (PARTITION BY subject) AS cards FROM claims WHERE status = 'active') SELECT subject, cards, ord, '  - `' || id || '` ' || title AS line FROM r WHERE ord <= 5 UNION ALL SELECT subject, cards, 0, '- **' || subject || '** (' || CAST(cards AS VARCHAR) || ')' FROM r WHERE ord = 1")
+@query(", r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY importance DESC, hits DESC, num)::INTEGER AS ord, count(*) OVER (PARTITION BY subject) AS cards FROM claims WHERE status = 'active') SELECT subject, cards, ord, '  - `' || id || '` ' || title AS line FROM r WHERE ord <= 5 UNION ALL SELECT subject, cards, 0, '- **' || subject || '** (' || CAST(cards AS VARCHAR) || ')' FROM r WHERE ord = 1")
 def sk4_brief(spark, sf_dir):
     return U.brief_lines(claims(spark, sf_dir))
 

@@ -424,10 +424,10 @@ def _texts(spark, sf_dir, table="documents", key="doc_id"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("source"), "text")
 
 
-LINES_SQL = "WITH l AS (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS seq, trim(t, ' ') AS text FROM l WHERE trim(t) <> '')"
+LINES_SQL = "WITH l AS (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos) - 1)::INTEGER AS seq, trim(t, ' ') AS text FROM l WHERE trim(t) <> '')"
 
 
-@query(" SELECT source, seq, 'line' AS kind, text, length(text) AS chars FROM k", LINES_SQL)
+@query(" SELECT source, seq, 'line' AS kind, text, length(text)::INTEGER AS chars FROM k", LINES_SQL)
 def r8_lines(spark, sf_dir):
     return R.by_lines(_texts(spark, sf_dir))
 
@@ -437,7 +437,7 @@ def a17_file_stats(spark, sf_dir):
     return R.file_stats(R.by_lines(_texts(spark, sf_dir)))
 
 
-@query(" SELECT conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS seq, lower(role) AS section, length(text) AS chars FROM conversations", None)
+@query(" SELECT conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, lower(role) AS section, length(text)::INTEGER AS chars FROM conversations", None)
 def r11_turns(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return c.select(F.col("conv_id").alias("source"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).alias("seq"), F.lower("role").alias("section"), F.length("text").alias("chars"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.functions.temporal import parsed
+from slotwise.functions.text import digest, quoted, slot
+
 FENCED = r"(?s)\A[ \t]*\\?---[ \t]*\r?\n(.*?)\r?\n[ \t]*\\?---[ \t]*(?:\r?\n(.*))?\z"
 MOST_BYTES = 8 * 1024 * 1024
 
@@ -53,12 +56,20 @@ def parsed_cards(files: DataFrame) -> DataFrame:
     texts = [get(k).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
     return base.select(
         "path", *texts, F.coalesce(get("confidence").try_cast("double"), F.lit(0.8)).alias("confidence"), F.coalesce(get("importance").try_cast("double"), F.lit(0.6)).alias("importance"),
-        get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
+        parsed(get("recorded_at")).alias("recorded_at"), get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
         *[F.coalesce(inline_list(get(k)), block_list(block, k)).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
         F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"),
         F.when(~F.col("text").rlike(FENCED), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
 
 
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """Usable cards of a folder of card files, with number, slot and digest."""
+    cards = parsed_cards(text_files(spark, path).where("problem is null").select("path", "text")).where("problem is null").drop("problem")
+    num = F.coalesce(F.regexp_extract("id", r"(\d+)", 1).try_cast("long"), F.lit(0))
+    own = cards.withColumns({"num": num, "slot": slot(F.col("subject"), F.col("predicate"))})
+    return own.withColumn("digest", digest(F.col("slot"), F.col("value"), F.col("body")))
+
+
 def sniffed(text: Column, path: Column) -> Column:
     """Format by extension, then by content: log, json, jsonl, yaml, csv, text, in that order."""
     lines = F.filter(F.split(text, "\r?\n", -1), lambda x: F.trim(x) != "")
@@ -97,8 +108,6 @@ def profile(texts: DataFrame) -> DataFrame:
 
 def rendered(cards: DataFrame) -> DataFrame:
     """(path, text): each card as a front-matter file."""
-    from slotwise.functions.text import quoted
-
     keys = [k for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source") if k in cards.columns]
     lines = [F.concat(F.lit(f"{k}: "), quoted(F.col(k).cast("string"))) for k in keys]
     lines += [F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in ("confidence", "importance", "valid_from", "valid_to", "hits") if k in cards.columns]
