@@ -12,7 +12,7 @@ HEADING = r"^#{1,3}\s+"
 STAMP = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)"
 YAML_KEY = r"^(\[[^\]]+\]|[A-Za-z_][\w.-]*\s*:)"
 LONGEST_BLOCK = 4000
-#: The speaker of what stands before the first marked turn.
+# Fixed value: the speaker of what stands before the first marked turn.
 UNMARKED = "(未标注)"
 META = "file-meta"
 BUDGET, MOST_RECORDS = 6000, 40
@@ -140,7 +140,7 @@ STRATEGIES = {
     "lines": by_lines, "jsonl": jsonl_by_recipe, "json_array": json_array, "conversation": turns, "separator": by_separator, "markdown": markdown, "yaml": yaml_blocks,
     "csv": csv_rows, "log": log_lines, "blank_line": by_blank_lines, "whole": whole, "text": by_sentences,
 }
-#: Paths that a recipe without fields takes.
+# The paths that a recipe without fields takes.
 DEFAULT_FIELDS = {"jsonl": {"角色": "role", "内容": "content[].text"}, "json_array": {"角色": "role", "内容": "content"}}
 #: Splitters by the sniffed format; any other text is cut at blank lines and sentences.
 BY_FORMAT = {"markdown": markdown, "log": log_lines, "json": json_walk, "jsonl": json_lines, "yaml": yaml_blocks, "csv": csv_rows, "text": by_sentences}
