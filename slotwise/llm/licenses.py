@@ -1,10 +1,11 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines and sentences that mention licences, and whole texts, are sparse TF-IDF
-vectors; their cosine to the templates of known licences names the licence of a
-header, or makes the text a licence file.  A text without either inherits from
-the nearest directory above it that has a licence file, found by joins of
-directories with their ancestors.
+Lines and sentences that mention licences, windows of joined lines, and whole
+texts are sparse TF-IDF vectors; their cosine to notices and to whole licences
+names the licence of a header, or makes the text a licence file.  An SPDX tag
+names it outright.  A text without either inherits from the nearest directory
+above it that has a licence file, found by joins of directories with their
+ancestors.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import Workspace, read, words_of
+from slotwise.llm.license_texts import BODIES
 
 # Notices by which licences are named, and the opening of their texts.
 TEMPLATES = (
@@ -51,6 +53,28 @@ LEAST = 0.75
 LEAST_FILE = 0.9
 #: A longer stretch without a line end is looked at by sentences only.
 LONGEST_LINE = 80
+#: Marks of comments before a line's own text.
+MARKS = re.compile(r"^(?:\s|[^\w\s]|(?:dnl|rem)\b)+", re.IGNORECASE)
+_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+_EXPRESSION = rf"({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*{_EXPRESSION}", re.IGNORECASE)
+#: A field of a manifest, taken only where it names licences that have templates.
+FIELD = re.compile(rf"""\blicen[cs]e["']?[ \t]*[:=][ \t]*["']?{_EXPRESSION}""", re.IGNORECASE)
+NAMES = {n.lower(): n for n in [*(n for n, _ in TEMPLATES), *BODIES] if n != "proprietary"}
+OPERATORS = ("AND", "OR", "WITH")
+
+
+def declared(text: str) -> str | None:
+    """The first licence, or expression of licences, that a tag or a field names."""
+    for pattern, any_name in ((SPDX, True), (FIELD, False)):
+        for m in pattern.finditer(text):
+            ids = re.sub(r"([()])", r" \1 ", m[1]).split()
+            own = [re.sub(r"(?:-only|-or-later|\+)$", "", x.rstrip(".-"), flags=re.IGNORECASE) for x in ids]
+            own = [x.upper() if x.upper() in OPERATORS else NAMES.get(x.lower(), x) for x in own if x]
+            names = [x for x in own if x not in (*OPERATORS, "(", ")")]
+            if names and (all(x in NAMES.values() for x in names) or any_name and not {x.upper() for x in names} & {"NONE", "NOASSERTION"}):
+                return " ".join(own).replace("( ", "(").replace(" )", ")")
+    return None
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -70,13 +94,17 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, d
     return got.pop("", 0), got
 
 
-class Matcher:
-    def __init__(self, n: int, df: dict[str, int]):
-        self.idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
+class Templates:
+    """Texts of known licences as vectors; words of none of them weigh most."""
+
+    def __init__(self, texts, n: int, df: dict[str, int]):
+        own = [(name, words_of(t)) for name, t in texts]
+        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in {w for _, words in own for w in words}}
         self.other = math.log(1 + n) + 1
-        self.templates = [(name, self.vector(words_of(t))) for name, t in TEMPLATES]
+        self.names, self.sizes = [name for name, _ in own], [len(words) for _, words in own]
+        self.vectors = [self.vector(words) for _, words in own]
         self.by_word: dict[str, list[int]] = {}
-        for i, (_, v) in enumerate(self.templates):
+        for i, v in enumerate(self.vectors):
             for w in v:
                 self.by_word.setdefault(w, []).append(i)
 
@@ -88,29 +116,110 @@ class Matcher:
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """The template of the highest cosine; ties go to the first."""
         v = self.vector(words)
-        dots = [0.0] * len(self.templates)
+        dots = [0.0] * len(self.vectors)
         for w, x in v.items():
             for i in self.by_word.get(w, ()):
-                dots[i] += x * self.templates[i][1][w]
+                dots[i] += x * self.vectors[i][w]
         top = max(range(len(dots)), key=lambda i: (dots[i], -i))
-        return dots[top], self.templates[top][0] if dots[top] > 0 else None
+        return dots[top], self.names[top] if dots[top] > 0 else None
+
+    def live(self, words: list[str], least: float) -> list[int]:
+        """Templates that some part of the text may reach: no cosine is above the length of a
+        template's part on the text's words."""
+        square = [0.0] * len(self.vectors)
+        for w in set(words):
+            for i in self.by_word.get(w, ()):
+                square[i] += self.vectors[i][w] ** 2
+        return [i for i, x in enumerate(square) if x >= least * least - 1e-9]
+
+    def windows(self, lines: list[list[str]], mentions: list[bool], live: list[int]):
+        """(cosine, licence) of the best of the live templates for each window of joined lines that has a mention."""
+        most = 2 * max(self.sizes[i] for i in live)
+        near, ahead = [False] * len(lines), most + 1  # a mention is in reach
+        for s in range(len(lines) - 1, -1, -1):
+            ahead = 0 if mentions[s] else ahead + len(lines[s])
+            near[s] = ahead <= most
+        for s in range(len(lines)):
+            if not near[s] or not lines[s]:
+                continue
+            words: list[str] = []
+            seen, square, counts, dots = False, 0.0, Counter(), dict.fromkeys(live, 0.0)
+            for e in range(s, len(lines)):
+                if len(words) + len(lines[e]) > most:
+                    break
+                words += lines[e]
+                seen |= mentions[e]
+                for w in lines[e]:
+                    x = self.idf.get(w, self.other)
+                    square += x * x * (2 * counts[w] + 1)
+                    counts[w] += 1
+                    for i in self.by_word.get(w, ()):
+                        if i in dots:
+                            dots[i] += x * self.vectors[i][w]
+                if seen and lines[e]:
+                    top = max(live, key=lambda i: (dots[i], -i))
+                    yield dots[top] / math.sqrt(square), self.names[top]
+
+    def sliding(self, lines: list[list[str]], i: int) -> float:
+        """The highest cosine of a template to windows of about its own size."""
+        t, best = self.vectors[i], 0.0
+        dot, square, held, s, counts = 0.0, 0.0, 0, 0, Counter()
+        for line in lines:
+            for w in line:
+                x = self.idf.get(w, self.other)
+                square += x * x * (2 * counts[w] + 1)
+                counts[w] += 1
+                dot += x * t.get(w, 0.0)
+            held += len(line)
+            while held - len(lines[s]) >= self.sizes[i]:
+                for w in lines[s]:
+                    x = self.idf.get(w, self.other)
+                    counts[w] -= 1
+                    square -= x * x * (2 * counts[w] + 1)
+                    dot -= x * t.get(w, 0.0)
+                held -= len(lines[s])
+                s += 1
+            if 2 * held >= self.sizes[i]:
+                best = max(best, dot / math.sqrt(square))
+        return best
+
+
+class Matcher:
+    def __init__(self, n: int, df: dict[str, int]):
+        self.notices, self.bodies = Templates(TEMPLATES, n, df), Templates(BODIES.items(), n, df)
 
     def scan(self, text: str | None) -> tuple[str, float, str | None]:
         """('file', 'header' or 'none', cosine, licence) of one text."""
-        found: tuple[float, str | None] = (0.0, None)
         if not text or not MENTION.search(text):
             return "none", 0.0, None
-        for line in text.split("\n"):
-            if not MENTION.search(line):
-                continue
-            parts = [p for p in SENTENCE.split(line) if MENTION.search(p)]
-            words = words_of(line)
-            for own in ([words] if len(words) <= LONGEST_LINE else []) + [words_of(p) for p in parts]:
-                if own:
-                    found = max(found, self.best(own), key=lambda x: x[0])
-        whole = self.best(words_of(text))
+        every = words_of(text)
+        whole = max(self.notices.best(every), self.bodies.best(every), key=lambda x: x[0])
         if whole[0] >= LEAST_FILE:
             return "file", whole[0], whole[1]
+        named = declared(text)
+        if named:
+            return "header", 1.0, named
+        raw = [MARKS.sub("", line) for line in text.split("\n")]
+        lines = [words_of(line) for line in raw]
+        # a whole licence says more than a notice in it
+        found = max(((self.bodies.sliding(lines, i), self.bodies.names[i]) for i in self.bodies.live(every, LEAST_FILE)), key=lambda x: x[0], default=(0.0, None))
+        if found[0] >= LEAST_FILE:
+            return "header", *found
+        mentions = [bool(MENTION.search(line)) for line in raw]
+        scored: list[tuple[float, str | None]] = [(0.0, None)]
+        for line, words, has in zip(raw, lines, mentions, strict=True):
+            if has:
+                parts = [words_of(p) for p in SENTENCE.split(line) if MENTION.search(p)]
+                scored += [self.notices.best(own) for own in ([words] if len(words) <= LONGEST_LINE else []) + parts if own]
+        live = self.notices.live(every, LEAST)
+        if live:
+            # sentences that go on over lines, then windows
+            for paragraph in "\n".join(raw).split("\n\n"):
+                if "\n" in paragraph and MENTION.search(paragraph):
+                    scored += [self.notices.best(words_of(p)) for p in SENTENCE.split(paragraph) if "\n" in p and MENTION.search(p)]
+            scored += self.notices.windows(lines, mentions, live)
+        # reserved rights stand beside licences
+        found = max(scored, key=lambda x: (x[0] >= LEAST and x[1] != "proprietary", x[0]))
         return ("header", *found) if found[0] >= LEAST else ("none", found[0], None)
 
 
@@ -129,7 +238,7 @@ def license_scan(files: DataFrame) -> DataFrame:
     but may inherit; a null path inherits nothing; repeated rows stay.
     """
     files = files.select("id", "path", "text")
-    n, df = document_frequencies(files, sorted({w for _, t in TEMPLATES for w in words_of(t)}))
+    n, df = document_frequencies(files, sorted({w for _, t in (*TEMPLATES, *BODIES.items()) for w in words_of(t)}))
 
     def run(batches):
         m = Matcher(n, df)

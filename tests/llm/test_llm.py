@@ -265,6 +265,31 @@ def test_licences(spark):
     assert got == {(1, "MIT", "file", None), (2, "Apache-2.0", "header", None), (3, "MIT", "inherited", "p"), (4, None, "none", None), (5, None, "none", None), (5, "MIT", "inherited", "p")}
 
 
+def test_whole_and_wrapped_licences(spark):
+    from slotwise.llm.license_texts import BODIES
+
+    code = "".join(f"value_{i} = compute_{i}(other_{i})\n" for i in range(60))
+    owner = "Copyright (c) 2024 Jane Doe and others\n\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n"
+    apache = 'Copyright 2020 Jane Doe. All rights reserved.\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n'
+
+    def marked(mark, t):
+        return "".join(f"{mark} {line}\n" for line in t.split("\n")) + code
+
+    rows = [(owner + t, n, "file") for n, t in BODIES.items()]
+    rows += [(" ".join(BODIES["MIT"].split()), "MIT", "file"), (marked("#", gpl), "GPL-3.0", "header"), (marked(" *", gpl), "GPL-3.0", "header"), (marked("dnl", gpl), "GPL-3.0", "header"), (marked("//", apache), "Apache-2.0", "header")]
+    rows += [(marked("#", owner + BODIES[n]), n, "header") for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")]
+    rows += [(marked("#", "It reads tables of many kinds and writes them. Licensed under\nthe MIT\nLicense. See elsewhere for what else it does with its own tables."), "MIT", "header")]
+    tags = [("// SPDX-License-Identifier: MIT\n", "MIT"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */\n", "GPL-3.0"), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "(MIT OR Apache-2.0)"), ("<!--SPDX-License-Identifier: Zlib-->\n", "Zlib"), ('"license": "mpl-2.0",\n', "MPL-2.0")]
+    rows += [(t + code, n, "header") for t, n in tags]
+    rows += [(t + code, None, "none") for t in ("license: see file\n", "SPDX-License-Identifier: NONE\n", "the rights of\nall who read\n")]
+    plain = [(1000 + i, None, f"{code} some more words {i}") for i in range(60)]
+    files = spark.createDataFrame([(i, None, t) for i, (t, _, _) in enumerate(rows)] + plain, "id long, path string, text string")
+    got = {r["id"]: (r["license"], r["basis"]) for r in licenses.license_scan(files).collect()}
+    assert [got[i] for i in range(len(rows))] == [(n, b) for _, n, b in rows]
+    assert all(got[i] == (None, "none") for i, _, _ in plain)
+
+
 # --- embeddings ------------------------------------------------------------------------------
 
 def test_embeddings_like_brute_force(spark, sf):
