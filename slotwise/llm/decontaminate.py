@@ -9,6 +9,10 @@ windows' and the items' multisets of runs.
 
 A window without any run of any item has similarity 0 to all; those are passed
 over before hashing, which loses nothing.
+
+A text with fewer runs than an item is one window and is compared exactly with
+the items that share runs with it.  An item of fewer than five words is one run
+of its own length, looked up among the text's runs of that length.
 """
 
 from __future__ import annotations
@@ -78,6 +82,7 @@ class Tables:
         self.size, self.ids = size, np.array([i for i, _ in items], np.int64)
         self.runs = [np.unique(h, return_counts=True) for _, h in items]
         self.prints = np.array([window_prints(bit_sums(h), size, np.zeros(1, np.int64))[0] for _, h in items], np.uint64)
+        self.owners: tuple[np.ndarray, np.ndarray] | None = None
         self.tables = []
         for k, own in enumerate(block_values(self.prints)):
             width = BITS * (k + 1) // BLOCKS - BITS * k // BLOCKS
@@ -86,6 +91,24 @@ class Tables:
                 table[own ^ mask, np.arange(len(items))] = True
             self.tables.append(table)
 
+    def sharing(self, x: np.ndarray) -> list[int]:
+        """The items with any of the given runs."""
+        if self.owners is None:
+            every = np.concatenate([a for a, _ in self.runs])
+            owner = np.repeat(np.arange(len(self.runs)), [len(a) for a, _ in self.runs])
+            order = np.argsort(every, kind="stable")
+            self.owners = every[order], owner[order]
+        every, owner = self.owners
+        low, high = (np.searchsorted(every, x, side) for side in ("left", "right"))
+        return sorted({int(i) for a, b in zip(low, high, strict=True) for i in owner[a:b]})
+
+    def similarity(self, x: np.ndarray, k: int) -> float:
+        """Weighted Jaccard similarity of a window's runs and those of an item."""
+        a, n = self.runs[k]
+        b, m = np.unique(x[member(x, a)], return_counts=True)
+        both = int(np.minimum(n[np.searchsorted(a, b)], m).sum())
+        return both / (len(x) + self.size - both)
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within RADIUS bits of each other."""
         found = np.zeros((len(prints), len(self.ids)), bool)
@@ -99,9 +122,12 @@ class Tables:
 class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}
         for (item, _), h in zip(items, hashed_texts([t for _, t in items]), strict=True):
             runs = shingle_hashes(h, WORDS)
-            if len(runs):
+            if 0 < len(h) < WORDS:
+                self.short.setdefault(len(h), {}).setdefault(int(runs[0]), []).append(item)
+            elif len(runs):
                 by.setdefault(len(runs), []).append((item, runs))
         self.tables = [Tables(n, own) for n, own in sorted(by.items())]
         self.runs = np.unique(np.concatenate([h for own in by.values() for _, h in own])) if by else np.zeros(0, np.uint64)
@@ -114,6 +140,11 @@ class Index:
         maybe = np.flatnonzero(self.seen[(h & _U((1 << FILTER_BITS) - 1)).astype(np.int64)])
         hits = maybe[member(h[maybe], self.runs)]
         out: dict[int, float] = {}
+        for n, own in self.short.items():
+            if len(words) >= n:
+                x = shingle_hashes(words, n)
+                keys = np.array(sorted(own), np.uint64)
+                out |= {item: 1.0 for k in set(x[member(x, keys)].tolist()) for item in own[k]}
         if not len(hits):
             return out
         longest = self.tables[-1].size
@@ -130,8 +161,12 @@ class Index:
         upto = np.r_[0, np.cumsum(hit)]
         sums = bit_sums(h)
         for t in self.tables:
-            if len(h) < t.size:
-                break
+            if len(h) < t.size:  # the stretch is the whole text
+                most = len(hits)
+                if most >= least * (len(h) + t.size - most):
+                    for k in t.sharing(np.unique(h[hits])):
+                        self._keep(t, k, t.similarity(h, k), least, out)
+                continue
             starts = np.flatnonzero(upto[t.size :] > upto[: len(h) - t.size + 1])
             for at in range(0, len(starts), 16384):
                 own = starts[at : at + 16384]
@@ -141,15 +176,13 @@ class Index:
                 may = most >= least * (2 * t.size - most)
                 w, i = w[may], i[may]
                 for s, k in zip(own[w].tolist(), i.tolist(), strict=True):
-                    a, n = t.runs[k]
-                    x = h[s : s + t.size]
-                    x = x[member(x, a)]
-                    b, m = np.unique(x, return_counts=True)
-                    both = int(np.minimum(n[np.searchsorted(a, b)], m).sum())
-                    sim = both / (2 * t.size - both)
-                    item = int(t.ids[k])
-                    if sim >= least and sim > out.get(item, 0.0):
-                        out[item] = sim
+                    self._keep(t, k, t.similarity(h[s : s + t.size], k), least, out)
+
+    @staticmethod
+    def _keep(t: Tables, k: int, sim: float, least: float, out: dict[int, float]) -> None:
+        item = int(t.ids[k])
+        if sim >= least and sim > out.get(item, 0.0):
+            out[item] = sim
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str | None]], least: float) -> DataFrame:

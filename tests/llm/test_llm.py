@@ -348,6 +348,33 @@ def test_contamination_of_edge_cases(spark, edge, monkeypatch):
     assert {r["doc_id"] for r in decontaminate.contamination(edge, bench).where("contaminated").collect()} == {1}
 
 
+def test_texts_shorter_than_items(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(90)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([44, 44, 30, 12, 9, 300])] + [(6, "tiny item here"), (7, "word")]
+    texts = [" ".join(t.split()[:-cut or None]) for _, t in items[:6] for cut in (0, 1, 2, 3, 5, 8, 12)] + [" ".join(t.split()[2:]) for _, t in items[:6]]
+    texts += [items[0][1] + " and more", "one tiny item here and there", "tiny item", "tiny item here", "a word", "wor", "here tiny item"]
+
+    def runs(t, n):
+        w = t.split()
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    def similarity(text, item):
+        w, x = text.split(), item.split()
+        n = min(5, len(x))
+        best, own = 0.0, runs(item, n)
+        for at in range(max(1, len(w) - len(x) + 1)):  # a shorter text is the one window
+            h = runs(" ".join(w[at : at + len(x)]), n)
+            both = sum((h & own).values())
+            best = max(best, both / (sum(h.values()) + sum(own.values()) - both))
+        return best
+
+    want = [{i for i, item in items if similarity(t, item) >= 0.8} for t in texts]
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [{x["item_id"] for x in r["items"]} for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    assert want[1] == want[2] == {0} and want[6] == set()
+
+
 def test_near_fingerprints_are_never_missed():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 2**63, 40, dtype=np.uint64)
