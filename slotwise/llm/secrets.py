@@ -3,7 +3,7 @@
 Values in a credential context ("pwd: ...") get a guess cost: the cheapest
 segmentation into common words, dates, repeats, keyboard walks and brute-force
 spans, by dynamic programming.  A value that costs enough is a secret even
-where no fixed pattern knows it.
+where no fixed pattern knows it, or knows a part of it only.
 """
 
 from __future__ import annotations
@@ -124,7 +124,10 @@ def spans_of(text: str | None, least_bits: float = LEAST_BITS) -> tuple[list[tup
     if ":" in text or "=" in text:
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(s < b and a < e for s, _, e in base) and guess_bits(m[1]) >= least_bits:
+            met = [(s, e) for s, _, e in base if s < b and a < e]
+            # beside base spans only what is not just a closing bracket after them
+            end = a + len(m[1].rstrip(")]}")) if met else b
+            if not any(s <= a and end <= e for s, e in met) and guess_bits(m[1]) >= least_bits:
                 more.append((a, 3, b))
     return base, sorted(base + more)
 

@@ -256,6 +256,15 @@ def test_guess_costs():
     assert secrets.spans_of("secret=token = abcdefgh")[0] == []
 
 
+def test_values_that_go_on_after_a_base_span():
+    text = "password: Summer2024!xK#9vQ and more"
+    base, every = secrets.spans_of(text)
+    assert base == [(0, 0, 20)] and every == [*base, (10, 3, 27)] and text[10:27] == "Summer2024!xK#9vQ"
+    for t in ("f(password=k3Jx9Qm2Vb7Zt)", "api_key: k3Jx9Qm2Vb7Zt", "token: password!", "token=aaaaaa!"):
+        assert [k for _, k, _ in secrets.spans_of(t)[1]] == [0]
+    assert secrets.spans_of("pwd: #" + "0123456789abcdef" * 2)[1][0][1:] == (3, 38)
+
+
 # --- licences --------------------------------------------------------------------------------
 
 def test_licences(spark):
