@@ -24,6 +24,11 @@ END_ID = 2
 ORACLE_SQL = None
 
 
+def own_id():
+    """doc_id; a hash of the text for rows without one."""
+    return F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
+
+
 def keep_good(spark, docs, sf_dir):
     """Documents that the quality classifier doesn't reject."""
     docs = docs.select(*COLUMNS)
@@ -31,17 +36,20 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """One document of each group of near-duplicates, the one of the smallest doc_id; of repeated rows one."""
+    """One document of each group of near-duplicates, the one of the smallest doc_id; of repeated rows one.
+
+    Rows without a doc_id stay, of repeated ones one; of rows that share a doc_id one stays.
+    """
     docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("_key", own_id()).dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Documents without any benchmark item."""
-    docs = docs.select(*COLUMNS)
-    found = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
+    """Documents without any benchmark item, row by row: ids may be null or shared."""
+    docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(own_id(), "text"))
+    found = contamination(docs.select(F.col("_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.col("_key") == F.col("_id"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark, docs, sf_dir):
@@ -51,14 +59,14 @@ def mix_sources(spark, docs, sf_dir):
     """
     docs = docs.select(*COLUMNS)
     ws = Workspace(spark, "mix")
-    at, taken = mixed(docs, ws)
+    at, taken = mixed(docs.withColumn("doc_id", own_id()), ws)
     # neighbouring blocks of a document that one epoch takes are one run
     w = W.partitionBy("_part", "sid", "_n", "epoch").orderBy("from")
     runs = taken.withColumn("_new", (F.coalesce(F.lag("to").over(w), F.lit(-1)) != F.col("from")).cast("int")).withColumn("_run", F.sum("_new").over(w))
     runs = runs.groupBy("_part", "sid", "_n", "epoch", "_run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     own = runs.join(at.select("_part", "sid", "_n", "doc_id"), ["_part", "sid", "_n"]).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("epoch", "from", "to"))).alias("_runs"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    parts = docs.join(own, F.col("doc_id") == F.col("_id")).withColumn("_words", words)
+    parts = docs.join(own, own_id() == F.col("_id")).withColumn("_words", words)
     texts = F.transform("_runs", lambda r: F.array_join(F.slice(F.col("_words"), r["from"].cast("int") + 1, (r["to"] - r["from"]).cast("int")), ""))
     return parts.select("doc_id", F.explode(texts).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

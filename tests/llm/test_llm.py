@@ -465,3 +465,22 @@ def test_pipeline_stage_by_stage(spark, sf, docs, tmp_path):
     assert got == taken
     assert frames[4].count() == frames[3].count()
     assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, frames[4].collect()))
+
+
+def test_pipeline_rows_without_an_id(spark, sf, docs):
+    cp = pytest.importorskip("corpus_pipeline")
+    item = read(spark, sf, "benchmark").where("length(text) > 100").first()["text"]
+    texts = [f"text number {k} without an id has words of its own {k * 7} and {k * 11}" for k in range(3)]
+    rows = [(None, t, "en", "a", len(t)) for t in [*texts, texts[0], item]] + [(5, texts[1] + " five", "en", "a", 9), (5, item, "en", "a", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def left(stage, frame):
+        return sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, frame, sf).collect())
+
+    assert left(cp.keep_one_of_each, df.where("doc_id is null")) == sorted((0, t) for t in [*texts, item])
+    assert left(cp.drop_contaminated, df) == sorted([(0, t) for t in [*texts, texts[0]]] + [(5, texts[1] + " five")])
+    one = df.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    taken = sum(r["taken"] for r in mixing.mixing(one).collect())
+    got = cp.mix_sources(spark, one, sf).collect()
+    assert taken == sum(len(r["text"].split()) for r in got) > 0 and all(r["doc_id"] is None for r in got)
+    assert all(any(r["text"].strip() in t for t in [*texts, item]) for r in got)
