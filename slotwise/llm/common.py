@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/slotwise"
-
 WORD = re.compile(r"\w+")
 #: Odd multiplier of the polynomial hashes; any fixed odd 64-bit value does.
 BASE = 0x9E3779B97F4A7C15
@@ -19,35 +19,69 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
 
 
 class Workspace:
-    """Written tables in the shared folder; they cut lineage and survive lost executors."""
+    """Written tables in the shared folder; they cut lineage and survive lost executors.
+
+    What a returned DataFrame still reads stays until close(), which its caller
+    may call once the rows are written elsewhere.  A workspace given another
+    as `within` is closed with it.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, within: Workspace | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{within.root if within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Remove all tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lean() -> None:
+    """Have this process give large freed blocks back to the system at once; for the start of a task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: memory stays with the process longer
+        pass
+
+
+def slices(batches, column: int | str = 1, size: int = 1 << 20, rows: int = 2048):
+    """(slice of an Arrow batch, its texts) of about `size` bytes of text, so that few texts are Python objects at a time."""
+    lean()
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(max(end, at + 1), at + rows, b.num_rows)
+            part = b.slice(at, end - at)
+            yield part, part.column(column).to_pylist()
+            at = end
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -140,10 +174,31 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(first, starts)
 
 
-def hashed_texts(texts: list[str | None], size: int = 1_000_000):
-    """hashed_words of each text, worked out for about `size` characters at a time."""
+#: Characters of text that are hashed at a time.
+STRETCH = 1 << 18
+_BREAK = re.compile(r"[\t\n\r \u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
+
+
+def parted(text: str, size: int = STRETCH) -> list[str]:
+    """A long text in parts of about `size` characters, cut where no word goes on."""
+    out, at = [], 0
+    while len(text) - at > 2 * size:
+        m = _BREAK.search(text, at + size)
+        if m is None:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def hashed_texts(texts: list[str | None], size: int = STRETCH):
+    """hashed_words of each text, worked out for about `size` characters at a time; long texts in parts."""
     at = 0
     while at < len(texts):
+        if len(texts[at] or "") > 2 * size:
+            yield np.concatenate([hashed_words([part])[0] for part in parted(texts[at], size)])
+            at += 1
+            continue
         end, held = at, 0
         while end < len(texts) and (end == at or held + len(texts[end] or "") <= size):
             held += len(texts[end] or "")
@@ -179,22 +234,43 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+#: Rows from which a key counts as hot, and tasks over which the rows of a hot key are dealt.
+HOT_ROWS, SALTS = 2000, 16
+
+
+def to_hot(rows: DataFrame, facts: DataFrame, key: str, spread) -> DataFrame:
+    """rows joined with facts (key, n, ...), a row for each key with its number n of rows; hot keys' rows are dealt by `spread`.
+
+    A salt is part of the join key.  Facts of a hot key stand under every salt,
+    and other rows' facts under salt 0; so the rows of a key that is hot have to
+    be told apart first, by a left join with the hot keys, of which there are
+    at most rows / HOT_ROWS.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    hot = facts.where(F.col("n") >= HOT_ROWS).select(F.col(key).alias("_hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_hot_salt"))
+    told = rows.withColumn("_salt", salt).join(hot, (F.col(key) == F.col("_hot")) & (F.col("_salt") == F.col("_hot_salt")), "left")
+    told = told.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.col("_salt")).otherwise(0)).drop("_hot", "_hot_salt")
+    every = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= HOT_ROWS, SALTS - 1).otherwise(0))))
+    return told.join(every.withColumnRenamed(key, "_key").withColumnRenamed("_salt", "_key_salt"), (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))).drop("_key", "_salt", "_key_salt")
+
+
 def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(id, comp) of every id in edges (a, b); comp is the smallest id that links reach.
 
     Alternating large-star and small-star steps: every node's neighbours move
     to the smallest of them.  A step is an aggregation of minima and a join,
-    so that no node's neighbours are gathered; each round is written out.
+    so that no node's neighbours are gathered; each round is written out.  The
+    rows of a node with many neighbours are dealt over SALTS tasks in the join.
     """
     step = ws.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     before, n = None, 0
     while True:
         both = step.union(step.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
-        small = large.join(low, F.col("u") == F.col("_u"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("_u", "m")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = to_hot(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = to_hot(large, low, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(low.select("u", "m")).where("u <> v").distinct()
         n += 1
         step = ws.put(small, f"{name}-{n}")
         ws.drop(f"{name}-{n - 1}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, connected_components, hashed_texts, mix, read, shingle_hashes, signed
+from slotwise.llm.common import BASE, Workspace, connected_components, hashed_texts, mix, read, shingle_hashes, signed, slices, to_hot
 
 WORDS = 5
 LEAST = 0.8
@@ -31,8 +31,8 @@ BLOCK = 256
 #: Rows that one group of blocks has, about.
 GROUP_ROWS = 4000
 #: Agreeing coordinates, in standard deviations below what the least similarity gives, from
-#: which two members of a block are held against each other.
-DEVIATIONS = 4.5
+#: which two members of a block are held against each other; what is missed is under 1e-11.
+DEVIATIONS = 7.0
 _U = np.uint64
 
 
@@ -117,49 +117,56 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def content_of(words: np.ndarray) -> bytes | None:
+    """128 bits of a text's words; None without any."""
+    if not len(words):
+        return None
+    with np.errstate(over="ignore"):
+        x = mix(words + _U(BASE) * np.arange(1, len(words) + 1, dtype=np.uint64))
+        y = mix(x ^ _U(0xD6E8FEB86659FD93))
+        return signed(np.array([x.sum(dtype=np.uint64), y.sum(dtype=np.uint64)])).tobytes()
+
+
+def id_kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, n, bands): a hash of the words, their number, the join keys (null without words)."""
+    """(doc_id, content, bands): a hash of the words, the join keys (null without words)."""
 
     def run(batches):
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                words = list(hashed_texts(texts[i : i + 512]))
-                content = []
-                for h in words:
-                    with np.errstate(over="ignore"):
-                        x = mix(h + _U(BASE) * np.arange(1, len(h) + 1, dtype=np.uint64))
-                        y = mix(x ^ _U(0xD6E8FEB86659FD93))
-                        content.append(signed(np.array([x.sum(dtype=np.uint64), y.sum(dtype=np.uint64)])).tobytes() if len(h) else None)
-                keys = signed(band_keys(signatures([shingle_hashes(h, WORDS) for h in words])))
-                yield pa.RecordBatch.from_arrays(
-                    [ids[i : i + 512], pa.array(content, pa.binary()), pa.array([len(h) for h in words], pa.int32()),
-                     pa.array([k.tolist() if len(h) else None for k, h in zip(keys, words, strict=True)], pa.list_(pa.int64()))],
-                    ["doc_id", "content", "n", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, n int, bands array<long>")
+        for b, texts in slices(batches):
+            words = list(hashed_texts(texts))
+            keys = signed(band_keys(signatures([shingle_hashes(h, WORDS) for h in words])))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([content_of(h) for h in words], pa.binary()),
+                 pa.array([k.tolist() if len(h) else None for k, h in zip(keys, words, strict=True)], pa.list_(pa.int64()))],
+                ["doc_id", "content", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind(docs)}, content binary, bands array<long>")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(rep, sig, units) of (rep, text): the low 16 bits of each coordinate, and the units."""
+    """(content, sig, units) of (doc_id, text): the low 16 bits of each coordinate, and the units."""
 
     def run(batches):
-        for b in batches:
-            reps, texts = b.column(0), b.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                own = [shingle_hashes(h, WORDS) for h in hashed_texts(texts[i : i + 512])]
-                low = (signatures(own) & _U(0xFFFF)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([reps[i : i + 512], pa.array([x.tobytes() for x in low], pa.binary()), pa.array([units_of(e).tobytes() for e in own], pa.binary())], ["rep", "sig", "units"])
+        for _, texts in slices(batches):
+            words = [h for h in hashed_texts(texts) if len(h)]
+            own = [shingle_hashes(h, WORDS) for h in words]
+            low = (signatures(own) & _U(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([content_of(h) for h in words], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([units_of(e).tobytes() for e in own], pa.binary())],
+                ["content", "sig", "units"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, sig binary, units binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "content binary, sig binary, units binary")
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b) that are similar enough."""
 
     def run(batches):
-        for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        for batch, left in slices(batches, "_ua", 1 << 22):
+            both = zip(left, batch.column("_ub").to_pylist(), strict=True)
             keep = pa.array([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in both], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -177,11 +184,13 @@ def linked_in_blocks(members: DataFrame, sketch: DataFrame, least: float) -> Dat
     returns fewer links than it has members.
     """
     least_same = least - DEVIATIONS * math.sqrt(least * (1 - least) / (BANDS * ROWS))
-    counts = members.groupBy("key").agg(F.count("*").alias("_n")).withColumnRenamed("key", "_key")
-    own = members.join(counts, F.col("key") == F.col("_key")).withColumn("_k", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    counts = members.groupBy("key").agg(F.count("*").alias("n"))
+    own = to_hot(members, counts, "key", F.col("rep")).withColumn("_k", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = own.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     own = own.select("key", "band", F.least("x", "_y").alias("p"), F.greatest("x", "_y").alias("q"), "x", "rep", "comp")
-    groups = max(1, members.count() // GROUP_ROWS)
+    # rows as they are once every block stands beside every other of its bucket
+    total = counts.agg(F.sum(F.col("n").cast("double") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    groups = max(1, int(total // GROUP_ROWS))
     own = own.join(sketch, "rep").select(F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)).alias("g"), "key", "band", "p", "q", "x", "rep", "comp", "sig", "units")
 
     def run(table: pa.Table) -> pa.Table:
@@ -220,35 +229,40 @@ def linked_in_blocks(members: DataFrame, sketch: DataFrame, least: float) -> Dat
     return own.groupBy("g").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LEAST, within: Workspace | None = None) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its group), kept (doc_id = class_id).
 
     Groups are the connected components of links between documents whose
     weighted Jaccard similarity over runs of five words is at least `least`;
     documents with equal words are one from the start.  A text of fewer words
     is one run; documents without words, null texts included, are groups of
-    their own.  Repeated rows get the same class; rows without a doc_id have
-    the class of their copies, null if there are none.  An empty table gives
-    no rows; columns other than doc_id and text are not read.
+    their own.  Repeated rows get the same class; different texts that share a
+    doc_id are compared as such; rows without a doc_id have the class of their
+    group, null if no one in it has an id (all such rows are kept).  An empty
+    table gives no rows; columns other than doc_id and text are not read;
+    doc_id may be of any type that has an order.
     """
-    ws = Workspace(docs.sparkSession, "minhash")
+    ws = Workspace(docs.sparkSession, "minhash", within)
     own = ws.put(profiles(docs), "profiles")
-    reps = own.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"))
-    reps = ws.put(reps, "reps")
-    bands = own.join(reps, (own["doc_id"] == reps["rep"]) & (own["content"] == reps["content"])).select("rep", "bands").dropDuplicates(["rep"])
-    members = ws.put(bands.select("rep", F.posexplode("bands").alias("band", "key")), "members")
+    reps = own.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
+    reps = ws.put(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    members = ws.put(reps.select("rep", F.posexplode("bands").alias("band", "key")), "members")
     shared = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
-    members = ws.put(members.join(shared, F.col("key") == F.col("_key")).select("key", "band", "rep"), "shared")
+    members = ws.put(members.join(shared, F.col("key") == F.col("_key"), "left_semi").select("key", "band", "rep"), "shared")
     ws.drop("members")
-    need = ws.put(members.select("rep").distinct(), "need")
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep")).select("rep", "text")
-    sketch = ws.put(sketches(texts).dropDuplicates(["rep"]), "sketches")
+    need = ws.put(members.select("rep").distinct().join(reps.select("rep", "content", "least_id"), "rep"), "need")
+    # the texts are found by id, then by their own words; without an id all are looked at
+    ids = need.where("least_id is not null").select(F.col("least_id").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    if not need.where("least_id is null").isEmpty():
+        texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    sketch = sketches(texts).join(need.select(F.col("content").alias("_content"), "rep"), F.col("content") == F.col("_content")).select("rep", "sig", "units")
+    sketch = ws.put(sketch.dropDuplicates(["rep"]), "sketches")
     links, comps = None, need.select(F.col("rep").alias("id"), F.col("rep").alias("comp"))
     for r in range(STAR_ROUNDS + 1):
         here = members.join(comps, F.col("rep") == F.col("id")).select("key", "band", "rep", "comp")
-        apart = here.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), F.col("rep").alias("center"), F.col("comp").alias("other"))).alias("m")).where("_c < _d")
-        apart = apart.select(F.col("key").alias("_key"), "m.center", "m.other")
-        here = here.join(apart, F.col("key") == F.col("_key"))
+        apart = here.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), F.col("rep").alias("center"), F.col("comp").alias("other"))).alias("m")).where("_c < _d")
+        here = to_hot(here, apart.select("key", "n", "m.center", "m.other"), "key", F.col("rep"))
         if r < STAR_ROUNDS:
             pairs = here.where("comp <> other").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
             found = verified(pairs.distinct(), sketch, least)
@@ -257,11 +271,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found = ws.put(found, f"links-{r}")
         links = found if links is None else links.union(found)
         ids = ws.put(connected_components(ws, links, f"comps-{r}"), f"comps-{r}-all")
-        comps = need.join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp"))
-    ws.drop("sketches", "shared", "rest")
-    classes = reps.join(ids, F.col("rep") == F.col("id"), "left").select(F.col("content").alias("_content"), F.coalesce("comp", "rep").alias("_class"))
+        comps = need.select("rep").join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp"))
+    ws.drop("sketches", "shared", "rest", "need")
+    grouped = reps.select("content", "rep", "least_id").join(ids, F.col("rep") == F.col("id"), "left").select("content", "least_id", F.coalesce("comp", "rep").alias("comp"))
+    classes = grouped.groupBy("comp").agg(F.min("least_id").alias("_class"))
+    classes = ws.put(grouped.join(classes, "comp").select(F.col("content").alias("_content"), "_class"), "classes")
     out = own.join(classes, F.col("content") == F.col("_content"), "left").select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))
 
 
 def op2_minhash(spark, sf_dir):
