@@ -2,10 +2,11 @@
 
 For every size that benchmark items have, the windows of that many runs of five
 words in a document get a SimHash.  Fingerprints are cut into blocks; two that
-differ in no more than RADIUS bits differ in at most RADIUS // BLOCKS bits of
-some block, so looking up every block with its near values misses none of them.
-Candidates are then compared exactly: weighted Jaccard similarity of the
-windows' and the items' multisets of runs.
+differ in no more than RADIUS bits differ in at most FLIPS bits of some block.
+A table for each block has the items under all values that near theirs, sorted
+by value, so looking up every block of a window misses no item in the radius.
+What is in the radius is then compared exactly: weighted Jaccard similarity of
+the windows' and the items' multisets of runs.
 
 A window without any run of any item has similarity 0 to all; those are passed
 over before hashing, which loses nothing.
@@ -22,28 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import hashed_texts, read, shingle_hashes
+from slotwise.llm.common import BASE, Workspace, free_name, hashed_texts, mix, read, shingle_hashes, slices
 
 WORDS = 5
 LEAST = 0.8
-BITS = 64
-RADIUS = 23
-BLOCKS = 12
-#: Items that one pass over the documents may hold; more of them take more passes.
-MOST_ITEMS = 20_000
-MOST_CHARS = 32_000_000
+BITS = 256
+BLOCKS = 16
+WIDTH = BITS // BLOCKS
+#: Two multisets of similarity 0.8 have an angle that sets 15.2 % of the bits apart: 39 of 256,
+#: 5.7 a standard deviation.  Flips in a block that tables allow for, and the largest radius for
+#: which one block at least has no more of them.
+FLIPS = 3
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Items that one pass over the documents may hold, about 45 kB of tables each; more of them take more passes.
+MOST_ITEMS = 4_000
+MOST_CHARS = 8_000_000
 FILTER_BITS = 22
-STRETCH = 1 << 16
+STRETCH = 1 << 13
+#: Windows, and pairs of a window and an item, that are looked at together.
+WINDOWS, PAIRS = 4096, 1 << 20
 _U = np.uint64
 
 
 def bits_of(h: np.ndarray) -> np.ndarray:
-    """The 64 bits of each hash as a row of -1 and 1."""
-    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
-
-
-def packed(positive: np.ndarray) -> np.ndarray:
-    return np.packbits(positive, axis=1).view(np.uint64).ravel()
+    """The BITS bits of each hash as a row of -1 and 1."""
+    with np.errstate(over="ignore"):
+        words = np.stack([mix(h + _U(BASE) * _U(k)) for k in range(BITS // 64)], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
@@ -54,14 +60,13 @@ def bit_sums(h: np.ndarray) -> np.ndarray:
 
 
 def window_prints(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    """SimHash of the windows of that size that begin at the given places."""
-    return packed(sums[starts + size] > sums[starts])
+    """SimHash of the windows of that size that begin at the given places, a row of 64-bit words each."""
+    return np.packbits(sums[starts + size] > sums[starts], axis=1).view(np.uint64)
 
 
-def block_values(prints: np.ndarray) -> list[np.ndarray]:
-    """The blocks of fingerprints as small numbers."""
-    edges = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
-    return [((prints >> _U(a)) & _U((1 << (b - a)) - 1)).astype(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """The blocks of fingerprints as small numbers, a column each."""
+    return np.ascontiguousarray(prints).view(np.uint16)
 
 
 def near_values(width: int, flips: int) -> np.ndarray:
@@ -70,26 +75,27 @@ def near_values(width: int, flips: int) -> np.ndarray:
     return x[np.bitwise_count(x) <= flips]
 
 
+NEAR = near_values(WIDTH, FLIPS).astype(np.uint16)
+
+
 def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which of x are in the sorted array."""
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
 
 
 class Tables:
-    """Items of one size: fingerprints, runs, and for each block the items near each value."""
+    """Items of one size: fingerprints, runs, and for each block the items near each value, sorted by value."""
 
     def __init__(self, size: int, items: list[tuple[int, np.ndarray]]):
         self.size, self.ids = size, np.array([i for i, _ in items], np.int64)
         self.runs = [np.unique(h, return_counts=True) for _, h in items]
-        self.prints = np.array([window_prints(bit_sums(h), size, np.zeros(1, np.int64))[0] for _, h in items], np.uint64)
+        self.prints = np.concatenate([window_prints(bit_sums(h), size, np.zeros(1, np.int64)) for _, h in items])
         self.owners: tuple[np.ndarray, np.ndarray] | None = None
         self.tables = []
-        for k, own in enumerate(block_values(self.prints)):
-            width = BITS * (k + 1) // BLOCKS - BITS * k // BLOCKS
-            table = np.zeros((1 << width, len(items)), bool)
-            for mask in near_values(width, RADIUS // BLOCKS):
-                table[own ^ mask, np.arange(len(items))] = True
-            self.tables.append(table)
+        for own in block_values(self.prints).T:
+            values = (own[:, None] ^ NEAR).ravel()
+            order = np.argsort(values, kind="stable")
+            self.tables.append((values[order], np.repeat(np.arange(len(items), dtype=np.uint16), len(NEAR))[order]))
 
     def sharing(self, x: np.ndarray) -> list[int]:
         """The items with any of the given runs."""
@@ -109,14 +115,28 @@ class Tables:
         both = int(np.minimum(n[np.searchsorted(a, b)], m).sum())
         return both / (len(x) + self.size - both)
 
+    def looked_up(self, prints: np.ndarray):
+        """(window, item) pairs, a part at a time, of which a block is near; pairs may repeat."""
+        for (values, owner), own in zip(self.tables, block_values(prints).T, strict=True):
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            some = np.flatnonzero(high > low)
+            n = (high - low)[some]
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(some):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                w = np.repeat(some[at:end], n[at:end])
+                place = np.arange(len(w)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end]) + np.repeat(low[some[at:end]], n[at:end])
+                yield w, owner[place].astype(np.int64)
+                at = end
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within RADIUS bits of each other."""
-        found = np.zeros((len(prints), len(self.ids)), bool)
-        for table, own in zip(self.tables, block_values(prints), strict=True):
-            found |= table[own]
-        w, i = np.nonzero(found)
-        near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return w[near], i[near]
+        found = [np.zeros(0, np.int64)]
+        for w, i in self.looked_up(prints):
+            near = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1, dtype=np.int64) <= RADIUS
+            found.append(w[near] * len(self.ids) + i[near])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.ids))
 
 
 class Index:
@@ -168,8 +188,8 @@ class Index:
                         self._keep(t, k, t.similarity(h, k), least, out)
                 continue
             starts = np.flatnonzero(upto[t.size :] > upto[: len(h) - t.size + 1])
-            for at in range(0, len(starts), 16384):
-                own = starts[at : at + 16384]
+            for at in range(0, len(starts), WINDOWS):
+                own = starts[at : at + WINDOWS]
                 w, i = t.candidates(window_prints(sums, t.size, own))
                 # no more runs in common than hits
                 most = upto[own[w] + t.size] - upto[own[w]]
@@ -185,36 +205,57 @@ class Index:
             out[item] = sim
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str | None]], least: float) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[int, str | None]], least: float, column: str) -> DataFrame:
+    """docs with the found items in a new last column."""
+    from pyspark.sql import types as T
+
+    found_type = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
+
     def run(batches):
         index = Index(items)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
-        for b in batches:
-            found = [sorted(index.found(h, least).items()) for h in hashed_texts(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"item_id": i, "similarity": s} for i, s in f] for f in found], kind)], ["doc_id", "items"])
+        for b, texts in slices(batches, "text"):
+            found = [sorted(index.found(h, least).items()) for h in hashed_texts(texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"item_id": i, "similarity": s} for i, s in f] for f in found], kind)], [*b.schema.names, column])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<struct<item_id:long,similarity:double>>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, found_type)]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """Per document: doc_id, contaminated, items (item_id, similarity) of the benchmark items in it.
+def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least: float = LEAST, within: Workspace | None = None) -> DataFrame:
+    """docs, row by row, with a new last column: (item_id, similarity) of the benchmark items in the text.
 
-    Null and empty texts, and items without words, match nothing; repeated
-    items each count; an empty benchmark leaves every document clean; other
-    columns are not read.  Where the benchmark needs several passes, repeated
-    doc_ids come back as one row that has the items of all.
+    A benchmark of more than MOST_ITEMS items or MOST_CHARS characters takes
+    several passes over the documents, which then get a key of their own; the
+    rows are the same.
     """
     own = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, -(-n // MOST_ITEMS), -(-chars // MOST_CHARS))
-    out = None
+    if passes == 1:
+        return _pass(docs, [(r[0], r[1]) for r in own.collect()], least, column)  # bounded: MOST_ITEMS
+    key, other = free_name(docs, "_row"), free_name(docs, "_found")
+    ws = Workspace(docs.sparkSession, "decontaminate", within)
+    keyed = ws.put(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+    every = None
     for k in range(passes):
-        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else own
-        found = _pass(docs, [(r[0], r[1]) for r in part.collect()], least)  # bounded: n / passes items
-        out = found if out is None else out.unionByName(found)
-    if passes > 1:
-        out = out.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        found = _pass(keyed.select(key, "text"), [(r[0], r[1]) for r in part.collect()], least, column)  # bounded: about n / passes items
+        found = ws.put(found.where(F.size(column) > 0).select(key, column), f"found-{k}")
+        every = found if every is None else every.unionByName(found)
+    every = every.groupBy(F.col(key).alias(other)).agg(F.array_sort(F.flatten(F.collect_list(column))).alias(column))
+    return keyed.join(every, F.col(key) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(column, F.array().cast(every.schema[column].dataType)).alias(column))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """Per document: doc_id, contaminated, items (item_id, similarity) of the benchmark items in it.
+
+    Null and empty texts, and items without words, match nothing; repeated
+    items each count; an empty benchmark leaves every document clean; rows
+    with repeated ids or none are marked each by its own text; other columns
+    are not read; an empty table gives no rows.
+    """
+    found = with_items(docs.select("doc_id", "text"), benchmark, "items", least)
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
 def op8_decontamination(spark, sf_dir):
