@@ -27,8 +27,8 @@ MOST = 3
 SHARD_SLOTS = 4096
 MOST_SHARDS = 1024
 SEED = 20240501
-#: Sources up to which their table, a row for each, is broadcast.
-FEW_SOURCES = 100_000
+#: Sources whose slots one task shares out.
+SOURCES_TOGETHER = 4096
 _U = np.uint64
 
 
@@ -126,74 +126,115 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "sid", "source_size", F.least("_limit", F.col("_w") * F.coalesce(F.col("_first._level"), F.lit(0.0))).alias("target"))
 
 
-def shards(draws: list[Draw], seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, sid, first slot, slots): each shard's counts drawn from what the sources still owe."""
-    left = np.array([d.slots for d in draws], np.int64)
-    done = np.zeros(len(draws), np.int64)
-    total = int(left.sum())
-    per = max(SHARD_SLOTS, -(-total // MOST_SHARDS))
-    out = []
-    for k in range(-(-total // per)):
+def shared_out(owed: np.ndarray, wants: np.ndarray, key: tuple[int, ...]) -> np.ndarray:
+    """For each shard (row) how many of its slots each party (column) fills, all in all as many as owed.
+
+    A shard's counts are a multinomial draw over what the parties still owe;
+    what exceeds that is drawn again among the others.
+    """
+    left, out = owed.astype(np.int64), np.zeros((len(wants), len(owed)), np.int64)
+    for k, want in enumerate(wants.tolist()):
         rest = int(left.sum())
-        if rest <= per:
+        if rest <= want:
             n = left.copy()
         else:
-            rng = np.random.default_rng([seed, k])
-            n = np.minimum(rng.multinomial(per, left / rest), left)
-            while (lack := per - int(n.sum())) > 0:
+            rng = np.random.default_rng([*key, k])
+            n = np.minimum(rng.multinomial(want, left / rest), left)
+            while (lack := want - int(n.sum())) > 0:
                 room = left - n
                 n += np.minimum(rng.multinomial(lack, room / room.sum()), room)
-        out += [(k, draws[i].sid, int(done[i]), int(n[i])) for i in np.flatnonzero(n)]
-        done, left = done + n, left - n
+        out[k], left = n, left - n
     return out
 
 
-def slots(spark, draws: list[Draw]) -> DataFrame:
-    """(shard, sid, slot, block, words) of the whole mix; words: how many of the block's the slot takes at most."""
-    plan = [(k, sid, a, min(SHARD_SLOTS, n - (a - first))) for k, sid, first, n in shards(draws) for a in range(first, first + n, SHARD_SLOTS)]
-    schema = "shard int, sid int, first long, n long"
-    frame = spark.createDataFrame(plan, schema)
-    own = {d.sid: (d.blocks, d.slots, d.last) for d in draws if d.slots}
+def draws(sources: DataFrame) -> DataFrame:
+    """sources with words, blocks, slots and last of each one's Draw."""
+
+    def run(batches):
+        for b in batches:
+            own = [drawn(*x) for x in zip(*(b.column(c).to_pylist() for c in ("sid", "source_size", "target")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), *(pa.array([getattr(d, c) for d in own], pa.int64()) for c in ("blocks", "slots", "last"))], ["sid", "blocks", "slots", "last"])
+
+    return sources.select("sid", "source_size", "target").mapInArrow(run, "sid int, blocks long, slots long, last long")
+
+
+def slots(own: DataFrame, seed: int = SEED) -> DataFrame:
+    """(shard, sid, slot, block, epoch, words) of the whole mix, from draws; words: how many of the block's the slot takes at most.
+
+    Sources are shared out in groups of about SOURCES_TOGETHER: the driver draws
+    how many slots of a shard each group fills, a task for each group does the
+    same for its sources.
+    """
+    # few sources are one group
+    groups = -(-own.count() // SOURCES_TOGETHER) or 1
+    own = own.withColumn("g", F.pmod("sid", F.lit(groups)))
+    owed = np.zeros(groups, np.int64)
+    for r in own.groupBy("g").agg(F.sum("slots").alias("n")).collect():  # a row for SOURCES_TOGETHER sources
+        owed[r["g"]] = r["n"]
+    total = int(owed.sum())
+    per = max(SHARD_SLOTS, -(-total // MOST_SHARDS))
+    wants = shared_out(owed, np.full(-(-total // per), per, np.int64), (seed,))
+
+    def share(table: pa.Table) -> pa.Table:
+        t = table.sort_by("sid")
+        g, sid, blocks, n, last = (t.column(c).to_numpy() for c in ("g", "sid", "blocks", "slots", "last"))
+        counts = shared_out(n, wants[:, g[0]], (seed, int(g[0]) + 1))
+        first = np.cumsum(counts, axis=0) - counts
+        k, i = np.nonzero(counts)
+        # pieces of at most SHARD_SLOTS slots
+        parts = -(-counts[k, i] // SHARD_SLOTS)
+        k, i, piece = np.repeat(k, parts), np.repeat(i, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(SHARD_SLOTS, counts[k, i] - piece * SHARD_SLOTS)
+        return pa.table({"shard": k.astype(np.int32), "sid": sid[i], "first": first[k, i] + piece * SHARD_SLOTS, "n": size, "blocks": blocks[i], "slots": n[i], "last": last[i]})
+
+    plan = own.where("slots > 0").groupBy("g").applyInArrow(share, "shard int, sid int, first long, n long, blocks long, slots long, last long")
 
     def run(batches):
         for b in batches:
-            for shard, sid, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                blocks, total, last = own[sid]
+            for shard, sid, first, n, blocks, total_, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 q = np.arange(first, first + n)
+                epochs = q // blocks
                 at = np.empty(n, np.int64)
-                for epoch in range(first // blocks, (first + n - 1) // blocks + 1):
-                    mine = q // blocks == epoch
+                for epoch in np.unique(epochs).tolist():
+                    mine = epochs == epoch
                     at[mine] = Permutation(blocks, sid, epoch)(q[mine] % blocks)
-                words = np.where(q == total - 1, last, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, sid, np.int32)), pa.array(q), pa.array(at), pa.array(words.astype(np.int64))], ["shard", "sid", "slot", "block", "words"])
+                words = np.where(q == total_ - 1, last, BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, sid, np.int32)), pa.array(q), pa.array(at), pa.array(epochs.astype(np.int32)), pa.array(words.astype(np.int64))],
+                    ["shard", "sid", "slot", "block", "epoch", "words"])
 
-    return frame.repartition(max(1, min(len(plan), int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(run, "shard int, sid int, slot long, block long, words long")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plan.repartition(parts).mapInArrow(run, "shard int, sid int, slot long, block long, epoch int, words long")
 
 
-def placed(ws: Workspace, sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
-    """sized (doc_id, source, size, ...) with sid, source_size, target, row (unique) and offset in its source."""
+def placed(ws: Workspace, sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """sized (doc_id, source, size, _tie, ...) with sid, source_size, target, and offset in its source; (_part, sid, _n) is unique.
+
+    Documents of a source stand in order of doc_id, null first, then of _tie.
+    The table of sources is small enough to be broadcast, or Spark joins otherwise.
+    """
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     own = sources.withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(own) if few else own, sized["source"].eqNullSafe(own["_source"])).drop("_source")
+    joined = sized.join(own, sized["source"].eqNullSafe(own["_source"])).drop("_source")
     spread = joined.repartitionByRange(parts, "sid", "doc_id", "_tie").withColumn("_part", F.spark_partition_id())
     spread = ws.put(spread, "spread")
-    w = W.partitionBy("_part", "sid").orderBy(F.col("doc_id").asc_nulls_first(), "size", "_tie")
+    w = W.partitionBy("_part", "sid").orderBy(F.col("doc_id").asc_nulls_first(), "_tie")
     within = spread.withColumn("_n", F.row_number().over(w)).withColumn("_within", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     sums = spread.groupBy("_part", "sid").agg(F.sum("size").alias("_sum"))
     base = sums.withColumn("_base", F.sum("_sum").over(W.partitionBy("sid").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_sum")).select("_part", "sid", "_base")
     return within.join(base, ["_part", "sid"]).withColumn("offset", F.col("_base") + F.col("_within")).drop("_base", "_within", "_tie")
 
 
-def mixed(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(documents placed, what the mix takes of them as (_part, sid, _n, epoch, from, to) word ranges)."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+def mixed(docs: DataFrame, ws: Workspace, kept: tuple[str, ...] = (), tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents placed, what the mix takes of them as (_part, sid, _n, epoch, from, to) word ranges).
+
+    kept: further columns of the first; tie: what orders rows of one doc_id, a hash of the text if not given.
+    """
+    sized = docs.select("doc_id", "source", *kept, word_count(F.col("text")).alias("size"), (F.xxhash64("text") if tie is None else tie).alias("_tie"))
     sized = ws.put(sized, "sized")
     sources = ws.put(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
-    # one row for each source
-    rows = sources.orderBy("sid").collect()
-    draws = [drawn(r["sid"], r["source_size"], r["target"]) for r in rows]
-    docs_at = ws.put(placed(ws, sized, sources, len(rows) <= FEW_SOURCES), "placed")
+    docs_at = ws.put(placed(ws, sized, sources), "placed")
+    ws.drop("sized", "spread")
     first = F.expr(f"offset div {BLOCK}")
     # a row for each block that a document has words in
     pieces = (
@@ -201,10 +242,7 @@ def mixed(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
         .withColumn("_from", F.greatest(F.col("offset") - F.col("block") * BLOCK, F.lit(0)))
         .withColumn("_to", F.least(F.col("offset") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK)))
     )
-    blocks = {d.sid: d.blocks for d in draws}
-    counts = spark.createDataFrame([(k, v) for k, v in blocks.items()], "sid int, _blocks long")
-    filled = slots(spark, draws)
-    filled = filled.join(F.broadcast(counts) if len(rows) <= FEW_SOURCES else counts, "sid").select("sid", "block", F.expr("slot div _blocks").cast("int").alias("epoch"), "words")
+    filled = slots(ws.put(draws(sources), "draws")).select("sid", "block", "epoch", "words")
     taken = pieces.join(filled, ["sid", "block"]).where(F.col("_from") < F.col("words")).select(
         "_part", "sid", "_n", "epoch",
         (F.col("_from") + F.col("block") * BLOCK - F.col("offset")).alias("from"),
@@ -216,9 +254,10 @@ def mixing(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted).
 
     Null and empty texts have size 0 and are never taken; a null source is a
-    source of its own, the last; repeated rows are documents of their own; an
-    empty table gives no rows; columns other than doc_id, text and source are
-    not read.
+    source of its own, the last; repeated rows are documents of their own, and
+    rows of one doc_id stand in the order of their texts' hashes, so that reruns
+    agree; an empty table gives no rows; columns other than doc_id, text and
+    source are not read.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     docs_at, taken = mixed(docs, ws)
