@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed
+from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed, slices
 
 #: Shorter lines are compared for equality only: one word of them is too much.
 LEAST_WORDS = 5
 CHUNK = 1_000_000
+#: Repeats of a line within a chunk from which its rows are dealt over SALTS tasks.
+OFTEN, SALTS = 8, 16
+#: Rows of a batch of neighbourhoods, about.
+BATCH = 65_536
 _U = np.uint64
 
 
@@ -90,41 +94,69 @@ def chunks(texts: list[str | None]):
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n, h1, h2, keys) of every line that has words; a row with line -1 and n lines for each document."""
+    """(doc_id, tie, row, line, n, h1, h2, salt, keys) of every line that has words; a row with line -1 and n lines for each document.
+
+    tie: a hash of the document's words by lines, so that rows of one doc_id
+    have an order of their own.  salt: 0, or one of 1..SALTS where the line is
+    frequent in its chunk.
+    """
 
     def run(batches):
         kind = pa.list_(pa.int64(), 4)
         base = 0  # rows of earlier batches
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b, texts in slices(batches, 1, 1 << 22):
             for at, end, lines, owner, number in chunks(texts):
                 ids = b.column(0)[at:end]
                 x = Lines(lines)
                 own = np.flatnonzero(x.n > 0)
+                whole = x.whole()
+                tie = np.zeros(end - at, np.uint64)
+                with np.errstate(over="ignore"):
+                    np.add.at(tie, owner - at, mix(whole + (number.astype(np.uint64) + _U(1)) * _U(BASE)))
+                _, back, times = np.unique(whole[own], return_inverse=True, return_counts=True)
+                rows = owner[own].astype(np.int64) + base
+                salt = np.where(times[back] >= OFTEN, 1 + (mix(rows.astype(np.uint64)) % _U(SALTS)).astype(np.int32), 0).astype(np.int32)
                 keys = np.stack([k[own] for k in x.halves()], axis=1)
                 near = x.n[own] >= LEAST_WORDS
                 flat = pa.array(signed(keys.ravel()), mask=np.repeat(~near, 4))
                 counts = np.bincount(owner - at, minlength=end - at)
-                rows = pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[own] - at)), pa.array(owner[own].astype(np.int64) + base), pa.array(number[own]), pa.array(x.n[own].astype(np.int32)),
-                     pa.array(signed(x.whole()[own])), pa.array(signed(x.second()[own])), pa.FixedSizeListArray.from_arrays(flat, type=kind).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "row", "line", "n", "h1", "h2", "keys"])
-                yield rows
+                names = ["doc_id", "tie", "row", "line", "n", "h1", "h2", "salt", "keys"]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner[own] - at)), pa.array(signed(tie)[owner[own] - at]), pa.array(rows), pa.array(number[own]), pa.array(x.n[own].astype(np.int32)),
+                     pa.array(signed(whole[own])), pa.array(signed(x.second()[own])), pa.array(salt), pa.FixedSizeListArray.from_arrays(flat, type=kind).cast(pa.list_(pa.int64()))], names)
                 m = end - at
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.arange(at, end) + base), pa.array(np.full(m, -1, np.int32)), pa.array(counts.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))],
-                    ["doc_id", "row", "line", "n", "h1", "h2", "keys"])
+                    [ids, pa.array(signed(tie)), pa.array(np.arange(at, end) + base), pa.array(np.full(m, -1, np.int32)), pa.array(counts.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                     pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.list_(pa.int64()))], names)
             base += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, line int, n int, h1 long, h2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tie long, row long, line int, n int, h1 long, h2 long, salt int, keys array<long>")
 
 
 def neighbourhoods(wanted: DataFrame) -> DataFrame:
     """(h1, h2, first, left, place, words) of (text, lines(line, h1, h2, first)): what deletions leave, and at place -1 the line itself."""
 
     def run(batches):
-        for b in batches:
-            texts, wants = b.column(0).to_pylist(), b.column(1).to_pylist()
+        names = ["h1", "h2", "first", "left", "place", "words"]
+        held: list[tuple] = []
+        n = 0
+
+        def batch(kind):
+            h1, h2, first, left, words = zip(*held, strict=True)
+            sizes = np.array([len(x) for x in left])
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            place[ends - 1] = -1
+            said = np.full(int(ends[-1]), None, object)
+            said[ends - 1] = words
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(h1, sizes)), pa.array(np.repeat(h2, sizes)), pa.array(first, kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                 pa.array(np.concatenate(left)), pa.array(place.astype(np.int32)), pa.array(said, pa.binary())], names)
+
+        kind = None
+        for b, texts in slices(batches, 0):
+            wants = b.column(1).to_pylist()
+            kind = b.schema.field(1).type.value_type.field("first").type
             for t, want in zip(texts, wants, strict=True):
                 own = (t or "").split("\n")
                 want = [w for w in want if w["line"] < len(own)]
@@ -134,12 +166,13 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
                     if whole[i] != w["h1"] or second[i] != w["h2"]:
                         continue  # another document of the same id
                     left = signed(np.r_[x.left_by_deletion(i), x.whole()[i]])
-                    n = len(left)
-                    first = w["first"]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, w["h1"])), pa.array(np.full(n, w["h2"])), pa.array([first] * n, b.schema.field(1).type.value_type.field("first").type),
-                         pa.array(left), pa.array(np.r_[np.arange(n - 1), -1].astype(np.int32)), pa.array([None] * (n - 1) + [signed(x.h[x.start[i] : x.end[i]]).tobytes()], pa.binary())],
-                        ["h1", "h2", "first", "left", "place", "words"])
+                    held.append((w["h1"], w["h2"], w["first"], left, signed(x.h[x.start[i] : x.end[i]]).tobytes()))
+                    n += len(left)
+                if n >= BATCH:
+                    yield batch(kind)
+                    held, n = [], 0
+        if held:
+            yield batch(kind)
 
     kind = wanted.schema["lines"].dataType.elementType["first"].dataType.simpleString()
     return wanted.select("text", "lines").mapInArrow(run, f"h1 long, h2 long, first {kind}, left long, place int, words binary")
@@ -176,8 +209,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, ws: Workspace) -> DataFrame
     both = found.join(words, F.col("first") == F.col("_first")).withColumnRenamed("words", "_a").drop("_first").join(words, F.col("near") == F.col("_first")).select("h1", "h2", "near", "_a", F.col("words").alias("_b"))
 
     def run(batches):
-        for b in batches:
-            pairs = zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+        for b, left in slices(batches, 3):
+            pairs = zip(left, b.column(4).to_pylist(), strict=True)
             keep = [one_word_apart(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in pairs]
             yield b.select(["h1", "h2", "near"]).filter(pa.array(keep, pa.bool_()))
 
@@ -192,19 +225,22 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     words or, among lines of at least five words, one word apart.  Case,
     spacing and punctuation don't count.  Lines without words stay.  A null
     text is one empty line; repeated rows are documents of their own, so that
-    the lines of the second go; a null doc_id comes first; an empty table gives
-    no rows; columns other than doc_id and text are not read.
+    the lines of the second go; rows of one doc_id stand in the order of a hash
+    of their words, whatever the partitions; a null doc_id comes first; an
+    empty table gives no rows; columns other than doc_id and text are not read.
     """
     ws = Workspace(docs.sparkSession, "lines")
     rows = ws.put(line_table(docs).withColumn("_task", F.spark_partition_id()), "rows")
     lines = rows.where("line >= 0")
-    place = F.struct("doc_id", "_task", "row", "line")
+    place = F.struct("doc_id", "tie", "_task", "row", "line")
     distinct = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = ws.put(distinct, "distinct")
     near = ws.put(near_lines(docs, distinct, ws), "near")
     ws.drop("left")
-    marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near is not null").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "near")
-    gone = lines.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "_task", "row", "line")
+    marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near is not null").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "times", "first", "near")
+    # a frequent line's rows carry salts
+    marked = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("times") >= OFTEN, SALTS).otherwise(0)))).drop("times")
+    gone = lines.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("salt") == F.col("_salt"))).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "_task", "row", "line")
     all_rows = rows.where("line < 0").select("doc_id", "_task", "row", F.col("n").alias("n_lines"), F.lit(None).cast("int").alias("line")).unionByName(gone.withColumn("n_lines", F.lit(None).cast("int")))
     out = all_rows.groupBy("doc_id", "_task", "row").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("line")).alias("dropped"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
