@@ -6,8 +6,9 @@ holds whole documents and is decoded by itself:
     magic "SWR1" | version u8 | id width u8 | lanes u16 | documents u32 |
     ids u64 | first id's place in its part u64 | words u32 | checkpoints u32 |
     table checksum u32 | payload checksum u32, then the payload:
-    doc ids i64[], lengths u32[], final states u64[lanes],
-    checkpoints (word place u32, states u64[lanes])[], words u32[]
+    doc ids i64[], documents without an id as bits u8[], lengths u32[],
+    final states u64[lanes], checkpoints (word place u32, states u64[lanes])[],
+    words u32[]
 
 All numbers are little-endian.  Ids lie in rows of `lanes` symbols; a lane has
 its own 64-bit state, and all lanes share one word stream.  A checkpoint has
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slotwise.llm.common import Workspace, read
+from slotwise.llm.common import Workspace, read, slices
 
 MAGIC = b"SWR1"
 HEAD = struct.Struct("<4sBBHIQQIIII")
@@ -79,7 +80,7 @@ class Table:
         return self._symbol
 
 
-def encode_block(table: Table, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray, place: int, lanes: int = LANES) -> bytes:
+def encode_block(table: Table, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, place: int, lanes: int = LANES) -> bytes:
     """One block from the ids of whole documents; place: ids before it in its part."""
     n = len(ids)
     rows = -(-n // lanes)
@@ -101,21 +102,24 @@ def encode_block(table: Table, doc_ids: list[int], lengths: np.ndarray, ids: np.
         if r and r % ROWS_BETWEEN == 0:
             marks.append((written, state.copy()))
     stream = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
-    body = [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), state.astype("<u8").tobytes()]
+    missing = np.array([d is None for d in doc_ids], bool)
+    body = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(missing).tobytes(), np.asarray(lengths, "<u4").tobytes(), state.astype("<u8").tobytes()]
     for at, x in reversed(marks):
         body += [struct.pack("<I", written - at), x.astype("<u8").tobytes()]
     payload = b"".join([*body, stream.astype("<u4").tobytes()])
-    return HEAD.pack(MAGIC, 1, 4, lanes, len(doc_ids), n, place, written, len(marks), table.crc, zlib.crc32(payload)) + payload
+    return HEAD.pack(MAGIC, 2, 4, lanes, len(doc_ids), n, place, written, len(marks), table.crc, zlib.crc32(payload)) + payload
 
 
-def decode_block(table: Table, block: bytes, from_mark: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(doc ids, lengths, ids, place); from_mark > 0: only the ids from that checkpoint on.
+def decode_block(table: Table, block: bytes, from_mark: int = 0, until_mark: int | None = None) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray, int]:
+    """(doc ids, masked where there are none, lengths, ids, place); the ids only from one checkpoint to another, if given.
 
-    Raises ValueError where the block or the table is not what was written.
+    Checkpoint 0 is the beginning, so readers that share a block take ranges of
+    checkpoints.  Raises ValueError where the block or the table is not what
+    was written.
     """
     magic, version, _, lanes, docs, n, place, n_words, n_marks, table_crc, crc = HEAD.unpack_from(block)
     payload = memoryview(block)[HEAD.size :]
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != 2:
         raise ValueError("not a block of this format")
     if zlib.crc32(payload) != crc or table_crc != table.crc:
         raise ValueError("checksum differs")
@@ -127,16 +131,19 @@ def decode_block(table: Table, block: bytes, from_mark: int = 0) -> tuple[np.nda
         at += out.nbytes
         return out
 
-    doc_ids, lengths, state = take("<i8", docs), take("<u4", docs), take("<u8", lanes).copy()
-    pos, first = 0, 0
+    doc_ids, missing = take("<i8", docs), np.unpackbits(take("u1", -(-docs // 8)), count=docs).astype(bool)
+    lengths, state = take("<u4", docs), take("<u8", lanes).copy()
+    pos, first, last = 0, 0, -(-n // lanes)
+    if until_mark is not None and until_mark <= n_marks:
+        last = until_mark * ROWS_BETWEEN
     for k in range(1, n_marks + 1):
         where, x = int(take("<u4", 1)[0]), take("<u8", lanes)
         if k == from_mark:
             pos, first, state = where, k * ROWS_BETWEEN, x.copy()
     stream = take("<u4", n_words).astype(np.uint64)
-    ids = np.empty(n - first * lanes, np.uint32)
+    ids = np.empty(max(0, min(n, last * lanes) - first * lanes), np.uint32)
     mask = _U((1 << SCALE) - 1)
-    for r in range(first, -(-n // lanes)):
+    for r in range(first, last):
         lo, hi = r * lanes, min(n, (r + 1) * lanes)
         x = state[: hi - lo]
         slot = x & mask
@@ -148,7 +155,7 @@ def decode_block(table: Table, block: bytes, from_mark: int = 0) -> tuple[np.nda
             x[low] = (x[low] << _U(32)) | stream[pos : pos + len(low)]
             pos += len(low)
         state[: hi - lo] = x
-    return doc_ids, lengths, ids, place
+    return np.ma.MaskedArray(doc_ids, missing), lengths, ids, place
 
 
 def is_latin(text: str) -> bool:
@@ -164,7 +171,8 @@ class Encoder:
     """The tokenizers library with a bounded cache of white-space separated pieces.
 
     Valid for a tokenizer whose pieces never span white space, which the
-    constructor checks on samples; other tokenizers encode whole texts.  Texts
+    constructor checks on samples, and each call on one of its texts; other
+    tokenizers, and calls whose text comes out otherwise, encode whole texts.  Texts
     of Latin-1 characters are lower-cased first, and sentence marks after an
     ASCII letter set apart, where the tokenizer does the same, so that the cache
     holds fewer forms.  When the cache is full it starts anew.
@@ -173,12 +181,14 @@ class Encoder:
     CACHE = 700_000
     #: Texts are worked on in groups of about so many characters.
     GROUP = 6_000_000
+    #: Longest text that a call is checked on.
+    SAMPLE = 4_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.end = end_id
+        self.end, self.calls = end_id, 0
         self.lowers = self.ids("AbÄÖÉ çÑ") == self.ids("abäöé çñ") and self.ids("ab, x1. é,") == self.ids("ab , x1 . é ,")
         bar = self.ids("|")
         self.bar = bar[0] if len(bar) == 1 and self.ids("a | b |") == [*self.ids("a"), *bar, *self.ids("b"), *bar] else None
@@ -266,6 +276,12 @@ class Encoder:
             if held > self.GROUP or k == len(texts) - 1:
                 out += self.group(own)
                 own, held = [], 0
+        # another text in each call
+        some = next((k for k in range(self.calls % max(1, len(texts)), len(texts)) if len(texts[k] or "") <= self.SAMPLE), None)
+        self.calls += 1
+        if some is not None and self.ids(texts[some] or "") != out[some].tolist():
+            self.by_piece = False
+            return self(texts)
         return [np.append(x, x.dtype.type(self.end)) for x in out]
 
 
@@ -279,10 +295,12 @@ def encoder(path: str, end_id: int) -> Encoder:
     """The process's own encoder, whose cache a task that follows soon finds warm."""
     while _DROP:
         _DROP.pop().cancel()
-    if (path, end_id) not in _ENCODERS:
+    # a timer that is already running may take it from the table, but not from here
+    own = _ENCODERS.get((path, end_id))
+    if own is None:
         _ENCODERS.clear()
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+        own = _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return own
 
 
 def idle() -> None:
@@ -303,14 +321,12 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, pack = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 4096):
-                runs = enc(texts[i : i + 4096])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i : i + 4096], pa.array([len(x) for x in runs], pa.int64()),
-                     pa.array([pack.compress(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in runs], pa.binary())],
-                    ["doc_id", "n", "ids"])
+        for b, texts in slices(batches, 1, 6 << 20, 4096):
+            runs = enc(texts)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in runs], pa.int64()),
+                 pa.array([pack.compress(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in runs], pa.binary())],
+                ["doc_id", "n", "ids"])
         del enc
         idle()
 
@@ -329,8 +345,8 @@ def frequencies(ids: DataFrame, vocab: int) -> np.ndarray:
         import zstandard
 
         unpack, counts = zstandard.ZstdDecompressor(), np.zeros(vocab, np.int64)
-        for b in batches:
-            own = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        for b, packs in slices(batches, 1, 1 << 22):
+            own = zip(b.column(0).to_pylist(), packs, strict=True)
             while held := [unpacked(n, raw, unpack) for n, raw in islice(own, 2048)]:
                 counts += np.bincount(np.concatenate(held), minlength=vocab)
         seen = np.flatnonzero(counts)
@@ -350,7 +366,7 @@ def write_blocks(ids: DataFrame, freq: np.ndarray, path: str, parts: int) -> Non
 
         table, unpack = Table(freq), zstandard.ZstdDecompressor()
         part, number, place = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         runs: list[np.ndarray] = []
         held = 0
 
@@ -361,9 +377,9 @@ def write_blocks(ids: DataFrame, freq: np.ndarray, path: str, parts: int) -> Non
             number, place, docs, runs, held = number + 1, place + held, [], [], 0
             return out
 
-        for b in batches:
-            for d, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                docs.append(-(2**63) if d is None else d)
+        for b, packs in slices(batches, 2, 1 << 22):
+            for d, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), packs, strict=True):
+                docs.append(d)
                 runs.append(unpacked(n, raw, unpack))
                 held += n
                 if held >= BLOCK_IDS:
@@ -383,14 +399,14 @@ def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = Table(freq)
-        for b in batches:
-            for part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b, held in slices(batches, 1, 1 << 22):
+            for part, block in zip(b.column(0).to_pylist(), held, strict=True):
                 docs, lengths, ids, place = decode_block(table, block)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64(), mask=docs == -(2**63)), pa.array(place + ends - lengths),
+                    [pa.array([part] * len(docs), pa.int32()), pa.array(docs.data, pa.int64(), mask=docs.mask), pa.array(place + ends - lengths),
                      pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
                     ["part", "doc_id", "within", "n_tokens", "ids_crc32"])
 
