@@ -10,12 +10,14 @@ double precision on the original vectors.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import Workspace, connected_components, read
+from slotwise.llm.common import Workspace, connected_components, read, to_hot
 
 LEAST = 0.95
 #: Vectors, by a hash of their ids, that the rotation is learned from.
@@ -25,8 +27,8 @@ BLOCK_BITS = 16
 #: Largest sum of squares of the coordinates that a lookup flips, in mean squares of the noise
 #: that two vectors at the least similarity differ by in one coordinate.
 FLIPS = 3.6
-#: Bits, of 64, in which codes of a pair may differ: seven deviations above what the least similarity gives.
-RADIUS = 24
+#: Deviations above what the least similarity gives by which the bits may number in which codes of a pair differ.
+DEVIATIONS = 7.0
 BLOCK = 512
 GROUP_ROWS = 40_000
 
@@ -44,9 +46,17 @@ def rotation(x: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarr
 
 def unit(raw: list[list[float]]) -> np.ndarray:
     x = np.array(raw, np.float64).reshape(len(raw), -1)
+    # by the largest component first: squares of very large or small ones leave the range
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def radius(bits: int, least: float) -> int:
+    """In how many of the bits the codes of vectors of at least this cosine may differ."""
+    p = math.acos(least) / math.pi
+    return min(bits, math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))))
+
+
 def flips_of(z: np.ndarray, limit: float) -> list[np.ndarray]:
     """For each row of z, the masks of coordinates whose squares sum to at most `limit`."""
     out = []
@@ -75,9 +85,8 @@ def lookups(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], le
                 x = unit([raw[i] for i in own])
                 mean, r = model.get(d) or rotation(np.zeros((0, d)))
                 z = (x - mean) @ r
-                # codes longer than 64 bits are compared by their first 64
                 bits = z >= 0
-                code = np.packbits(np.pad(bits[:, :64], ((0, 0), (0, max(0, 64 - d)))), axis=1).view(np.int64).ravel()
+                code = [c.tobytes() for c in np.packbits(np.pad(bits, ((0, 0), (0, -d % 64))), axis=1)]
                 limit = FLIPS * (2 - 2 * least) / d
                 key, rep, codes, home = [], [], [], []
                 for k in range(-(-d // BLOCK_BITS)):
@@ -86,31 +95,35 @@ def lookups(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], le
                     for n, masks in enumerate(flips_of(z[:, part], limit)):
                         key.append(((d << 24) | (k << 16) | (value[n] ^ masks)))
                         rep.append(np.full(len(masks), ids[own[n]]))
-                        codes.append(np.full(len(masks), code[n]))
+                        codes += [code[n]] * len(masks)
                         home.append(masks == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(rep), pa.int64()), pa.array(np.concatenate(codes), pa.int64()), pa.array(np.concatenate(home))], ["key", "rep", "code", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(rep), pa.int64()), pa.array(codes, pa.binary()), pa.array(np.concatenate(home))], ["key", "rep", "code", "home"])
 
-    return reps.select("rep", "embedding").mapInArrow(run, "key long, rep long, code long, home boolean")
+    return reps.select("rep", "embedding").mapInArrow(run, "key long, rep long, code binary, home boolean")
 
 
-def meeting(rows: DataFrame, total: int) -> DataFrame:
+def meeting(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one key, at least one of them at home, whose codes are near.
 
     A full table entry is dealt into blocks, and each pair of blocks is a piece
-    of work of bounded size.
+    of work of bounded size; so many groups of pieces are made that one has
+    about GROUP_ROWS rows once each block stands beside all others.
     """
-    counts = rows.groupBy("key").agg(F.count("*").alias("_n"), F.count_if("home").alias("_h")).where("_n > 1 and _h > 0")
-    counts = counts.select(F.col("key").alias("_key"), F.ceil(F.col("_h") / BLOCK).cast("int").alias("_kh"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_kn"))
-    own = rows.join(counts, F.col("key") == F.col("_key")).drop("_key")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("_h")).where("n > 1 and _h > 0")
+    counts = counts.select("key", "n", "_h", F.ceil(F.col("_h") / BLOCK).cast("int").alias("_kh"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kn"))
+    total = counts.agg(F.sum(F.col("_h").cast("double") * F.col("_kn") + F.col("n").cast("double") * F.col("_kh"))).first()[0] or 0
+    groups = max(1, int(total // GROUP_ROWS))
+    own = to_hot(rows, counts.drop("_h"), "key", F.col("rep"))
     at_home = own.where("home").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("_kh"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_kn") - 1))).withColumn("side", F.lit(True))
     look = own.withColumn("q", F.pmod(F.xxhash64("rep"), F.col("_kn"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_kh") - 1))).withColumn("side", F.lit(False))
     cols = ["key", F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), "rep", "code", "side"]
     both = at_home.select(*cols).unionByName(look.select(*cols))
-    groups = max(1, total // GROUP_ROWS)
     both = both.withColumn("g", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "rep", "code", "side")}
+        table = table.combine_chunks()
+        col = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "rep", "side")}
+        codes = table.column("code")
         order = np.lexsort((col["side"], col["q"], col["p"], col["key"]))
         new = np.flatnonzero(np.r_[True, np.any([np.diff(col[c][order]) != 0 for c in ("key", "p", "q")], axis=0)])
         out = [np.zeros((0, 2), np.int64)]
@@ -119,7 +132,10 @@ def meeting(rows: DataFrame, total: int) -> DataFrame:
             h, n = at[side], at[~side]
             if not len(h) or not len(n):
                 continue
-            i, j = np.nonzero(np.bitwise_count(col["code"][h][:, None] ^ col["code"][n][None, :]) <= RADIUS)
+            # vectors of one key have one dimension
+            own, other = (np.frombuffer(b"".join(codes.take(pa.array(x)).to_pylist()), np.uint64).reshape(len(x), -1) for x in (h, n))
+            apart = sum(np.bitwise_count(own[:, k][:, None] ^ other[:, k][None, :]).astype(np.int16) for k in range(own.shape[1]))
+            i, j = np.nonzero(apart <= radius(int(col["key"][at[0]]) >> 24, least))
             a, b = col["rep"][h][i], col["rep"][n][j]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
         pairs = np.unique(np.concatenate(out), axis=0)
@@ -136,7 +152,10 @@ def reranked(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             if x.num_rows:
                 a, b = (x.column(i) for i in (2, 3))
                 va, vb = (np.array(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in (a, b))
-                cuts = np.r_[0, np.cumsum(np.array(a.value_lengths()))]
+                sizes = np.array(a.value_lengths())
+                cuts = np.r_[0, np.cumsum(sizes)]
+                # by the largest component first: squares of very large or small ones leave the range
+                va, vb = (v / np.repeat(np.maximum.reduceat(np.abs(v), cuts[:-1]), sizes) for v in (va, vb))
                 dot, aa, bb = (np.add.reduceat(v, cuts[:-1]) for v in (va * vb, va * va, vb * vb))
                 yield x.select(["a", "b"]).filter(pa.array(dot / np.sqrt(aa) / np.sqrt(bb) >= least))
 
@@ -164,7 +183,7 @@ def links(vectors: DataFrame, ws: Workspace, least: float = LEAST) -> tuple[Data
     reps = ws.put(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
     member = good.join(reps, "embedding").select("vec_id", "rep", "copies")
     rows = ws.put(lookups(reps, fit(reps), least), "lookups")
-    pairs = ws.put(meeting(rows, rows.count()), "pairs")
+    pairs = ws.put(meeting(rows, least), "pairs")
     ws.drop("lookups")
     return member, reps, ws.put(reranked(pairs, reps, least), "links")
 
