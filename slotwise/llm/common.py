@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
 
 
+_OPENED: list[Workspace] = []
+
+
+@contextmanager
+def closing_all():
+    """Close every workspace that is opened inside, at the end; what reads them must be written by then."""
+    at = len(_OPENED)
+    try:
+        yield
+    finally:
+        for ws in _OPENED[at:]:
+            ws.close()
+        del _OPENED[at:]
+
+
 class Workspace:
     """Written tables in the shared folder; they cut lineage and survive lost executors.
 
@@ -37,6 +53,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str, within: Workspace | None = None):
         self.spark = spark
         self.root = f"{within.root if within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _OPENED.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
