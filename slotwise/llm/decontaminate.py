@@ -83,19 +83,53 @@ def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
 
 
+class Blocks:
+    """A table for each block of fingerprints: the items under all values near theirs, sorted by size class and value."""
+
+    def __init__(self, prints: np.ndarray, size: np.ndarray):
+        self.prints, self.tables = prints, []
+        owner = np.repeat(np.arange(len(prints), dtype=np.uint16), len(NEAR))
+        for own in block_values(prints).T:
+            keys = ((size.astype(np.uint32) << np.uint32(WIDTH))[:, None] | (own[:, None] ^ NEAR)).ravel()
+            order = np.argsort(keys, kind="stable")
+            values, starts = np.unique(keys[order], return_index=True)
+            self.tables.append((values, np.r_[starts, len(keys)], owner[order]))
+
+    def looked_up(self, prints: np.ndarray, size: np.ndarray):
+        """(window, item) pairs of one size class, a part at a time, of which a block is near; pairs may repeat."""
+        high = size.astype(np.uint32) << np.uint32(WIDTH)
+        for (values, starts, owner), own in zip(self.tables, block_values(prints).T, strict=True):
+            keys = high | own
+            at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+            some = np.flatnonzero(values[at] == keys)
+            low = starts[at[some]]
+            n = starts[at[some] + 1] - low
+            ends = np.cumsum(n)
+            k = 0
+            while k < len(some):
+                end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+                m = n[k:end]
+                place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[k:end], m)
+                yield np.repeat(some[k:end], m), owner[place].astype(np.int64)
+                k = end
+
+    def candidates(self, prints: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of one size class within RADIUS bits of each other."""
+        found = [np.zeros(0, np.int64)]
+        for w, i in self.looked_up(prints, size):
+            near = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1, dtype=np.int64) <= RADIUS
+            found.append(w[near] * len(self.prints) + i[near])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.prints)))
+
+
 class Tables:
-    """Items of one size: fingerprints, runs, and for each block the items near each value, sorted by value."""
+    """Items of one size with their runs; the first is the index' item number `first`."""
 
-    def __init__(self, size: int, items: list[tuple[int, np.ndarray]]):
-        self.size, self.ids = size, np.array([i for i, _ in items], np.int64)
+    def __init__(self, size: int, items: list[tuple[int, np.ndarray]], first: int):
+        self.size, self.first, self.ids = size, first, np.array([i for i, _ in items], np.int64)
         self.runs = [np.unique(h, return_counts=True) for _, h in items]
         self.prints = np.concatenate([window_prints(bit_sums(h), size, np.zeros(1, np.int64)) for _, h in items])
         self.owners: tuple[np.ndarray, np.ndarray] | None = None
-        self.tables = []
-        for own in block_values(self.prints).T:
-            values = (own[:, None] ^ NEAR).ravel()
-            order = np.argsort(values, kind="stable")
-            self.tables.append((values[order], np.repeat(np.arange(len(items), dtype=np.uint16), len(NEAR))[order]))
 
     def sharing(self, x: np.ndarray) -> list[int]:
         """The items with any of the given runs."""
@@ -115,29 +149,6 @@ class Tables:
         both = int(np.minimum(n[np.searchsorted(a, b)], m).sum())
         return both / (len(x) + self.size - both)
 
-    def looked_up(self, prints: np.ndarray):
-        """(window, item) pairs, a part at a time, of which a block is near; pairs may repeat."""
-        for (values, owner), own in zip(self.tables, block_values(prints).T, strict=True):
-            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            some = np.flatnonzero(high > low)
-            n = (high - low)[some]
-            ends = np.cumsum(n)
-            at = 0
-            while at < len(some):
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                w = np.repeat(some[at:end], n[at:end])
-                place = np.arange(len(w)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end]) + np.repeat(low[some[at:end]], n[at:end])
-                yield w, owner[place].astype(np.int64)
-                at = end
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within RADIUS bits of each other."""
-        found = [np.zeros(0, np.int64)]
-        for w, i in self.looked_up(prints):
-            near = np.bitwise_count(prints[w] ^ self.prints[i]).sum(axis=1, dtype=np.int64) <= RADIUS
-            found.append(w[near] * len(self.ids) + i[near])
-        return np.divmod(np.unique(np.concatenate(found)), len(self.ids))
-
 
 class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
@@ -149,7 +160,11 @@ class Index:
                 self.short.setdefault(len(h), {}).setdefault(int(runs[0]), []).append(item)
             elif len(runs):
                 by.setdefault(len(runs), []).append((item, runs))
-        self.tables = [Tables(n, own) for n, own in sorted(by.items())]
+        self.tables: list[Tables] = []
+        for n, own in sorted(by.items()):
+            self.tables.append(Tables(n, own, sum(len(t.ids) for t in self.tables)))
+        if by:
+            self.blocks = Blocks(np.concatenate([t.prints for t in self.tables]), np.repeat(np.arange(len(self.tables)), [len(t.ids) for t in self.tables]))
         self.runs = np.unique(np.concatenate([h for own in by.values() for _, h in own])) if by else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.runs & _U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
@@ -180,7 +195,9 @@ class Index:
         hit[hits] = 1
         upto = np.r_[0, np.cumsum(hit)]
         sums = bit_sums(h)
-        for t in self.tables:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # size class, start, fingerprint of windows
+        n = 0
+        for c, t in enumerate(self.tables):
             if len(h) < t.size:  # the stretch is the whole text
                 most = len(hits)
                 if most >= least * (len(h) + t.size - most):
@@ -190,13 +207,25 @@ class Index:
             starts = np.flatnonzero(upto[t.size :] > upto[: len(h) - t.size + 1])
             for at in range(0, len(starts), WINDOWS):
                 own = starts[at : at + WINDOWS]
-                w, i = t.candidates(window_prints(sums, t.size, own))
-                # no more runs in common than hits
-                most = upto[own[w] + t.size] - upto[own[w]]
-                may = most >= least * (2 * t.size - most)
-                w, i = w[may], i[may]
-                for s, k in zip(own[w].tolist(), i.tolist(), strict=True):
-                    self._keep(t, k, t.similarity(h[s : s + t.size], k), least, out)
+                held.append((np.full(len(own), c), own, window_prints(sums, t.size, own)))
+                n += len(own)
+                if n >= WINDOWS:
+                    self._compare(h, upto, held, least, out)
+                    held, n = [], 0
+        if held:
+            self._compare(h, upto, held, least, out)
+
+    def _compare(self, h: np.ndarray, upto: np.ndarray, held, least: float, out: dict[int, float]) -> None:
+        """Look windows up and compare what is near with the items, exactly."""
+        c, start, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        w, i = self.blocks.candidates(prints, c)
+        size = np.array([t.size for t in self.tables])[c[w]]
+        # no more runs in common than hits
+        most = upto[start[w] + size] - upto[start[w]]
+        may = most >= least * (2 * size - most)
+        for s, k, item in zip(start[w][may].tolist(), c[w][may].tolist(), i[may].tolist(), strict=True):
+            t = self.tables[k]
+            self._keep(t, item - t.first, t.similarity(h[s : s + t.size], item - t.first), least, out)
 
     @staticmethod
     def _keep(t: Tables, k: int, sim: float, least: float, out: dict[int, float]) -> None:
