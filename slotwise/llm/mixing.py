@@ -243,7 +243,8 @@ def mixed(docs: DataFrame, ws: Workspace, kept: tuple[str, ...] = (), tie: Colum
         .withColumn("_to", F.least(F.col("offset") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK)))
     )
     filled = slots(ws.put(draws(sources), "draws")).select("sid", "block", "epoch", "words")
-    taken = pieces.join(filled, ["sid", "block"]).where(F.col("_from") < F.col("words")).select(
+    # both grow with the text: no side is broadcast for the size of its packed file
+    taken = pieces.hint("merge").join(filled, ["sid", "block"]).where(F.col("_from") < F.col("words")).select(
         "_part", "sid", "_n", "epoch",
         (F.col("_from") + F.col("block") * BLOCK - F.col("offset")).alias("from"),
         (F.least("_to", "words") + F.col("block") * BLOCK - F.col("offset")).alias("to"))
@@ -262,7 +263,7 @@ def mixing(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "mixing")
     docs_at, taken = mixed(docs, ws)
     own = taken.groupBy("_part", "sid", "_n").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    return docs_at.join(own, ["_part", "sid", "_n"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return docs_at.hint("merge").join(own, ["_part", "sid", "_n"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op10_mixing(spark, sf_dir):
