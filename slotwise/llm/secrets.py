@@ -2,7 +2,8 @@
 
 Values in a credential context ("pwd: ...") get a guess cost: the cheapest
 segmentation into common words, dates, repeats, keyboard walks and brute-force
-spans, by dynamic programming.  A value that costs enough is a secret even
+spans, by dynamic programming.  Words are ranked by the number of documents of
+the corpus that have them, behind a short list of common passwords.  A value that costs enough is a secret even
 where no fixed pattern knows it, or knows a part of it only.
 """
 
@@ -12,10 +13,13 @@ import hashlib
 import math
 import re
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from slotwise.llm.common import read
+from slotwise.llm.common import parted, read, slices
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,6 +34,12 @@ CONTEXT = re.compile(
 #: Guesses, as a power of 2, from which a value counts as a secret.
 LEAST_BITS = 30.0
 LONGEST_PART = 40
+#: The corpus' own words that the guess cost knows: so many, of so many letters.
+MOST_WORDS = 20_000
+SHORTEST_WORD, LONGEST_WORD = 4, 24
+WORDS = re.compile(rf"(?<![^\W_])[^\W\d_]{{{SHORTEST_WORD},{LONGEST_WORD}}}(?![^\W_])")
+#: Different words that a task counts before it hands them on.
+HELD_WORDS = 500_000
 
 # Common parts of passwords, by rank.
 COMMON = (
@@ -64,40 +74,83 @@ def brute_bits(s: str) -> float:
     return len(s) * math.log2(max(size, 10))
 
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
+def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """Ranks of common words: the fixed list, then the corpus' own by the documents that have them, ties by code point.
+
+    All texts are counted, but for values in a credential context; what reaches
+    the driver is bounded by `most`.
+    """
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for _, texts in slices(batches, 0):
+            for t in texts:
+                own: set[str] = set()
+                for part in parted(t or ""):
+                    # a credential's value doesn't become a common word by standing there
+                    plain = CONTEXT.sub(" ", part) if ":" in part or "=" in part else part
+                    own.update(WORDS.findall(plain.lower()))
+                seen.update(own)
+            if len(seen) > HELD_WORDS:
+                yield rows()
+        if seen:
+            yield rows()
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *found]))}
+
+
+def guess_bits(value: str, ranks: dict[str, int] = RANK, limit: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation needs; 0 for an empty value.
+
+    Costs only grow, so from where all open segmentations are at the limit a
+    number not under it is returned at once.
+    """
     n = len(value)
     low = value.lower()
+    if len(low) != n:  # a letter whose lower case is two
+        low = value
     plain = low.translate(LEET)
     per_char = brute_bits(value) / n if n else 0.0
     best = [0.0] + [math.inf] * n
     # a run of brute-forced characters pays for its start once
     brute = [math.inf] * (n + 1)
-    start_cost = 1.0
+    start_cost, far = 1.0, 0
     for i in range(n):
         brute[i + 1] = min(brute[i], best[i] + start_cost) + per_char
         best[i + 1] = min(best[i + 1], brute[i + 1])
         here = best[i] + start_cost
         top = min(n, i + LONGEST_PART)
-        for j in range(i + 3, min(top, i + 12) + 1):  # words, with case and letter substitutions
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(top, i + LONGEST_WORD) + 1):  # words, with case and letter substitutions
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 part = value[i:j]
-                extra = (part != low[i:j]) * (1.0 if part[1:] == low[i + 1 : j] else j - i) + (low[i:j] != plain[i:j] and low[i:j] not in RANK) * 2.0
+                extra = (part != low[i:j]) * (1.0 if part[1:] == low[i + 1 : j] else j - i) + (low[i:j] != plain[i:j] and low[i:j] not in ranks) * 2.0
                 best[j] = min(best[j], here + math.log2(rank + 1) + extra)
+                far = max(far, j)
         m = DATE.match(value, i)
         if m:
             best[m.end()] = min(best[m.end()], here + math.log2(365 * 120) + 2)
+            far = max(far, m.end())
         j = i + 1
         while j < top and value[j] == value[i]:
             j += 1
             if j - i >= 3:
                 best[j] = min(best[j], here + per_char + math.log2(j - i))
+                far = max(far, j)
         for width in range(2, 9):  # repeats of longer parts
             j = i + width
             while j + width <= n and value[j : j + width] == value[i : i + width] and j < i + 8 * LONGEST_PART:
                 j += width
                 best[j] = min(best[j], here + width * per_char + math.log2((j - i) // width))
+                far = max(far, j)
         j, turns, way = i + 1, 0, 0
         while j < top:  # keyboard walks and runs of the alphabet or digits
             a, b = low[j - 1], low[j]
@@ -107,12 +160,15 @@ def guess_bits(value: str) -> float:
                 j += 1
                 if j - i >= 3:
                     best[j] = min(best[j], here + math.log2(47) + turns * 2 + math.log2(j - i))
+                    far = max(far, j)
             else:
                 break
+        if best[i + 1] >= limit and min(best[i + 1 : max(far, i + 1) + 1]) >= limit:
+            return best[i + 1]
     return best[n]
 
 
-def spans_of(text: str | None, least_bits: float = LEAST_BITS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str | None, least_bits: float = LEAST_BITS, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each (start, kind's number, end) in order; code points, end exclusive."""
     text = text or ""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -127,7 +183,7 @@ def spans_of(text: str | None, least_bits: float = LEAST_BITS) -> tuple[list[tup
             met = [(s, e) for s, _, e in base if s < b and a < e]
             # beside base spans only what is not just a closing bracket after them
             end = a + len(m[1].rstrip(")]}")) if met else b
-            if not any(s <= a and end <= e for s, e in met) and guess_bits(m[1]) >= least_bits:
+            if not any(s <= a and end <= e for s, e in met) and guess_bits(m[1], ranks, least_bits) >= least_bits:
                 more.append((a, 3, b))
     return base, sorted(base + more)
 
@@ -139,13 +195,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def secret_scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
 
-    A null or empty text has no spans; repeated rows stay rows of their own;
+    A null or empty text has no spans; values of any length are looked at
+    whole; repeated rows stay rows of their own; an empty table gives no rows;
     columns other than doc_id and text are not read.
     """
+    ranks = word_ranks(docs)
 
     def run(batches):
-        for b in batches:
-            found = [spans_of(t, least_bits) for t in b.column(1).to_pylist()]
+        for b, texts in slices(batches):
+            found = [spans_of(t, least_bits, ranks) for t in texts]
             counts = [pa.array([sum(x[1] == k for x in own) for _, own in found], pa.int64()) for k in range(4)]
             sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
