@@ -1,11 +1,12 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines and sentences that mention licences, windows of joined lines, and whole
-texts are sparse TF-IDF vectors; their cosine to notices and to whole licences
-names the licence of a header, or makes the text a licence file.  An SPDX tag
-names it outright.  A text without either inherits from the nearest directory
-above it that has a licence file, found by joins of directories with their
-ancestors.
+Whole texts and windows of joined lines and sentences are sparse TF-IDF vectors;
+their cosine to notices and to whole licences names the licence of a header, or
+makes the text a licence file.  Templates that a text's words can't bring to
+the least cosine, and windows without those words that a template can't do
+without, are passed over, which loses nothing.  An SPDX tag names a licence
+outright.  A text without either inherits from the nearest directory above it
+that has a licence file, found by joins of directories with their ancestors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import Workspace, read, words_of
+from slotwise.llm.common import Workspace, parted, read, slices, words_of
 from slotwise.llm.license_texts import BODIES
 
 # Notices by which licences are named, and the opening of their texts.
@@ -46,13 +47,12 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("proprietary", "All rights reserved."),
 )
-MENTION = re.compile(r"licen[cs]|copyright|rights|spdx|public domain|permission|redistribut|free software", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 LEAST = 0.75
 #: A licence file is hardly anything but a licence.
 LEAST_FILE = 0.9
-#: A longer stretch without a line end is looked at by sentences only.
-LONGEST_LINE = 80
+#: A longer sentence, or line without a sentence end, is cut into parts of PART words for windows to join.
+LONGEST_SENTENCE, PART = 6, 2
 #: Marks of comments before a line's own text.
 MARKS = re.compile(r"^(?:\s|[^\w\s]|(?:dnl|rem)\b)+", re.IGNORECASE)
 _ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
@@ -83,10 +83,13 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, d
 
     def run(batches):
         n, seen = 0, Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
+        for _, texts in slices(batches, 0):
+            for t in texts:
                 n += 1
-                seen.update(known.intersection(words_of(t)))
+                own: set[str] = set()
+                for part in parted(t or ""):
+                    own |= known.intersection(words_of(part))
+                seen.update(own)
         rows = [("", n), *sorted(seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), pa.array([k for _, k in rows], pa.int64())], ["word", "n"])
 
@@ -107,34 +110,47 @@ class Templates:
         for i, v in enumerate(self.vectors):
             for w in v:
                 self.by_word.setdefault(w, []).append(i)
+        self.anchors = [self.needed(v) for v in self.vectors]
+
+    @staticmethod
+    def needed(v: dict[str, float]) -> frozenset[str]:
+        """Words of a template of which any text of cosine LEAST has one: the others' part is shorter than that."""
+        rest, out = 1.0, set()
+        for w in sorted(v, key=lambda w: (-v[w], w)):
+            if rest < LEAST * LEAST - 1e-9:
+                break
+            rest -= v[w] ** 2
+            out.add(w)
+        return frozenset(out)
 
     def vector(self, words: list[str]) -> dict[str, float]:
         raw = {w: k * self.idf.get(w, self.other) for w, k in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {w: x / norm for w, x in raw.items()}
 
-    def best(self, words: list[str]) -> tuple[float, str | None]:
-        """The template of the highest cosine; ties go to the first."""
+    def best(self, words: list[str], among: list[int]) -> tuple[float, str | None]:
+        """Of the given templates the one of the highest cosine; ties go to the first."""
+        if not among or not words:
+            return 0.0, None
         v = self.vector(words)
-        dots = [0.0] * len(self.vectors)
-        for w, x in v.items():
-            for i in self.by_word.get(w, ()):
-                dots[i] += x * self.vectors[i][w]
-        top = max(range(len(dots)), key=lambda i: (dots[i], -i))
+        dots = {i: sum(x * v.get(w, 0.0) for w, x in self.vectors[i].items()) for i in among}
+        top = max(among, key=lambda i: (dots[i], -i))
         return dots[top], self.names[top] if dots[top] > 0 else None
 
-    def live(self, words: list[str], least: float) -> list[int]:
+    def live(self, words: set[str], least: float) -> list[int]:
         """Templates that some part of the text may reach: no cosine is above the length of a
         template's part on the text's words."""
         square = [0.0] * len(self.vectors)
-        for w in set(words):
-            for i in self.by_word.get(w, ()):
+        for w in self.by_word.keys() & words:
+            for i in self.by_word[w]:
                 square[i] += self.vectors[i][w] ** 2
         return [i for i, x in enumerate(square) if x >= least * least - 1e-9]
 
-    def windows(self, lines: list[list[str]], mentions: list[bool], live: list[int]):
-        """(cosine, licence) of the best of the live templates for each window of joined lines that has a mention."""
+    def windows(self, lines: list[list[str]], live: list[int]):
+        """(cosine, licence) of the best of the live templates for each window of joined lines with a word that one needs."""
         most = 2 * max(self.sizes[i] for i in live)
+        needed = frozenset().union(*(self.anchors[i] for i in live))
+        mentions = [not needed.isdisjoint(line) for line in lines]
         near, ahead = [False] * len(lines), most + 1  # a mention is in reach
         for s in range(len(lines) - 1, -1, -1):
             ahead = 0 if mentions[s] else ahead + len(lines[s])
@@ -189,38 +205,40 @@ class Matcher:
         self.notices, self.bodies = Templates(TEMPLATES, n, df), Templates(BODIES.items(), n, df)
 
     def scan(self, text: str | None) -> tuple[str, float, str | None]:
-        """('file', 'header' or 'none', cosine, licence) of one text."""
-        if not text or not MENTION.search(text):
+        """('file', 'header' or 'none', cosine, licence) of one text; without a licence the cosine is 0."""
+        text = text or ""
+        every: set[str] = set()
+        for part in parted(text):
+            every.update(words_of(part))
+        bodies, notices = self.bodies.live(every, LEAST_FILE), self.notices.live(every, LEAST)
+        named = declared(text)
+        if not (bodies or notices or named):
             return "none", 0.0, None
-        every = words_of(text)
-        whole = max(self.notices.best(every), self.bodies.best(every), key=lambda x: x[0])
+        words = words_of(text)
+        whole = max(self.notices.best(words, notices), self.bodies.best(words, bodies), key=lambda x: x[0])
         if whole[0] >= LEAST_FILE:
-            return "file", whole[0], whole[1]
-        named = declared(text)
+            return "file", *whole
         if named:
             return "header", 1.0, named
-        raw = [MARKS.sub("", line) for line in text.split("\n")]
-        lines = [words_of(line) for line in raw]
+        lines = list(units(text))
         # a whole licence says more than a notice in it
-        found = max(((self.bodies.sliding(lines, i), self.bodies.names[i]) for i in self.bodies.live(every, LEAST_FILE)), key=lambda x: x[0], default=(0.0, None))
+        found = max(((self.bodies.sliding(lines, i), self.bodies.names[i]) for i in bodies), key=lambda x: x[0], default=(0.0, None))
         if found[0] >= LEAST_FILE:
             return "header", *found
-        mentions = [bool(MENTION.search(line)) for line in raw]
-        scored: list[tuple[float, str | None]] = [(0.0, None)]
-        for line, words, has in zip(raw, lines, mentions, strict=True):
-            if has:
-                parts = [words_of(p) for p in SENTENCE.split(line) if MENTION.search(p)]
-                scored += [self.notices.best(own) for own in ([words] if len(words) <= LONGEST_LINE else []) + parts if own]
-        live = self.notices.live(every, LEAST)
-        if live:
-            # sentences that go on over lines, then windows
-            for paragraph in "\n".join(raw).split("\n\n"):
-                if "\n" in paragraph and MENTION.search(paragraph):
-                    scored += [self.notices.best(words_of(p)) for p in SENTENCE.split(paragraph) if "\n" in p and MENTION.search(p)]
-            scored += self.notices.windows(lines, mentions, live)
+        scored = self.notices.windows(lines, notices) if notices else ()
         # reserved rights stand beside licences
-        found = max(scored, key=lambda x: (x[0] >= LEAST and x[1] != "proprietary", x[0]))
-        return ("header", *found) if found[0] >= LEAST else ("none", found[0], None)
+        found = max(scored, key=lambda x: (x[0] >= LEAST and x[1] != "proprietary", x[0]), default=(0.0, None))
+        return ("header", *found) if found[0] >= LEAST else ("none", 0.0, None)
+
+
+def units(text: str):
+    """The words of lines without comment marks, by sentences; longer ones in parts."""
+    for line in text.split("\n"):
+        for sentence in SENTENCE.split(MARKS.sub("", line)):
+            words = words_of(sentence)
+            step = len(words) if len(words) <= LONGEST_SENTENCE else PART
+            for i in range(0, len(words), step or 1):
+                yield words[i : i + step]
 
 
 def ancestors(path):
@@ -234,16 +252,18 @@ def license_scan(files: DataFrame) -> DataFrame:
 
     basis: 'file', 'header', 'inherited' (directory: from where) or 'none'.
     Of several licence files in a directory the highest cosine counts, then the
-    first licence by name.  Null and empty texts have no licence of their own
-    but may inherit; a null path inherits nothing; repeated rows stay.
+    first licence by name; of several windows of one cosine the first, of
+    several templates the first.  Null and empty texts have no licence of their
+    own but may inherit; a null path inherits nothing; repeated rows stay; an
+    empty table gives no rows; other columns are not read.
     """
     files = files.select("id", "path", "text")
     n, df = document_frequencies(files, sorted({w for _, t in (*TEMPLATES, *BODIES.items()) for w in words_of(t)}))
 
     def run(batches):
         m = Matcher(n, df)
-        for b in batches:
-            found = [m.scan(t) for t in b.column(2).to_pylist()]
+        for b, texts in slices(batches, 2):
+            found = [m.scan(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.string())],
                 ["id", "path", "basis", "score", "license"])
