@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import held_out, labelled_sample, read
+from slotwise.llm.common import held_out, labelled_sample, read, slices
 
 PIECE = 2048
 DICTIONARY = 32768
@@ -89,7 +89,9 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], column: str
     """docs with the probability of label 1 in a new column; a null text counts as empty.
 
     Columns of docs keep their names and order; one named like the new column
-    is replaced.
+    is replaced.  Repeated rows are scored each, equal texts the same; texts
+    of any length are compressed whole, piece by piece; an empty table gives
+    no rows.
     """
     from pyspark.sql import types as T
 
@@ -98,8 +100,8 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], column: str
 
     def run(batches):
         c, w = Compressors(good, bad), np.array(weights)
-        for b in batches:
-            x = np.array([c.features(t) for t in b.column("text").to_pylist()]).reshape(-1, 3)
+        for b, texts in slices(batches, "text"):
+            x = np.array([c.features(t) for t in texts]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, column])
 

@@ -1,8 +1,9 @@
 """Toxic passages: maximal scoring segments over token log-odds.
 
-Tokens are word stems.  Log-odds of toxic against other labelled text get an
-informative Dirichlet prior; the stems that are significantly toxic score
-their lower bound, all others a small loss.  A linear scan finds every maximal
+Tokens are whole words, and single characters of scripts without spaces.
+Log-odds of toxic against other labelled text get an informative Dirichlet
+prior, which draws those of rare words to 0; the words that are significantly
+toxic score their lower bound, all others a small loss.  A linear scan finds every maximal
 scoring segment, and extreme-value statistics say what a score is worth in a
 text of that length.  A logistic calibration of the summed worth is the score.
 """
@@ -10,6 +11,7 @@ text of that length.  A logistic calibration of the summed worth is the score.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import held_out, labelled_sample, read, words_of
+from slotwise.llm.common import held_out, labelled_sample, parted, read, slices
 from slotwise.llm.quality import logistic
 
-STEM = 4
+_ALONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u0e00-\u0e7f"
+TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 PRIOR = 50.0
-#: How many deviations a stem's log-odds must exceed zero by; which, the labelled sample decides.
+#: How many deviations a word's log-odds must exceed zero by; which, the labelled sample decides.
 LEAST_Z = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
 LEAST_ODDS = 2.0
 LOSS = 1.0
@@ -56,12 +59,13 @@ def segments(places: list[int], scores: list[float], loss: float = LOSS) -> list
     return [(a, b, high - low) for a, b, low, high in found]
 
 
-def stems(text: str | None) -> list[str]:
-    return [w[:STEM] for w in words_of(text)]
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased words of a text; characters of scripts that set no spaces are words of their own."""
+    return [w for part in parted(text or "") for w in TOKEN.findall(part.lower())]
 
 
 def log_odds(toxic: list[list[str]], clean: list[list[str]], least_z: float) -> dict[str, float]:
-    """Lower bounds of the log-odds of significantly toxic stems, counted once a text."""
+    """Lower bounds of the log-odds of significantly toxic words, counted once a text."""
     a, b = Counter(), Counter()
     for into, texts in ((a, toxic), (b, clean)):
         for t in texts:
@@ -96,10 +100,10 @@ def decay(table: dict[str, float], clean: list[list[str]]) -> float:
 
 def passages(words: list[str], table: dict[str, float], rate: float) -> list[tuple[int, int, float]]:
     """Significant segments: (first word, end word exclusive, worth in nats)."""
-    places = [i for i, w in enumerate(words) if w[:STEM] in table]
+    places = [i for i, w in enumerate(words) if w in table]
     if not places:
         return []
-    scores = [table[words[i][:STEM]] for i in places]
+    scores = [table[words[i]] for i in places]
     out = []
     for a, b, s in segments(places, scores):
         worth = rate * s - math.log(len(words))
@@ -113,10 +117,10 @@ def features(found: list[tuple[int, int, float]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """(stem scores, rate, weights); without labels of both classes a constant 0.5."""
+    """(word scores, rate, weights); without labels of both classes a constant 0.5."""
     rows = labelled_sample(docs, labels, "toxic", per_class)
-    one: dict[str, str] = {}  # equal stems are one object: the sample stays small in memory
-    texts = {y: [[one.setdefault(w, w) for w in stems(t)] for t in dict.fromkeys(t for t, k in rows if k == y)] for y in (0, 1)}
+    one: dict[str, str] = {}  # equal words are one object: the sample stays small in memory
+    texts = {y: [[one.setdefault(w, w) for w in tokens(t)] for t in dict.fromkeys(t for t, k in rows if k == y)] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return {}, 1.0, [0.0, 0.0]
     best = None
@@ -150,15 +154,16 @@ def learned(texts: dict[int, list[list[str]]], least_z: float) -> tuple[dict[str
 def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score, passages): the passages as word ranges with their worth in nats.
 
-    A null or empty text has none and scores as any clean text; other columns
-    are not read.
+    A null or empty text has none and scores as any clean text; repeated rows
+    are scored each; of segments that tie, the first found stands; an empty
+    table gives no rows; other columns are not read.
     """
     table, rate, weights = model
 
     def run(batches):
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("worth", pa.float64())]))
-        for b in batches:
-            found = [passages(words_of(t), table, rate) for t in b.column(1).to_pylist()]
+        for b, texts in slices(batches):
+            found = [passages(tokens(t), table, rate) for t in texts]
             x = np.array([features(f) for f in found]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
             yield pa.RecordBatch.from_arrays(
