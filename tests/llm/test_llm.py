@@ -142,6 +142,13 @@ def test_near_duplicates_of_edge_cases(edge):
     assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_shared_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, a + " more"), (None, c), (None, c + " more"), (3, None)]
+    got = sorted(((r["doc_id"] or 0, r["class_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (0, 1, False), (0, None, True), (0, None, True), (3, 3, True)], key=str)
+
+
 # --- token output ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 5, 4096, 4097, 300_000])
@@ -162,6 +169,17 @@ def test_blocks_round_trip(n):
         token_output.decode_block(table, bytes(broken))
 
 
+def test_readers_share_a_block():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 500, 5 * token_output.LANES * token_output.ROWS_BETWEEN + 77).astype(np.uint32)
+    table = token_output.Table(token_output.quantised(np.bincount(ids)))
+    block = token_output.encode_block(table, [1, None, -(2**63)], np.array([5, 0, len(ids) - 5]), ids, 0)
+    docs, _, whole, _ = token_output.decode_block(table, block)
+    assert docs.tolist() == [1, None, -(2**63)] and (whole == ids).all()
+    parts = [token_output.decode_block(table, block, a, b)[2] for a, b in ((0, 1), (1, 4), (4, 5), (5, None))]
+    assert (np.concatenate(parts) == ids).all()
+
+
 def test_quantised_keeps_every_id():
     counts = np.r_[10**12, np.ones(49000, np.int64), 0]
     f = token_output.quantised(counts)
@@ -181,6 +199,8 @@ def test_tokens_like_the_library(docs, edge):
             start += len(ids)
         got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_output.token_output(df, token_output.default_tokenizer(), 2).collect())
         assert got == sorted(want)
+    least = edge.sparkSession.createDataFrame([(-(2**63), "a"), (None, "b")], "doc_id long, text string")
+    assert {r["doc_id"] for r in token_output.token_output(least, token_output.default_tokenizer(), 2).collect()} == {-(2**63), None}
     assert token_output.token_output(edge.limit(0), token_output.default_tokenizer(), 2).count() == 0
 
 
@@ -212,6 +232,53 @@ def test_classifiers_on_edge_cases(spark, edge):
     assert quality.score(edge.limit(0), quality.fit(edge, labels)).count() == 0
 
 
+def test_compressed_sizes_like_the_library(docs):
+    import zstandard as zs
+
+    texts = [r["text"] for r in docs.limit(60).collect()]
+    good, bad = quality.dictionary(texts[:30]), quality.dictionary(texts[30:])
+    c = quality.Compressors(good, bad)
+    for t in [*texts, "", "é" * 5000, LONG]:
+        raw = t.encode()
+        sizes = []
+        for d in (good, bad):
+            z = zs.ZstdCompressor(level=3, dict_data=zs.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(raw[i : i + quality.PIECE])) for i in range(0, len(raw), quality.PIECE)))
+        g, b = sizes
+        assert c.features(t) == pytest.approx((1.0, 10 * (g - b) / max(1, g + b), 10 * (g - b) / max(1, len(raw))))
+
+
+def test_score_is_the_calibrated_difference(edge):
+    labels = edge.sparkSession.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, quality int")
+    model = quality.fit(edge, labels)
+    c = quality.Compressors(*model[:2])
+    for r in quality.score(edge, model, "_p").collect():
+        assert r["_p"] == pytest.approx(1 / (1 + np.exp(-float(np.dot(c.features(r["text"]), model[2])))))
+
+
+def test_log_odds_and_decay_like_their_formulas():
+    import math
+
+    toxic = [["bad", "worse", "the"], ["bad", "the"], ["worse", "bad", "x"]] * 30
+    clean = [["the", "good", "y"], ["the", "x", "fine"]] * 60
+    got = toxicity.log_odds(toxic, clean, 2.0)
+    assert set(got) == {"bad", "worse"}
+    n, m = len(toxic), len(clean)
+    for w, ya in (("bad", 90), ("worse", 60)):
+        prior = toxicity.PRIOR * ya / (n + m) + 0.01
+        odds = math.log((ya + prior) / (n + 2 * toxicity.PRIOR - ya)) - math.log(prior / (m + 2 * toxicity.PRIOR))
+        assert got[w] == pytest.approx(odds - math.sqrt(1 / (ya + prior) + 1 / prior))
+    rate = toxicity.decay(got, clean)
+    total = sum(map(len, clean)) + len(got)
+    p = {w: 0.5 / total for w in got}
+    assert (1 - sum(p.values())) * math.exp(-rate) + sum(q * math.exp(rate * got[w]) for w, q in p.items()) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_tokens_are_whole_words():
+    assert toxicity.tokens("Assassin assay, ASSAULT\n坏人 x_1") == ["assassin", "assay", "assault", "坏", "人", "x_1"]
+    assert toxicity.tokens(None) == []
+
+
 def test_segments_like_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -256,6 +323,71 @@ def test_guess_costs():
     assert secrets.spans_of("secret=token = abcdefgh")[0] == []
 
 
+def cheapest(value, ranks):
+    """The minimum over all segmentations of a short value, part by part."""
+    from functools import cache
+
+    low, n = value.lower(), len(value)
+    per = secrets.brute_bits(value) / n
+
+    def options(i, j):
+        part = value[i:j]
+        yield 1 + per * (j - i)
+        for form, more in ((low[i:j], 0.0), (low.translate(secrets.LEET)[i:j], 2.0)):
+            if len(part) >= 3 and form in ranks:
+                case = 0.0 if part == low[i:j] else 1.0 if part[1:] == low[i + 1 : j] else float(j - i)
+                yield 1 + np.log2(ranks[form] + 1) + case + (more if low[i:j] not in ranks else 0.0)
+                break
+        m = secrets.DATE.match(value, i)
+        if m and m.end() == j:
+            yield 1 + np.log2(365 * 120) + 2
+        if j - i >= 3 and len(set(part)) == 1:
+            yield 1 + per + np.log2(j - i)
+        for width in range(2, 9):
+            k = (j - i) // width
+            if k >= 2 and k * width == j - i and part == part[:width] * k:
+                yield 1 + width * per + np.log2(k)
+        steps = [ord(b) - ord(a) for a, b in zip(low[i:j], low[i + 1 : j], strict=False)]
+        linked = [b in secrets.NEAR.get(a, ()) or (abs(ord(b) - ord(a)) == 1 and a.isalnum() and b.isalnum()) for a, b in zip(low[i:j], low[i + 1 : j], strict=False)]
+        if j - i >= 3 and all(linked):
+            turns = sum(x != y for x, y in zip([0, *steps], steps, strict=False))
+            yield 1 + np.log2(47) + 2 * turns + np.log2(j - i)
+
+    @cache
+    def best(i):
+        return 0.0 if i == n else min(min(options(i, j)) + best(j) for j in range(i + 1, n + 1))
+
+    return best(0)
+
+
+def test_guess_costs_are_the_cheapest_segmentation():
+    rng = np.random.default_rng(3)
+    ranks = {**secrets.RANK, "haus": 400, "sternwarte": 9000}
+    parts = ["haus", "Haus", "sternwarte", "pa55word", "qwer", "123", "aaaa", "abab", "2024-01-05", "K#", "x", "zxcv", "7", "HAUS"]
+    for _ in range(150):
+        value = "".join(rng.choice(parts, rng.integers(1, 4)))[:14]
+        want = cheapest(value, ranks)
+        assert secrets.guess_bits(value, ranks) == pytest.approx(want), value
+        for limit in (10.0, 30.0, 60.0):
+            assert (secrets.guess_bits(value, ranks, limit) >= limit) == (want >= limit)
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    import time
+
+    common = "information schmetterling mountainriver international quelquefois mariposa required".split()
+    rows = [(i, f"there is {' and '.join(common)} {i}") for i in range(30)] + [(100 + i, f"pwd: {w}") for i, w in enumerate(common)]
+    rows += [(200, "pwd: xkqzvbnwpyjd"), (201, "pwd: x9F!kQ2#pLz8"), (202, "pwd: " + "x9F!kQ2#pLz8" * 90_000), (203, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secrets.word_ranks(df)
+    assert all(secrets.guess_bits(w, ranks) < secrets.LEAST_BITS for w in common) and secrets.guess_bits("information") > secrets.LEAST_BITS
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["n_guess"] for r in secrets.secret_scan(df).collect()}
+    assert time.perf_counter() - began < 30
+    assert {i for i, n in got.items() if n} == {200, 201, 202}
+    assert secrets.secret_scan(df.limit(0)).count() == 0
+
+
 def test_values_that_go_on_after_a_base_span():
     text = "password: Summer2024!xK#9vQ and more"
     base, every = secrets.spans_of(text)
@@ -299,6 +431,47 @@ def test_whole_and_wrapped_licences(spark):
     assert all(got[i] == (None, "none") for i, _, _ in plain)
 
 
+def test_licences_wherever_they_stand(spark):
+    from slotwise.llm.license_texts import BODIES
+
+    words = " ".join(f"word{i}" for i in range(150))
+    rows = [
+        (1, None, f"{words} Licensed under the Apache License, Version 2.0 {words}"), (2, None, f"{words} {' '.join(BODIES['MIT'].split())} {words}"), (3, None, ""), (4, None, words * 400),
+        (5, "a/LICENSE", BODIES["MIT"]), (6, "a/COPYING", BODIES["ISC"]), (7, "a/b/c/d.py", "code"), (7, "a/b/c/d.py", "code"), (8, None, "Dies Werk steht unter Released under the MIT License. und mehr"), (9, "", None)]
+    df = spark.createDataFrame([(*r, "x", "y", 1.0) for r in rows], "id long, path string, text string, license string, basis string, score double")
+    got = sorted((r["id"], r["license"], r["basis"], r["directory"]) for r in licenses.license_scan(df).collect())
+    assert [x[:3] for x in got] == [
+        (1, "Apache-2.0", "header"), (2, "MIT", "header"), (3, None, "none"), (4, None, "none"), (5, "MIT", "file"), (6, "ISC", "file"),
+        (7, got[6][1], "inherited"), (7, got[6][1], "inherited"), (8, "MIT", "header"), (9, None, "none")]
+    assert got[6][1] in ("MIT", "ISC") and got[6][3] == "a"
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_pruned_windows_like_all_windows():
+    """The pruned search against the cosine of every window of joined units, by its definition."""
+    import math
+
+    rng = np.random.default_rng(5)
+    m = licenses.Matcher(1000, {})
+    t = m.notices
+    pool = [w for _, x in licenses.TEMPLATES for w in licenses.words_of(x)]
+    for _ in range(25):
+        name, notice = licenses.TEMPLATES[int(rng.integers(len(licenses.TEMPLATES)))]
+        noise = lambda n: " ".join(rng.choice([*pool, *(f"z{i}" for i in range(40))], n))
+        kept = [w for w in notice.split() if rng.random() < 0.9]
+        text = f"{noise(9)}.\n# {' '.join(kept)}\n{noise(30)}"
+        lines = list(licenses.units(text))
+        best = 0.0
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                words = [w for line in lines[s:e] for w in line]
+                v = Counter(words)
+                norm = math.sqrt(sum((n * t.idf.get(w, t.other)) ** 2 for w, n in v.items()))
+                best = max([best, *(sum(n * t.idf.get(w, t.other) * x.get(w, 0.0) for w, n in v.items()) / norm for x in t.vectors)])
+        kind, score, _ = m.scan(text)
+        assert (kind != "none") == (best >= licenses.LEAST - 1e-12) and (kind != "header" or abs(score - best) < 1e-9)
+
+
 # --- embeddings ------------------------------------------------------------------------------
 
 def test_embeddings_like_brute_force(spark, sf):
@@ -325,6 +498,23 @@ def test_embeddings_like_brute_force(spark, sf):
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [384, 768])
+def test_recall_at_larger_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    base = rng.standard_normal((60, d))
+    # cosines around the threshold and above, in groups of unequal sizes; some vectors huge or tiny
+    v = [base[i % 60] / np.linalg.norm(base[i % 60]) + rng.standard_normal(d) * (0.05 + 0.2 * (i % 7) / 7) / np.sqrt(d) for i in range(700)]
+    scale = {0: 1e170, 1: 1e-170}
+    rows = [(i, (x * scale.get(i % 50, 1.0)).tolist(), "x", "y") for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string, component_id string")
+    u = np.array([x / np.linalg.norm(x) for x in v])
+    near = u @ u.T >= 0.95
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(df).collect()}
+    want = near.sum(axis=1) - 1
+    assert sum(got[i]["n_links"] for i in range(len(v))) >= 0.999 * want.sum() > 0
+    assert all(got[i]["n_links"] <= want[i] for i in range(len(v)))
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 def test_contamination_like_brute_force(spark, sf, docs):
@@ -384,14 +574,57 @@ def test_texts_shorter_than_items(spark):
     assert want[1] == want[2] == {0} and want[6] == set()
 
 
+def blocks_of(rng, n):
+    h = [rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(n)]
+    prints = np.concatenate([decontaminate.window_prints(decontaminate.bit_sums(x), 40, np.zeros(1, np.int64)) for x in h])
+    return decontaminate.Blocks(prints, np.arange(n) % 2)
+
+
 def test_near_fingerprints_are_never_missed():
     rng = np.random.default_rng(6)
-    h = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    t = decontaminate.Tables(40, [(1, h)])
-    for _ in range(200):
-        flips = rng.choice(64, rng.integers(0, decontaminate.RADIUS + 1), replace=False)
-        other = t.prints[0] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0))
-        assert len(t.candidates(np.array([other], np.uint64))[0]) == 1
+    t = blocks_of(rng, 30)
+    for k in range(300):
+        flips = rng.choice(decontaminate.BITS, rng.integers(0, decontaminate.RADIUS + 1), replace=False)
+        bits = np.zeros(decontaminate.BITS, np.uint8)
+        bits[flips] = 1
+        other = t.prints[k % 30] ^ np.packbits(bits).view(np.uint64)
+        assert (k % 30) in t.candidates(other[None, :], np.array([k % 2]))[1].tolist()
+        assert (k % 30) not in t.candidates(other[None, :], np.array([1 - k % 2]))[1].tolist()
+
+
+def test_few_pairs_are_candidates():
+    rng = np.random.default_rng(9)
+    t = blocks_of(rng, 200)
+    h = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    prints = decontaminate.window_prints(decontaminate.bit_sums(h), 40, np.arange(0, 3900))
+    pairs, size = len(prints) * 100, np.zeros(len(prints), np.int64)
+    assert sum(len(w) for w, _ in t.looked_up(prints, size)) < 0.2 * pairs
+    assert len(t.candidates(prints, size)[0]) < 0.0001 * pairs
+
+
+def test_similar_windows_are_in_the_radius():
+    """Multisets of similarity 0.8: what the radius misses of them."""
+    rng = np.random.default_rng(12)
+    missed = 0
+    for _ in range(300):
+        a = rng.integers(0, 2**63, 45, dtype=np.uint64)
+        b = np.r_[a[:40], rng.integers(0, 2**63, 5, dtype=np.uint64)]
+        x, y = (decontaminate.window_prints(decontaminate.bit_sums(h), 45, np.zeros(1, np.int64)) for h in (a, b))
+        missed += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
+    assert missed <= 1
+
+
+def test_passes_over_a_large_benchmark(spark, sf, docs, monkeypatch):
+    bench = read(spark, sf, "benchmark")
+    twice = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+
+    def rows():
+        return sorted((r["doc_id"] or -1, [(x["item_id"], round(x["similarity"], 6)) for x in r["items"]]) for r in decontaminate.contamination(twice, bench).collect())
+
+    want = rows()
+    for most in (1 + bench.count() // 3, max(1, bench.count() // 8)):
+        monkeypatch.setattr(decontaminate, "MOST_ITEMS", most)
+        assert rows() == want
 
 
 # --- mixing ----------------------------------------------------------------------------------
@@ -438,6 +671,50 @@ def test_mix_meets_its_targets(docs, edge):
     assert mixing.mixing(edge.limit(0)).count() == 0
 
 
+def test_slots_and_words_like_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.select("doc_id", "source", "text").collect()] + [(None, None, "one two three"), (7, "src1", "four five")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = mixing.targets(spark.createDataFrame([(s, size(t)) for _, s, t in rows], "source string, n long").groupBy("source").agg(F.sum("n").alias("source_size"))).collect()
+    # documents of a source in order; rows of one doc_id in the order of their texts' hashes
+    keyed = df.withColumn("h", F.xxhash64("text")).collect()
+    own = {s["sid"]: sorted((r for r in keyed if r["source"] == s["source"]), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"])) for s in sources}
+    frame = spark.createDataFrame([(s["source"], s["sid"], s["source_size"], s["target"]) for s in sources], "source string, sid int, source_size long, target double")
+    got = mixing.slots(mixing.draws(frame)).collect()
+    want = Counter()
+    for s in sources:
+        d = mixing.drawn(s["sid"], s["source_size"], s["target"])
+        mine = sorted((r for r in got if r["sid"] == s["sid"]), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(d.slots))
+        words = [k for k, r in enumerate(own[s["sid"]]) for _ in range(size(r["text"]))]
+        taken = 0
+        for r in mine:
+            assert r["block"] == mixing.Permutation(d.blocks, s["sid"], r["slot"] // d.blocks)(np.array([r["slot"] % d.blocks]))[0]
+            part = words[r["block"] * mixing.BLOCK : (r["block"] + 1) * mixing.BLOCK][: r["words"]]
+            taken += len(part)
+            for k in part:
+                x = own[s["sid"]][k]
+                want[x["doc_id"], x["source"], x["h"]] += 1
+        assert taken == d.words
+    shards = Counter(r["shard"] for r in got)
+    assert all(n == mixing.SHARD_SLOTS for k, n in shards.items() if k < max(shards))
+    sizes = {(r["doc_id"], r["source"], r["h"]): size(r["text"]) for r in keyed}
+    told = Counter((r["doc_id"] or -1, r["size"], r["taken"]) for r in mixing.mixing(df).collect())
+    assert told == Counter((d or -1, sizes[d, s, h], want[d, s, h]) for d, s, h in sizes)
+
+
+def test_many_sources_are_shared_out_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES_TOGETHER", 7)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    frame = spark.createDataFrame([(f"s{i}", i, 100 + 37 * i, 90.0 + 60 * i) for i in range(30)], "source string, sid int, source_size long, target double")
+    got = mixing.slots(mixing.draws(frame)).collect()
+    draws = [mixing.drawn(i, 100 + 37 * i, 90.0 + 60 * i) for i in range(30)]
+    by = Counter(r["sid"] for r in got)
+    assert all(by[d.sid] == d.slots for d in draws) and len({(r["sid"], r["slot"]) for r in got}) == len(got)
+    shards = Counter(r["shard"] for r in got)
+    assert all(n == 16 for k, n in shards.items() if k < max(shards))
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark, sf, docs, tmp_path):
@@ -484,3 +761,33 @@ def test_pipeline_rows_without_an_id(spark, sf, docs):
     got = cp.mix_sources(spark, one, sf).collect()
     assert taken == sum(len(r["text"].split()) for r in got) > 0 and all(r["doc_id"] is None for r in got)
     assert all(any(r["text"].strip() in t for t in [*texts, item]) for r in got)
+
+
+def test_pipeline_stages_on_the_edge_table(spark, sf, edge):
+    cp = pytest.importorskip("corpus_pipeline")
+    rows = edge.withColumn("n_chars", F.length("text").cast("long"))
+    good = cp.keep_good(spark, rows, sf)
+    assert good.columns == cp.COLUMNS and good.count() <= len(EDGE)
+    one = sorted((r["doc_id"] or 0, r["text"] or "") for r in cp.keep_one_of_each(spark, rows, sf).collect())
+    assert one == sorted((i or 0, t or "") for i, t, *_ in EDGE[1:])  # of the repeated row one
+    assert cp.drop_contaminated(spark, rows, sf).count() == len(EDGE)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    got = cp.mix_sources(spark, rows, sf).collect()
+    assert sum(size(r["text"]) for r in got) == sum(r["taken"] for r in mixing.mixing(rows).collect()) > 0
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and None in {r["doc_id"] for r in got}
+    assert cp.write_tokens(spark, rows, sf).count() == len(EDGE)
+    empty = rows.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+
+
+def test_pipeline_keeps_rows_apart_that_share_an_id(spark, sf):
+    cp = pytest.importorskip("corpus_pipeline")
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a + " x", "en", "s", 1), (None, "c d e f g h", "en", None, 1), (9, b, None, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in cp.keep_one_of_each(spark, df, sf).collect()) == sorted([(5, a), (5, b), (0, "c d e f g h")])
+    taken = Counter()
+    for r in cp.mix_sources(spark, df, sf).collect():
+        taken[r["doc_id"]] += len(r["text"].split())
+    assert sum(taken.values()) == sum(r["taken"] for r in mixing.mixing(df).collect())
