@@ -86,9 +86,9 @@ def mix_sources(spark, docs, sf_dir):
     runs = taken.withColumn("_new", (F.coalesce(F.lag("to").over(w), F.lit(-1)) != F.col("from")).cast("int")).withColumn("_run", F.sum("_new").over(w))
     runs = runs.groupBy("_part", "sid", "_n", "epoch", "_run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     runs = runs.groupBy("_part", "sid", "_n").agg(F.array_sort(F.collect_list(F.struct("epoch", "from", "to"))).alias("_runs"))
-    own = at.select("_part", "sid", "_n", "_row").join(runs, ["_part", "sid", "_n"]).select("_row", "_runs")
+    own = at.select("_part", "sid", "_n", "_row").hint("merge").join(runs, ["_part", "sid", "_n"]).select("_row", "_runs")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    parts = rows.join(own, "_row").withColumn("_words", words)
+    parts = rows.hint("merge").join(own, "_row").withColumn("_words", words)
     texts = F.transform("_runs", lambda r: F.array_join(F.slice(F.col("_words"), r["from"].cast("int") + 1, (r["to"] - r["from"]).cast("int")), ""))
     return parts.select("doc_id", F.explode(texts).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
