@@ -27,6 +27,12 @@ def age_days(recorded: Column, valid_from: Column, ref: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce((F.unix_timestamp(ref) - F.unix_timestamp(since)) / 86400.0, F.lit(0.0)))
 
 
+def days_since_hit(last_hit: Column, recorded: Column, valid_from: Column, ref: Column) -> Column:
+    """Days since the last use; without one the age."""
+    since = F.greatest(F.lit(0.0), (F.unix_timestamp(ref) - F.unix_timestamp(last_hit.cast("timestamp"))) / 86400.0)
+    return F.when(last_hit.isNotNull(), since).otherwise(age_days(recorded, valid_from, ref))
+
+
 def recency(age: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), age / half_life)
 

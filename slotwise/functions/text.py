@@ -6,6 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "[一-鿿]+"
+# Fixed value: white space that is trimmed from records.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def clipped(text: Column, n: int, mark: str = "") -> Column:
+    """The first n characters; where that leaves something out, the mark follows."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
 
 
 def slot(subject: Column, predicate: Column) -> Column:
@@ -19,10 +31,16 @@ def digest(slot_key: Column, value: Column, body: Column) -> Column:
     return F.substring(F.sha1(basis.cast("binary")), 1, 16)
 
 
+def _units(text: Column) -> Column:
+    """The UTF-16 code units of a text; a character beyond the first plane is two."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    high = lambda c: F.lit(0xD800) + F.floor((c - 0x10000) / 1024).cast("int")
+    return F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(F.array(high(c), F.lit(0xDC00) + (c - 0x10000) % 1024))))
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters' codes, as eight hex digits."""
-    codes = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(F.ascii(c)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """32-bit FNV-1a over the UTF-16 units' codes, as eight hex digits."""
+    h = F.aggregate(_units(text), F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(c.cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
@@ -69,6 +87,15 @@ def slug(text: Column, limit: int = 40) -> Column:
     return F.substring(F.when(plain == "", F.substring(F.sha1(text.cast("binary")), 1, 8)).otherwise(plain), 1, limit)
 
 
+def short_slug(text: Column, limit: int = 40) -> Column:
+    """The other slug of file names: text without ASCII letters and digits gets a hash of its own in base 36."""
+    low = F.lower(trimmed(text))
+    plain = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    cut = F.regexp_replace(F.substring(plain, 1, limit), "-+$", "")
+    h = F.aggregate(_units(low), F.lit(0).cast("long"), lambda a, c: (a * 31 + c.cast("long")).bitwiseAND(F.lit(4294967295)))
+    return F.when(plain != "", cut).otherwise(F.substring(F.lower(F.conv(h.cast("string"), 10, 36)), 1, 8))
+
+
 def quoted(text: Column) -> Column:
     """A front-matter scalar, quoted where it would read as something else."""
     plain = F.coalesce(text, F.lit(""))

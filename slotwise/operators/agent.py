@@ -9,12 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.config import TYPES
+
 STRATEGIES = ("lines", "jsonl", "json_array", "conversation", "separator", "markdown", "yaml", "csv", "log", "blank_line", "whole", "text")
 PATH = re.compile(r"^[A-Za-z_]\w*(\[\])?(\.[A-Za-z_]\w*(\[\])?)*$")
 #: Starting brackets that are tried in a text around JSON.
 MOST_STARTS = 4
+#: Cards that a result, and a chunk of an own extraction, may give.
+MOST_CARDS, MOST_OF_CHUNK = 60, 40
 # Other names of a card's fields, by rank.
-ALIASES = {"type": ("type", "category"), "title": ("title", "name"), "subject": ("subject",), "predicate": ("predicate",), "value": ("value", "key"), "body": ("body", "content", "text", "desc", "summary")}
+ALIASES = {"type": ("type", "category"), "title": ("title", "name"), "subject": ("subject", "slot"), "predicate": ("predicate",), "value": ("value", "key"), "body": ("body", "content", "text", "desc", "summary")}
+#: Fields without other names, and lists.
+PLAIN = ("status", "confidence", "importance", "valid_from", "valid_to")
+LISTS = {"tags": ("tags",), "aliases": ("aliases", "alias"), "links": ("links",), "supersedes": ("supersedes",)}
 # Other names of the types.
 LABELS = {
     "身份": "profile", "身份事实": "profile", "偏好": "preference", "偏好约定": "preference", "环境": "environment", "环境事实": "environment",
@@ -55,34 +62,53 @@ def cards_in(value) -> list[dict]:
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
+def said(value) -> str | None:
+    """A field's value as text, JSON's way."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, (bool, int, float, list, dict)) else str(value)
+
+
 def coerced(raw: dict) -> dict:
-    """A card's fields from an object with other names; a slot gives subject and predicate."""
-    out = {k: next((raw[n] for n in names if raw.get(n) not in (None, "")), None) for k, names in ALIASES.items()}
-    slot = raw.get("slot")
-    if isinstance(slot, str) and "::" in slot and not (out["subject"] and out["predicate"]):
-        out["subject"], out["predicate"] = slot.split("::", 1)
+    """A card's fields from an object with other names; a slot gives subject and predicate, a title the value.
+
+    Lists given as text are cut at commas; single entries are lists of one.
+    """
+    out = {k: next((raw[n] for n in names if n in raw), None) for k, names in ALIASES.items()}
+    for slot in (out["subject"] if not out["predicate"] else None, raw.get("slot") if not out["subject"] else None):
+        if isinstance(slot, str) and "::" in slot:
+            out["subject"], out["predicate"] = slot.split("::")[:2]
     out["value"] = out["value"] or out["title"]
-    tags = raw.get("tags") or []
-    out["tags"] = [t.strip() for t in (re.split("[,，、]", tags) if isinstance(tags, str) else map(str, tags)) if t.strip()]
-    if out["type"] is not None:
+    if out["type"]:
         kind = str(out["type"]).strip()
-        out["type"] = LABELS.get(kind, kind.lower())
-    return {k: v if k == "tags" or v is None else str(v) for k, v in out.items()}
+        out["type"] = kind.lower() if kind.lower() in TYPES else LABELS.get(kind, kind.lower())
+    out = {k: said(v) for k, v in (out | {k: raw.get(k) for k in PLAIN}).items()}
+    for k, names in LISTS.items():
+        own = next((raw[n] for n in names if raw.get(n)), [])
+        own = re.split("[,，、]", own) if isinstance(own, str) and k in ("tags", "aliases") else own if isinstance(own, list) else []
+        out[k] = [t for t in ((said(x) or "").strip() for x in own) if t]
+    return out
 
 
-def extracted(results: DataFrame) -> DataFrame:
-    """Cards of results (chunk, text); a result without cards gives one row with an error."""
+def extracted(results: DataFrame, most: int = MOST_CARDS) -> DataFrame:
+    """Cards of results (chunk, text), at most so many of each; a result without cards gives one row with an error.
+
+    error: no_json, or no_cards for JSON that has none.
+    """
+    names = ["chunk", "ord", *ALIASES, *PLAIN, *LISTS, "error"]
 
     def run(batches):
         for b in batches:
             rows = []
             for chunk, text in zip(b["chunk"], b["text"], strict=True):
-                found = [coerced(x) for x in cards_in(loose(text))]
-                rows += [{"chunk": chunk, "ord": i, **c, "error": None} for i, c in enumerate(found)] or [{"chunk": chunk, "ord": 0, **dict.fromkeys(ALIASES), "tags": [], "error": "no_cards"}]
-            yield pd.DataFrame(rows, columns=["chunk", "ord", *ALIASES, "tags", "error"])
+                value = loose(text)
+                found = [coerced(x) for x in cards_in(value)[:most]]
+                none = {"chunk": chunk, "ord": 0, **dict.fromkeys((*ALIASES, *PLAIN)), **{k: [] for k in LISTS}, "error": "no_json" if value is None else "no_cards"}
+                rows += [{"chunk": chunk, "ord": i, **c, "error": None} for i, c in enumerate(found)] or [none]
+            yield pd.DataFrame(rows, columns=names)
 
-    fields = ", ".join(f"{k} string" for k in ALIASES)
-    return results.select("chunk", "text").mapInPandas(run, f"chunk string, ord int, {fields}, tags array<string>, error string")
+    fields = ", ".join([f"{k} string" for k in (*ALIASES, *PLAIN)] + [f"{k} array<string>" for k in LISTS])
+    return results.select("chunk", "text").mapInPandas(run, f"chunk string, ord int, {fields}, error string")
 
 
 def recipe_problem(strategy: Column, fields: Column) -> Column:
@@ -102,13 +128,3 @@ def recipe_progress(manifest: DataFrame, recipes: DataFrame) -> DataFrame:
     r = recipes.select("source", F.lit(True).alias("_has"), recipe_problem(F.col("strategy"), F.col("fields")).alias("problem")).dropDuplicates(["source"])
     state = F.when(F.col("_has").isNull(), "missing").when(F.col("problem").isNotNull(), "invalid").otherwise("ok")
     return manifest.join(r, "source", "left").select("source", state.alias("state"), "problem")
-
-
-def resolved(cards: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Cards after decisions (slot, verdict, keep): losers superseded, kept or archived, bodies unchanged."""
-    d = decisions.select("slot", "verdict", F.col("keep").alias("_keep"))
-    out = cards.join(d, "slot", "left")
-    loses = F.col("verdict").isNotNull() & (F.col("id") != F.col("_keep")) & (F.col("status") == "active")
-    status = F.when(F.col("verdict").isin("supersede", "merge", "keep") & loses, "superseded").when((F.col("verdict") == "archive") & loses, "archived").when((F.col("verdict") == "dispute") & (F.col("status") == "active"), "disputed").otherwise(F.col("status"))
-    by = F.when(F.col("verdict").isin("supersede", "merge") & loses, F.col("_keep"))
-    return out.withColumn("superseded_by", by).withColumn("status", status).drop("verdict", "_keep")

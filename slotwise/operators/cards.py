@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from slotwise.config import ARCHIVE_IDLE_DAYS, ARCHIVE_IMPORTANCE, CHANGE, DEFAULT, ENRICHMENT, IDENTICAL, NEAR, PROTECTED, RELATIONS, RESTATE, STATUSES, UNKNOWN_TYPE, Config
 from slotwise.functions import temporal as D
 from slotwise.functions import text as T
+from slotwise.operators.ordered import running
+
 
 def newest():
     """Sort order: what became valid or was recorded last comes first."""
@@ -26,6 +29,45 @@ def as_of(cards: DataFrame, day: str) -> DataFrame:
     return cards.where(D.valid_at(F.col("valid_from"), F.col("valid_to"), F.lit(day).cast("date")))
 
 
+def current(cards: DataFrame) -> DataFrame:
+    """Cards with a flag is_current: active and without an end."""
+    return cards.withColumn("is_current", F.coalesce((F.col("status") == "active") & F.col("valid_to").isNull(), F.lit(False)))
+
+
+def with_id(cards: DataFrame, ids: list[str]) -> DataFrame:
+    """The cards of the given ids; for many ids join instead."""
+    return cards.where(F.col("id").isin(ids))
+
+
+def of_types(cards: DataFrame, types: list[str]) -> DataFrame:
+    return cards.where(F.col("type").isin(types))
+
+
+def listed(cards: DataFrame, kind: str | None = None, status: str | None = None, subject: str | None = None, limit: int = 40) -> DataFrame:
+    """Cards of a type and status whose subject begins so, by number."""
+    for name, value in (("type", kind), ("status", status)):
+        cards = cards.where(F.col(name) == value) if value else cards
+    if subject:
+        cards = cards.where(F.startswith("subject", F.lit(subject)))
+    return cards.orderBy("num").limit(limit)
+
+
+def with_subjects(cards: DataFrame, subjects: list[str]) -> DataFrame:
+    """Cards of the subjects in any case."""
+    return cards.where(F.lower("subject").isin([s.lower() for s in subjects]))
+
+
+def malformed(cards: DataFrame) -> DataFrame:
+    """One row: active cards without a part of their slot, and all active ones."""
+    bad = (F.trim(F.coalesce("subject", F.lit(""))) == "") | (F.trim(F.coalesce("predicate", F.lit(""))) == "")
+    return active(cards).agg(F.count_if(bad).alias("malformed"), F.count("*").alias("total"))
+
+
+def needs_review(cards: DataFrame) -> DataFrame:
+    """Disputed cards, and active ones of little confidence."""
+    return cards.where("status in ('active', 'disputed') and (status = 'disputed' or confidence < 0.5)")
+
+
 def by_subject(cards: DataFrame, subjects: list[str]) -> DataFrame:
     """Cards of the subjects, or whose subject contains the first one's part before the colon."""
     return cards.where(F.col("subject").isin(subjects) | F.contains("subject", F.lit(subjects[0].split(":")[0])))
@@ -103,11 +145,11 @@ def deduplicated(cards: DataFrame) -> DataFrame:
 
     Equal digests go before any comparison, so only a slot's distinct cards meet.
     The fold compares a card with those kept before it, which is linear in the
-    kept ones; slots are independent and are not gathered across.
+    kept ones; slots are independent and are not gathered across.  A copy of a
+    kept card is exact; a copy of a near one is near, and into the same card.
     """
     first = F.row_number().over(W.partitionBy("digest").orderBy("num"))
-    rows = cards.withColumn("_r", first).withColumn("_into", F.first("id").over(W.partitionBy("digest").orderBy("num")))
-    exact = rows.where("_r > 1").select("id", "slot", F.lit("exact").alias("reason"), F.col("_into").alias("into"))
+    rows = cards.withColumn("_r", first).withColumn("_first", F.first("id").over(W.partitionBy("digest").orderBy("num")))
     v = T.comparable(F.col("value"))
     uniq = rows.where("_r = 1").select("slot", F.struct("num", "id", v.alias("v"), T.bigrams(v).alias("g")).alias("c"))
     grouped = uniq.groupBy("slot").agg(F.array_sort(F.collect_list("c")).alias("cs"))
@@ -123,7 +165,10 @@ def deduplicated(cards: DataFrame) -> DataFrame:
         return F.struct(F.when(near, acc["k"]).otherwise(F.concat(acc["k"], F.array(own))).alias("k"), F.concat(acc["o"], F.array(said)).alias("o"))
 
     folded = grouped.select("slot", F.explode(F.aggregate("cs", zero, step, lambda a: a["o"])).alias("x")).select("x.id", "slot", "x.reason", "x.into")
-    return folded.unionByName(exact)
+    said = folded.select(F.col("id").alias("_id"), F.col("reason").alias("_reason"), "into")
+    copies = rows.where("_r > 1").select("id", "slot", "_first").join(said, F.col("_first") == F.col("_id"))
+    copies = copies.select("id", "slot", F.when(F.col("_reason").isNull(), "exact").otherwise("near").alias("reason"), F.coalesce("into", "_first").alias("into"))
+    return folded.unionByName(copies)
 
 
 def against_baseline(incoming: DataFrame, base: DataFrame) -> DataFrame:
@@ -136,8 +181,40 @@ def against_baseline(incoming: DataFrame, base: DataFrame) -> DataFrame:
     return best.withColumn("kind", F.when(s >= IDENTICAL, "identical").when(s >= ENRICHMENT, "enrichment").otherwise("contradiction"))
 
 
+def in_order(diff: DataFrame) -> DataFrame:
+    """Findings of against_baseline in order: contradictions first, the least similar first, then by slot and card."""
+    rank = F.when(F.col("kind") == "contradiction", 0).when(F.col("kind") == "enrichment", 1).otherwise(2)
+    return diff.orderBy(rank, "similarity", "slot", "new_id")
+
+
+def new_slots(incoming: DataFrame, base: DataFrame) -> DataFrame:
+    """Slots of incoming cards that the baseline lacks."""
+    return incoming.select("slot").join(base.select("slot"), "slot", "left_anti").distinct()
+
+
+def uncovered(incoming: DataFrame, base: DataFrame) -> DataFrame:
+    """(slot, n) of the baseline that no incoming card has."""
+    return base.join(incoming.select("slot"), "slot", "left_anti").groupBy("slot").agg(F.count("*").alias("n"))
+
+
+def truth_table(cards: DataFrame) -> DataFrame:
+    """(slot, current, members, needs_human) of slots with several active or disputed cards."""
+    rows = cards.where("status in ('active', 'disputed')")
+    g = rows.groupBy("slot").agg(F.max_by("id", F.struct("valid_from", "num")).alias("current"), F.sort_array(F.collect_list(F.struct("valid_from", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
+    return g.where(F.size("m") >= 2).select("slot", "current", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), "needs_human")
+
+
+def types_by_count(cards: DataFrame) -> DataFrame:
+    """(type, n), the most frequent first."""
+    return cards.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+#: Rules of problems whose breach keeps a card from being added.
+HARD = ("body_limit", "confidence_range", "importance_range", "subject_space", "predicate_space", "active_ended", "ended_open", "superseded_by_missing")
+
+
 def problems(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(id, problem, hard): a row for each rule that a card breaks; only size is soft."""
+    """(id, problem, hard): a row for each rule that a card breaks; hard ones keep it from being added."""
     c = with_type(cards, config)
     blank = lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) == ""
     rules = [(f"missing_{x}", blank(x)) for x in ("id", "type", "title", "subject", "predicate", "status")]
@@ -154,7 +231,14 @@ def problems(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
         heads = F.transform(F.filter("links", lambda x: F.contains(x, F.lit(":"))), lambda x: F.split_part(x, F.lit(":"), F.lit(1)))
         rules.append(("unknown_relation", F.size(F.array_except(heads, F.array(*map(F.lit, RELATIONS)))) > 0))
     found = F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules]), lambda x: x.isNotNull())
-    return c.select("id", F.explode(found).alias("problem")).withColumn("hard", F.col("problem") != "body_limit")
+    hard = F.startswith("problem", F.lit("missing_")) | F.col("problem").isin(*HARD)
+    return c.select("id", F.explode(found).alias("problem")).withColumn("hard", hard)
+
+
+def final_check(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """One row: cards without any problem, and the others."""
+    bad = problems(cards, config).select("id").distinct().withColumn("bad", F.lit(True))
+    return cards.select("id").join(bad, "id", "left").agg(F.count_if(F.col("bad").isNull()).alias("ok"), F.count_if(F.col("bad")).alias("rejected"))
 
 
 def expired(cards: DataFrame, ref: str, config: Config = DEFAULT) -> DataFrame:
@@ -172,8 +256,15 @@ def with_expiry(cards: DataFrame, ref: str, config: Config = DEFAULT) -> DataFra
 
 
 def archive_candidates(cards: DataFrame, ref: str) -> DataFrame:
-    idle = D.age_days(F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
-    return active(cards).where(~F.col("type").isin(*PROTECTED) & (idle > ARCHIVE_IDLE_DAYS) & (F.col("importance") <= ARCHIVE_IMPORTANCE))
+    """Active cards of little importance, long unused, of no protected type; none with links or a successor."""
+    none = F.lit(None).cast("timestamp")
+    idle = D.days_since_hit(F.col("last_hit") if "last_hit" in cards.columns else none, F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
+    free = F.lit(True)
+    if "links" in cards.columns:
+        free &= F.coalesce(F.size("links") == 0, F.lit(True))
+    if "superseded_by" in cards.columns:
+        free &= F.coalesce("superseded_by", F.lit("")) == ""
+    return active(cards).where(~F.col("type").isin(*PROTECTED) & free & (idle > ARCHIVE_IDLE_DAYS) & (F.col("importance") <= ARCHIVE_IMPORTANCE))
 
 
 def newest_first(cards: DataFrame, alias: str = "rank") -> DataFrame:
@@ -189,34 +280,60 @@ def merged(cards: DataFrame) -> DataFrame:
     return g.select("slot", "n", "hits", F.array_join("_t", ",").alias("tags"), F.array_join(bodies, "\n\n").alias("body"))
 
 
-def search(cards: DataFrame, query: str, ref: str, limit: int = 8, config: Config = DEFAULT, include_inactive: bool = False) -> DataFrame:
-    """The best cards for a query, with every signal; relevance gates the prior."""
+def query_tokens(query: str) -> tuple[list[str], list[str]]:
+    """(words, CJK characters or pairs of neighbours) that a query is searched by, each once."""
+    words = [w.lower() for w in re.findall("[A-Za-z0-9_]+", query)]
+    runs = re.findall(T.CJK, query)
+    pairs = [p for r in runs for p in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])]
+    return list(dict.fromkeys(words)), list(dict.fromkeys(pairs))
+
+
+def tokens_met(text: Column, words: list[str], pairs: list[str]) -> Column:
+    """How many of a query's tokens a text has; the query is a literal, the text is looked through as it is."""
+    n = F.lit(0)
+    if words:
+        plain = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+        n = F.size(F.array_intersect(F.regexp_extract_all(plain, F.lit("[a-z0-9_]+"), F.lit(0)), F.array(*map(F.lit, words))))
+    for p in pairs:
+        # a single character counts where it stands alone
+        met = F.contains(text, F.lit(p)) if len(p) > 1 else text.rlike(f"(?<![一-鿿]){p}(?![一-鿿])")
+        n = n + met.cast("int")
+    return n
+
+
+def search(cards: DataFrame, query: str, ref: str, limit: int = 8, config: Config = DEFAULT, include_inactive: bool = False, compat_tag_hit: bool = False) -> DataFrame:
+    """The best cards for a query, with every signal; relevance gates the prior.
+
+    A tag counts if it is a token or a part of the query; with compat_tag_hit
+    also if it is in lower case, whatever the query.
+    """
     rows = cards if include_inactive else active(cards)
-    flat = F.lower(F.lit(query))
-    # the query is a literal: its tokens are folded into the plan
-    q = T.tokens(F.lit(query))
-    hay = T.tokens(F.concat_ws(" ", "title", "value", "body", F.array_join("tags", " "), "predicate"))
-    n = F.greatest(F.size(q), F.lit(1))
-    lexical = F.size(F.array_intersect(q, hay)) / n
-    last = F.lower(F.element_at(F.split("subject", ":"), -1))
-    pred = F.regexp_replace(F.lower("predicate"), "_", "")
-    compact = F.regexp_replace(flat, r"[\s_]", "")
-    exact = F.when(F.contains(compact, last), 0.6).otherwise(0.0) + F.when((F.length(pred) > 2) & F.contains(compact, pred), 0.6).otherwise(0.0)
-    tag = F.when(F.exists("tags", lambda t: F.array_contains(q, F.lower(t)) | F.contains(flat, F.lower(t))), 1.0).otherwise(0.0)
+    flat = query.lower()
+    words, pairs = query_tokens(query)
+    total_tokens = len(words) + len(pairs)
+    lexical = tokens_met(F.concat_ws(" ", "title", "value", "body", F.array_join("tags", " "), "predicate"), words, pairs) / F.lit(max(1, total_tokens))
+    last = F.element_at(F.split(F.split_part("slot", F.lit("::"), F.lit(1)), ":"), -1)
+    pred = F.split_part("slot", F.lit("::"), F.lit(2))
+    compact = F.lit(re.sub("[_:-]", "", flat))
+    exact = F.when((last != "") & F.contains(compact, last), 0.6).otherwise(0.0) + F.when((F.length(pred) > 2) & F.contains(compact, F.replace(pred, F.lit("_"), F.lit(""))), 0.6).otherwise(0.0)
+    met = lambda t: F.lower(t).isin([*words, *pairs]) | ((t != "") & F.contains(F.lit(flat), F.lower(t)))
+    tag = F.when(F.exists("tags", (lambda t: met(t) | ((t != "") & F.contains(t, F.lower(t)))) if compat_tag_hit else met), 1.0).otherwise(0.0)
     alias = F.lit(0.0)
     if "aliases" in cards.columns:
         joined = F.lower(F.array_join("aliases", " "))
-        met = F.size(F.array_intersect(q, T.tokens(joined)))
-        alias = F.when(met > 0, F.least(F.lit(1.0), met / F.greatest(F.lit(1), F.least(F.size(q), F.lit(6))))).when((joined != "") & F.contains(flat, joined), 1.0).otherwise(0.0)
+        n = tokens_met(joined, words, pairs)
+        alias = F.when(n > 0, F.least(F.lit(1.0), n / F.lit(float(max(1, min(total_tokens, 6)))))).when((joined != "") & F.contains(F.lit(flat), joined), 1.0).otherwise(0.0)
     age = D.age_days(F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
-    s = rows.withColumn("alias_hit", alias).select("alias_hit", "id", "num", "slot", "status", lexical.alias("lexical"), exact.alias("slot_exact"), tag.alias("tag_hit"), "importance", "confidence",
+    s = rows.select(alias.alias("alias_hit"), "id", "num", "slot", "status", lexical.alias("lexical"), exact.alias("slot_exact"), tag.alias("tag_hit"), "importance", "confidence",
                     D.recency(age, config.half_life_days).alias("recency"), D.reuse(F.col("hits")).alias("reuse"))
     w = config.weights
     total = lambda names: sum((F.col(x) * w[x] for x in names[1:]), F.col(names[0]) * w[names[0]])
-    s = s.withColumn("relevance", total(["lexical", "slot_exact", "tag_hit", "alias_hit"])).withColumn("prior", total(["importance", "confidence", "recency", "reuse"]))
+    # what answers nothing has no use for a prior
+    s = s.withColumn("relevance", total(["lexical", "slot_exact", "tag_hit", "alias_hit"])).where("relevance > 0")
+    s = s.withColumn("prior", total(["importance", "confidence", "recency", "reuse"]))
     penalty = F.element_at(F.create_map(*[F.lit(x) for kv in config.penalties.items() for x in kv]), F.col("status"))
     s = s.withColumn("score", F.col("relevance") * (1 + F.col("prior")) + penalty)
-    return s.where("relevance > 0 and score > 0").orderBy(F.desc("score"), "num").limit(limit)
+    return s.where("score > 0").orderBy(F.desc("score"), "num").limit(limit)
 
 
 def term_search(cards: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -247,7 +364,7 @@ def stratified(cards: DataFrame, n: int, seed: int, by: str = "type") -> DataFra
     rest = F.lit(n) - F.sum("base").over(whole)
     quota = share.withColumn("rest", rest).withColumn("r", F.row_number().over(W.orderBy(F.desc(F.col("x") - F.col("base")), by))).select(F.col(by).alias("_by"), F.least(F.col("base") + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0), F.col("c")).alias("quota"))
     ranked = cards.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(keyed_order(seed, F.col("id")), "id")))
-    return ranked.join(F.broadcast(quota), F.col(by) == F.col("_by")).where("_r <= quota").drop("_by", "_r", "quota")  # a row per stratum
+    return ranked.join(quota, F.col(by) == F.col("_by")).where("_r <= quota").drop("_by", "_r", "quota")
 
 
 def spread(cards: DataFrame, n: int, seed: int) -> DataFrame:
@@ -260,13 +377,15 @@ def spread(cards: DataFrame, n: int, seed: int) -> DataFrame:
 def assigned_ids(cards: DataFrame, used: DataFrame, start: int) -> DataFrame:
     """cards (ord) with consecutive free ids from start on.
 
-    Only used numbers that could be in the way matter; there are at most as many
-    as there are cards before the gap that each fills.
+    A card's place counts the free numbers below its own.  Between used numbers
+    lie runs of free ones: each run is an interval of places, and a card finds
+    its run by the count of used numbers before it, a join of equal keys.
     """
-    n = cards.count()
-    taken = used.select(F.regexp_extract("id", r"^mem_(\d+)", 1).cast("long").alias("k")).where(F.col("k") >= start).distinct()
-    m = taken.count()
-    free = cards.sparkSession.range(start, start + n + m).withColumnRenamed("id", "k").join(taken, "k", "left_anti")
-    numbered = free.orderBy("k").limit(n).withColumn("_i", F.row_number().over(W.orderBy("k")))
-    own = cards.withColumn("_i", F.row_number().over(W.orderBy("ord")))
-    return own.join(numbered, "_i").withColumn("new_id", F.format_string("mem_%05d", "k")).drop("_i", "k")
+    own = running(cards, ["ord"], None, "_i")
+    taken = used.select(F.regexp_extract("id", r"^mem_(\d+)", 1).try_cast("long").alias("k")).where(F.col("k") >= start).distinct()
+    # used numbers in order: place p in the run before it means the number start + place + used before
+    gaps = running(taken, ["k"], None, "_u").select((F.col("k") - F.lit(start) - F.col("_u")).alias("_place"))
+    marks = gaps.groupBy("_place").agg(F.count("*").alias("_n")).where(F.col("_place") >= 0)
+    every = own.select(F.col("_i").alias("_place"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_card")).unionByName(marks.withColumn("_card", F.lit(0)))
+    before = running(every, ["_place", "_card"], "_n", "_used").where("_card = 1").select(F.col("_place").alias("_j"), "_used")
+    return own.join(before, F.col("_i") == F.col("_j")).withColumn("new_id", F.format_string("mem_%05d", F.lit(start) + F.col("_i") + F.col("_used"))).drop("_i", "_j", "_used")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from slotwise.functions import text as T
 from slotwise.operators import nested
+from slotwise.operators.agent import recipe_problem
+from slotwise.operators.ordered import running
 
 HEADING = r"^#{1,3}\s+"
 STAMP = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)"
@@ -16,20 +21,24 @@ LONGEST_BLOCK = 4000
 UNMARKED = "(未标注)"
 META = "file-meta"
 BUDGET, MOST_RECORDS = 6000, 40
+# Fixed value: what follows a text that was cut off.
+CUT_OFF = "\n\n[内容超长，已截断]"
 #: Rows of a CSV text; line breaks in quotes don't end a row, and a lone quote is text.
 CSV_ROW = r'(?:[^"\r\n]++|"[^"]*+"|")++'
 
 
-def _numbered(parts: DataFrame, kind: str) -> DataFrame:
-    """Records of (source, pos, text) without the blank ones, numbered from 0 in each source."""
-    kept = parts.where("trim(regexp_replace(text, '\\\\s+', ' ')) <> ''")
-    seq = F.row_number().over(W.partitionBy("source").orderBy("pos")) - 1
-    return kept.select("source", seq.alias("seq"), F.lit(kind).alias("kind"), F.trim("text").alias("text"), F.length(F.trim("text")).alias("chars"))
+def _numbered(texts: DataFrame, parts: Column, kind: str) -> DataFrame:
+    """Records of texts (source, text) from an array of parts: trimmed, without the blank ones, numbered from 0.
+
+    All of a text's records are made in its row, so nothing is shuffled.
+    """
+    kept = F.filter(F.transform(parts, lambda x: T.trimmed(x)), lambda x: x != "")
+    return texts.select("source", F.posexplode(kept).alias("seq", "text")).select("source", "seq", F.lit(kind).alias("kind"), "text", F.length("text").alias("chars"))
 
 
 def by_pieces(texts: DataFrame, pattern: str, kind: str) -> DataFrame:
     """Records between matches of a pattern, of texts (source, text)."""
-    return _numbered(texts.select("source", F.posexplode(F.split("text", pattern, -1)).alias("pos", "text")), kind)
+    return _numbered(texts, F.split("text", pattern, -1), kind)
 
 
 def by_lines(texts: DataFrame) -> DataFrame:
@@ -62,42 +71,47 @@ def _refilled(sentences: Column) -> Column:
 def by_sentences(texts: DataFrame) -> DataFrame:
     """Paragraphs; long ones cut after sentence marks and refilled."""
     parts = F.flatten(F.transform(F.split("text", r"\n\s*\n", -1), lambda b: F.when(F.length(b) > LONGEST_BLOCK, _refilled(F.split(b, r"(?<=[。！？.!?;；\n])"))).otherwise(F.array(b))))
-    return _numbered(texts.select("source", F.posexplode(parts).alias("pos", "text")), "text")
+    return _numbered(texts, parts, "text")
 
 
-def islands(texts: DataFrame, starts: Column, kind: str, head: Column) -> DataFrame:
-    """Runs of lines that begin where `starts` holds for the column line; `head` of a run's first line is its section.
+def islands(texts: DataFrame, starts: Callable[[Column], Column], kind: str, head: Callable[[Column], Column]) -> DataFrame:
+    """Runs of lines that begin with a line for which `starts` holds; `head` of that line is the run's section.
 
-    A text's own lines are folded in place, so that nothing is shuffled and no
-    window runs over a hot source.
+    The lines of a text are an array, and so are the numbers of those that
+    begin a run: a run is a slice between two of them.  Nothing is shuffled.
     """
-    lines = F.split("text", "\r?\n", -1)
-    marked = texts.select("source", F.posexplode(lines).alias("pos", "line")).select("source", "pos", "line", starts.alias("s"), head.alias("h"))
-    w = W.partitionBy("source").orderBy("pos")
-    runs = marked.withColumn("island", F.sum(F.col("s").cast("int")).over(w))
-    g = runs.groupBy("source", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"), F.max(F.when(F.col("s"), F.col("h"))).alias("section"), F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    text = F.trim(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    out = g.select("source", "pos", "last", "section", text.alias("text")).where("text <> ''")
-    seq = F.row_number().over(W.partitionBy("source").orderBy("pos")) - 1
-    return out.select("source", seq.alias("seq"), F.lit(kind).alias("kind"), F.format_string("L%d-%d", F.col("pos") + 1, F.col("last") + 1).alias("locator"), "section", "text", F.length("text").alias("chars"))
+    lined = texts.select("source", F.split("text", "\r?\n", -1).alias("ls"))
+    firsts = F.filter(F.transform("ls", lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
+    # what stands before the first such line is a run too
+    marked = lined.select("source", "ls", F.when(F.get(firsts, F.lit(0)) == 0, firsts).otherwise(F.concat(F.array(F.lit(0)), firsts)).alias("fs"))
+
+    def run(i, k):
+        end = F.coalesce(F.get("fs", k + 1), F.size("ls"))
+        first = F.get("ls", i)
+        text = T.trimmed(F.array_join(F.slice("ls", i + 1, end - i), "\n"))
+        return F.struct(i.alias("pos"), (end - 1).alias("last"), F.when(starts(first), head(first)).alias("section"), text.alias("text"))
+
+    runs = marked.select("source", F.filter(F.transform("fs", run), lambda r: r["text"] != "").alias("rs"))
+    out = runs.select("source", F.posexplode("rs").alias("seq", "r")).select("source", "seq", "r.*")
+    return out.select("source", "seq", F.lit(kind).alias("kind"), F.format_string("L%d-%d", F.col("pos") + 1, F.col("last") + 1).alias("locator"), "section", "text", F.length("text").alias("chars"))
 
 
 def markdown(texts: DataFrame) -> DataFrame:
-    return islands(texts, F.col("line").rlike(HEADING), "markdown", F.regexp_replace("line", HEADING, ""))
+    return islands(texts, lambda x: x.rlike(HEADING), "markdown", lambda x: F.regexp_replace(x, HEADING, ""))
 
 
 def log_lines(texts: DataFrame) -> DataFrame:
-    return islands(texts, F.col("line").rlike(STAMP), "log", F.regexp_extract("line", STAMP, 1))
+    return islands(texts, lambda x: x.rlike(STAMP), "log", lambda x: F.regexp_extract(x, STAMP, 1))
 
 
 def yaml_blocks(texts: DataFrame) -> DataFrame:
-    return islands(texts, F.col("line").rlike(YAML_KEY), "yaml", F.substring(F.regexp_replace("line", r"[:\[\]].*$", ""), 1, 60))
+    return islands(texts, lambda x: x.rlike(YAML_KEY), "yaml", lambda x: F.substring(F.regexp_replace(x, r"[:\[\]].*$", ""), 1, 60))
 
 
 def turns(texts: DataFrame, speakers: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
     """A record a turn; a line that begins with a speaker and a colon begins one."""
     rule = r"(?i)^(" + "|".join(speakers) + r")\s*[:：]"
-    out = islands(texts, F.col("line").rlike(rule), "conversation", F.lower(F.regexp_extract("line", rule, 1)))
+    out = islands(texts, lambda x: x.rlike(rule), "conversation", lambda x: F.lower(F.regexp_extract(x, rule, 1)))
     return out.withColumn("section", F.coalesce("section", F.lit(UNMARKED)))
 
 
@@ -112,17 +126,10 @@ def csv_rows(texts: DataFrame) -> DataFrame:
     base = texts.withColumn("d", F.greatest(*counted)["d"])
     rule = F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     cells = lambda line: F.transform(F.split(line, rule, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    own = base.select("source", cells(head).alias("head"), "d", F.posexplode(rows).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
-    named = F.transform(cells(F.col("line")), lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("head", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c)))
-    return _numbered(own.select("source", "pos", F.array_join(F.filter(named, lambda x: x.isNotNull()), "\n").alias("text")), "csv")
-
-
-def jsonl(texts: DataFrame, paths: dict[str, str]) -> DataFrame:
-    """A record a line, rendered from JSON paths; a line that is no JSON is kept as it is."""
-    lines = texts.select("source", F.posexplode(F.split("text", "\r?\n", -1)).alias("pos", "line")).where("trim(line) <> ''")
-    fields = [F.concat(F.lit(f"{k}: "), F.get_json_object("line", p)) for k, p in paths.items()]
-    shown = F.when(F.try_parse_json("line").isNull(), F.col("line")).otherwise(F.concat_ws("\n", *fields))
-    return _numbered(lines.select("source", "pos", shown.alias("text")), "jsonl")
+    lined = base.select("source", cells(head).alias("head"), "d", F.filter(rows, lambda line, i: (i > 0) & (T.trimmed(line) != "")).alias("rows"))
+    value = lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("head", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c))
+    shown = F.transform("rows", lambda line: F.array_join(F.filter(F.transform(cells(line), value), lambda x: x.isNotNull()), "\n"))
+    return _numbered(lined, shown, "csv")
 
 
 def _nested(split):
@@ -214,12 +221,20 @@ def of_cards(cards: DataFrame) -> DataFrame:
 
 
 def sliced(records: DataFrame, budget: int) -> DataFrame:
-    """Records longer than the budget cut into windows of 85 % of it."""
+    """Records longer than the budget cut into windows of 85 % of it; header records stay whole.
+
+    A window's kind ends in -part, and its locator says which of how many it is.
+    """
     size = max(1, int(budget * 0.85))
-    n = F.when(F.col("chars") > budget, F.ceil(F.col("chars") / size)).otherwise(1).cast("int")
-    cut = records.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    text = F.when(F.col("_n") > 1, F.substring(F.col("text"), F.col("part") * size + 1, F.lit(size))).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("chars", F.length("text")).drop("_n")
+    long = (F.col("chars") > budget) & (F.col("kind") != META) if "kind" in records.columns else F.col("chars") > budget
+    n = F.when(long, F.ceil(F.col("chars") / size)).otherwise(1).cast("int")
+    cut = records.withColumn("_n", n).withColumn("_long", long).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    new = {"text": F.when(F.col("_long"), F.substring(F.col("text"), F.col("part") * size + 1, F.lit(size))).otherwise(F.col("text"))}
+    if "kind" in records.columns:
+        new["kind"] = F.when(F.col("_long"), F.concat("kind", F.lit("-part"))).otherwise(F.col("kind"))
+    if "locator" in records.columns:
+        new["locator"] = F.when(F.col("_long"), F.concat(F.coalesce("locator", F.lit("")), F.format_string(" (part %d/%d)", F.col("part") + 1, F.col("_n")))).otherwise(F.col("locator"))
+    return cut.withColumns(new).withColumn("chars", F.length("text")).drop("_n", "_long")
 
 
 def limits(budget: float | None, most: float | None) -> tuple[int, int]:
@@ -228,40 +243,95 @@ def limits(budget: float | None, most: float | None) -> tuple[int, int]:
     return max(64, int(budget)) if usable(budget) else BUDGET, int(most) if usable(most) else MOST_RECORDS
 
 
+def fitted(costs: list[int], alone: list[bool], budget: int, most: int) -> list[int]:
+    """Chunk numbers of records in order, next-fit: a record begins a chunk if it would not fit, or stands alone."""
+    out, chunk, used, n, shut = [], 0, 0, 0, False
+    for cost, by_itself in zip(costs, alone, strict=True):
+        if n and (used + cost > budget or n >= most or by_itself or shut):
+            chunk, used, n = chunk + 1, 0, 0
+        used, n, shut = used + cost, n + 1, by_itself
+        out.append(chunk)
+    return out
+
+
 def packed(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS) -> DataFrame:
-    """(source, seq, part, chunk): next-fit packing in order, a source's records folded in one pass; header records stay alone."""
+    """(source, seq, part, chunk): next-fit packing in order; header records and windows of long records stay alone.
+
+    What meets in one row is a source's record sizes, not its texts.
+    """
     budget, most = limits(budget, most)
-    own = sliced(records, budget)
-    meta = F.col("kind") == META if "kind" in records.columns else F.lit(False)
-    items = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "part", (F.col("chars") + 2).alias("cost"), meta.alias("alone")))).alias("xs"))
-    out = "array<struct<seq:int,part:int,chunk:int>>"
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(False).alias("alone"), F.array().cast(out).alias("o"))
+    return _packed(sliced(records, budget), records, budget, most)
+
 
-    def step(a, x):
-        new = (a["n"] > 0) & ((a["used"] + x["cost"] > budget) | (a["n"] >= most) | a["alone"] | x["alone"])
-        chunk = a["chunk"] + new.cast("int")
-        used = F.when(new, x["cost"]).otherwise(a["used"] + x["cost"])
-        n = F.when(new, 1).otherwise(a["n"] + 1)
-        return F.struct(used.alias("used"), n.alias("n"), chunk.alias("chunk"), x["alone"].alias("alone"), F.concat(a["o"], F.array(F.struct(x["seq"].alias("seq"), x["part"].alias("part"), chunk.alias("chunk")))).alias("o"))
+def _packed(own: DataFrame, records: DataFrame, budget: int, most: int) -> DataFrame:
+    alone = F.coalesce((F.col("kind") == META) | F.endswith("kind", F.lit("-part")), F.lit(False)) if "kind" in records.columns else F.lit(False)
+    items = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "part", (F.col("chars") + 2).alias("cost"), alone.alias("alone")))).alias("xs"))
 
-    return items.select("source", F.explode(F.aggregate("xs", zero, step, lambda a: a["o"])).alias("x")).select("source", "x.seq", "x.part", "x.chunk")
+    def run(batches):
+        for b in batches:
+            xs = b.column(1)
+            flat = xs.flatten()
+            cost, by_itself = (flat.field(k).to_pylist() for k in ("cost", "alone"))
+            sizes = xs.value_lengths().to_pylist()
+            chunk, at = [], 0
+            for n in sizes:
+                chunk += fitted(cost[at : at + n], by_itself[at : at + n], budget, most)
+                at += n
+            owner = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), flat.field("seq"), flat.field("part"), pa.array(chunk, pa.int32())], ["source", "seq", "part", "chunk"])
 
+    kind = records.schema["source"].dataType.simpleString()
+    return items.mapInArrow(run, f"source {kind}, seq int, part int, chunk int")
 
-def chunks(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS) -> DataFrame:
-    """(source, chunk, record_count, chars, text) with the records rendered in order."""
-    own = sliced(records, limits(budget, most)[0]).join(packed(records, budget, most), ["source", "seq", "part"])
-    shown = F.concat(F.lit('<record id="'), F.col("seq").cast("string"), F.lit('">\n'), F.col("text"), F.lit("\n</record>"))
-    g = own.groupBy("source", "chunk").agg(F.count("*").alias("record_count"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("seq", "part", shown.alias("t")))).alias("r"))
-    return g.select("source", "chunk", "record_count", "chars", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("text"))
+
+def chunks(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS, cap: int | None = None) -> DataFrame:
+    """(source, chunk, record_count, chars, text) with the records rendered in order, with their locators if they have any.
+
+    chars is the sum of the records' own, and of two for each where they are
+    packed; a text longer than cap is cut there and says so.
+    """
+    budget, most = limits(budget, most)
+    cut = sliced(records, budget)
+    own = cut.join(_packed(cut, records, budget, most), ["source", "seq", "part"])
+    place = F.coalesce("locator", F.lit("")) if "locator" in records.columns else F.lit("")
+    shown = F.concat(F.lit('<record id="'), F.col("seq").cast("string"), F.lit('" loc="'), place, F.lit('">\n'), F.col("text"), F.lit("\n</record>"))
+    lone = F.coalesce((F.col("kind") == META) | F.endswith("kind", F.lit("-part")), F.lit(False)) if "kind" in records.columns else F.lit(False)
+    g = own.groupBy("source", "chunk").agg(F.count("*").alias("record_count"), F.sum(F.col("chars") + F.when(lone, 0).otherwise(2)).alias("chars"), F.array_sort(F.collect_list(F.struct("seq", "part", shown.alias("t")))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: x["t"]), "\n\n")
+    return g.select("source", "chunk", "record_count", "chars", (text if cap is None else T.clipped(text, cap, CUT_OFF)).alias("text"))
+
+
+def chunk_of(chunks_: DataFrame, which: str) -> DataFrame:
+    """The chunk of a number, for digits, or of an id "source-number"."""
+    if which.isdigit():
+        return chunks_.where(F.col("number") == int(which))
+    return chunks_.where(F.concat_ws("-", F.col("source").cast("string"), F.col("chunk").cast("string")) == which)
 
 
 def numbered_across(chunks_: DataFrame) -> DataFrame:
-    """Chunks of many sources with one running number; only a row a source goes through the unpartitioned window."""
+    """Chunks of many sources with one running number, by source and chunk."""
     sizes = chunks_.groupBy("source").agg((F.max("chunk") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("source").alias("_s"), before.alias("_b"))
+    starts = running(sizes, ["source"], "n", "_b").select(F.col("source").alias("_s"), "_b")
     return chunks_.join(starts, F.col("source") == F.col("_s")).withColumn("number", F.col("_b") + F.col("chunk")).drop("_s", "_b")
 
 
-def file_stats(records: DataFrame) -> DataFrame:
-    return records.groupBy("source").agg(F.count("*").alias("records"), F.sum("chars").alias("chars"), F.floor(F.avg("chars") + 0.5).alias("avg_chars"))
+def chunks_by_recipe(texts: DataFrame, budget: float | None = BUDGET) -> DataFrame:
+    """Chunks of texts (source, text, format, strategy, and optionally fields, meta), all numbered in one row.
+
+    A source with a usable recipe is cut by it; one without, or with a bad one,
+    by the rules of its format, its strategy being "fallback:" and the format.
+    """
+    usable = recipe_problem(F.col("strategy"), F.col("fields") if "fields" in texts.columns else F.create_map().cast("map<string,string>")).isNull()
+    told = texts.withColumn("_ok", F.coalesce(usable, F.lit(False)))
+    cut = chunks(by_recipe(told.where("_ok")), budget).join(texts.select("source", "strategy"), "source")
+    rules = chunks(by_rules(told.where("not _ok").select("source", "text", "format")), budget).join(texts.select("source", F.concat(F.lit("fallback:"), F.coalesce("format", F.lit("text"))).alias("strategy")), "source")
+    return numbered_across(cut.unionByName(rules))
+
+
+def file_stats(records: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Of each source its records, their characters and their average length; with its texts (source, text) also its lines."""
+    out = records.groupBy("source").agg(F.count("*").alias("records"), F.sum("chars").alias("chars"), F.floor(F.avg("chars") + 0.5).alias("avg_chars"))
+    if texts is None:
+        return out
+    lines = texts.select("source", F.size(F.split("text", "\r?\n", -1)).alias("lines"))
+    return lines.join(out, "source", "left").select("source", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("avg_chars", F.lit(0)).alias("avg_chars"), "lines")

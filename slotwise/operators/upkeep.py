@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,22 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slotwise.config import DEFAULT, Config
+from slotwise.config import DEFAULT, RELATIONS, Config
+from slotwise.functions import text as T
 from slotwise.operators import cards as C
+from slotwise.operators.ordered import kept_apart
 
 SURE = 0.7
 MAP_ID = r"\b(mem_\d{5})\b"
 DEFAULT_SAMPLE = 20
 
 
-def kept_apart(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 # --- merges and decisions ----------------------------------------------------------------------
 
 def merges(cards: DataFrame, ref: str, least: float = SURE) -> DataFrame:
@@ -88,6 +81,72 @@ def decided(cards: DataFrame, decisions: DataFrame) -> DataFrame:
     return rest.select(*cards.columns).unionByName(kept.withColumns({"body": body, "status": status}).select(*cards.columns))
 
 
+VERDICTS = ("dispute", "supersede", "merge", "keep", "archive")
+# Fixed value: what stands before a decision's note in a body.
+NOTE = "\n\n> 裁决记录 "
+
+
+def _members(cards: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Active and disputed cards of decided slots with their decision and the card that it keeps."""
+    d = decisions.select(F.col("slot").alias("_s"), F.col("verdict").alias("_v"), *[(F.col(c) if c in decisions.columns else F.lit(None)).cast("string").alias(f"_{c}") for c in ("winner", "note", "valid_to")]).dropDuplicates(["_s"])
+    own = cards.where("status in ('active', 'disputed')").join(d, F.col("slot") == F.col("_s"))
+    first = F.first("id").over(W.partitionBy("slot").orderBy("type", "id"))
+    return own.withColumn("_keep", F.coalesce(F.nullif("_winner", F.lit("")), first)).withColumn("_in", F.max((F.col("id") == F.col("_keep")).cast("int")).over(W.partitionBy("slot")) == 1)
+
+
+def resolution_errors(cards: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(slot, error) of decisions (slot, verdict, and optionally winner) that can't be carried out."""
+    m = _members(cards, decisions).groupBy(F.col("slot").alias("_slot")).agg(F.max("_in").alias("_in"))
+    told = decisions.join(m, F.col("slot") == F.col("_slot"), "left")
+    error = F.when(F.col("_slot").isNull(), "no_members").when(~F.col("verdict").isin(*VERDICTS), "unknown_verdict").when(~F.col("_in") & F.col("verdict").isin("supersede", "merge"), "unknown_winner")
+    return told.select("slot", error.alias("error")).where("error is not null")
+
+
+def resolved(cards: DataFrame, decisions: DataFrame, ref: str) -> DataFrame:
+    """Cards after decisions (slot, verdict, and optionally winner, note, valid_to) on their active and disputed cards.
+
+    dispute marks and reopens all; archive puts all away; keep leaves the
+    winner active and closes the others without a successor; supersede closes
+    them in its favour; merge moreover gives it their bodies, tags and hits.
+    Without a winner the first card by type and id is it.  A note goes to the
+    end of the winner's body.  Decisions of `resolution_errors` change nothing.
+    """
+    new = {"superseded_by": "string", "supersedes": "array<string>", "ended_at": "timestamp"}
+    have = cards.withColumns({k: F.lit(None).cast(v) for k, v in new.items() if k not in cards.columns})
+    at, day = F.lit(ref).cast("timestamp"), F.to_date(F.lit(ref))
+    usable = F.col("_v").isin(*VERDICTS) & (F.col("_in") | F.col("_v").isin("dispute", "archive", "keep"))
+    m = _members(have, decisions).where(usable)
+    # a winner of "keep" that is no member stands for the first one
+    first = F.first("id").over(W.partitionBy("slot").orderBy("type", "id"))
+    m = m.withColumn("_keep", F.when(F.col("_in"), F.col("_keep")).otherwise(first))
+    is_keeper = F.col("id") == F.col("_keep")
+    last = F.struct("type", "id")
+    g = m.where(F.col("_v").isin("supersede", "merge") & ~is_keeper).groupBy(F.col("_keep").alias("_k")).agg(
+        F.array_sort(F.collect_list(F.struct(last.alias("o"), F.col("id").alias("id"), T.trimmed(F.coalesce("body", F.lit(""))).alias("body"), "tags", "hits"))).alias("_others"))
+    o = m.join(g, is_keeper & (F.col("id") == F.col("_k")), "left")
+    merge, taken = (F.col("_v") == "merge") & is_keeper, F.col("_v").isin("supersede", "merge") & is_keeper
+    none = F.lit(None)
+    others = F.coalesce("_others", F.array().cast(g.schema["_others"].dataType))
+    bodies = F.filter(F.concat(F.array(T.trimmed(F.coalesce("body", F.lit("")))), F.transform(others, lambda x: x["body"])), lambda b: b != "")
+    body = F.when(merge, F.array_join(bodies, "\n\n")).otherwise(F.col("body"))
+    body = F.when(taken & (F.coalesce("_note", F.lit("")) != ""), F.concat(body, F.lit(NOTE), day.cast("string"), F.lit(": "), F.col("_note"))).otherwise(body)
+    ids = F.transform(others, lambda x: x["id"])
+    loses = F.col("_v").isin("supersede", "merge", "keep") & ~is_keeper
+    columns = {
+        "body": body, "tags": F.when(merge, F.array_sort(F.array_distinct(F.concat("tags", F.flatten(F.transform(others, lambda x: x["tags"])))))).otherwise(F.col("tags")),
+        "hits": F.when(merge, F.col("hits") + F.aggregate(others, F.lit(0).cast(have.schema["hits"].dataType), lambda a, x: a + x["hits"])).otherwise(F.col("hits")),
+        "source": F.when(merge, F.concat("source", F.lit("|merged:"), F.array_join(ids, ","))).otherwise(F.col("source")),
+        "supersedes": F.when(taken, F.concat(F.coalesce("supersedes", F.array().cast("array<string>")), ids)).otherwise(F.col("supersedes")),
+        "status": F.when(F.col("_v") == "dispute", "disputed").when(F.col("_v") == "archive", "archived").when(loses, "superseded").when(F.col("_v") == "keep", "active").otherwise(F.col("status")),
+        "valid_to": F.when(F.col("_v") == "dispute", none).when(loses, F.coalesce("valid_to", F.col("_valid_to").try_cast("date"), day)).otherwise(F.col("valid_to")),
+        "ended_at": F.when(F.col("_v") == "dispute", none).when(loses, at).otherwise(F.col("ended_at")),
+        "superseded_by": F.when((F.col("_v") == "dispute") | (F.col("_v") == "keep") & loses, none).when(loses, F.col("_keep")).otherwise(F.col("superseded_by")),
+    }
+    touched = o.withColumns(columns).select(*have.columns)
+    rest = have.join(m.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    return rest.unionByName(touched)
+
+
 def archived(cards: DataFrame, ids: DataFrame, ref: str) -> DataFrame:
     """Cards with those of ids (id) archived and closed."""
     hit = cards.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left")
@@ -134,18 +193,82 @@ def stale_maps(maps: DataFrame, cards: DataFrame) -> DataFrame:
     return map_refs(maps).join(C.active(cards).select("id"), "id", "left_anti").select("map", "id")
 
 
+def link_ends(cards: DataFrame) -> DataFrame:
+    """(id, relation, target) of links, which name the relation before or after the target."""
+    parts = cards.select("id", F.explode(F.filter("links", lambda x: F.contains(x, F.lit(":")))).alias("_l")).select("id", F.split_part("_l", F.lit(":"), F.lit(1)).alias("_a"), F.expr("substring(_l, instr(_l, ':') + 1)").alias("_b"))
+    first = F.col("_a").isin(*RELATIONS)
+    return parts.select("id", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("relation"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("target"))
+
+
+def orphan_links(cards: DataFrame) -> DataFrame:
+    """(id, target) of active cards' links to ids that no card has."""
+    return link_ends(C.active(cards)).where("target <> ''").join(cards.select(F.col("id").alias("target")), "target", "left_anti").select("id", "target")
+
+
+def overview(cards: DataFrame) -> DataFrame:
+    """(measure, key, n): the state of a collection: types, statuses, contested slots, cards to review, subjects, hot cards."""
+    part = lambda df, name, key, n: df.select(F.lit(name).alias("measure"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+    live = C.active(cards)
+    by = lambda df, key: df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"))
+    k, n = F.col("_k"), F.col("_n")
+    contested = by(live.where("coalesce(subject, '') <> '' and coalesce(predicate, '') <> ''"), F.col("slot")).where("_n > 1")
+    head = F.when(F.coalesce("subject", F.lit("")) == "", "(none)").otherwise(F.split_part("subject", F.lit(":"), F.lit(1)))
+    hot = live.orderBy(F.desc("hits"), "num").limit(10)
+    parts = [
+        part(cards.agg(F.count("*").alias("_n")), "total", F.lit("all"), n), part(by(cards, F.concat_ws("/", "type", "status")), "type/status", k, n), part(by(cards, F.col("type")), "type", k, n),
+        part(by(cards, F.col("status")), "status", k, n), part(contested, "contested", k, n), part(live.where("confidence < 0.5"), "review", F.col("id"), F.lit(1)),
+        part(by(live, head), "subject", k, n), part(hot, "hot", F.col("id"), F.col("hits"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def library(cards: DataFrame) -> DataFrame:
+    """(measure, key, n): cards, active ones, different slots, and cards by type."""
+    one = cards.agg(F.count("*").alias("cards"), F.count_if(F.col("status") == "active").alias("active"), F.count_distinct(F.concat_ws("::", "subject", "predicate")).alias("slots"))
+    wide = one.select(F.expr("stack(3, 'cards', cards, 'active', active, 'slots', slots) as (measure, n)")).select("measure", F.lit("all").alias("key"), "n")
+    return wide.unionByName(cards.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("type").alias("measure"), "key", "n"))
+
+
+def doctor(cards: DataFrame, problems: DataFrame) -> DataFrame:
+    """(measure, key, n): the library, slots with several cards, statuses, and the problems (path, problem) of its files."""
+    by = lambda df, name, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "key", "n")
+    shared = cards.groupBy("slot").agg(F.count("*").alias("_n")).where("_n > 1").agg(F.count("*").alias("n")).select(F.lit("shared_slots").alias("measure"), F.lit("all").alias("key"), "n")
+    return library(cards).unionByName(shared).unionByName(by(cards, "status", F.col("status"))).unionByName(by(problems, "problem", F.col("problem")))
+
+
+def trial_report(sample: DataFrame, pool: int, target: int, extracted: DataFrame | None = None) -> DataFrame:
+    """(measure, key, n) of a trial: its sample by type, status and subject, slots, coverage of the pool (4 places), and valid cards of its extraction."""
+    head = F.split_part(F.coalesce("subject", F.lit("(none)")), F.lit(":"), F.lit(1))
+    by = lambda df, name, key: df.groupBy(key.alias("key")).agg(F.count("*").cast("double").alias("n")).select(F.lit(name).alias("measure"), "key", "n")
+    one = lambda df, name, n: df.agg(n.cast("double").alias("n")).select(F.lit(name).alias("measure"), F.lit("all").alias("key"), "n")
+    out = by(sample, "type", F.col("type")).unionByName(by(sample, "status", F.col("status"))).unionByName(by(sample, "subject", head))
+    out = out.unionByName(one(sample, "slots", F.count_distinct(F.concat_ws("::", "subject", "predicate")))).unionByName(one(sample, "coverage", F.max(F.lit(round(target / pool, 4) if pool else 0.0))))
+    if extracted is not None:
+        valid = F.count_if((F.coalesce("type", F.lit("")) != "") & (F.coalesce("subject", F.lit("")) != "") & (F.coalesce("predicate", F.lit("")) != ""))
+        out = out.unionByName(one(extracted, "extracted", F.count("*"))).unionByName(one(extracted, "valid", valid)).unionByName(by(extracted, "extracted_type", F.col("type")))
+    return out
+
+
+def order_statistics(cards: DataFrame) -> DataFrame:
+    """One row: n, total, median, p95 and longest of the bodies' lengths.
+
+    Lengths are counted first: what meets in one place is a row for each length.
+    """
+    w = W.orderBy("len").rowsBetween(W.unboundedPreceding, W.currentRow)
+    h = cards.groupBy(F.length("body").alias("len")).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy()))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("len")))
+    return h.agg(F.max("n").alias("n"), F.sum(F.col("len") * F.col("c")).alias("total"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 0.95)).alias("p95"), F.max("len").alias("longest"))
+
+
 def sweep(cards: DataFrame, ref: str, maps: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """(kind, id, detail): what upkeep would do; a dry run, as nothing is written."""
     row = lambda df, kind, detail, key="id": df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), detail.cast("string").alias("detail"))
     idle = C.archive_candidates(cards, ref)
-    if "links" in cards.columns:
-        idle = idle.where("size(links) = 0")
-    if "superseded_by" in cards.columns:
-        idle = idle.where("coalesce(superseded_by, '') = ''")
     out = row(C.expired(cards, ref, config), "expiring", F.col("type")).unionByName(row(merges(cards, ref), "mergeable", F.col("slot"), "keeper")).unionByName(row(idle, "archive", F.col("type")))
     if "links" in cards.columns:
-        heads = C.active(cards).select("id", F.explode(F.filter("links", lambda x: F.contains(x, F.lit(":")))).alias("_l")).select("id", F.split_part("_l", F.lit(":"), F.lit(-1)).alias("_t"))
-        out = out.unionByName(row(heads.join(cards.select(F.col("id").alias("_t")), "_t", "left_anti"), "orphan_link", F.col("_t")))
+        out = out.unionByName(row(orphan_links(cards), "orphan_link", F.col("target")))
     if maps is not None:
         out = out.unionByName(row(stale_maps(maps, cards), "stale_map", F.col("map")))
     return out
@@ -237,7 +360,8 @@ def planned(cards: DataFrame, strategy: str = "random", count=None, ratio=None,
     return plan
 
 
-# The published 32-bit generator's increment.
+# Fixed values and steps: the published 32-bit generator and the standard shuffle; a seed's numbers
+# and permutation must be those of earlier samples, so both functions below are fixed as a whole.
 INCREMENT = 0x6D2B79F5
 
 

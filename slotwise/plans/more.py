@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from slotwise.operators import agent as A
+from slotwise.operators import intake as I
 from slotwise.operators import records as R
 from slotwise.operators import upkeep as U
 from slotwise.operators import cards as C
-from slotwise.plans.queries import CONFLICTS_SQL, EXPIRY_REF, LINES_SQL, PROBLEMS_SQL, TYPES_SQL, _texts, query
+from slotwise.plans.queries import BASELINE_SQL, COLD_SQL, CONFLICTS_SQL, EXPIRY_REF, HARD_SQL, LINES_SQL, PROBLEMS_SQL, TRIM_SQL, TYPES_SQL, _formatted, _halves, _texts, query
 from slotwise.sources import cards as S
 from slotwise.sources import sinks
 from slotwise.sources.claims import claims
@@ -45,9 +46,18 @@ def r1_markdown(spark, sf_dir):
     return R.markdown(_turn_texts(spark, sf_dir, "\n", role=True)).select("source", "seq", "section", "text")
 
 
-@query()
+#: Paragraphs; those over 4000 characters by sentences, refilled by a fold in recursion.
+SENTENCES_SQL = rf"""WITH RECURSIVE b AS (SELECT doc_id AS source, unnest(regexp_split_to_array(text, '\n\s*\n')) AS block, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS pos FROM documents),
+ s AS (SELECT source, pos, unnest(regexp_extract_all(block, '(?s)[^。！？.!?;；\n]*[。！？.!?;；\n]|[^。！？.!?;；\n]+$')) AS t, generate_subscripts(regexp_extract_all(block, '(?s)[^。！？.!?;；\n]*[。！？.!?;；\n]|[^。！？.!?;；\n]+$'), 1) AS i FROM b WHERE length(block) > 4000),
+ fold AS (SELECT source, pos, i, length(t) AS used, 0 AS piece FROM s WHERE i = 1 UNION ALL
+  SELECT source, pos, i, CASE WHEN full_ THEN n ELSE used + n END, piece + full_::INTEGER FROM (SELECT s.source, s.pos, s.i, length(s.t) AS n, f.used, f.piece, f.used + length(s.t) > 4000 AS full_ FROM fold f JOIN s ON s.source = f.source AND s.pos = f.pos AND s.i = f.i + 1)),
+ parts AS (SELECT source, pos, 0 AS piece, block AS t FROM b WHERE length(block) <= 4000 UNION ALL SELECT source, pos, piece, string_agg(t, '' ORDER BY i) FROM fold JOIN s USING (source, pos, i) GROUP BY 1, 2, 3),
+ trimmed AS (SELECT source, pos, piece, {TRIM_SQL.format('t')} AS text FROM parts)"""
+
+
+@query(" SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos, piece) - 1)::INTEGER AS seq, length(text)::INTEGER AS chars, sha1(text) AS sha FROM trimmed WHERE text <> ''", SENTENCES_SQL)
 def r2_sentences(spark, sf_dir):
-    return R.by_sentences(_texts(spark, sf_dir))
+    return R.by_sentences(_texts(spark, sf_dir)).select("source", "seq", "chars", F.sha1(F.col("text").cast("binary")).alias("sha"))
 
 
 @query(f"SELECT user_id AS source, {SEQ} AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS section, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || event_type AS text FROM events", None)
@@ -115,24 +125,49 @@ def r15_recipes(spark, sf_dir):
     return R.by_recipe(t).groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+RULES_SQL = """ SELECT event_id AS source, 0 AS seq, 'file-meta' AS kind, 'file: ' || event_id || chr(10) || 'format: ' || ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1] || chr(10) || 'records: ' || [3, 3, 3, 2, 1, 1][event_id % 6 + 1] AS text FROM events
+ UNION ALL SELECT event_id, p, ['log', 'jsonl-line', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1],
+  CASE event_id % 6 WHEN 0 THEN '2024-01-05 10:00:00 ' || event_id WHEN 1 THEN '{"a":' || event_id || '}' WHEN 2 THEN 'k' || event_id || ':' || chr(10) || '  v: 1' WHEN 3 THEN event_id || ': ' || event_id || chr(10) || 'b: b' || chr(10) || 'c: c' WHEN 5 THEN 'words and ' || event_id || chr(10) || 'words and ' || event_id || chr(10) || 'words and ' || event_id END
+  FROM events, LATERAL (SELECT unnest(range(1, 1 + [3, 3, 3, 2, 0, 1][event_id % 6 + 1]))::INTEGER AS p)"""
+
+
+@query("SELECT * FROM (" + RULES_SQL + ") WHERE source % 6 <> 4", None)
 def r16_rules(spark, sf_dir):
-    return R.by_rules(_texts(spark, sf_dir).withColumn("format", S.sniffed(F.col("text"), F.lit("x"))))
+    texts = _formatted(spark, sf_dir)
+    return R.by_rules(texts.withColumn("format", S.sniffed(F.col("text"), F.lit("x")))).where("source % 6 <> 4").select("source", "seq", "kind", "text")
+
+
+@query(""" SELECT event_id AS source, 'lines' AS strategy, 1 AS chunks FROM events WHERE event_id % 3 = 0 UNION ALL
+ SELECT event_id, 'fallback:' || ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1], 2 FROM events WHERE event_id % 3 > 0 AND event_id % 6 <> 4""", None)
+def u7_recipe_chunks(spark, sf_dir):
+    """Sources without a recipe, and those with a bad one, go by the rules of their format."""
+    strategy = F.when(F.col("source") % 3 == 0, "lines").when(F.col("source") % 3 == 1, "magic")
+    texts = _formatted(spark, sf_dir).withColumn("format", S.sniffed(F.col("text"), F.lit("x"))).withColumn("strategy", strategy)
+    c = R.chunks_by_recipe(texts.where("source % 6 <> 4"))
+    return c.groupBy("source", "strategy").agg(F.count("*").cast("int").alias("chunks"))
 
 
-@query(" SELECT id AS source, '[card ' || id || ']' || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'slot: ' || subject || '::' || predicate || chr(10) || 'value: ' || value || CASE WHEN status <> 'active' THEN chr(10) || 'status: ' || status ELSE '' END || chr(10) || 'tags: ' || array_to_string(tags, ', ') || chr(10) || 'body:' || chr(10) || body AS text FROM claims")
+@query(" SELECT id AS source, '[card ' || id || ']' || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'slot: ' || subject || '::' || predicate || chr(10) || 'value: ' || value || CASE WHEN status <> 'active' THEN chr(10) || 'status: ' || status ELSE '' END || chr(10) || 'tags: ' || array_to_string(tags, ', ') || chr(10) || 'aliases: ' || array_to_string(aliases, ', ') || chr(10) || 'body:' || chr(10) || body AS text FROM claims")
 def r17_card_records(spark, sf_dir):
     return R.of_cards(claims(spark, sf_dir)).select("source", "text")
 
 
-@query(" SELECT source, seq, p::INTEGER AS part, (CASE WHEN n = 1 THEN length(text) ELSE least(85, length(text) - p * 85) END)::INTEGER AS chars FROM (SELECT *, CASE WHEN length(text) > 100 THEN ceil(length(text) / 85.0)::INTEGER ELSE 1 END AS n FROM k), LATERAL (SELECT unnest(range(n)) AS p)", LINES_SQL)
+@query(" SELECT source, seq, p::INTEGER AS part, (CASE WHEN n = 1 THEN length(text) ELSE least(85, length(text) - p * 85) END)::INTEGER AS chars, CASE WHEN n > 1 THEN 'line-part' ELSE 'line' END AS kind, 'L' || seq || CASE WHEN n > 1 THEN ' (part ' || (p + 1) || '/' || n || ')' ELSE '' END AS locator FROM (SELECT *, CASE WHEN length(text) > 100 THEN ceil(length(text) / 85.0)::INTEGER ELSE 1 END AS n FROM k), LATERAL (SELECT unnest(range(n)) AS p)", LINES_SQL)
 def k2_slices(spark, sf_dir):
-    return R.sliced(R.by_lines(_texts(spark, sf_dir)), 100).select("source", "seq", "part", "chars")
+    lines = R.by_lines(_texts(spark, sf_dir)).withColumn("locator", F.concat(F.lit("L"), F.col("seq").cast("string")))
+    return R.sliced(lines, 100).select("source", "seq", "part", "chars", "kind", "locator")
 
 
-@query(" SELECT source, seq AS chunk, row_number() OVER (ORDER BY source, seq) - 1 AS number FROM k", LINES_SQL)
+@query(" SELECT source, seq // 5 AS chunk, row_number() OVER (ORDER BY source, seq // 5) - 1 AS number FROM k GROUP BY 1, 2", LINES_SQL)
 def k4_numbered(spark, sf_dir):
-    return R.numbered_across(R.chunks(R.by_lines(_texts(spark, sf_dir)), 1_000_000, 1)).select("source", "chunk", "number")
+    return R.numbered_across(R.chunks(R.by_lines(_texts(spark, sf_dir)), 10_000_000, 5)).select("source", "chunk", "number")
+
+
+@query(" SELECT source, seq, text FROM k WHERE source = 3 AND seq = 2", LINES_SQL)
+def x10_chunk(spark, sf_dir):
+    c = R.chunks(R.by_lines(_texts(spark, sf_dir)), 10_000_000, 1)
+    found = R.chunk_of(c.withColumn("number", F.col("chunk")), "3-2")
+    return found.select("source", F.col("chunk").alias("seq"), F.regexp_extract("text", r'(?s)\A<record id="2" loc="">\n(.*)\n</record>\z', 1).alias("text"))
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -184,7 +219,7 @@ def jj_recipe_progress(spark, sf_dir):
 
 @query(CONFLICTS_SQL + """, m AS (SELECT slot, keeper FROM g WHERE digests < n), o AS (SELECT c.*, m.keeper, m.keeper IS NOT NULL AND status = 'active' AS part FROM claims c LEFT JOIN m USING (slot)),
  b AS (SELECT keeper AS k, string_agg(trim(body), chr(10) || chr(10) ORDER BY (id = keeper) DESC, valid_from DESC, num DESC) AS merged, sum(hits)::BIGINT AS total FROM o WHERE part GROUP BY keeper)
- SELECT id, CASE WHEN part AND id <> keeper THEN 'superseded' ELSE status END AS status, CASE WHEN part AND id <> keeper THEN keeper END AS superseded_by, coalesce(total, hits) AS hits, coalesce(merged, body) AS body FROM o LEFT JOIN b ON part AND id = k""")
+ SELECT id, CASE WHEN part AND id <> keeper THEN 'superseded' ELSE status END AS status, CASE WHEN part AND id <> keeper THEN keeper ELSE superseded_by END AS superseded_by, coalesce(total, hits) AS hits, coalesce(merged, body) AS body FROM o LEFT JOIN b ON part AND id = k""")
 def l3_auto_merged(spark, sf_dir):
     return U.auto_merged(claims(spark, sf_dir), EXPIRY_REF).select("id", "status", "superseded_by", "hits", "body")
 
@@ -192,11 +227,15 @@ def l3_auto_merged(spark, sf_dir):
 AGE_AT = f"greatest(0.0, (epoch(TIMESTAMP '{EXPIRY_REF}') - epoch(recorded_at)) / 86400.0)"
 
 
-@query(f", {TYPES_SQL}" + CONFLICTS_SQL + f""" SELECT 'expiring' AS kind, id, type AS detail FROM claims LEFT JOIN types USING (type) WHERE status = 'active' AND {AGE_AT} > floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance))
+@query(f", {TYPES_SQL}" + CONFLICTS_SQL + f""", ends AS (SELECT id, CASE WHEN num % 9 = 1 THEN split_part(links[1], ':', 2) ELSE split_part(links[1], ':', 1) END AS target FROM claims WHERE status = 'active' AND len(links) > 0)
+ SELECT 'expiring' AS kind, id, type AS detail FROM claims LEFT JOIN types USING (type) WHERE status = 'active' AND {AGE_AT} > floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance))
  UNION ALL SELECT 'mergeable', keeper, slot FROM g WHERE digests < n
- UNION ALL SELECT 'archive', id, type FROM claims WHERE status = 'active' AND type NOT IN ('profile', 'preference', 'procedure', 'decision') AND {AGE_AT} > 90 AND importance <= 0.25""")
+ UNION ALL SELECT 'archive', id, type FROM claims WHERE {COLD_SQL} UNION ALL SELECT 'orphan_link', id, target FROM ends WHERE target NOT IN (SELECT id FROM claims)
+ UNION ALL SELECT 'stale_map', id, 'all' FROM claims WHERE status <> 'active'""")
 def l5_sweep(spark, sf_dir):
-    return U.sweep(claims(spark, sf_dir), EXPIRY_REF)
+    c = claims(spark, sf_dir)
+    maps = c.select(F.lit("all").alias("map"), F.concat(F.lit("see "), "id").alias("text"))
+    return U.sweep(c, EXPIRY_REF, maps)
 
 
 ACTIONS = ("merge", "supersede", "keep-first", "dispute", "drop")
@@ -215,11 +254,110 @@ def l6_decided(spark, sf_dir):
     return U.decided(c, d).select("id", "status", "body")
 
 
-@query(" SELECT id, hits + 2 * (num % 3) AS hits FROM claims")
+@query(" SELECT id, hits + 2 * (num % 3) AS hits, CASE WHEN num % 3 > 0 THEN greatest(last_hit, recorded_at + INTERVAL 3 DAY) ELSE last_hit END AS last_hit FROM claims")
 def l7_used(spark, sf_dir):
     c = claims(spark, sf_dir)
-    uses = c.select("id", F.explode(F.array_repeat(F.col("recorded_at"), ((F.col("num") % 3) * 2).cast("int"))).alias("at"))
-    return U.used(c, uses).select("id", "hits")
+    at = F.col("recorded_at") + F.expr("INTERVAL 3 DAYS")
+    uses = c.select("id", F.explode(F.array_repeat(at, ((F.col("num") % 3) * 2).cast("int"))).alias("at"))
+    return U.used(c, uses).select("id", "hits", "last_hit")
+
+
+VERDICT_OF = "['dispute', 'supersede', 'merge', 'keep', 'archive', 'guess'][(length(slot) + n) % 6 + 1]"
+RESOLVED_SQL = f""", d AS (SELECT slot, count(*) AS n FROM claims WHERE status IN ('active', 'disputed') GROUP BY slot HAVING count(*) > 1), e AS (SELECT slot, {VERDICT_OF} AS v FROM d),
+ m AS (SELECT c.*, v, first_value(id) OVER (PARTITION BY slot ORDER BY type, id) AS keep FROM claims c JOIN e USING (slot) WHERE status IN ('active', 'disputed') AND v <> 'guess'),
+ o AS (SELECT keep AS k, string_agg(trim(body), chr(10) || chr(10) ORDER BY type, id) AS others, sum(hits)::INTEGER AS more, string_agg(id, ',' ORDER BY type, id) AS ids FROM m WHERE id <> keep AND v IN ('supersede', 'merge') GROUP BY keep),
+ r AS (SELECT m.*, others, more, ids, id <> keep AS loses FROM m LEFT JOIN o ON m.id = o.k)"""
+
+
+@query(RESOLVED_SQL + """ SELECT id, CASE WHEN v = 'dispute' THEN 'disputed' WHEN v = 'archive' THEN 'archived' WHEN loses THEN 'superseded' WHEN v = 'keep' THEN 'active' ELSE status END AS status,
+  CASE WHEN v = 'merge' AND NOT loses THEN trim(body) || chr(10) || chr(10) || others ELSE body END || CASE WHEN v IN ('merge', 'supersede') AND NOT loses THEN chr(10) || chr(10) || '> 裁决记录 2024-06-01: ok' ELSE '' END AS body,
+  CASE WHEN v = 'merge' AND NOT loses THEN hits + more ELSE hits END AS hits, CASE WHEN v = 'merge' AND NOT loses THEN source || '|merged:' || ids ELSE source END AS source,
+  CASE WHEN v IN ('merge', 'supersede') AND NOT loses THEN ids ELSE '' END AS supersedes, CASE WHEN v = 'dispute' THEN NULL WHEN loses AND v <> 'archive' THEN coalesce(valid_to, DATE '2024-06-01') ELSE valid_to END AS valid_to,
+  CASE WHEN v IN ('merge', 'supersede') AND loses THEN keep WHEN v = 'dispute' OR v = 'keep' AND loses THEN NULL ELSE superseded_by END AS superseded_by FROM r
+ UNION ALL SELECT id, status, body, hits, source, '', valid_to, superseded_by FROM claims WHERE id NOT IN (SELECT id FROM m)""")
+def l2_resolved(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return U.resolved(c, _verdicts(c), EXPIRY_REF).select("id", "status", "body", "hits", "source", F.array_join(F.coalesce("supersedes", F.array().cast("array<string>")), ",").alias("supersedes"), "valid_to", "superseded_by")
+
+
+def _verdicts(c):
+    at = (F.length("slot") + F.count("*")) % 6 + 1
+    d = c.where("status in ('active', 'disputed')").groupBy("slot").agg(F.count("*").alias("n"), F.element_at(F.array(*map(F.lit, (*U.VERDICTS, "guess"))), at.cast("int")).alias("verdict"))
+    return d.where("n > 1").withColumn("note", F.lit("ok"))
+
+
+@query(RESOLVED_SQL + " SELECT slot, 'unknown_verdict' AS error FROM e WHERE v = 'guess' UNION ALL SELECT 'nowhere::at all', 'no_members'")
+def l2_errors(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return U.resolution_errors(c, _verdicts(c).select("slot", "verdict").unionByName(spark.createDataFrame([("nowhere::at all", "keep")], "slot string, verdict string")))
+
+
+ADD_SQL = PROBLEMS_SQL + f""", new AS (SELECT * FROM claims WHERE num % 2 = 0), old AS (SELECT * FROM claims WHERE num % 2 = 1 AND status = 'active'), p AS (SELECT id, string_agg(problem, ',' ORDER BY problem) AS problems, bool_or({HARD_SQL}) AS hard FROM problems GROUP BY id),
+ x AS (SELECT new.id, string_agg(old.id, ',' ORDER BY old.id) AS existing FROM new JOIN old USING (slot) GROUP BY new.id)"""
+
+
+@query(ADD_SQL + " SELECT id, NOT coalesce(hard, false) AS ok, coalesce(problems, '') AS problems, coalesce(existing, '') AS existing, existing IS NOT NULL AS contested FROM new LEFT JOIN p USING (id) LEFT JOIN x USING (id)")
+def l8_added(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    a = I.added(c.where("num % 2 = 0"), c.where("num % 2 = 1"), EXPIRY_REF)
+    return a.select("id", "ok", F.array_join("problems", ",").alias("problems"), F.array_join("existing", ",").alias("existing"), F.col("action").isNotNull().alias("contested"))
+
+
+@query(" SELECT 'total' AS measure, 'all' AS key, count(*) AS n FROM claims UNION ALL SELECT 'type/status', type || '/' || status, count(*) FROM claims GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM claims GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM claims GROUP BY 2 UNION ALL SELECT 'contested', slot, count(*) FROM claims WHERE status = 'active' GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'review', id, 1 FROM claims WHERE status = 'active' AND confidence < 0.5 UNION ALL SELECT 'subject', split_part(subject, ':', 1), count(*) FROM claims WHERE status = 'active' GROUP BY 2 UNION ALL (SELECT 'hot', id, hits FROM claims WHERE status = 'active' ORDER BY hits DESC, num LIMIT 10)")
+def a11_state(spark, sf_dir):
+    return U.overview(claims(spark, sf_dir))
+
+
+LIBRARY_SQL = " SELECT 'cards' AS measure, 'all' AS key, count(*) AS n FROM claims UNION ALL SELECT 'active', 'all', count(*) FROM claims WHERE status = 'active' UNION ALL SELECT 'slots', 'all', count(DISTINCT subject || '::' || predicate) FROM claims UNION ALL SELECT 'type', type, count(*) FROM claims GROUP BY 2"
+
+
+@query(LIBRARY_SQL)
+def a19_by_type(spark, sf_dir):
+    return U.library(claims(spark, sf_dir))
+
+
+@query(LIBRARY_SQL + " UNION ALL SELECT 'shared_slots', 'all', count(*) FROM (SELECT slot FROM claims GROUP BY slot HAVING count(*) > 1) UNION ALL SELECT 'status', status, count(*) FROM claims GROUP BY 2 UNION ALL SELECT 'problem', 'no_id', count(*) FROM claims WHERE num % 10 = 0")
+def a13_doctor(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return U.doctor(c, c.where("num % 10 = 0").select("id", F.lit("no_id").alias("problem")))
+
+
+@query(", s AS (SELECT * FROM claims WHERE status = 'active') SELECT 'type' AS measure, type AS key, count(*)::DOUBLE AS n FROM s GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'subject', split_part(subject, ':', 1), count(*) FROM s GROUP BY 2 UNION ALL SELECT 'slots', 'all', count(DISTINCT subject || '::' || predicate) FROM s UNION ALL SELECT 'coverage', 'all', 0.3333 UNION ALL SELECT 'extracted', 'all', count(*) FROM claims UNION ALL SELECT 'valid', 'all', count(*) FROM claims WHERE num % 4 > 0 UNION ALL SELECT 'extracted_type', type, count(*) FROM claims GROUP BY 2")
+def a14_report(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    got = c.withColumn("predicate", F.when(F.col("num") % 4 > 0, F.col("predicate")))
+    return U.trial_report(C.active(c), 300, 100, got)
+
+
+@query(" SELECT type, n, row_number() OVER (ORDER BY n DESC, type)::INTEGER AS place FROM (SELECT type, count(*) AS n FROM claims GROUP BY type)")
+def o5_types(spark, sf_dir):
+    # the order is what is shown: places of the ordered rows, a row for each type
+    rows = C.types_by_count(claims(spark, sf_dir)).collect()
+    return spark.createDataFrame([(r["type"], r["n"], i + 1) for i, r in enumerate(rows)], "type string, n long, place int")
+
+
+@query(BASELINE_SQL.replace(", base AS (SELECT * FROM grams", ", old AS (SELECT * FROM grams").replace("base.", "old.").replace("JOIN base", "JOIN old") + " SELECT new_id, CASE WHEN similarity >= 0.93 THEN 'identical' WHEN similarity >= 0.7 THEN 'enrichment' ELSE 'contradiction' END AS kind, similarity FROM best WHERE r = 1 ORDER BY CASE WHEN similarity >= 0.93 THEN 2 WHEN similarity >= 0.7 THEN 1 ELSE 0 END, similarity, slot, new_id LIMIT 40")
+def o4_first_conflicts(spark, sf_dir):
+    return C.in_order(C.against_baseline(*_halves(spark, sf_dir))).limit(40).select("new_id", "kind", "similarity")
+
+
+@query(f", {TYPES_SQL} SELECT type, count(*) AS n, count(*) FILTER (NOT (type = 'note' OR contains(predicate, ' ') OR coalesce(valid_to < valid_from, false) OR status = 'active' AND valid_to IS NOT NULL)) AS ok FROM claims GROUP BY type")
+def x8_preview(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    used = c.where("num % 5 = 0").select("id")
+    return I.export_preview(c.withColumn("ord", F.col("num")), used, 10).select("type", "n", "ok")
+
+
+@query(", t AS (SELECT id, CASE WHEN num % 3 = 0 THEN 'memo' ELSE type END AS type, value, body FROM claims) SELECT id, type <> 'note' AND type <> 'memo' AS kept FROM t")
+def s14_results(spark, sf_dir):
+    """Extractor results in JSON, a card each; a third has a type that there is none of."""
+    c = claims(spark, sf_dir)
+    kind = F.when(F.col("num") % 3 == 0, "memo").otherwise(F.col("type"))
+    obj = F.to_json(F.struct(kind.alias("category"), F.col("title").alias("name"), F.col("slot"), F.col("value").alias("key"), F.col("body").alias("content"), F.lit("a，b").alias("tags"), F.lit(0.5).alias("confidence")))
+    results = c.select(F.col("id").alias("chunk"), F.concat(F.lit("Here they are:\n```json\n"), obj, F.lit("\n```")).alias("text"))
+    loose = A.extracted(results).withColumn("id", F.col("chunk"))
+    good, bad = I.read_results(loose, "2024-03-01")
+    return good.select("id", F.lit(True).alias("kept")).unionByName(bad.select("id", F.lit(False).alias("kept")))
 
 
 @query(" SELECT id, CASE WHEN num % 4 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN num % 4 = 0 THEN coalesce(valid_to, DATE '2024-06-01') ELSE valid_to END AS valid_to FROM claims")

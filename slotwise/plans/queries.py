@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slotwise.config import PENALTIES, STATUSES, TYPES, WEIGHTS
+from slotwise.config import PENALTIES, RELATIONS, STATUSES, TYPES, WEIGHTS
 from slotwise.functions import temporal as D
 from slotwise.functions import text as T
+from slotwise.operators import agent as A
 from slotwise.operators import cards as C
+from slotwise.operators import intake as I
 from slotwise.operators import records as R
+from slotwise.operators import upkeep as U
 from slotwise.sources import cards as S
 from slotwise.sources.claims import CLAIMS_SQL, REF_TS, claims
+from slotwise.streaming import stream as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,7 +28,7 @@ TYPES_SQL = "types(type, ttl_days, type_importance, body_limit, volatile) AS (VA
 AGE_SQL = f"greatest(0.0, (epoch({REF}) - epoch(recorded_at)) / 86400.0)"
 COMPARABLE_SQL = r"regexp_replace(lower(coalesce(value, '')), '[\s\p{Z}\p{P}\p{S}]', '', 'g')"
 GRAMS_SQL = "CASE WHEN length(v) = 0 THEN [] WHEN length(v) = 1 THEN [v] ELSE list_distinct(list_transform(range(1, length(v)), lambda i: substr(v, i, 2))) END"
-QUERY = "click by 42 on k1 card"
+QUERY = "click by 42 on k1 card, reply-style of team all"
 
 
 def query(sql: str | None = None, cte: str | None = CLAIMS_SQL):
@@ -62,29 +67,27 @@ def f2_as_of(spark, sf_dir):
 
 @query("SELECT id, type FROM claims WHERE type IN ('decision', 'lesson')")
 def f3_types(spark, sf_dir):
-    return claims(spark, sf_dir).where(F.col("type").isin("decision", "lesson")).select("id", "type")
+    return C.of_types(claims(spark, sf_dir), ["decision", "lesson"]).select("id", "type")
 
 
-@query("SELECT id, subject FROM claims WHERE subject IN ('user:7', 'user:42') OR contains(subject, 'user')")
+@query("SELECT id, subject FROM claims WHERE subject IN ('team:all', 'user:42') OR contains(subject, 'team')")
 def f4_subjects(spark, sf_dir):
-    return C.by_subject(claims(spark, sf_dir), ["user:7", "user:42"]).select("id", "subject")
+    return C.by_subject(claims(spark, sf_dir), ["team:all", "user:42"]).select("id", "subject")
 
 
 @query("SELECT id, subject FROM claims WHERE type = 'episode' AND status = 'active' AND starts_with(subject, 'user:1') ORDER BY num LIMIT 40")
 def f5_list(spark, sf_dir):
-    c = claims(spark, sf_dir).where("type = 'episode' and status = 'active'").where(F.startswith("subject", F.lit("user:1")))
-    return c.orderBy("num").limit(40).select("id", "subject")
+    return C.listed(claims(spark, sf_dir), "episode", "active", "user:1", 40).select("id", "subject")
 
 
 @query("SELECT id FROM claims WHERE lower(subject) IN ('user:7', 'user:8')")
 def f6_subjects_any_case(spark, sf_dir):
-    return claims(spark, sf_dir).where(F.lower("subject").isin("user:7", "user:8")).select("id")
+    return C.with_subjects(claims(spark, sf_dir), ["User:7", "user:8"]).select("id")
 
 
 @query("SELECT count(*) FILTER (trim(coalesce(subject, '')) = '' OR trim(coalesce(predicate, '')) = '') AS malformed, count(*) AS total FROM claims WHERE status = 'active'")
 def f7_malformed(spark, sf_dir):
-    bad = (F.trim(F.coalesce("subject", F.lit(""))) == "") | (F.trim(F.coalesce("predicate", F.lit(""))) == "")
-    return C.active(claims(spark, sf_dir)).agg(F.count_if(bad).alias("malformed"), F.count("*").alias("total"))
+    return C.malformed(claims(spark, sf_dir))
 
 
 PROBLEMS_SQL = f""", {TYPES_SQL}, checked AS (SELECT c.*, t.type AS known, coalesce(t.body_limit, 1200) AS lim FROM claims c LEFT JOIN types t USING (type)),
@@ -94,37 +97,95 @@ problems AS (
  UNION ALL SELECT id, 'body_limit' FROM checked WHERE length(body) > lim UNION ALL SELECT id, 'empty' FROM checked WHERE trim(coalesce(value, '')) = '' AND trim(coalesce(body, '')) = ''
  UNION ALL SELECT id, 'confidence_range' FROM checked WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'importance_range' FROM checked WHERE importance NOT BETWEEN 0 AND 1
  UNION ALL SELECT id, 'valid_order' FROM checked WHERE valid_to < valid_from UNION ALL SELECT id, 'active_ended' FROM checked WHERE status = 'active' AND valid_to IS NOT NULL
- UNION ALL SELECT id, 'ended_open' FROM checked WHERE status IN ('superseded', 'expired') AND valid_to IS NULL UNION ALL SELECT id, 'superseded_by_missing' FROM checked WHERE status = 'superseded')"""
+ UNION ALL SELECT id, 'ended_open' FROM checked WHERE status IN ('superseded', 'expired') AND valid_to IS NULL UNION ALL SELECT id, 'superseded_by_missing' FROM checked WHERE status = 'superseded' AND coalesce(superseded_by, '') = ''
+ UNION ALL SELECT id, 'unknown_relation' FROM checked WHERE len(links) > 0 AND split_part(links[1], ':', 1) NOT IN {RELATIONS})"""
+HARD_SQL = f"(starts_with(problem, 'missing_') OR problem IN {C.HARD})"
 
 
-@query(PROBLEMS_SQL + " SELECT id, problem, problem <> 'body_limit' AS hard FROM problems")
+@query(PROBLEMS_SQL + f" SELECT id, problem, {HARD_SQL} AS hard FROM problems")
 def f8_problems(spark, sf_dir):
     return C.problems(claims(spark, sf_dir))
 
 
 @query(PROBLEMS_SQL + ", bad AS (SELECT DISTINCT id FROM problems) SELECT count(*) FILTER (b.id IS NULL) AS ok, count(*) FILTER (b.id IS NOT NULL) AS rejected FROM claims c LEFT JOIN bad b USING (id)")
 def f11_final_check(spark, sf_dir):
-    c = claims(spark, sf_dir)
-    bad = C.problems(c).select("id").distinct().withColumn("bad", F.lit(True))
-    return c.select("id").join(bad, "id", "left").agg(F.count_if(F.col("bad").isNull()).alias("ok"), F.count_if(F.col("bad")).alias("rejected"))
+    return C.final_check(claims(spark, sf_dir))
 
 
 @query("SELECT id, confidence FROM claims WHERE status IN ('active', 'disputed') AND (status = 'disputed' OR confidence < 0.5)")
 def f12_needs_review(spark, sf_dir):
-    return claims(spark, sf_dir).where("status in ('active', 'disputed') and (status = 'disputed' or confidence < 0.5)").select("id", "confidence")
+    return C.needs_review(claims(spark, sf_dir)).select("id", "confidence")
+
+
+IDLE_SQL = "greatest(0.0, (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(coalesce(last_hit, recorded_at))) / 86400.0)"
+COLD_SQL = f"status = 'active' AND type NOT IN ('profile', 'preference', 'decision') AND len(links) = 0 AND coalesce(superseded_by, '') = '' AND {IDLE_SQL} > 90 AND importance <= 0.25"
 
 
-@query("SELECT id FROM claims WHERE status = 'active' AND type NOT IN ('profile', 'preference', 'procedure', 'decision') AND greatest(0.0, (epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(recorded_at)) / 86400.0) > 90 AND importance <= 0.25")
+@query(f"SELECT id FROM claims WHERE {COLD_SQL}")
 def f13_archive_candidates(spark, sf_dir):
     return C.archive_candidates(claims(spark, sf_dir), "2024-06-01 00:00:00").select("id")
 
 
-@query(r"SELECT id, regexp_replace(lower(trim(subject)), '\s+', '-', 'g') AS subject, regexp_replace(lower(trim(predicate)), '\s+', '_', 'g') AS predicate, substr(title, 1, 80) AS title, greatest(0.0, least(1.0, confidence)) AS confidence, substr(body, 1, 20) || CASE WHEN length(body) > 20 THEN '…' ELSE '' END AS body FROM claims WHERE type <> 'note'")
+@query(f"SELECT id, {IDLE_SQL} AS idle FROM claims")
+def m8_days_since_hit(spark, sf_dir):
+    idle = D.days_since_hit(F.col("last_hit"), F.col("recorded_at"), F.col("valid_from"), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return claims(spark, sf_dir).select("id", idle.alias("idle"))
+
+
+@query("SELECT id, status = 'active' AND valid_to IS NULL AS is_current FROM claims")
+def x4_current(spark, sf_dir):
+    return C.current(claims(spark, sf_dir)).select("id", "is_current")
+
+
+def _loose(spark, sf_dir):
+    """Cards as an extractor may give them: blanks in slots, unknown types and states, numbers out of range, long lists."""
+    c = claims(spark, sf_dir)
+    n = F.col("num")
+    return c.select(
+        "id", F.when(n % 5 == 0, "memo").otherwise(F.col("type")).alias("type"), F.when(n % 4 == 0, F.repeat(F.concat("title", F.lit(" ")), F.lit(20))).otherwise(F.col("title")).alias("title"),
+        F.concat(F.lit(" My "), "subject", F.lit("\t")).alias("subject"), F.when(n % 11 == 0, "  ").otherwise(F.concat(F.lit("a  "), "predicate")).alias("predicate"), F.when(n % 3 > 0, F.col("value")).alias("value"),
+        F.when(n % 2 == 0, "active").otherwise("odd").alias("status"), F.when(n % 6 == 0, "much").otherwise((n % 3 - 0.5).cast("string")).alias("confidence"), F.lit(None).cast("string").alias("importance"),
+        F.when(n % 2 == 0, "2024-02-03").otherwise("soon").alias("valid_from"), F.when(n % 8 == 0, "2024-05-01").alias("valid_to"), F.repeat(F.col("body"), (n % 40).cast("int")).alias("body"),
+        F.transform(F.sequence(F.lit(1), (n % 20 + 1).cast("int")), lambda i: F.concat(F.lit(" t"), i.cast("string"))).alias("tags"), F.array(F.lit("extends:a"), F.lit("likes:b"), F.lit("c"), F.lit("supports:d")).alias("links"))
+
+
+NORMAL_SQL = f""", {TYPES_SQL}, loose AS (SELECT id, num, CASE WHEN num % 5 = 0 THEN 'memo' ELSE type END AS type, CASE WHEN num % 4 = 0 THEN repeat(title || ' ', 20) ELSE title END AS title, 'My-' || subject AS subject,
+  CASE WHEN num % 11 = 0 THEN '' ELSE 'a_' || replace(predicate, ' ', '_') END AS predicate, CASE WHEN num % 3 > 0 THEN value END AS value, CASE WHEN num % 6 = 0 THEN 0.8 ELSE greatest(0, least(1, num % 3 - 0.5)) END::DOUBLE AS confidence,
+  CASE WHEN num % 2 = 0 THEN DATE '2024-02-03' ELSE DATE '2024-03-01' END AS valid_from, CASE WHEN num % 8 = 0 THEN DATE '2024-05-01' END AS valid_to, trim(repeat(body, num % 40)) AS body FROM claims),
+ normal AS (SELECT id, num, type, trim(substr(trim(title), 1, 120)) AS t0, substr(trim(title), 1, 120) AS title, subject, predicate, substr(trim(coalesce(value, title)), 1, 300) AS value, confidence, type_importance AS importance, valid_from, valid_to,
+  CASE WHEN length(body) > body_limit THEN substr(body, 1, body_limit - 20) || chr(10) || '[内容超长已截断]' ELSE body END AS body, least(12, num % 20 + 1) AS tags FROM loose JOIN types USING (type) WHERE predicate <> '')"""
+
+
+@query(NORMAL_SQL + " SELECT id, type, title, subject, predicate, value, 'active' AS status, confidence, importance, valid_from, valid_to, sha1(body) AS body, tags::INTEGER AS tags, 'extends:a,supports:d' AS links, lower(trim(subject)) || '::' || lower(trim(predicate)) AS slot FROM normal")
 def f14_normalised(spark, sf_dir):
-    body = F.concat(F.substring("body", 1, 20), F.when(F.length("body") > 20, "…").otherwise(""))
-    return claims(spark, sf_dir).where("type <> 'note'").select(
-        "id", F.regexp_replace(F.lower(F.trim("subject")), r"\s+", "-").alias("subject"), F.regexp_replace(F.lower(F.trim("predicate")), r"\s+", "_").alias("predicate"),
-        F.substring("title", 1, 80).alias("title"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), body.alias("body"))
+    n = I.normalised(_loose(spark, sf_dir), "2024-03-01")
+    return n.select("id", "type", "title", "subject", "predicate", "value", "status", "confidence", "importance", "valid_from", "valid_to", F.sha1(F.col("body").cast("binary")).alias("body"), F.size("tags").alias("tags"), F.array_join("links", ",").alias("links"), "slot")
+
+
+FORGE_SQL = f""", {TYPES_SQL}, odd AS (SELECT c.* REPLACE (CASE WHEN num % 7 = 0 THEN '' ELSE title END AS title, CASE WHEN num % 5 = 0 THEN 'a' || chr(9) || 'b' ELSE subject END AS subject, CASE WHEN num % 3 = 0 THEN -0.5 ELSE confidence END AS confidence, repeat(body, (num % 60)) AS body, CASE WHEN num % 4 = 0 THEN ' ' ELSE value END AS value),
+  t.type AS known, coalesce(t.body_limit, 1200) AS lim FROM claims c LEFT JOIN types t USING (type)),
+ forged AS (SELECT id, 'missing_title' AS problem FROM odd WHERE title = '' UNION ALL SELECT id, 'unknown_type' FROM odd WHERE known IS NULL UNION ALL SELECT id, 'subject_space' FROM odd WHERE regexp_matches(subject, '\\s')
+  UNION ALL SELECT id, 'predicate_space' FROM odd WHERE regexp_matches(predicate, '\\s') UNION ALL SELECT id, 'body_limit' FROM odd WHERE length(body) > lim UNION ALL SELECT id, 'empty' FROM odd WHERE trim(value) = '' AND trim(body) = ''
+  UNION ALL SELECT id, 'confidence_range' FROM odd WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'valid_order' FROM odd WHERE valid_to < valid_from UNION ALL SELECT id, 'active_ended' FROM odd WHERE status = 'active' AND valid_to IS NOT NULL)"""
+
+
+def _odd(spark, sf_dir):
+    n = F.col("num")
+    return claims(spark, sf_dir).withColumns({
+        "title": F.when(n % 7 == 0, "").otherwise(F.col("title")), "subject": F.when(n % 5 == 0, "a\tb").otherwise(F.col("subject")), "confidence": F.when(n % 3 == 0, -0.5).otherwise(F.col("confidence")),
+        "body": F.repeat(F.col("body"), (n % 60).cast("int")), "value": F.when(n % 4 == 0, " ").otherwise(F.col("value"))})
+
+
+@query(FORGE_SQL + " SELECT id, problem FROM forged")
+def f9_forge_problems(spark, sf_dir):
+    return I.problems(_odd(spark, sf_dir))
+
+
+@query(FORGE_SQL + " SELECT id, id NOT IN (SELECT id FROM forged) AS plain FROM odd WHERE id NOT IN (SELECT id FROM forged WHERE problem <> 'body_limit')")
+def x9_forced(spark, sf_dir):
+    odd = _odd(spark, sf_dir)
+    plain = I.accepted(odd).select(F.col("id").alias("_id"))
+    return I.accepted(odd, force=True).join(plain, F.col("id") == F.col("_id"), "left").select("id", F.col("_id").isNotNull().alias("plain"))
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -151,14 +212,12 @@ def jb_baseline(spark, sf_dir):
 
 @query("SELECT DISTINCT slot FROM claims WHERE num % 2 = 0 AND slot NOT IN (SELECT slot FROM claims WHERE num % 2 = 1 AND status = 'active')")
 def jc_new_slots(spark, sf_dir):
-    new, old = _halves(spark, sf_dir)
-    return new.select("slot").join(old.select("slot"), "slot", "left_anti").distinct()
+    return C.new_slots(*_halves(spark, sf_dir))
 
 
 @query("SELECT slot, count(*) AS n FROM claims WHERE num % 2 = 1 AND status = 'active' AND slot NOT IN (SELECT slot FROM claims WHERE num % 2 = 0) GROUP BY slot")
 def jd_uncovered(spark, sf_dir):
-    new, old = _halves(spark, sf_dir)
-    return old.join(new.select("slot"), "slot", "left_anti").groupBy("slot").agg(F.count("*").alias("n"))
+    return C.uncovered(*_halves(spark, sf_dir))
 
 
 @query(VALUES_SQL + f" SELECT a.slot, max({sim_sql('a', 'b')}) AS sim FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num GROUP BY a.slot")
@@ -171,11 +230,9 @@ def jf_near_pairs(spark, sf_dir):
     return C.slot_pairs(claims(spark, sf_dir)).where("sim >= 0.88").select("a", "b", "sim")
 
 
-@query("SELECT id, printf('mem_%05d', num * 3) AS target FROM claims WHERE printf('mem_%05d', num * 3) NOT IN (SELECT id FROM claims)")
+@query(", ends AS (SELECT id, CASE WHEN num % 9 = 1 THEN split_part(links[1], ':', 2) ELSE split_part(links[1], ':', 1) END AS target FROM claims WHERE status = 'active' AND len(links) > 0) SELECT id, target FROM ends WHERE target NOT IN (SELECT id FROM claims)")
 def jg_orphan_links(spark, sf_dir):
-    c = claims(spark, sf_dir)
-    links = c.select("id", F.format_string("mem_%05d", F.col("num") * 3).alias("target"))
-    return links.join(c.select(F.col("id").alias("target")), "target", "left_anti").select("id", "target")
+    return U.orphan_links(claims(spark, sf_dir))
 
 
 @query(", refs AS (SELECT 'map' || CAST(num % 50 AS VARCHAR) AS map, id FROM claims) SELECT map, string_agg(id, ',' ORDER BY id) AS stale, count(*) AS n FROM refs WHERE id NOT IN (SELECT id FROM claims WHERE status = 'active') GROUP BY map")
@@ -186,12 +243,11 @@ def jh_stale_maps(spark, sf_dir):
     return gone.groupBy("map").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("stale"), F.count("*").alias("n"))
 
 
-@query("SELECT o_orderpriority AS task, count(*) AS total, count(l.k) AS done, floor(100.0 * count(l.k) / count(*) + 0.5)::BIGINT AS percent FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F') l ON o_orderkey = l.k GROUP BY 1", None)
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS chunk, CASE WHEN n = 0 THEN 'missing' WHEN ok = 0 THEN 'error' ELSE 'ok' END AS state, ok AS cards FROM (SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'N') AS ok FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25) ON o_orderkey = l_orderkey GROUP BY 1)", None)
 def ji_progress(spark, sf_dir):
     o, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    done = li.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("k")).distinct()
-    return o.join(done, F.col("o_orderkey") == F.col("k"), "left").groupBy(F.col("o_orderpriority").alias("task")).agg(
-        F.count("*").alias("total"), F.count("k").alias("done"), F.floor(100.0 * F.count("k") / F.count("*") + 0.5).alias("percent"))
+    results = li.where("l_quantity > 25").select(F.col("l_orderkey").cast("string").alias("chunk"), F.when(F.col("l_returnflag") != "N", "no_cards").alias("error"))
+    return A.progress(o.select(F.col("o_orderkey").cast("string").alias("chunk")), results)
 
 
 @query(", c AS (SELECT slot, count(*) AS n FROM claims WHERE status = 'active' GROUP BY slot HAVING count(*) > 1), d AS (SELECT slot, CASE WHEN n > 2 THEN 'keep_latest' ELSE 'keep_first' END AS decision FROM c), r AS (SELECT c.id, c.slot, d.decision, row_number() OVER (PARTITION BY c.slot ORDER BY CASE WHEN d.decision = 'keep_first' THEN num ELSE -num END) AS r FROM claims c JOIN d USING (slot) WHERE status = 'active') SELECT id, slot, decision, r = 1 AS kept FROM r")
@@ -202,11 +258,11 @@ def jk_decisions(spark, sf_dir):
     return c.join(d, "slot").select("id", "slot", "decision", (F.row_number().over(W.partitionBy("slot").orderBy(order)) == 1).alias("kept"))
 
 
-@query(", used AS (SELECT num * 3 AS k FROM claims), inc AS (SELECT id, row_number() OVER (ORDER BY num) AS i FROM claims WHERE num <= 50), free AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM range(1, 101) t(k) WHERE k NOT IN (SELECT k FROM used)) SELECT id, printf('mem_%05d', k) AS new_id FROM inc JOIN free USING (i)")
+@query(", used AS (SELECT num * 3 AS k FROM claims), inc AS (SELECT id, row_number() OVER (ORDER BY num) AS i FROM claims), free AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT unnest(range(1, 2 + 4 * (SELECT count(*) FROM claims))) AS k) WHERE k NOT IN (SELECT k FROM used)) SELECT id, printf('mem_%05d', k) AS new_id FROM inc JOIN free USING (i)")
 def jl_free_ids(spark, sf_dir):
     c = claims(spark, sf_dir)
     used = c.select(F.format_string("mem_%05d", F.col("num") * 3).alias("id"))
-    return C.assigned_ids(c.where("num <= 50").select("id", F.col("num").alias("ord")), used, 1).select("id", "new_id")
+    return C.assigned_ids(c.select("id", F.col("num").alias("ord")), used, 1).select("id", "new_id")
 
 
 @query("SELECT id FROM claims c WHERE EXISTS (SELECT 1 FROM customer k WHERE lower(c.subject) = 'user:' || CAST(k.c_custkey AS VARCHAR) AND k.c_nationkey = 3)")
@@ -238,7 +294,12 @@ def a3_conflicts(spark, sf_dir):
     return C.conflicts(claims(spark, sf_dir)).select("slot", "n", "kind", "members", "newest")
 
 
-@query(CONFLICTS_SQL + " SELECT slot, CASE WHEN digests < n THEN 'merge' ELSE 'escalate' END AS action, CASE WHEN digests < n THEN 0.95 ELSE 0.0 END AS action_confidence FROM g")
+ACTIONS_SQL = CONFLICTS_SQL + f""", p AS (SELECT *, contains(claim, 'no longer') AS explicit, contains(claim, 'as of') AS restated, sources = 1 AND (epoch({REF}) - epoch(newest_at)) / 86400.0 <= 30 AND (epoch({REF}) - epoch(oldest_at)) / 86400.0 <= 180 AS near FROM g),
+ act AS (SELECT *, CASE WHEN digests < n THEN 'merge' WHEN (explicit OR restated) AND near OR explicit AND restated THEN 'supersede' ELSE 'escalate' END AS action,
+  CASE WHEN digests < n THEN 0.95 WHEN (explicit OR restated) AND near THEN 0.75 WHEN explicit AND restated THEN 0.6 ELSE 0.0 END AS action_confidence FROM p)"""
+
+
+@query(ACTIONS_SQL + " SELECT slot, action, action_confidence FROM act")
 def a4_proposals(spark, sf_dir):
     return C.proposals(claims(spark, sf_dir), REF_TS).select("slot", "action", "action_confidence")
 
@@ -250,28 +311,30 @@ def a5_keepers(spark, sf_dir):
 
 @query(" SELECT slot, first(id ORDER BY valid_from DESC, num DESC) AS current, string_agg(id, ',' ORDER BY valid_from DESC, num DESC) AS members, bool_or(status = 'disputed') AS needs_human FROM claims WHERE status IN ('active', 'disputed') GROUP BY slot HAVING count(*) >= 2")
 def a6_truth_table(spark, sf_dir):
-    rows = claims(spark, sf_dir).where("status in ('active', 'disputed')")
-    g = rows.groupBy("slot").agg(F.max_by("id", F.struct("valid_from", "num")).alias("current"), F.sort_array(F.collect_list(F.struct("valid_from", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
-    return g.where(F.size("m") >= 2).select("slot", "current", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), "needs_human")
+    return C.truth_table(claims(spark, sf_dir))
 
 
-@query(VALUES_SQL + f", s AS (SELECT a.slot, max({sim_sql('a', 'b')}) AS similarity FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num GROUP BY a.slot), g AS (SELECT slot, count(*) AS n, count(DISTINCT v) AS k FROM grams GROUP BY slot HAVING count(*) > 1) SELECT slot, n, CASE WHEN k = 1 THEN 'duplicate' ELSE 'divergent' END AS kind, similarity, CASE WHEN similarity >= 0.7 THEN 'merge' ELSE 'escalate' END AS action FROM g JOIN s USING (slot)")
+@query(VALUES_SQL + f", s AS (SELECT a.slot, max({sim_sql('a', 'b')}) AS similarity FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num GROUP BY a.slot), g AS (SELECT slot, count(*) AS n, count(DISTINCT v) AS k, bool_or(contains(value, 'no longer')) AS changed FROM grams GROUP BY slot HAVING count(*) > 1) SELECT slot, n, CASE WHEN k = 1 THEN 'duplicate' ELSE 'divergent' END AS kind, similarity, CASE WHEN similarity >= 0.88 THEN 'merge' WHEN changed THEN 'supersede' WHEN similarity >= 0.7 THEN 'merge' ELSE 'escalate' END AS action FROM g JOIN s USING (slot)")
 def a7_internal_conflicts(spark, sf_dir):
     return C.internal_conflicts(claims(spark, sf_dir))
 
 
-@query()
+SIM_IN_FOLD = sim_sql("p", "r")
+DEDUPE_SQL = VALUES_SQL.replace(" AS (", " AS MATERIALIZED (", 1) + f""", firsts AS (SELECT id, slot, num, digest, v, g, first_value(id) OVER (PARTITION BY digest ORDER BY num) AS lead, row_number() OVER (PARTITION BY digest ORDER BY num) AS k FROM grams),
+ u AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY num) AS i FROM firsts WHERE k = 1),
+ fold AS (SELECT slot, i, id, NULL::VARCHAR AS into_, [{{'id': id, 'v': v, 'g': g}}] AS kept FROM u WHERE i = 1
+  UNION ALL SELECT slot, i, id, hit, CASE WHEN hit IS NULL THEN list_append(kept, {{'id': id, 'v': v, 'g': g}}) ELSE kept END FROM (SELECT r.*, f.kept, list_filter(f.kept, lambda p: {SIM_IN_FOLD} >= 0.88)[1].id AS hit FROM fold f JOIN u r ON r.slot = f.slot AND r.i = f.i + 1)),
+ said AS (SELECT id, slot, CASE WHEN into_ IS NOT NULL THEN 'near' END AS reason, into_ FROM fold)"""
+
+
+@query(DEDUPE_SQL + " SELECT id, slot, reason, into_ AS into FROM said UNION ALL SELECT f.id, f.slot, CASE WHEN s.into_ IS NULL THEN 'exact' ELSE 'near' END, coalesce(s.into_, f.lead) FROM firsts f JOIN said s ON f.lead = s.id WHERE f.k > 1", CLAIMS_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
 def a8_dedupe(spark, sf_dir):
     return C.deduplicated(claims(spark, sf_dir))
 
 
 @query(" SELECT count(*) AS n, sum(length(body)) AS total, list_sort(list(length(body)))[(count(*) // 2 + 1)::BIGINT] AS median, list_sort(list(length(body)))[(floor(count(*) * 0.95) + 1)::BIGINT] AS p95, max(length(body)) AS longest FROM claims")
 def a10_order_statistics(spark, sf_dir):
-    # counts by length first: what meets in one place is a row for each length
-    w = W.orderBy("len").rowsBetween(W.unboundedPreceding, W.currentRow)
-    h = claims(spark, sf_dir).groupBy(F.length("body").alias("len")).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy()))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("len")))
-    return h.agg(F.max("n").alias("n"), F.sum(F.col("len") * F.col("c")).alias("total"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 0.95)).alias("p95"), F.max("len").alias("longest"))
+    return U.order_statistics(claims(spark, sf_dir))
 
 
 @query(" SELECT type, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATUSES) + ", count(*) AS total FROM claims GROUP BY type")
@@ -355,23 +418,25 @@ def m5_decay(spark, sf_dir):
 
 
 def _search_sql() -> str:
-    words = sorted(set(QUERY.lower().split()))
-    q, flat, compact = "[" + ", ".join(f"'{w}'" for w in words) + "]", QUERY.lower(), QUERY.lower().replace(" ", "").replace("_", "")
+    words = sorted(set(re.findall("[a-z0-9_]+", QUERY.lower())))
+    q, flat, compact = "[" + ", ".join(f"'{w}'" for w in words) + "]", QUERY.lower(), QUERY.lower().replace("_", "").replace("-", "").replace(":", "")
     hay = r"list_distinct(list_transform(regexp_extract_all(concat_ws(' ', title, value, body, array_to_string(tags, ' '), predicate), '[A-Za-z0-9_]+'), lambda w: lower(w)))"
     pred = "replace(lower(predicate), '_', '')"
+    n = f"len(list_intersect({q}, list_distinct(regexp_extract_all(lower(array_to_string(aliases, ' ')), '[a-z0-9_]+'))))"
+    alias = f"CASE WHEN {n} > 0 THEN least(1.0, {n} / {float(min(len(words), 6))}) ELSE 0.0 END::DOUBLE"
     pen = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PENALTIES.items()) + " END"
     w = WEIGHTS
     return f""", s AS (SELECT id, num, len(list_intersect({q}, {hay}))::DOUBLE / {len(words)} AS lexical,
- (CASE WHEN contains('{compact}', lower(split_part(subject, ':', -1))) THEN 0.6 ELSE 0.0 END) + (CASE WHEN length({pred}) > 2 AND contains('{compact}', {pred}) THEN 0.6 ELSE 0.0 END) AS slot_exact,
+ {alias} AS alias_hit, (CASE WHEN contains('{compact}', lower(split_part(subject, ':', -1))) THEN 0.6 ELSE 0.0 END) + (CASE WHEN length({pred}) > 2 AND contains('{compact}', {pred}) THEN 0.6 ELSE 0.0 END) AS slot_exact,
  CASE WHEN len(list_filter(tags, lambda t: list_contains({q}, lower(t)) OR contains('{flat}', lower(t)))) > 0 THEN 1.0 ELSE 0.0 END AS tag_hit, importance, confidence,
  power(0.5, {AGE_SQL} / 180.0) AS recency, least(1.0, ln(1.0 + hits) / ln(21.0::DOUBLE)) AS reuse, {pen} AS penalty FROM claims WHERE status = 'active'),
- r AS (SELECT *, lexical * {w['lexical']}::DOUBLE + slot_exact * {w['slot_exact']}::DOUBLE + tag_hit * {w['tag_hit']}::DOUBLE AS relevance, importance * {w['importance']}::DOUBLE + confidence * {w['confidence']}::DOUBLE + recency * {w['recency']}::DOUBLE + reuse * {w['reuse']}::DOUBLE AS prior FROM s),
- z AS (SELECT *, relevance * (1 + prior) + penalty AS score FROM r) SELECT id, round(score, 9) AS score, lexical, slot_exact::DOUBLE AS slot_exact, tag_hit::DOUBLE AS tag_hit FROM z WHERE relevance > 0 AND score > 0 ORDER BY z.score DESC, num LIMIT 8"""
+ r AS (SELECT *, lexical * {w['lexical']}::DOUBLE + slot_exact * {w['slot_exact']}::DOUBLE + tag_hit * {w['tag_hit']}::DOUBLE + alias_hit * {w['alias_hit']}::DOUBLE AS relevance, importance * {w['importance']}::DOUBLE + confidence * {w['confidence']}::DOUBLE + recency * {w['recency']}::DOUBLE + reuse * {w['reuse']}::DOUBLE AS prior FROM s),
+ z AS (SELECT *, relevance * (1 + prior) + penalty AS score FROM r) SELECT id, round(score, 9) AS score, lexical, slot_exact::DOUBLE AS slot_exact, tag_hit::DOUBLE AS tag_hit, alias_hit FROM z WHERE relevance > 0 AND score > 0 ORDER BY z.score DESC, num LIMIT 8"""
 
 
 @query(_search_sql())
 def m7_search(spark, sf_dir):
-    return C.search(claims(spark, sf_dir), QUERY, REF_TS).select("id", F.round("score", 9).alias("score"), "lexical", "slot_exact", "tag_hit")
+    return C.search(claims(spark, sf_dir), QUERY, REF_TS).select("id", F.round("score", 9).alias("score"), "lexical", "slot_exact", "tag_hit", "alias_hit")
 
 
 @query(f", {TYPES_SQL} SELECT id, floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance))::BIGINT AS ttl FROM claims LEFT JOIN types USING (type)")
@@ -413,18 +478,15 @@ def l4_expiry(spark, sf_dir):
     return C.with_expiry(claims(spark, sf_dir), EXPIRY_REF).select("id", "status", "valid_to")
 
 
-@query(" SELECT subject, count(*) AS uses, max(recorded_at) AS last_use FROM claims GROUP BY subject")
-def l7_use(spark, sf_dir):
-    return claims(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("uses"), F.max("recorded_at").alias("last_use"))
-
-
 # --- records and chunks ----------------------------------------------------------------------
 
 def _texts(spark, sf_dir, table="documents", key="doc_id"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("source"), "text")
 
 
-LINES_SQL = "WITH l AS (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos) - 1)::INTEGER AS seq, trim(t, ' ') AS text FROM l WHERE trim(t) <> '')"
+SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in T.SPACES)
+TRIM_SQL = f"trim({{}}, {SPACES_SQL})"
+LINES_SQL = "WITH l AS (SELECT doc_id AS source, unnest(regexp_split_to_array(text, '\r?\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS pos FROM documents), k AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos) - 1)::INTEGER AS seq, " + TRIM_SQL.format("t") + " AS text FROM l WHERE " + TRIM_SQL.format("t") + " <> '')"
 
 
 @query(" SELECT source, seq, 'line' AS kind, text, length(text)::INTEGER AS chars FROM k", LINES_SQL)
@@ -437,15 +499,31 @@ def a17_file_stats(spark, sf_dir):
     return R.file_stats(R.by_lines(_texts(spark, sf_dir)))
 
 
-@query(" SELECT conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, lower(role) AS section, length(text)::INTEGER AS chars FROM conversations", None)
-def r11_turns(spark, sf_dir):
+def _said(spark, sf_dir):
+    """(source, text): conversations as texts of marked turns, below a line that no one says."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select(F.col("conv_id").alias("source"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).alias("seq"), F.lower("role").alias("section"), F.length("text").alias("chars"))
+    t = F.concat(F.initcap("role"), F.lit(": "), F.regexp_replace("text", r"\s+", " "))
+    g = c.groupBy(F.col("conv_id").alias("source")).agg(F.array_sort(F.collect_list(F.struct("turn", t.alias("t")))).alias("r"))
+    return g.select("source", F.concat(F.lit("a talk\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
+
+
+@query(r""" SELECT conv_id AS source, 0 AS seq, '(未标注)' AS section, 'a talk' AS text FROM conversations GROUP BY 1 UNION ALL
+ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER, lower(role), trim(upper(role[1]) || role[2:] || ': ' || regexp_replace(text, '\s+', ' ', 'g')) FROM conversations""", None)
+def r11_turns(spark, sf_dir):
+    return R.turns(_said(spark, sf_dir)).select("source", "seq", "section", "text")
+
+
+#: Lines of documents, windows of long ones, and their chunks by a fold in recursion.
+CHUNKS_SQL = LINES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT source, seq, unnest(range(0, n)) AS part, n > 1 AS alone, text, n FROM (SELECT *, CASE WHEN chars > 800 THEN ceil(chars / 680.0)::INTEGER ELSE 1 END AS n FROM (SELECT *, length(text) AS chars FROM k))),
+ v AS MATERIALIZED (SELECT source, seq, part, alone, CASE WHEN alone THEN substr(text, part * 680 + 1, 680) ELSE text END AS text, row_number() OVER (PARTITION BY source ORDER BY seq, part) AS i FROM w),
+ fold AS (SELECT source, i, alone AS shut, length(text) + 2 AS used, 1 AS n, 0 AS chunk FROM v WHERE i = 1 UNION ALL
+  SELECT source, i, alone, CASE WHEN fresh THEN cost ELSE used + cost END, CASE WHEN fresh THEN 1 ELSE n + 1 END, chunk + fresh::INTEGER FROM (SELECT v.source, v.i, v.alone, length(v.text) + 2 AS cost, f.used, f.n, f.chunk, f.used + length(v.text) + 2 > 800 OR f.n >= 40 OR v.alone OR f.shut AS fresh FROM fold f JOIN v ON v.source = f.source AND v.i = f.i + 1))"""
 
 
-@query()
+@query(""" SELECT source, chunk, count(*) AS record_count, sum(length(text) + CASE WHEN alone THEN 0 ELSE 2 END)::BIGINT AS chars,
+ sha1(string_agg('<record id="' || CAST(seq AS VARCHAR) || '" loc="">' || chr(10) || text || chr(10) || '</record>', chr(10) || chr(10) ORDER BY i)) AS sha FROM v JOIN fold USING (source, i) GROUP BY 1, 2""", CHUNKS_SQL)
 def k1_chunks(spark, sf_dir):
-    c = R.chunks(R.by_lines(_texts(spark, sf_dir)), 2000)
+    c = R.chunks(R.by_lines(_texts(spark, sf_dir)), 800)
     return c.select("source", "chunk", "record_count", "chars", F.sha1(F.col("text").cast("binary")).alias("sha"))
 
 
@@ -454,30 +532,64 @@ def s8_profile(spark, sf_dir):
     return S.profile(_texts(spark, sf_dir)).select("source", "chars", "lines", "blank_lines", "longest_line")
 
 
-@query()
+#: Texts of every format, made of events.
+FORMATS = ("log", "jsonl", "yaml", "csv", "json", "text")
+
+
+def _formatted(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id").cast("string")
+    row = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    three = lambda x, between="\n": F.concat_ws(between, x, x, x)
+    texts = {
+        "log": three(row("2024-01-05 10:00:00 ", n)), "jsonl": three(row('{"a": ', n, "}")), "yaml": three(row("k", n, ":\n  v: 1")), "csv": three(row(n, ",b,c")),
+        "json": row('{"a": [', n, "]}"), "text": three(row("words and ", n))}
+    pick = F.col("event_id") % len(FORMATS)
+    text = F.lit(None)
+    for i, f in enumerate(FORMATS):
+        text = F.when(pick == i, texts[f]).otherwise(text)
+    return e.select(F.col("event_id").alias("source"), text.alias("text"))
+
+
+@query("SELECT event_id AS source, ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1] AS format, CASE WHEN event_id % 2 = 0 THEN 'markdown' ELSE ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1] END AS named FROM events", None)
 def s7_sniffed(spark, sf_dir):
-    return _texts(spark, sf_dir).select("source", S.sniffed(F.col("text"), F.lit("x.txt")).alias("format"))
+    name = F.when(F.col("source") % 2 == 0, "x.MD").otherwise("x.txt")
+    return _formatted(spark, sf_dir).select("source", S.sniffed(F.col("text"), F.lit("x.txt")).alias("format"), S.sniffed(F.col("text"), name).alias("named"))
+
+
+SHOWN_SQL = """'---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'subject: ' || subject || chr(10) || 'predicate: ' || predicate || chr(10) || 'value: ' || value || chr(10) || 'status: ' || status || chr(10) || 'source: ' || source"""
 
 
-@query()
+@query(f" SELECT type || '/' || id || '.md' AS path, {SHOWN_SQL} || chr(10) AS head, body FROM claims")
 def t9_rendered(spark, sf_dir):
-    return S.rendered(claims(spark, sf_dir))
+    shown = S.rendered(claims(spark, sf_dir))
+    return shown.select("path", F.regexp_extract("text", r"(?s)\A(.*?)confidence: ", 1).alias("head"), F.element_at(F.split("text", "\n---\n"), -1).alias("body"))
 
 
-@query()
+@query(" SELECT id, type, title, subject, predicate, value, status, source, confidence, importance, valid_from, valid_to, hits, array_to_string(tags, ',') AS tags, body, NULL::VARCHAR AS problem FROM claims")
 def s4_round_trip(spark, sf_dir):
-    return S.parsed_cards(S.rendered(claims(spark, sf_dir)))
+    back = S.parsed_cards(S.rendered(claims(spark, sf_dir)))
+    return back.select("id", "type", "title", "subject", "predicate", "value", "status", "source", "confidence", "importance", "valid_from", "valid_to", "hits", F.array_join("tags", ",").alias("tags"), "body", "problem")
 
 
-@query()
+@query(" SELECT id, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(slot, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295)) AS fnv FROM claims")
 def t7_fnv(spark, sf_dir):
     return claims(spark, sf_dir).select("id", T.fnv1a(F.col("slot")).alias("fnv"))
 
 
-@query(" SELECT slot, n, newest FROM (SELECT slot, count(*) AS n, first(id ORDER BY valid_from DESC, num DESC) AS newest FROM claims WHERE status = 'active' GROUP BY slot) WHERE n > 1")
+@query(" SELECT id, slug, slug AS short FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM claims)")
+def t8_slugs(spark, sf_dir):
+    return claims(spark, sf_dir).select("id", T.slug(F.col("title")).alias("slug"), T.short_slug(F.col("title")).alias("short"))
+
+
+@query(" SELECT slot, first(id ORDER BY recorded_at DESC, id DESC) AS newest, count(*) AS claims, count(*) > 1 AS conflict FROM claims WHERE status = 'active' GROUP BY slot")
 def st3_slot_state(spark, sf_dir):
-    c = C.active(claims(spark, sf_dir))
-    return c.groupBy("slot").agg(F.count("*").alias("n"), F.max_by("id", F.struct("valid_from", "num")).alias("newest")).where("n > 1")
+    return ST.slot_state(C.active(claims(spark, sf_dir))).select("slot", "newest", "claims", "conflict")
+
+
+@query(" SELECT date_trunc('day', recorded_at) AS start, type, count(*) AS n FROM claims GROUP BY 1, 2")
+def st5_windows(spark, sf_dir):
+    return ST.windowed(claims(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.temporal import parsed
-from slotwise.functions.text import digest, quoted, slot
+from slotwise.functions.text import SPACES, digest, quoted, slot
 
 FENCED = r"(?s)\A[ \t]*\\?---[ \t]*\r?\n(.*?)\r?\n[ \t]*\\?---[ \t]*(?:\r?\n(.*))?\z"
 MOST_BYTES = 8 * 1024 * 1024
@@ -20,10 +20,15 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def front_matter(block: Column) -> Column:
-    """key -> raw value of "key: value" lines; comments and list items are left out."""
+    """(key, value) of "key: value" lines in order, values raw; comments and list items are left out."""
     lines = F.filter(F.split(block, "\r?\n", -1), lambda x: x.rlike(r"^[A-Za-z_]\w*\s*:") & ~x.startswith("#"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^(\w+)\s*:", 1)), F.regexp_replace(F.trim(F.regexp_replace(x, r"^\w+\s*:", "")), r'^"(.*)"$', "$1")))
-    return F.map_from_entries(F.array_distinct(pairs))
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^\w+\s*:", "")), r'^"(.*)"$', "$1")
+    return F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^(\w+)\s*:", 1)).alias("key"), value(x).alias("value")))
+
+
+def value_of(pairs: Column, key: str) -> Column:
+    """The last value of a key, null if it is missing or empty."""
+    return F.nullif(F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"], F.lit(""))
 
 
 def inline_list(raw: Column) -> Column:
@@ -47,16 +52,14 @@ def samples(texts: DataFrame, head: int = 3000, tail: int = 1200) -> DataFrame:
 
 def parsed_cards(files: DataFrame) -> DataFrame:
     """Cards of (path, text); files without front matter or id have a problem instead."""
-    spark_policy = files.sparkSession
-    spark_policy.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     block = F.regexp_extract("text", FENCED, 1)
     m = front_matter(block)
     base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$")).withColumn("m", m)
-    get = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
+    get = lambda k: value_of(F.col("m"), k)
     texts = [get(k).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
     return base.select(
         "path", *texts, F.coalesce(get("confidence").try_cast("double"), F.lit(0.8)).alias("confidence"), F.coalesce(get("importance").try_cast("double"), F.lit(0.6)).alias("importance"),
-        parsed(get("recorded_at")).alias("recorded_at"), get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
+        *[parsed(get(k)).alias(k) for k in ("recorded_at", "ended_at", "last_hit")], get("review_after").try_cast("date").alias("review_after"), get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
         *[F.coalesce(inline_list(get(k)), block_list(block, k)).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
         F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"),
         F.when(~F.col("text").rlike(FENCED), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
@@ -106,6 +109,44 @@ def profile(texts: DataFrame) -> DataFrame:
         count(r"^\s*\{.*\}\s*$").alias("json_lines"), count(r"\d{4}-\d{2}-\d{2}").alias("stamped"), F.array_max(F.transform("ls", lambda x: F.length(x))).alias("longest_line"))
 
 
+def rounded(x: Column) -> Column:
+    return F.round(x, 2)
+
+
+def structure(texts: DataFrame) -> DataFrame:
+    """What a recipe's author wants to know of texts (source, text), 14 fields: lines, JSON, roles, tables, keys, stamps, separators.
+
+    Rates are of the lines that are not blank; those of JSON and stamps divide
+    by at most 200 of them, the stamps counted over all.
+    """
+    lines = F.filter(F.split("text", "\r?\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    p = texts.select("source", "text", lines.alias("ls"))
+    n = F.size("ls")
+    bare = lambda x: F.btrim(x, F.lit(SPACES))
+    # the parser stops at the end of the first value, so a line has to end with its bracket
+    is_json = lambda x: bare(x).rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.try_parse_json(bare(x)).isNotNull()
+    first = F.coalesce(F.get("ls", F.lit(0)), F.lit(""))
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    many = lambda rule: F.size(F.filter("ls", lambda x: x.rlike(rule)))
+    found = lambda rule: F.regexp_count("text", F.lit(rule))
+    share = lambda k, of: F.when(n > 0, rounded(k / of)).otherwise(0.0)
+    stamp = r"^\s*[\[(]?\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}|^\s*\d{2}:\d{2}:\d{2}|^\s*\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
+    marks = ["\n---\n", "\n===\n", "\n\n\n", "\n--\n"]
+    split_by = [F.struct((F.size(F.split("text", r"\Q" + m + r"\E", -1)) - 1).alias("n"), F.lit(-i).alias("o"), F.lit(m).alias("separator")) for i, m in enumerate(marks)]
+    separators = F.slice(F.sort_array(F.filter(F.array(*split_by), lambda x: x["n"] > 0), asc=False), 1, 3)
+    whole = F.when(bare(F.col("text")).rlike(r"(?s)^(\{.*\}|\[.*\])$"), F.try_parse_json("text"))
+    keys = F.array_join(F.slice(F.json_object_keys("text"), 1, 8), ",")
+    root = F.when(whole.isNull(), F.lit(None)).when(bare(F.col("text")).startswith("["), F.concat(F.lit("array("), F.json_array_length("text").cast("string"), F.lit(")"))).otherwise(keys)
+    return p.select(
+        "source", n.alias("lines"), share(F.size(F.filter(F.slice("ls", 1, 200), is_json)), F.least(n, F.lit(200))).alias("json_line_rate"),
+        F.size(F.filter(F.slice("ls", 1, 200), lambda x: is_json(x) & x.rlike(r"""^\s*\{.*:\s*\[[^\]]*\{[^}]*"text"\s*:\s*\""""))).alias("nested_lines"),
+        F.struct(*[found(rf'"role"\s*:\s*"{r}"').alias(r) for r in ("user", "assistant", "system")], found('"mapping"').alias("mapping")).alias("roles"),
+        ((count(first, ",") >= 2) & F.forall(F.slice("ls", 1, 10), lambda x: count(x, ",") == count(first, ","))).alias("csv_like"), (count(first, ",") + 1).alias("csv_columns"),
+        (count(first, "\t") >= 2).alias("tsv_like"), many(r"^[a-zA-Z_][\w-]*\s*:").alias("yaml_keys"), share(many(r"^\s{2,}"), n).alias("indented_rate"),
+        share(many(stamp), F.least(n, F.lit(200))).alias("stamp_rate"), many(r"^#{1,6}\s+").alias("headings"), F.transform(separators, lambda x: x["separator"]).alias("separators"),
+        whole.isNotNull().alias("json_valid"), root.alias("json_root"))
+
+
 def rendered(cards: DataFrame) -> DataFrame:
     """(path, text): each card as a front-matter file."""
     keys = [k for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source") if k in cards.columns]

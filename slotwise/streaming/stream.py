@@ -23,23 +23,46 @@ def windowed(claims: DataFrame, length: str = "1 day", late: str = "2 hours") ->
 
 
 def upsert(path: str):
-    """A foreachBatch sink that keeps the newest row of each id in a Parquet table of versions."""
+    """A foreachBatch sink that keeps news by id; `upserted` reads the newest row of each.
+
+    A batch is written once below its own number, whatever the table's size, and
+    written again if it is repeated; older batches are never read or rewritten.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        except Exception as e:  # the first batch after a restart from nothing
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        rows = batch if old is None else old.unionByName(batch)
-        newest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "recorded_at").alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        newest = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), "recorded_at").alias("r")).select("r.*")
+        newest.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/b{number:012d}")
 
     return write
 
 
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each id of an upsert sink; of equal times the later batch's."""
+    rows = spark.read.parquet(f"{path}/b*")
+    kept = [c for c in rows.columns if c != "_batch"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*kept), F.struct("recorded_at", "_batch")).alias("r")).select("r.*")
+
+
+def compacted(spark: SparkSession, path: str) -> None:
+    """Fold all batches of an upsert sink, while none is written, into the last one's folder.
+
+    The fold stands complete beside the batches before these go, so a crash at
+    any point leaves every row to be read.
+    """
+    rows = spark.read.parquet(f"{path}/b*")
+    last = rows.agg(F.max("_batch")).first()[0]
+    if last is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    old = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("b")]
+    upserted(spark, path).withColumn("_batch", F.lit(last).cast("long")).write.mode("overwrite").parquet(f"{path}/_next")
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/_next"), jvm.org.apache.hadoop.fs.Path(f"{path}/b{last:012d}-folded"))
+    for p in old:
+        fs.delete(p, True)
+
+
 def expiring(claims: DataFrame, ttl: str = "30 days", late: str = "0 seconds") -> DataFrame:
     """(id, recorded_at, event) in append mode: "seen" for each card's news, "expired" once event time is past its time to live.
 

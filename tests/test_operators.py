@@ -80,20 +80,28 @@ def test_dedupe_keeps_the_first(spark):
 
 
 def test_dedupe_like_a_greedy_model(spark):
+    """One pass in order: digests of kept cards only, then the first kept card of the slot that is near."""
     rng = random.Random(5)
     values = ["".join(rng.choices("ab ", k=6)) + "tail of a claim" for _ in range(30)]
-    kept, want = [], {}
-    seen = {}
+    values += [values[0], *rng.choices(values, k=15)]
+    kept, want, digests = [], {}, {}
     for i, v in enumerate(values):
-        if v in seen:
-            want[i] = "exact"
-            continue
-        seen[v] = i
-        want[i] = "near" if any(model_similarity(v, k) >= 0.88 for k in kept) else None
-        if want[i] is None:
-            kept.append(v)
-    got = {int(r["id"][4:]): r["reason"] for r in C.deduplicated(cards(spark, values)).collect()}
-    assert got == want
+        near = next((k for k, x in kept if model_similarity(v, x) >= 0.88), None)
+        if v in digests:
+            want[i] = ("exact", digests[v])
+        elif near is not None:
+            want[i] = ("near", near)
+        else:
+            want[i] = (None, None)
+            digests[v] = i
+            kept.append((i, v))
+    got = {int(r["id"][4:]): (r["reason"], r["into"] and int(r["into"][4:])) for r in C.deduplicated(cards(spark, values)).collect()}
+    assert got == want and {x for x, _ in want.values()} == {None, "exact", "near"}
+
+
+def test_a_copy_of_a_near_card_is_near(spark):
+    got = {r["id"]: (r["reason"], r["into"]) for r in C.deduplicated(cards(spark, ["conclusion first", "conclusion first!!", "conclusion first!!"])).collect()}
+    assert got["mem_00001"] == got["mem_00002"] == ("near", "mem_00000")
 
 
 def test_proposals(spark):
@@ -133,36 +141,119 @@ def test_csv_quotes(spark):
     assert [r["text"] for r in got] == ["name: ann\nnote: a, b", "name: bob"]
 
 
-def test_jsonl_paths(spark):
-    got = R.jsonl(texts(spark, '{"a": {"b": 1}, "c": "x"}\nnot json'), {"b": "$.a.b", "c": "$.c"}).orderBy("seq").collect()
-    assert [r["text"] for r in got] == ["b: 1\nc: x", "not json"]
-
-
 def test_recipe_dispatch(spark):
     df = spark.createDataFrame([("a", "x\ny", "lines"), ("b", "x\n\ny", "blank_line"), ("c", "x\ny", "strange"), ("d", "x\n---\ny\n---\n...", "separator")], "source string, text string, strategy string")
     got = R.by_recipe(df).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in got} == {"a": 2, "b": 2, "c": 1, "d": 2}
 
 
+def model_chunks(lengths, budget, most):
+    """(records, chars) of each chunk: long records flush and give a chunk for each of their windows."""
+    out, cur, used = [], 0, 0
+    for n in lengths:
+        if cur and (used + n + 2 > budget or cur >= most):
+            out.append((cur, used))
+            cur = used = 0
+        if n > budget:
+            if cur:
+                out.append((cur, used))
+                cur = used = 0
+            step = int(budget * 0.85)
+            out += [(1, min(step, n - i)) for i in range(0, n, step)]
+            continue
+        cur, used = cur + 1, used + n + 2
+    return out + ([(cur, used)] if cur else [])
+
+
 @pytest.mark.parametrize("budget", [64, 100, 1000])
-def test_chunks_conserve_and_fit(spark, budget):
+def test_chunks_like_the_sequential_packing(spark, budget):
     rng = random.Random(budget)
     lines = ["x" * rng.randint(1, 300) for _ in range(80)]
-    records = R.by_lines(texts(spark, "\n".join(lines)))
-    got = R.chunks(records, budget, 5).collect()
-    assert sum(r["chars"] for r in got) == sum(map(len, lines))
-    assert all(r["record_count"] <= 5 and r["chars"] <= budget for r in got)
-    # the fold itself, against next-fit in plain Python
-    pieces = R.sliced(records, budget).orderBy("seq", "part").collect()
-    used = n = chunk = 0
-    want = []
-    for p in pieces:
-        cost = p["chars"] + 2
-        if n and (used + cost > budget or n >= 5):
-            chunk, used, n = chunk + 1, 0, 0
-        used, n = used + cost, n + 1
-        want.append(chunk)
-    assert [r["chunk"] for r in R.packed(records, budget, 5).orderBy("seq", "part").collect()] == want
+    got = R.chunks(R.by_lines(texts(spark, "\n".join(lines))), budget, 5).orderBy("chunk").collect()
+    assert [(r["record_count"], r["chars"]) for r in got] == model_chunks(list(map(len, lines)), budget, 5)
+
+
+def test_windows_of_long_records_stand_alone(spark):
+    records = R.by_lines(texts(spark, "y" * 110 + "\n" + "z" * 10)).withColumn("locator", F.lit("L1-1"))
+    got = R.chunks(records, 100).orderBy("chunk").collect()
+    assert [r["record_count"] for r in got] == [1, 1, 1] and [r["chars"] for r in got] == [85, 25, 12]
+    assert 'loc="L1-1 (part 2/2)"' in got[1]["text"] and {r["kind"] for r in R.sliced(records, 100).collect()} == {"line", "line-part"}
+    assert R.chunks(records, 100, cap=30).orderBy("chunk").first()["text"].endswith(R.CUT_OFF)
+
+
+def test_records_are_trimmed_of_all_white_space(spark):
+    got = [r["text"] for r in R.by_lines(texts(spark, "\tone\t\r\n two\u00a0\u3000\n \ufeff \nthree")).orderBy("seq").collect()]
+    assert got == ["one", "two", "three"]
+    assert [r["text"] for r in R.by_blank_lines(texts(spark, "\ta b\n\n  \n\nc\n")).orderBy("seq").collect()] == ["a b", "c"]
+
+
+@pytest.mark.parametrize("split", [R.by_lines, R.by_sentences, R.markdown, R.log_lines, R.yaml_blocks, R.turns, R.csv_rows, R.by_separator])
+def test_splitters_shuffle_nothing(spark, split):
+    plan = split(texts(spark, "a\nb"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_numbers_across_sources(spark):
+    df = spark.createDataFrame([(f"s{i:02d}", k) for i in range(20) for k in range(i % 4 + 1)], "source string, chunk int")
+    got = [r["number"] for r in R.numbered_across(df).orderBy("source", "chunk").collect()]
+    assert got == list(range(len(got)))
+    assert R.chunk_of(R.numbered_across(df), "3").count() == 1 and R.chunk_of(df.withColumn("number", F.lit(0)), "s03-2").count() == 1
+
+
+def test_free_ids_among_many(spark):
+    rng = random.Random(3)
+    taken = set(rng.sample(range(1, 400), 150))
+    used = spark.createDataFrame([(f"mem_{k:05d}",) for k in taken] + [("odd",)], "id string")
+    new = spark.createDataFrame([(i,) for i in range(120)], "ord int")
+    got = [int(r["new_id"][4:]) for r in C.assigned_ids(new, used, 20).orderBy("ord").collect()]
+    free = [k for k in range(20, 10_000) if k not in taken]
+    assert got == free[:120]
+
+
+def test_search_signals(spark):
+    rows = [("mem_1", 1, "team:all", "reply_style", "short replies", ["Style"], ["how to answer", "回复风格"], "body"), ("mem_2", 2, "team:", "other", "nothing here", ["plain"], [], "b"), ("mem_3", 3, "u:x", "yy", "我们用中文", ["中文"], [], "b")]
+    df = spark.createDataFrame(rows, "id string, num long, subject string, predicate string, value string, tags array<string>, aliases array<string>, body string").withColumns(
+        {"slot": T.slot(F.col("subject"), F.col("predicate")), "title": F.lit("t"), "status": F.lit("active"), "importance": F.lit(0.5), "confidence": F.lit(0.5), "hits": F.lit(0), "recorded_at": F.lit("2024-01-01").cast("timestamp"), "valid_from": F.lit(None).cast("date")})
+
+    def hit(query, **k):
+        return {r["id"]: r for r in C.search(df, query, "2024-03-01 00:00:00", **k).collect()}
+
+    # underscores, dashes and colons are taken out of the query, blanks stay
+    assert hit("the reply-style of team:all")["mem_1"]["slot_exact"] == pytest.approx(1.2)
+    assert hit("a short reply style")["mem_1"]["slot_exact"] == 0
+    # an empty last part of a subject is no hit
+    assert "mem_2" not in hit("zzz")
+    assert hit("回复风格")["mem_1"]["alias_hit"] > 0 and hit("中文")["mem_3"]["tag_hit"] == 1.0
+    assert hit("zzz", compat_tag_hit=True).keys() == {"mem_2", "mem_3"}
+
+
+def test_overlaid_settings():
+    from slotwise.config import DEFAULT, UNKNOWN_TYPE
+
+    c = DEFAULT.overlaid({"types": {"lesson": {"ttl_days": 7}, "rumour": {"importance": 0.1}, "fact": (1, 0.2, 3, False)}, "weights": {"lexical": 2.0}})
+    assert c.types["lesson"] == (7, *DEFAULT.types["lesson"][1:]) and c.types["rumour"] == (UNKNOWN_TYPE[0], 0.1, *UNKNOWN_TYPE[2:]) and c.types["fact"] == (1, 0.2, 3, False)
+    assert c.weights["lexical"] == 2.0 and c.weights["importance"] == DEFAULT.weights["importance"] and DEFAULT.types["lesson"][0] != 7
+
+
+def test_hashes_of_characters_beyond_the_first_plane(spark):
+    def model(t):
+        h = 2166136261
+        raw = t.encode("utf-16-le")
+        for b in (int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)):
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    for t in ("a", "slot::é", "😀 x", "中文"):
+        assert one(spark, T.fnv1a(F.col("t")), t=t) == model(t)
+
+
+def test_structure_of_texts(spark):
+    rows = [("j", '{"a": 1}\n{"role": "user", "content": [{"text": "x"}]}\n[1\nplain'), ("c", "a,b,c\n1,2,3\n"), ("k", "# T\nkey: v\n  in: 1\n---\n2024-01-01 10:00 x\n"), ("v", '[1, {"b": 2}]'), ("e", "")]
+    got = {r["source"]: r for r in S.structure(spark.createDataFrame(rows, "source string, text string")).collect()}
+    assert (got["j"]["lines"], got["j"]["json_line_rate"], got["j"]["nested_lines"], got["j"]["roles"]["user"]) == (4, 0.5, 1, 1)
+    assert (got["c"]["csv_like"], got["c"]["csv_columns"], got["c"]["tsv_like"]) == (True, 3, False)
+    assert (got["k"]["headings"], got["k"]["yaml_keys"], got["k"]["indented_rate"], got["k"]["stamp_rate"], got["k"]["separators"]) == (1, 1, 0.2, 0.2, ["\n---\n"])
+    assert (got["v"]["json_valid"], got["v"]["json_root"], got["e"]["lines"], got["e"]["json_valid"]) == (True, "array(2)", 0, False)
 
 
 def test_card_files_round_trip(spark):
@@ -204,3 +295,21 @@ def test_stream_state_like_batch(spark, tmp_path):
     q = slot_state(audit_stream(spark, str(src), "id string, slot string, value string, recorded_at timestamp")).writeStream.outputMode("complete").format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["slot"], r["newest"], r["claims"], r["conflict"]) for r in spark.table("slots").collect()} == {("s", "2", 2, True), ("t", "3", 1, False)}
+
+
+def test_upserts_keep_the_newest(spark, tmp_path):
+    from slotwise.streaming.stream import compacted, upsert, upserted
+
+    path, sink = str(tmp_path / "t"), None
+    sink = upsert(path)
+    day = lambda d: dt.datetime(2024, 1, d)
+    batches = [[("a", 1, day(1)), ("a", 2, day(2)), ("b", 1, day(1))], [("a", 3, day(2)), ("c", 1, day(1))], [("b", 0, day(1)), ("c", 2, day(3))]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # a repeated batch changes nothing
+            sink(spark.createDataFrame(rows, "id string, v int, recorded_at timestamp"), n)
+    want = {("a", 3), ("b", 0), ("c", 2)}
+    assert {(r["id"], r["v"]) for r in upserted(spark, path).collect()} == want
+    compacted(spark, path)
+    assert {(r["id"], r["v"]) for r in upserted(spark, path).collect()} == want
+    sink(spark.createDataFrame([("a", 4, day(9))], "id string, v int, recorded_at timestamp"), 3)
+    assert {(r["id"], r["v"]) for r in upserted(spark, path).collect()} == {("a", 4), ("b", 0), ("c", 2)}
