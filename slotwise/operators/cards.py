@@ -15,6 +15,10 @@ from slotwise.functions import text as T
 from slotwise.operators.ordered import running
 
 
+# Fixed value: phrases by which a value says that it replaces another.
+CHANGED = r"(?i)(不再|改为|换成|改成|已经?上线|已上线|完成|结束|从现在起|no longer|switched to|instead of)"
+
+
 def newest():
     """Sort order: what became valid or was recorded last comes first."""
     return (F.coalesce(F.col("valid_from").cast("timestamp"), F.col("recorded_at")).desc_nulls_last(), F.col("num").desc())
@@ -119,22 +123,56 @@ def proposals(cards: DataFrame, ref: str) -> DataFrame:
     return c.withColumn("action", action).withColumn("action_confidence", confidence)
 
 
-def slot_pairs(cards: DataFrame, left: str = "num") -> DataFrame:
-    """Pairs of cards of one slot with the similarity of their values; bigrams are made once for each distinct value of a slot."""
+def _values(cards: DataFrame) -> DataFrame:
+    """(slot, v, g, n): the different comparable values of each slot, their bigrams, and how many cards have them."""
+    v = cards.groupBy("slot", T.comparable(F.col("value")).alias("v")).agg(F.count("*").alias("n"))
+    return v.withColumn("g", T.bigrams(F.col("v")))
+
+
+def _value_pairs(values: DataFrame, least: float = 0.0) -> DataFrame:
+    """(slot, va, vb, sim) of different values of a slot that are at least so similar.
+
+    The lengths alone bound a similarity from above, so most pairs of unlike
+    lengths are never compared.
+    """
+    a = values.select("slot", F.col("v").alias("va"), F.col("g").alias("ga"))
+    b = values.select("slot", F.col("v").alias("vb"), F.col("g").alias("gb"))
+    share = lambda x, y: F.least(x, y) / F.greatest(x, y, F.lit(1))
+    grams = share(F.size("ga"), F.size("gb"))
+    bound = (0.35 * 2 * grams / (1 + grams) + 0.65) * (0.85 + 0.15 * share(F.length("va"), F.length("vb")))
+    pairs = a.join(b, "slot").where((F.col("va") < F.col("vb")) & (bound >= least - 1e-9))
+    return pairs.select("slot", "va", "vb", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= least)
+
+
+def slot_similarity(cards: DataFrame) -> DataFrame:
+    """(slot, sim): the largest similarity of two cards' values in each slot with several cards.
+
+    Cards of one value are counted, not paired; only different values meet.
+    """
+    values = _values(cards)
+    same = values.where("n > 1").select("slot", F.when(F.col("v") == "", 0.0).otherwise(1.0).alias("sim"))
+    return _value_pairs(values).select("slot", "sim").unionByName(same).groupBy("slot").agg(F.max("sim").alias("sim"))
+
+
+def near_pairs(cards: DataFrame, least: float = NEAR, left: str = "num") -> DataFrame:
+    """(a, b, sim) of two cards of a slot, the first by number first, whose values are at least so similar."""
+    values = _values(cards)
+    near = _value_pairs(values, least).select("slot", "va", "vb", "sim")
+    same = values.where("n > 1 and v <> ''").select("slot", F.col("v").alias("va"), F.col("v").alias("vb"), F.lit(1.0).alias("sim"))
+    both = near.unionByName(same)
     v = cards.select("slot", left, "id", T.comparable(F.col("value")).alias("v"))
-    values = v.select("slot", "v").distinct().withColumn("g", T.bigrams(F.col("v")))
-    own = v.join(values, ["slot", "v"])
-    a = own.select("slot", F.col(left).alias("_a"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("g").alias("ga"))
-    b = own.select("slot", F.col(left).alias("_b"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("g").alias("gb"))
-    return a.join(b, "slot").where("_a < _b").select("slot", "a", "b", "_a", "_b", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("sim"))
+    a = v.select("slot", F.col(left).alias("_a"), F.col("id").alias("a"), F.col("v").alias("va"))
+    b = v.select("slot", F.col(left).alias("_b"), F.col("id").alias("b"), F.col("v").alias("vb"))
+    met = both.join(a, ["slot", "va"]).join(b, ["slot", "vb"]).where("va <> vb or _a < _b")
+    first = F.col("_a") < F.col("_b")
+    return met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "sim")
 
 
 def internal_conflicts(cards: DataFrame) -> DataFrame:
     """Slots with several cards by their values: kind, size, largest similarity of a pair, suggestion."""
-    rule = r"(?i)(不再|改为|换成|改成|已经?上线|已上线|完成|结束|从现在起|no longer|switched to|instead of)"
     v = cards.withColumn("_v", T.comparable(F.col("value")))
-    g = v.groupBy("slot").agg(F.count("*").alias("n"), F.count_distinct("_v").alias("values"), F.max(F.coalesce("value", F.lit("")).rlike(rule)).alias("change")).where("n > 1")
-    sims = slot_pairs(cards).groupBy("slot").agg(F.max("sim").alias("similarity"))
+    g = v.groupBy("slot").agg(F.count("*").alias("n"), F.count_distinct("_v").alias("values"), F.max(F.coalesce("value", F.lit("")).rlike(CHANGED)).alias("change")).where("n > 1")
+    sims = slot_similarity(cards).withColumnRenamed("sim", "similarity")
     s = F.col("similarity")
     action = F.when(s >= NEAR, "merge").when(F.col("change"), "supersede").when(s >= ENRICHMENT, "merge").otherwise("escalate")
     return g.join(sims, "slot").select("slot", "n", F.when(F.col("values") == 1, "duplicate").otherwise("divergent").alias("kind"), "similarity", action.alias("action"))
@@ -173,10 +211,13 @@ def deduplicated(cards: DataFrame) -> DataFrame:
 
 def against_baseline(incoming: DataFrame, base: DataFrame) -> DataFrame:
     """Incoming cards whose slot the baseline has: best match, similarity, kind and action."""
-    a = incoming.select("slot", F.col("id").alias("new_id"), T.comparable(F.col("value")).alias("va")).withColumn("ga", T.bigrams(F.col("va")))
-    b = base.select("slot", F.col("id").alias("old_id"), F.col("num").alias("old_num"), T.comparable(F.col("value")).alias("vb")).withColumn("gb", T.bigrams(F.col("vb")))
-    sims = a.join(b, "slot").select("slot", "new_id", "old_id", "old_num", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("similarity"))
-    best = sims.groupBy("slot", "new_id").agg(F.max(F.struct("similarity", (-F.col("old_num")).alias("_o"), "old_id")).alias("m")).select("slot", "new_id", "m.old_id", "m.similarity")
+    new, old = incoming.select("slot", "id", T.comparable(F.col("value")).alias("va")), base.select("slot", "id", "num", T.comparable(F.col("value")).alias("vb"))
+    # different values meet, with the first card of each on the baseline's side
+    a = new.select("slot", "va").distinct().withColumn("ga", T.bigrams(F.col("va")))
+    b = old.groupBy("slot", "vb").agg(F.min("num").alias("old_num"), F.min_by("id", "num").alias("old_id")).withColumn("gb", T.bigrams(F.col("vb")))
+    pairs = a.join(b, "slot").select("slot", "va", "old_id", "old_num", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("similarity"))
+    top = pairs.groupBy("slot", "va").agg(F.max(F.struct("similarity", (-F.col("old_num")).alias("_o"), "old_id")).alias("m"))
+    best = new.join(top, ["slot", "va"]).select("slot", F.col("id").alias("new_id"), "m.old_id", "m.similarity")
     s = F.col("similarity")
     return best.withColumn("kind", F.when(s >= IDENTICAL, "identical").when(s >= ENRICHMENT, "enrichment").otherwise("contradiction"))
 

@@ -27,13 +27,22 @@ CUT_OFF = "\n\n[内容超长，已截断]"
 CSV_ROW = r'(?:[^"\r\n]++|"[^"]*+"|")++'
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _kept(parts: Column) -> Column:
+    """Parts trimmed, without the blank ones."""
+    return F.filter(F.transform(parts, lambda x: T.trimmed(x)), lambda x: x != "")
+
+
 def _numbered(texts: DataFrame, parts: Column, kind: str) -> DataFrame:
     """Records of texts (source, text) from an array of parts: trimmed, without the blank ones, numbered from 0.
 
     All of a text's records are made in its row, so nothing is shuffled.
     """
-    kept = F.filter(F.transform(parts, lambda x: T.trimmed(x)), lambda x: x != "")
-    return texts.select("source", F.posexplode(kept).alias("seq", "text")).select("source", "seq", F.lit(kind).alias("kind"), "text", F.length("text").alias("chars"))
+    return texts.select("source", F.posexplode(_kept(parts)).alias("seq", "text")).select("source", "seq", F.lit(kind).alias("kind"), "text", F.length("text").alias("chars"))
 
 
 def by_pieces(texts: DataFrame, pattern: str, kind: str) -> DataFrame:
@@ -68,68 +77,98 @@ def _refilled(sentences: Column) -> Column:
     return F.aggregate(sentences, zero, step, lambda a: F.concat(a["done"], F.array(a["now"])))
 
 
+def sentence_parts(text: Column) -> Column:
+    return F.flatten(F.transform(F.split(text, r"\n\s*\n", -1), lambda b: F.when(F.length(b) > LONGEST_BLOCK, _refilled(F.split(b, r"(?<=[。！？.!?;；\n])"))).otherwise(F.array(b))))
+
+
 def by_sentences(texts: DataFrame) -> DataFrame:
     """Paragraphs; long ones cut after sentence marks and refilled."""
-    parts = F.flatten(F.transform(F.split("text", r"\n\s*\n", -1), lambda b: F.when(F.length(b) > LONGEST_BLOCK, _refilled(F.split(b, r"(?<=[。！？.!?;；\n])"))).otherwise(F.array(b))))
-    return _numbered(texts, parts, "text")
+    return _numbered(texts, sentence_parts(F.col("text")), "text")
 
 
-def islands(texts: DataFrame, starts: Callable[[Column], Column], kind: str, head: Callable[[Column], Column]) -> DataFrame:
-    """Runs of lines that begin with a line for which `starts` holds; `head` of that line is the run's section.
+def island_parts(text: Column, starts: Callable[[Column], Column], head: Callable[[Column], Column]) -> Column:
+    """Runs (pos, last, section, text) of a text's lines that begin with a line for which `starts` holds.
 
-    The lines of a text are an array, and so are the numbers of those that
-    begin a run: a run is a slice between two of them.  Nothing is shuffled.
+    The numbers of those lines are an array; a run is a slice between two of
+    them, and what stands before the first is one too.
     """
-    lined = texts.select("source", F.split("text", "\r?\n", -1).alias("ls"))
-    firsts = F.filter(F.transform("ls", lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
-    # what stands before the first such line is a run too
-    marked = lined.select("source", "ls", F.when(F.get(firsts, F.lit(0)) == 0, firsts).otherwise(F.concat(F.array(F.lit(0)), firsts)).alias("fs"))
-
-    def run(i, k):
-        end = F.coalesce(F.get("fs", k + 1), F.size("ls"))
-        first = F.get("ls", i)
-        text = T.trimmed(F.array_join(F.slice("ls", i + 1, end - i), "\n"))
-        return F.struct(i.alias("pos"), (end - 1).alias("last"), F.when(starts(first), head(first)).alias("section"), text.alias("text"))
-
-    runs = marked.select("source", F.filter(F.transform("fs", run), lambda r: r["text"] != "").alias("rs"))
-    out = runs.select("source", F.posexplode("rs").alias("seq", "r")).select("source", "seq", "r.*")
+
+    def firsts(ls):
+        at = F.filter(F.transform(ls, lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
+        return let(at, lambda a: F.when(F.get(a, F.lit(0)) == 0, a).otherwise(F.concat(F.array(F.lit(0)), a)))
+
+    def runs(ls, fs):
+        def run(i, k):
+            first, end = F.get(ls, i), F.coalesce(F.get(fs, k + 1), F.size(ls))
+            body = T.trimmed(F.array_join(F.slice(ls, i + 1, end - i), "\n"))
+            return F.struct(i.alias("pos"), (end - 1).alias("last"), F.when(starts(first), head(first)).alias("section"), body.alias("text"))
+
+        return F.filter(F.transform(fs, run), lambda r: r["text"] != "")
+
+    return let(F.split(text, "\r?\n", -1), lambda ls: let(firsts(ls), lambda fs: runs(ls, fs)))
+
+
+def islands(texts: DataFrame, rule: tuple[Callable[[Column], Column], Callable[[Column], Column]], kind: str) -> DataFrame:
+    """Records of texts (source, text) by a rule: what begins one, and what of its first line is its section."""
+    out = texts.select("source", F.posexplode(island_parts(F.col("text"), *rule)).alias("seq", "r")).select("source", "seq", "r.*")
     return out.select("source", "seq", F.lit(kind).alias("kind"), F.format_string("L%d-%d", F.col("pos") + 1, F.col("last") + 1).alias("locator"), "section", "text", F.length("text").alias("chars"))
 
 
+def speakers_rule(speakers: tuple[str, ...] = ("user", "assistant", "system")):
+    rule = r"(?i)^(" + "|".join(speakers) + r")\s*[:：]"
+    return (lambda x: x.rlike(rule), lambda x: F.lower(F.regexp_extract(x, rule, 1)))
+
+
+#: What begins a record, and what of its first line is its section.
+RULES = {
+    "markdown": (lambda x: x.rlike(HEADING), lambda x: F.regexp_replace(x, HEADING, "")),
+    "log": (lambda x: x.rlike(STAMP), lambda x: F.regexp_extract(x, STAMP, 1)),
+    "yaml": (lambda x: x.rlike(YAML_KEY), lambda x: F.substring(F.regexp_replace(x, r"[:\[\]].*$", ""), 1, 60)),
+    "conversation": speakers_rule(),
+}
+
+
 def markdown(texts: DataFrame) -> DataFrame:
-    return islands(texts, lambda x: x.rlike(HEADING), "markdown", lambda x: F.regexp_replace(x, HEADING, ""))
+    return islands(texts, RULES["markdown"], "markdown")
 
 
 def log_lines(texts: DataFrame) -> DataFrame:
-    return islands(texts, lambda x: x.rlike(STAMP), "log", lambda x: F.regexp_extract(x, STAMP, 1))
+    return islands(texts, RULES["log"], "log")
 
 
 def yaml_blocks(texts: DataFrame) -> DataFrame:
-    return islands(texts, lambda x: x.rlike(YAML_KEY), "yaml", lambda x: F.substring(F.regexp_replace(x, r"[:\[\]].*$", ""), 1, 60))
+    return islands(texts, RULES["yaml"], "yaml")
 
 
 def turns(texts: DataFrame, speakers: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
     """A record a turn; a line that begins with a speaker and a colon begins one."""
-    rule = r"(?i)^(" + "|".join(speakers) + r")\s*[:：]"
-    out = islands(texts, lambda x: x.rlike(rule), "conversation", lambda x: F.lower(F.regexp_extract(x, rule, 1)))
-    return out.withColumn("section", F.coalesce("section", F.lit(UNMARKED)))
+    return islands(texts, speakers_rule(speakers), "conversation").withColumn("section", F.coalesce("section", F.lit(UNMARKED)))
 
 
-def csv_rows(texts: DataFrame) -> DataFrame:
-    """A record a row, rendered "name: value" by the header; the delimiter is the header's most frequent one.
+def csv_parts(text: Column) -> Column:
+    """A text a row, rendered "name: value" by the header; the delimiter is the header's most frequent one.
 
     Cells beyond the header are called colN.
     """
-    rows = F.regexp_extract_all("text", F.lit(CSV_ROW), F.lit(0))
-    head = F.get(rows, F.lit(0))
-    counted = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate((",", "\t", ";", "|"))]
-    base = texts.withColumn("d", F.greatest(*counted)["d"])
-    rule = F.concat(F.lit(r"\Q"), F.col("d"), F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cells = lambda line: F.transform(F.split(line, rule, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    lined = base.select("source", cells(head).alias("head"), "d", F.filter(rows, lambda line, i: (i > 0) & (T.trimmed(line) != "")).alias("rows"))
-    value = lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("head", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c))
-    shown = F.transform("rows", lambda line: F.array_join(F.filter(F.transform(cells(line), value), lambda x: x.isNotNull()), "\n"))
-    return _numbered(lined, shown, "csv")
+
+    def rendered(rows):
+        head = F.get(rows, F.lit(0))
+        counted = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate((",", "\t", ";", "|"))]
+        rule = F.concat(F.lit(r"\Q"), F.greatest(*counted)["d"], F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+
+        def shown(rule, names):
+            value = lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get(names, i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c))
+            return F.transform(F.filter(rows, lambda line, i: (i > 0) & (T.trimmed(line) != "")), lambda line: F.array_join(F.filter(F.transform(cells(line, rule), value), lambda x: x.isNotNull()), "\n"))
+
+        return let(rule, lambda r: let(cells(head, r), lambda names: shown(r, names)))
+
+    cells = lambda line, rule: F.transform(F.split(line, rule, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    return let(F.regexp_extract_all(text, F.lit(CSV_ROW), F.lit(0)), rendered)
+
+
+def csv_rows(texts: DataFrame) -> DataFrame:
+    """A record a row, rendered by the header."""
+    return _numbered(texts, csv_parts(F.col("text")), "csv")
 
 
 def _nested(split):
@@ -143,24 +182,39 @@ def _nested(split):
 
 json_walk, json_lines, json_array, jsonl_by_recipe = map(_nested, (nested.json_walk, nested.json_lines, nested.json_array, nested.lines_by_recipe))
 
-STRATEGIES = {
-    "lines": by_lines, "jsonl": jsonl_by_recipe, "json_array": json_array, "conversation": turns, "separator": by_separator, "markdown": markdown, "yaml": yaml_blocks,
-    "csv": csv_rows, "log": log_lines, "blank_line": by_blank_lines, "whole": whole, "text": by_sentences,
+def _texts_of(rule: str) -> Callable[[Column], Column]:
+    return lambda t: F.transform(island_parts(t, *RULES[rule]), lambda r: r["text"])
+
+
+#: Splitters as (kind, texts of the records of a text), and those of JSON as functions of texts.
+PARTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "lines": ("line", lambda t: _kept(F.split(t, "\r?\n", -1))), "conversation": ("conversation", _texts_of("conversation")), "separator": ("block", lambda t: _kept(F.split(t, "\n---\n", -1))),
+    "markdown": ("markdown", _texts_of("markdown")), "yaml": ("yaml", _texts_of("yaml")), "csv": ("csv", lambda t: _kept(csv_parts(t))), "log": ("log", _texts_of("log")),
+    "blank_line": ("paragraph", lambda t: _kept(F.split(t, r"\n\s*\n", -1))), "whole": ("whole", lambda t: F.array(t)), "text": ("text", lambda t: _kept(sentence_parts(t))),
 }
+STRATEGIES = {**PARTS, "jsonl": jsonl_by_recipe, "json_array": json_array}
 # The paths that a recipe without fields takes.
 DEFAULT_FIELDS = {"jsonl": {"角色": "role", "内容": "content[].text"}, "json_array": {"角色": "role", "内容": "content"}}
 #: Splitters by the sniffed format; any other text is cut at blank lines and sentences.
-BY_FORMAT = {"markdown": markdown, "log": log_lines, "json": json_walk, "jsonl": json_lines, "yaml": yaml_blocks, "csv": csv_rows, "text": by_sentences}
+BY_FORMAT = {**{k: PARTS[k] for k in ("markdown", "log", "yaml", "csv", "text")}, "json": json_walk, "jsonl": json_lines}
 FIELDS = ("source", "seq", "kind", "text", "chars")
 
 
 def _dispatched(texts: DataFrame, by: str, branches: dict, other: str) -> DataFrame:
-    """Each text through the splitter that column `by` names; an unknown name means `other`."""
+    """Each text through the splitter that column `by` names; an unknown name means `other`.
+
+    All native splitters share one pass over the texts, whose expression the
+    name chooses; those of JSON take a pass each over theirs.
+    """
     named = texts.withColumn(by, F.when(F.col(by).isin(*branches), F.col(by)).otherwise(other))
-    parts = [split(named.where(F.col(by) == name)).select(*FIELDS) for name, split in branches.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    native = {k: v for k, v in branches.items() if isinstance(v, tuple)}
+    parts, kind = F.lit(None), F.lit(None)
+    for name, (what, f) in native.items():
+        parts, kind = F.when(F.col(by) == name, f(F.col("text"))).otherwise(parts), F.when(F.col(by) == name, what).otherwise(kind)
+    out = named.where(F.col(by).isin(*native)).select("source", kind.alias("kind"), F.posexplode(parts).alias("seq", "text")).withColumn("chars", F.length("text")).select(*FIELDS)
+    for name, split in branches.items():
+        if name not in native:
+            out = out.unionByName(split(named.where(F.col(by) == name)).select(*FIELDS))
     return out
 
 

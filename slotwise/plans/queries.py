@@ -222,12 +222,12 @@ def jd_uncovered(spark, sf_dir):
 
 @query(VALUES_SQL + f" SELECT a.slot, max({sim_sql('a', 'b')}) AS sim FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num GROUP BY a.slot")
 def je_slot_similarity(spark, sf_dir):
-    return C.slot_pairs(claims(spark, sf_dir)).groupBy("slot").agg(F.max("sim").alias("sim"))
+    return C.slot_similarity(claims(spark, sf_dir))
 
 
 @query(VALUES_SQL + f", p AS (SELECT a.id AS a, b.id AS b, {sim_sql('a', 'b')} AS sim FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num) SELECT * FROM p WHERE sim >= 0.88")
 def jf_near_pairs(spark, sf_dir):
-    return C.slot_pairs(claims(spark, sf_dir)).where("sim >= 0.88").select("a", "b", "sim")
+    return C.near_pairs(claims(spark, sf_dir))
 
 
 @query(", ends AS (SELECT id, CASE WHEN num % 9 = 1 THEN split_part(links[1], ':', 2) ELSE split_part(links[1], ':', 1) END AS target FROM claims WHERE status = 'active' AND len(links) > 0) SELECT id, target FROM ends WHERE target NOT IN (SELECT id FROM claims)")
