@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import parted, read, slices
+from slotwise.llm.common import Workspace, parted, read, slices
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -102,8 +102,17 @@ def word_ranks(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
         if seen:
             yield rows()
 
-    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    ws = Workspace(docs.sparkSession, "words")
+    counts = ws.put(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    # classes of counts, a sixteenth of a doubling each, tell from where on the words are enough
+    size = F.floor(16 * F.log2("n")).cast("int")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(size.alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
+        least, held = r["c"], held + r["n"]
+        if held >= most:
+            break
+    found = [r["word"] for r in counts.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    ws.close()
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *found]))}
 
 
