@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: the cluster's checkpoint folder, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work").rstrip("/")
+
+
 def kept_apart(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the cluster's checkpoint folder, else in the warehouse."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -123,8 +123,8 @@ def structure(texts: DataFrame) -> DataFrame:
     p = texts.select("source", "text", lines.alias("ls"))
     n = F.size("ls")
     bare = lambda x: F.btrim(x, F.lit(SPACES))
-    # the parser stops at the end of the first value, so a line has to end with its bracket
-    is_json = lambda x: bare(x).rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.try_parse_json(bare(x)).isNotNull()
+    # parsers stop at the end of the first value; within brackets all of the text has to be one
+    is_json = lambda x: bare(x).rlike(r"^[\[{]") & (F.coalesce(F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))), F.lit(0)) == 1)
     first = F.coalesce(F.get("ls", F.lit(0)), F.lit(""))
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     many = lambda rule: F.size(F.filter("ls", lambda x: x.rlike(rule)))
@@ -134,9 +134,9 @@ def structure(texts: DataFrame) -> DataFrame:
     marks = ["\n---\n", "\n===\n", "\n\n\n", "\n--\n"]
     split_by = [F.struct((F.size(F.split("text", r"\Q" + m + r"\E", -1)) - 1).alias("n"), F.lit(-i).alias("o"), F.lit(m).alias("separator")) for i, m in enumerate(marks)]
     separators = F.slice(F.sort_array(F.filter(F.array(*split_by), lambda x: x["n"] > 0), asc=False), 1, 3)
-    whole = F.when(bare(F.col("text")).rlike(r"(?s)^(\{.*\}|\[.*\])$"), F.try_parse_json("text"))
+    whole = is_json(F.col("text"))
     keys = F.array_join(F.slice(F.json_object_keys("text"), 1, 8), ",")
-    root = F.when(whole.isNull(), F.lit(None)).when(bare(F.col("text")).startswith("["), F.concat(F.lit("array("), F.json_array_length("text").cast("string"), F.lit(")"))).otherwise(keys)
+    root = F.when(~whole, F.lit(None)).when(bare(F.col("text")).startswith("["), F.concat(F.lit("array("), F.json_array_length("text").cast("string"), F.lit(")"))).otherwise(keys)
     return p.select(
         "source", n.alias("lines"), share(F.size(F.filter(F.slice("ls", 1, 200), is_json)), F.least(n, F.lit(200))).alias("json_line_rate"),
         F.size(F.filter(F.slice("ls", 1, 200), lambda x: is_json(x) & x.rlike(r"""^\s*\{.*:\s*\[[^\]]*\{[^}]*"text"\s*:\s*\""""))).alias("nested_lines"),
@@ -144,7 +144,7 @@ def structure(texts: DataFrame) -> DataFrame:
         ((count(first, ",") >= 2) & F.forall(F.slice("ls", 1, 10), lambda x: count(x, ",") == count(first, ","))).alias("csv_like"), (count(first, ",") + 1).alias("csv_columns"),
         (count(first, "\t") >= 2).alias("tsv_like"), many(r"^[a-zA-Z_][\w-]*\s*:").alias("yaml_keys"), share(many(r"^\s{2,}"), n).alias("indented_rate"),
         share(many(stamp), F.least(n, F.lit(200))).alias("stamp_rate"), many(r"^#{1,6}\s+").alias("headings"), F.transform(separators, lambda x: x["separator"]).alias("separators"),
-        whole.isNotNull().alias("json_valid"), root.alias("json_root"))
+        whole.alias("json_valid"), root.alias("json_root"))
 
 
 def rendered(cards: DataFrame) -> DataFrame:

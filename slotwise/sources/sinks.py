@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.text import slug
 from slotwise.operators import records as R
 from slotwise.operators import upkeep as U
+from slotwise.sources import layout as L
 from slotwise.sources.cards import FENCED, ReadOnly, rendered
 
 
@@ -47,19 +50,31 @@ def write_brief(cards: DataFrame, path: str, best: int = 5, mode: str = "write")
     U.brief_lines(cards, best).orderBy(F.desc("cards"), "subject", "ord").select("line").write.mode("overwrite").text(path)
 
 
-def write_task(texts: DataFrame, path: str, budget: float | None = None, mode: str = "write") -> DataFrame:
-    """A package for an external extractor: chunks, and a manifest with a row a chunk, which is returned.
+def write_task(texts: DataFrame, path: str, budget: float | None = None, mode: str = "write", kind: str = "agent", existing_slots: tuple[str, ...] = ()) -> DataFrame:
+    """A package for an external extractor: chunks, all of them as one text, a folder for results, and a manifest with a row a chunk, which is returned.
 
     texts has (source, text, format); results are read back by `agent.extracted`.
+    The package's own file names its kind, "trial" for one from which nothing
+    may be written to a collection, and at most 60 slots that are there already.
     """
     _guard(mode)
+    spark = texts.sparkSession
     chunks = R.chunks(R.by_rules(texts), budget)
     name = F.concat(slug(F.col("source").cast("string")), F.lit("-"), F.format_string("%04d", "chunk"))
     chunks.withColumn("id", name).write.mode("overwrite").json(f"{path}/chunks")
-    spark = texts.sparkSession
     done = spark.read.schema("id string, source string, chunk int, record_count long, chars long, text string").json(f"{path}/chunks")
-    done.select(F.col("id").alias("chunk"), "source", "record_count", "chars").write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.schema("chunk string, source string, record_count long, chars long").json(f"{path}/manifest")
+    done.orderBy("id").select(F.concat("text", F.lit("\n\n")).alias("value")).write.mode("overwrite").text(f"{path}/all")
+    result = F.concat(F.lit("results/"), "id", F.lit(".result.json"))
+    done.select(F.col("id").alias("chunk"), "source", "record_count", "chars", result.alias("result")).write.mode("overwrite").json(f"{path}/manifest")
+    fs, at = L._at(spark, f"{path}/results")
+    fs.mkdirs(at)
+    L.write_file(spark, f"{path}/{L.MANIFEST}", json.dumps({"mode": kind, "existing_slots": list(existing_slots[:60]), "result": 'results/<chunk>.result.json: {"cards": [...]}'}))
+    return spark.read.schema("chunk string, source string, record_count long, chars long, result string").json(f"{path}/manifest")
+
+
+def write_from_task(cards: DataFrame, folder: str, path: str) -> None:
+    """Cards of a task's package as card files; refuses if the package is a trial's."""
+    write_card_files(cards, path, L.mode_of(cards.sparkSession, folder))
 
 
 def snapshot(cards: DataFrame, path: str, stamp: str, mode: str = "write") -> str:

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from slotwise.plans import more  # noqa: F401
+from slotwise.plans import more, stored  # noqa: F401
 from slotwise.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
