@@ -288,5 +288,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
 
 
 def op8_decontamination(spark, sf_dir):
+    """Which documents hold items; the items' ids in ascending order as text, separated by commas."""
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", F.transform("items", lambda x: x["item_id"]).alias("item_ids"))
+    ids = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"])))
+    return found.select("doc_id", "contaminated", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("item_ids"))

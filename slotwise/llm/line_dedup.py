@@ -255,4 +255,6 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark, sf_dir):
-    return line_decisions(read(spark, sf_dir, "documents"))
+    """The decisions on every document; the dropped lines' numbers as text, separated by commas."""
+    found = line_decisions(read(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","))

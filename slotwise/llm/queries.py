@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from slotwise.llm import oracles
 from slotwise.llm.decontaminate import op8_decontamination
 from slotwise.llm.embedding_dedup import op7_embedding_dedup
 from slotwise.llm.licenses import op6_license_scan
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op2_minhash": oracles.NEAR_DUPLICATES, "op7_embedding_dedup": oracles.EMBEDDING_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION}

@@ -791,3 +791,20 @@ def test_pipeline_keeps_rows_apart_that_share_an_id(spark, sf):
     for r in cp.mix_sources(spark, df, sf).collect():
         taken[r["doc_id"]] += len(r["text"].split())
     assert sum(taken.values()) == sum(r["taken"] for r in mixing.mixing(df).collect())
+
+
+# --- SQL -------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_minhash", "op7_embedding_dedup", "op8_decontamination"])
+def test_queries_like_their_sql(spark, sf, name):
+    import duckdb
+
+    from slotwise.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries()[name](spark, sf).toPandas(), con.sql(oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).values.tolist()))
+    assert rows(got) == rows(want)
