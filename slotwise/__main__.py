@@ -36,6 +36,11 @@ CARDS: dict[str, Callable] = {
     "list": _listed,
     "show": lambda c, a: S.rendered(c.where(F.col("id") == a.query)),
     "doctor": lambda c, a: U.checkup(c),
+    "overview": lambda c, a: U.overview(c),
+    "library": lambda c, a: U.library(c),
+    "review": lambda c, a: C.needs_review(c).select("id", "title", "type", "status", "confidence"),
+    "slots": lambda c, a: U.slots(c, a.limit),
+    "template": lambda c, a: S.rendered(C.with_id(c, [a.query]).withColumn("id", F.lit("mem_00000"))),
     "problems": lambda c, a: C.problems(c),
     "conflicts": lambda c, a: C.proposals(c, a.now),
     "gc": lambda c, a: U.sweep(c, a.now),

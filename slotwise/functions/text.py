@@ -55,6 +55,7 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) == 1, F.array(text)).otherwise(F.array_distinct(pairs))
 
 
+# Fixed values in similarity_of: weights of dice and coverage, and of the lengths' ratio.
 def similarity_of(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
     """Similarity of comparable texts with their bigrams at hand."""
     both = F.size(F.array_intersect(grams_a, grams_b)).cast("double")

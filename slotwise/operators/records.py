@@ -13,6 +13,7 @@ from slotwise.operators import nested
 from slotwise.operators.agent import recipe_problem
 from slotwise.operators.ordered import running
 
+# What begins a record in Markdown, logs and YAML, and from where a paragraph is cut by sentences.
 HEADING = r"^#{1,3}\s+"
 STAMP = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)"
 YAML_KEY = r"^(\[[^\]]+\]|[A-Za-z_][\w.-]*\s*:)"
@@ -20,6 +21,7 @@ LONGEST_BLOCK = 4000
 # Fixed value: the speaker of what stands before the first marked turn.
 UNMARKED = "(未标注)"
 META = "file-meta"
+# Characters and records of a chunk.
 BUDGET, MOST_RECORDS = 6000, 40
 # Fixed value: what follows a text that was cut off.
 CUT_OFF = "\n\n[内容超长，已截断]"
@@ -362,6 +364,11 @@ def chunk_of(chunks_: DataFrame, which: str) -> DataFrame:
     return chunks_.where(F.concat_ws("-", F.col("source").cast("string"), F.col("chunk").cast("string")) == which)
 
 
+def record_of(records: DataFrame, source, seq: int) -> DataFrame:
+    """A record by its text and number, which are the same whenever the text is split again."""
+    return records.where((F.col("source") == source) & (F.col("seq") == seq))
+
+
 def numbered_across(chunks_: DataFrame) -> DataFrame:
     """Chunks of many sources with one running number, by source and chunk."""
     sizes = chunks_.groupBy("source").agg((F.max("chunk") + 1).alias("n"))

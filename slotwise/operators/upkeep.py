@@ -224,6 +224,17 @@ def overview(cards: DataFrame) -> DataFrame:
     return out
 
 
+def slots(cards: DataFrame, limit: int | None = None) -> DataFrame:
+    """(slot, title, n) of active cards, a slot's title being its first card's; at most `limit` of them, by slot."""
+    out = C.active(cards).groupBy("slot").agg(F.min_by("title", "num").alias("title"), F.count("*").alias("n"))
+    return out if limit is None else out.orderBy("slot").limit(limit)
+
+
+def heads(cards: DataFrame) -> DataFrame:
+    """(head, n, slots) of active cards by the first word of their predicate."""
+    return C.active(cards).groupBy(F.split_part("predicate", F.lit("_"), F.lit(1)).alias("head")).agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"))
+
+
 def library(cards: DataFrame) -> DataFrame:
     """(measure, key, n): cards, active ones, different slots, and cards by type."""
     one = cards.agg(F.count("*").alias("cards"), F.count_if(F.col("status") == "active").alias("active"), F.count_distinct(F.concat_ws("::", "subject", "predicate")).alias("slots"))

@@ -344,7 +344,7 @@ def a11_overview(spark, sf_dir):
 
 @query(" SELECT split_part(predicate, '_', 1) AS head, count(*) AS n, count(DISTINCT slot) AS slots FROM claims WHERE status = 'active' GROUP BY 1")
 def a14_heads(spark, sf_dir):
-    return C.active(claims(spark, sf_dir)).groupBy(F.split_part("predicate", F.lit("_"), F.lit(1)).alias("head")).agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"))
+    return U.heads(claims(spark, sf_dir))
 
 
 @query(", u AS (SELECT slot, unnest(tags) AS t FROM claims WHERE num <= 2000), tg AS (SELECT slot, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM u GROUP BY slot), b AS (SELECT slot, count(*) AS n, sum(hits)::BIGINT AS hits, string_agg(body, chr(10) || chr(10) ORDER BY num) AS body FROM claims WHERE num <= 2000 GROUP BY slot) SELECT slot, n, hits, tags, body FROM b JOIN tg USING (slot)".replace(" WHERE num <= 2000", ""))
@@ -354,7 +354,12 @@ def a15_merged(spark, sf_dir):
 
 @query(" SELECT slot, first(title ORDER BY num) AS title, count(*) AS n FROM claims WHERE status = 'active' GROUP BY slot")
 def a16_slots(spark, sf_dir):
-    return C.active(claims(spark, sf_dir)).groupBy("slot").agg(F.min_by("title", "num").alias("title"), F.count("*").alias("n"))
+    return U.slots(claims(spark, sf_dir))
+
+
+@query(" SELECT slot, first(title ORDER BY num) AS title, count(*) AS n FROM claims WHERE status = 'active' GROUP BY slot ORDER BY slot LIMIT 60")
+def o7_first_slots(spark, sf_dir):
+    return U.slots(claims(spark, sf_dir), 60)
 
 
 @query(", r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY importance DESC, hits DESC, num) AS r, count(*) OVER (PARTITION BY subject) AS cards FROM claims WHERE status = 'active') SELECT subject, cards, id, r FROM r WHERE r <= 5")

@@ -11,7 +11,7 @@ from slotwise.functions.text import slug
 from slotwise.operators import records as R
 from slotwise.operators import upkeep as U
 from slotwise.sources import layout as L
-from slotwise.sources.cards import FENCED, ReadOnly, rendered
+from slotwise.sources.cards import FENCED, ReadOnly, opened, rendered, write_cards
 
 
 def _guard(mode: str) -> None:
@@ -77,6 +77,12 @@ def write_from_task(cards: DataFrame, folder: str, path: str) -> None:
     write_card_files(cards, path, L.mode_of(cards.sparkSession, folder))
 
 
+def reindex(spark: SparkSession, folder: str, path: str, mode: str = "write") -> DataFrame:
+    """The card table of a folder of card files, made anew; the files are the truth, the table follows."""
+    write_cards(opened(spark, folder), path, mode)
+    return spark.read.parquet(path)
+
+
 def snapshot(cards: DataFrame, path: str, stamp: str, mode: str = "write") -> str:
     """A copy below the stamp; an existing one is an error."""
     _guard(mode)

@@ -17,6 +17,13 @@ def folder(tmp_path_factory):
 
 @pytest.mark.parametrize("command", sorted({*CARDS, *TEXTS, "types"}))
 def test_every_command(spark, folder, tmp_path, command):
-    got = list(map(json.loads, run(spark, [command, folder, "mem_00001" if command == "show" else "reply style", "--now", "2024-02-01 00:00:00", "--out", str(tmp_path / "out")])))
-    least = {"expire": 0, "gc": 0, "import": 0, "problems": 0, "types": 8, "show": 1, "conflicts": 1}.get(command, 2)
+    got = list(map(json.loads, run(spark, [command, folder, "mem_00001" if command in ("show", "template") else "reply style", "--now", "2024-02-01 00:00:00", "--out", str(tmp_path / "out")])))
+    least = {"expire": 0, "gc": 0, "import": 0, "problems": 0, "types": 8, "show": 1, "conflicts": 1, "review": 0, "slots": 1, "template": 1}.get(command, 2)
     assert len(got) >= least
+
+
+def test_the_table_follows_the_files(spark, folder, tmp_path):
+    from slotwise.sources import sinks
+
+    got = sinks.reindex(spark, folder, str(tmp_path / "table"))
+    assert sorted(r["id"] for r in got.collect()) == ["mem_00001", "mem_00002"] and got.where("type = 'preference'").count() == 2
