@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed, slices
+from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed, slices, to_hot
 
 #: Shorter lines are compared for equality only: one word of them is too much.
 LEAST_WORDS = 5
@@ -96,6 +97,8 @@ def chunks(texts: list[str | None]):
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, row, line, n, h1, h2, salt, keys) of every line that has words; a row with line -1 and n lines for each document.
 
+    row: a number of the document of its own.
+
     tie: a hash of the document's words by lines, so that rows of one doc_id
     have an order of their own.  salt: 0, or one of 1..SALTS where the line is
     frequent in its chunk.
@@ -103,7 +106,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.int64(), 4)
-        base = 0  # rows of earlier batches
+        base = TaskContext.get().partitionId() << 33  # and the rows of earlier batches
         for b, texts in slices(batches, 1, 1 << 22):
             for at, end, lines, owner, number in chunks(texts):
                 ids = b.column(0)[at:end]
@@ -206,7 +209,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, ws: Workspace) -> DataFrame
     best = F.when(F.col("place") < 0, F.col("_cut")).otherwise(F.least("_whole", "_same"))
     found = met.select("h1", "h2", "first", best.alias("near")).where("near < first").groupBy("h1", "h2", "first").agg(F.min("near").alias("near"))
     words = left.where("place < 0").select(F.col("first").alias("_first"), "words").dropDuplicates(["_first"])
-    both = found.join(words, F.col("first") == F.col("_first")).withColumnRenamed("words", "_a").drop("_first").join(words, F.col("near") == F.col("_first")).select("h1", "h2", "near", "_a", F.col("words").alias("_b"))
+    # many lines may be near one
+    earliest = found.groupBy("near").agg(F.count("*").alias("n")).join(words.select(F.col("_first").alias("near"), F.col("words").alias("_b")), "near")
+    both = found.join(words, F.col("first") == F.col("_first")).withColumnRenamed("words", "_a").drop("_first")
+    both = to_hot(both, earliest, "near", F.col("h1")).select("h1", "h2", "near", "_a", "_b")
 
     def run(batches):
         for b, left in slices(batches, 3):
@@ -230,9 +236,9 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     empty table gives no rows; columns other than doc_id and text are not read.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    rows = ws.put(line_table(docs).withColumn("_task", F.spark_partition_id()), "rows")
+    rows = ws.put(line_table(docs), "rows")
     lines = rows.where("line >= 0")
-    place = F.struct("doc_id", "tie", "_task", "row", "line")
+    place = F.struct("doc_id", "tie", "row", "line")
     distinct = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = ws.put(distinct, "distinct")
     near = ws.put(near_lines(docs, distinct, ws), "near")
@@ -240,9 +246,9 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near is not null").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "times", "first", "near")
     # a frequent line's rows carry salts
     marked = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("times") >= OFTEN, SALTS).otherwise(0)))).drop("times")
-    gone = lines.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("salt") == F.col("_salt"))).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "_task", "row", "line")
-    all_rows = rows.where("line < 0").select("doc_id", "_task", "row", F.col("n").alias("n_lines"), F.lit(None).cast("int").alias("line")).unionByName(gone.withColumn("n_lines", F.lit(None).cast("int")))
-    out = all_rows.groupBy("doc_id", "_task", "row").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("line")).alias("dropped"))
+    gone = lines.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("salt") == F.col("_salt"))).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "row", "line")
+    all_rows = rows.where("line < 0").select("doc_id", "row", F.col("n").alias("n_lines"), F.lit(None).cast("int").alias("line")).unionByName(gone.withColumn("n_lines", F.lit(None).cast("int")))
+    out = all_rows.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("line")).alias("dropped"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
