@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import Workspace, connected_components, read, to_hot
+from slotwise.llm.common import Workspace, connected_components, read
 
 LEAST = 0.95
 #: Vectors, by a hash of their ids, that the rotation is learned from.
@@ -31,6 +31,8 @@ FLIPS = 3.6
 DEVIATIONS = 7.0
 BLOCK = 512
 GROUP_ROWS = 40_000
+#: Vectors that a task holds links of before it hands them on.
+HELD = 100_000
 
 
 def rotation(x: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,8 @@ def meeting(rows: DataFrame, least: float) -> DataFrame:
     counts = counts.select("key", "n", "_h", F.ceil(F.col("_h") / BLOCK).cast("int").alias("_kh"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kn"))
     total = counts.agg(F.sum(F.col("_h").cast("double") * F.col("_kn") + F.col("n").cast("double") * F.col("_kh"))).first()[0] or 0
     groups = max(1, int(total // GROUP_ROWS))
-    own = to_hot(rows, counts.drop("_h"), "key", F.col("rep"))
+    # an entry that holds many of the rows is split by the planner's skew handling
+    own = rows.join(counts.select(F.col("key").alias("_key"), "_kh", "_kn"), F.col("key") == F.col("_key")).drop("_key")
     at_home = own.where("home").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("_kh"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_kn") - 1))).withColumn("side", F.lit(True))
     look = own.withColumn("q", F.pmod(F.xxhash64("rep"), F.col("_kn"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_kh") - 1))).withColumn("side", F.lit(False))
     cols = ["key", F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), "rep", "code", "side"]
@@ -144,10 +147,50 @@ def meeting(rows: DataFrame, least: float) -> DataFrame:
     return both.groupBy("g").applyInArrow(run, "a long, b long").distinct()
 
 
+class Linked:
+    """Links of a task, kept as the degrees of their ends and a forest that joins the same ones."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.degree: dict[int, int] = {}
+        self.forest: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> None:
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        for i, n in zip(ids.tolist(), np.bincount(at, np.concatenate([copies_b, copies_a])).astype(np.int64).tolist(), strict=True):
+            self.degree[i] = self.degree.get(i, 0) + n
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self.top(x), self.top(y)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                self.forest.append((x, y))
+
+    def taken(self) -> pa.RecordBatch:
+        """(a, b, others): links of the forest, and degrees with b null; what was held is given up."""
+        n, m = len(self.forest), len(self.degree)
+        a = [x for x, _ in self.forest] + list(self.degree)
+        b = [y for _, y in self.forest] + [None] * m
+        out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * n + list(self.degree.values()), pa.int64())], ["a", "b", "others"])
+        self.__init__()
+        return out
+
+
 def reranked(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Those of pairs whose cosine, in double precision, is at least `least`."""
+    """Of those of pairs whose cosine, in double precision, is at least `least`: (a, b, others).
+
+    A task gives for each vector how many others it met, and a forest of links
+    that joins what its links join: no more rows than vectors, however many
+    pairs a group of near copies has.
+    """
 
     def run(batches):
+        held = Linked()
         for x in batches:
             if x.num_rows:
                 a, b = (x.column(i) for i in (2, 3))
@@ -157,12 +200,17 @@ def reranked(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 # by the largest component first: squares of very large or small ones leave the range
                 va, vb = (v / np.repeat(np.maximum.reduceat(np.abs(v), cuts[:-1]), sizes) for v in (va, vb))
                 dot, aa, bb = (np.add.reduceat(v, cuts[:-1]) for v in (va * vb, va * va, vb * vb))
-                yield x.select(["a", "b"]).filter(pa.array(dot / np.sqrt(aa) / np.sqrt(bb) >= least))
-
-    left = reps.select(F.col("rep").alias("a"), F.col("embedding").alias("_va"))
-    right = reps.select(F.col("rep").alias("b"), F.col("embedding").alias("_vb"))
+                near = dot / np.sqrt(aa) / np.sqrt(bb) >= least
+                held.add(*(x.column(i).to_numpy()[near] for i in (0, 1, 4, 5)))
+                if len(held.degree) > HELD:
+                    yield held.taken()
+        if held.degree:
+            yield held.taken()
+
+    left = reps.select(F.col("rep").alias("a"), F.col("embedding").alias("_va"), F.col("copies").alias("_na"))
+    right = reps.select(F.col("rep").alias("b"), F.col("embedding").alias("_vb"), F.col("copies").alias("_nb"))
     joined = pairs.join(left, "a").join(right, "b").where(F.size("_va") == F.size("_vb"))
-    return joined.select("a", "b", "_va", "_vb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "_va", "_vb", "_na", "_nb").mapInArrow(run, "a long, b long, others long")
 
 
 def fit(reps: DataFrame, rows: int = FIT_ROWS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -175,7 +223,7 @@ def fit(reps: DataFrame, rows: int = FIT_ROWS) -> dict[int, tuple[np.ndarray, np
 
 
 def links(vectors: DataFrame, ws: Workspace, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors with their representative, representatives with their number of copies, links between these)."""
+    """(vectors with their representative, representatives with their number of copies, links and degrees between these)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     known = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     good = known.where(F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
@@ -200,10 +248,8 @@ def embedding_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     ws = Workspace(vectors.sparkSession, "itq")
     vectors = vectors.select("vec_id", "embedding")
     member, reps, found = links(vectors, ws, least)
-    both = found.union(found.select("b", "a"))
-    copies = reps.select(F.col("rep").alias("b"), "copies")
-    degree = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    comps = ws.put(connected_components(ws, found, "comps"), "all").withColumnRenamed("id", "rep")
+    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    comps = ws.put(connected_components(ws, found.where("b is not null").select("a", "b"), "comps"), "all").withColumnRenamed("id", "rep")
     own = member.join(degree, "rep", "left").join(comps, "rep", "left").select(
         F.col("vec_id").alias("_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("comp", "rep").alias("_comp"))
     out = vectors.select("vec_id").join(own, F.col("vec_id") == F.col("_id"), "left")
