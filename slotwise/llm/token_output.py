@@ -388,7 +388,7 @@ def write_blocks(ids: DataFrame, freq: np.ndarray, path: str, parts: int) -> Non
             yield block()
 
     (
-        ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+        ids.repartitionByRange(parts, "doc_id", "n").sortWithinPartitions("doc_id", "n", "ids")
         .mapInArrow(run, "part int, number int, n long, block binary")
         .write.option("compression", "none").parquet(path)
     )
