@@ -181,32 +181,37 @@ def internal_conflicts(cards: DataFrame) -> DataFrame:
 def deduplicated(cards: DataFrame) -> DataFrame:
     """Cards in order of num, first wins: reason null (kept), exact or near, and into which card.
 
-    Equal digests go before any comparison, so only a slot's distinct cards meet.
-    The fold compares a card with those kept before it, which is linear in the
-    kept ones; slots are independent and are not gathered across.  A copy of a
-    kept card is exact; a copy of a near one is near, and into the same card.
+    Equal digests go before any comparison, and cards of one value share their
+    fate, so only a slot's different values meet.  The fold compares a value
+    with those kept before it, which is linear in the kept ones; slots are
+    independent and are not gathered across.  A copy of a kept card is exact; a
+    copy of a near one is near, and into the same card.  Cards without a value
+    are near nothing.
     """
     first = F.row_number().over(W.partitionBy("digest").orderBy("num"))
-    rows = cards.withColumn("_r", first).withColumn("_first", F.first("id").over(W.partitionBy("digest").orderBy("num")))
-    v = T.comparable(F.col("value"))
-    uniq = rows.where("_r = 1").select("slot", F.struct("num", "id", v.alias("v"), T.bigrams(v).alias("g")).alias("c"))
-    grouped = uniq.groupBy("slot").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    rows = cards.select("id", "num", "slot", T.comparable(F.col("value")).alias("v"), first.alias("_r"), F.first("id").over(W.partitionBy("digest").orderBy("num")).alias("_first"))
+    uniq = rows.where("_r = 1")
+    values = uniq.where("v <> ''").groupBy("slot", "v").agg(F.min("num").alias("num"), F.min_by("id", "num").alias("id"))
+    grouped = values.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("num", "id", "v", T.bigrams(F.col("v")).alias("g")))).alias("cs"))
     kept = "array<struct<id:string,v:string,g:array<string>>>"
-    out = "array<struct<id:string,reason:string,into:string>>"
+    out = "array<struct<id:string,v:string,into:string>>"
     zero = F.struct(F.array().cast(kept).alias("k"), F.array().cast(out).alias("o"))
 
     def step(acc, c):
         hit = F.filter(acc["k"], lambda p: T.similarity_of(p["v"], c["v"], p["g"], c["g"]) >= NEAR)
         near = F.size(hit) > 0
         own = F.struct(c["id"].alias("id"), c["v"].alias("v"), c["g"].alias("g"))
-        said = F.struct(c["id"].alias("id"), F.when(near, "near").alias("reason"), F.when(near, F.get(hit, F.lit(0))["id"]).alias("into"))
+        said = F.struct(c["id"].alias("id"), c["v"].alias("v"), F.when(near, F.get(hit, F.lit(0))["id"]).alias("into"))
         return F.struct(F.when(near, acc["k"]).otherwise(F.concat(acc["k"], F.array(own))).alias("k"), F.concat(acc["o"], F.array(said)).alias("o"))
 
-    folded = grouped.select("slot", F.explode(F.aggregate("cs", zero, step, lambda a: a["o"])).alias("x")).select("x.id", "slot", "x.reason", "x.into")
-    said = folded.select(F.col("id").alias("_id"), F.col("reason").alias("_reason"), "into")
+    folded = grouped.select("slot", F.explode(F.aggregate("cs", zero, step, lambda a: a["o"])).alias("x")).select("slot", "x.v", F.col("x.id").alias("_lead"), F.col("x.into").alias("_into"))
+    # later cards of a kept value are near its first one
+    into = F.when(F.col("id") == F.col("_lead"), F.col("_into")).otherwise(F.coalesce("_into", "_lead"))
+    told = uniq.join(folded, ["slot", "v"], "left").select("id", "slot", F.when(into.isNotNull(), "near").alias("reason"), into.alias("into"))
+    said = told.select(F.col("id").alias("_id"), F.col("reason").alias("_reason"), "into")
     copies = rows.where("_r > 1").select("id", "slot", "_first").join(said, F.col("_first") == F.col("_id"))
     copies = copies.select("id", "slot", F.when(F.col("_reason").isNull(), "exact").otherwise("near").alias("reason"), F.coalesce("into", "_first").alias("into"))
-    return folded.unionByName(copies)
+    return told.unionByName(copies)
 
 
 def against_baseline(incoming: DataFrame, base: DataFrame) -> DataFrame:
