@@ -64,22 +64,50 @@ def tokens(text: str | None) -> list[str]:
     return [w for part in parted(text or "") for w in TOKEN.findall(part.lower())]
 
 
+def odds_of(ya: float, na: int, yb: float, nb: int) -> tuple[float, float]:
+    """(log-odds, deviation) of a word in ya of na toxic and yb of nb other texts."""
+    prior = PRIOR * (ya + yb) / (na + nb) + 0.01
+    odds = math.log((ya + prior) / (na + 2 * PRIOR - ya)) - math.log((yb + prior) / (nb + 2 * PRIOR - yb))
+    return odds, math.sqrt(1 / (ya + prior) + 1 / (yb + prior))
+
+
+def in_contexts(texts: list[list[str]], words: set[str]) -> Counter[str]:
+    """In how many texts each of the words is, but texts that have it between the same neighbours count once.
+
+    A passage that many texts copied says of its words no more than one text does.
+    """
+    out: Counter[str] = Counter()
+    seen: set[tuple[str, str, str]] = set()
+    for t in texts:
+        fresh = set()
+        for i, w in enumerate(t):
+            if w in words:
+                at = (t[i - 1] if i else "", w, t[i + 1] if i + 1 < len(t) else "")
+                if at not in seen:
+                    seen.add(at)
+                    fresh.add(w)
+        out.update(fresh)
+    return out
+
+
 def log_odds(toxic: list[list[str]], clean: list[list[str]], least_z: float) -> dict[str, float]:
-    """Lower bounds of the log-odds of significantly toxic words, counted once a text."""
+    """Lower bounds of the log-odds of significantly toxic words, counted once a text and context."""
+    na, nb = len(toxic), len(clean)
     a, b = Counter(), Counter()
     for into, texts in ((a, toxic), (b, clean)):
         for t in texts:
             into.update(set(t))
-    na, nb = len(toxic), len(clean)
-    out = {}
-    for w, ya in a.items():
-        yb = b[w]
-        prior = PRIOR * (ya + yb) / (na + nb) + 0.01
-        odds = math.log((ya + prior) / (na + 2 * PRIOR - ya)) - math.log((yb + prior) / (nb + 2 * PRIOR - yb))
-        sd = math.sqrt(1 / (ya + prior) + 1 / (yb + prior))
-        if odds >= LEAST_ODDS and odds >= least_z * sd:
-            out[w] = odds - sd
-    return out
+
+    def significant(a, b, words):
+        out = {}
+        for w in words:
+            odds, sd = odds_of(a[w], na, b[w], nb)
+            if a[w] and odds >= LEAST_ODDS and odds >= least_z * sd:
+                out[w] = odds - sd
+        return out
+
+    maybe = set(significant(a, b, a))
+    return significant(in_contexts(toxic, maybe), b, sorted(maybe))
 
 
 def decay(table: dict[str, float], clean: list[list[str]]) -> float:

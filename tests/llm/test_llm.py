@@ -259,11 +259,12 @@ def test_score_is_the_calibrated_difference(edge):
 def test_log_odds_and_decay_like_their_formulas():
     import math
 
-    toxic = [["bad", "worse", "the"], ["bad", "the"], ["worse", "bad", "x"]] * 30
+    toxic = [[f"a{i}", "bad", f"b{i}", "worse", "the"] for i in range(60)] + [[f"a{i}", "bad", "x"] for i in range(60, 90)]
+    copied = [["some", "copied", "passage", "here", f"c{i}"] for i in range(40)]
     clean = [["the", "good", "y"], ["the", "x", "fine"]] * 60
-    got = toxicity.log_odds(toxic, clean, 2.0)
-    assert set(got) == {"bad", "worse"}
-    n, m = len(toxic), len(clean)
+    got = toxicity.log_odds(toxic + copied, clean, 2.0)
+    assert set(got) == {"bad", "worse"}  # a passage that is copied is one text
+    n, m = len(toxic) + len(copied), len(clean)
     for w, ya in (("bad", 90), ("worse", 60)):
         prior = toxicity.PRIOR * ya / (n + m) + 0.01
         odds = math.log((ya + prior) / (n + 2 * toxicity.PRIOR - ya)) - math.log(prior / (m + 2 * toxicity.PRIOR))
