@@ -175,7 +175,7 @@ class Encoder:
     tokenizers, and calls whose text comes out otherwise, encode whole texts.  Texts
     of Latin-1 characters are lower-cased first, and sentence marks after an
     ASCII letter set apart, where the tokenizer does the same, so that the cache
-    holds fewer forms.  When the cache is full it starts anew.
+    holds fewer forms.  When the cache is full it starts anew with the forms of the texts at hand.
     """
 
     CACHE = 700_000
@@ -193,6 +193,12 @@ class Encoder:
         bar = self.ids("|")
         self.bar = bar[0] if len(bar) == 1 and self.ids("a | b |") == [*self.ids("a"), *bar, *self.ids("b"), *bar] else None
         probe = ["a b", "It's 12\n\tx-y  z, ä", "the  the", " lead trail "]
+        # ids that end a word, if the model marks them, tell words of letters apart without bars
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        words = ["the", "ab", "zxqvä", "ñandú"]
+        self.ends = all(np.flatnonzero(self.last[self.ids(w)]).tolist() == [len(self.ids(w)) - 1] for w in words)
         self.by_piece = all(self.ids(t) == [i for w in self.plain(t).split(" ") for i in self.ids(w)] for t in probe)
         self.clear()
 
@@ -223,11 +229,32 @@ class Encoder:
         self.filled += len(ids)
         self.cache.update(zip(words, range(n, n + m), strict=True))
 
+    def renew(self, forms: list[str]) -> None:
+        """Begin a new cache with those of the forms that the old one has."""
+        kept = [w for w in forms if w in self.cache]
+        at = np.fromiter(map(self.cache.__getitem__, kept), np.int64, len(kept))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.clear()
+        self.keep(kept, sizes, ids)
+
     def learn(self, fresh: list[str]) -> None:
-        """Encode new pieces, many as one text, with a bar between them that is then found in the ids.
+        """Encode new pieces, many as one text.
 
-        Pieces that hold a bar go alone.
+        Words of letters stand between spaces, where ids that end a word tell
+        them apart if there are as many as words.  Other pieces have a bar
+        between them that is then found in the ids; those that hold one go alone.
         """
+        if self.ends:
+            words = [w for w in fresh if w.isalpha()]
+            found = self.tok.encode_batch_fast([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found]) if words else np.zeros(0, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(words) and (not words or ends[-1] == len(ids) - 1):
+                self.keep(words, np.diff(ends, prepend=-1), ids)
+                fresh = [w for w in fresh if not w.isalpha()]
+        known = len(self.cache)
         safe = [w for w in fresh if "|" not in w] if self.bar is not None else []
         if safe:
             found = self.tok.encode_batch_fast([" | ".join([*safe[i : i + 64], ""]) for i in range(0, len(safe), 64)], add_special_tokens=False)
@@ -235,7 +262,7 @@ class Encoder:
             bars = ids == self.bar
             ends = np.flatnonzero(bars)
             self.keep(safe, np.diff(ends, prepend=-1) - 1, ids[~bars])
-        if len(safe) < len(fresh):
+        if len(self.cache) - known < len(fresh):
             alone = [w for w in fresh if w not in self.cache]
             found = [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
             self.keep(alone, np.array([len(i) for i in found]), np.array([x for i in found for x in i], np.uint32))
@@ -249,7 +276,7 @@ class Encoder:
         flat = pc.dictionary_encode(words.flatten())
         forms = flat.dictionary.to_pylist()
         if len(self.cache) > self.CACHE:
-            self.clear()
+            self.renew(forms)
         at = list(map(self.cache.get, forms))
         if None in at:
             fresh = [w for w, i in zip(forms, at, strict=True) if i is None]
