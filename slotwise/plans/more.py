@@ -254,12 +254,12 @@ def l6_decided(spark, sf_dir):
     return U.decided(c, d).select("id", "status", "body")
 
 
-@query(" SELECT id, hits + 2 * (num % 3) AS hits, CASE WHEN num % 3 > 0 THEN greatest(last_hit, recorded_at + INTERVAL 3 DAY) ELSE last_hit END AS last_hit FROM claims")
+@query(" SELECT id, hits + 2 * (num % 3) AS hits, strftime(CASE WHEN num % 3 > 0 THEN greatest(last_hit, recorded_at + INTERVAL 3 DAY) ELSE last_hit END, '%Y-%m-%d %H:%M:%S') AS last_hit FROM claims")
 def l7_used(spark, sf_dir):
     c = claims(spark, sf_dir)
     at = F.col("recorded_at") + F.expr("INTERVAL 3 DAYS")
     uses = c.select("id", F.explode(F.array_repeat(at, ((F.col("num") % 3) * 2).cast("int"))).alias("at"))
-    return U.used(c, uses).select("id", "hits", "last_hit")
+    return U.used(c, uses).select("id", "hits", F.date_format("last_hit", "yyyy-MM-dd HH:mm:ss").alias("last_hit"))
 
 
 VERDICT_OF = "['dispute', 'supersede', 'merge', 'keep', 'archive', 'guess'][(length(slot) + n) % 6 + 1]"

@@ -592,9 +592,9 @@ def st3_slot_state(spark, sf_dir):
     return ST.slot_state(C.active(claims(spark, sf_dir))).select("slot", "newest", "claims", "conflict")
 
 
-@query(" SELECT date_trunc('day', recorded_at) AS start, type, count(*) AS n FROM claims GROUP BY 1, 2")
+@query(" SELECT strftime(recorded_at, '%Y-%m-%d') AS start, type, count(*) AS n FROM claims GROUP BY 1, 2")
 def st5_windows(spark, sf_dir):
-    return ST.windowed(claims(spark, sf_dir))
+    return ST.windowed(claims(spark, sf_dir)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,12 +103,12 @@ def sk8_json_lines(spark, sf_dir):
 
 # --- dates, hashes, recipes ------------------------------------------------------------------------
 
-@query(" SELECT id, recorded_at, CAST(recorded_at AS DATE) AS day FROM claims")
+@query(" SELECT id, strftime(recorded_at, '%Y-%m-%d %H:%M:%S') AS recorded_at, CAST(recorded_at AS DATE) AS day FROM claims")
 def dt1_parsed(spark, sf_dir):
     pick = F.col("num") % 3
     at = F.col("recorded_at")
     shown = F.when(pick == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(pick == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm")).otherwise(F.concat(F.lit(" "), F.date_format(at, "yyyy-MM-dd HH:mm")))
-    return claims(spark, sf_dir).select("id", D.parsed(shown).alias("recorded_at"), D.parsed(F.date_format(at, "yyyy-MM-dd")).cast("date").alias("day"))
+    return claims(spark, sf_dir).select("id", F.date_format(D.parsed(shown), "yyyy-MM-dd HH:mm:ss").alias("recorded_at"), D.parsed(F.date_format(at, "yyyy-MM-dd")).cast("date").alias("day"))
 
 
 @query(f" SELECT id, CASE num % 5 WHEN 0 THEN strftime({REF}, '%Y-%m-%d') WHEN 1 THEN strftime({REF} - INTERVAL 1 DAY, '%Y-%m-%d') WHEN 2 THEN strftime(recorded_at, '%Y-%m-%d') WHEN 3 THEN strftime({REF}, '%Y-%m-%d') ELSE 'soon' END AS day FROM claims")
@@ -176,13 +176,13 @@ def _log(spark, sf_dir):
     return at, ST.audit_stream(spark, f"{at}/log", "id string, type string, slot string, value string, recorded_at timestamp, hits int")
 
 
-@query(" SELECT id, hits, recorded_at FROM claims")
+@query(" SELECT id, hits, strftime(recorded_at, '%Y-%m-%d %H:%M:%S') AS recorded_at FROM claims")
 def st1_upserts(spark, sf_dir):
     """Each id twice, its newer row to be kept, through a stream into an upsert sink."""
     at, log = _log(spark, sf_dir)
     old = log.withColumns({"recorded_at": F.col("recorded_at") - F.expr("INTERVAL 1 DAY"), "hits": F.lit(-1)})
     _finished(log.unionByName(old).writeStream.foreachBatch(ST.upsert(f"{at}/table")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start())
-    return ST.upserted(spark, f"{at}/table").select("id", "hits", "recorded_at")
+    return ST.upserted(spark, f"{at}/table").select("id", "hits", F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss").alias("recorded_at"))
 
 
 @query(" SELECT slot, first(id ORDER BY recorded_at DESC, id DESC) AS newest, count(*) AS claims FROM claims GROUP BY slot")
