@@ -13,20 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.operators.ordered import shared_folder
+
 WORD = re.compile(r"\w+")
 #: Odd multiplier of the polynomial hashes; any fixed odd 64-bit value does.
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
-
-
 _OPENED: list[Workspace] = []
 
 
@@ -52,7 +46,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, within: Workspace | None = None):
         self.spark = spark
-        self.root = f"{within.root if within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{within.root if within else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _OPENED.append(self)
 
     def path(self, name: str) -> str:
