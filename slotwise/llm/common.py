@@ -70,20 +70,20 @@ class Workspace:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def lean() -> None:
-    """Have this process give large freed blocks back to the system at once; for the start of a task."""
+def lean(keep: int = 1 << 20) -> None:
+    """Have this process give freed blocks of more than `keep` bytes back to the system at once; for the start of a task."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, keep)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 * keep)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library: memory stays with the process longer
         pass
 
 
-def slices(batches, column: int | str = 1, size: int = 1 << 20, rows: int = 2048):
+def slices(batches, column: int | str = 1, size: int = 1 << 20, rows: int = 2048, keep: int = 1 << 20):
     """(slice of an Arrow batch, its texts) of about `size` bytes of text, so that few texts are Python objects at a time."""
-    lean()
+    lean(keep)
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0

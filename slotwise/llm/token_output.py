@@ -348,7 +348,8 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, pack = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
-        for b, texts in slices(batches, 1, 6 << 20, 4096):
+        # its arrays are used again and again: blocks up to 32 MB stay with the process
+        for b, texts in slices(batches, 1, 6 << 20, 4096, 32 << 20):
             runs = enc(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in runs], pa.int64()),
