@@ -148,12 +148,15 @@ def meeting(rows: DataFrame, least: float) -> DataFrame:
 
 
 class Linked:
-    """Links of a task, kept as the degrees of their ends and a forest that joins the same ones."""
+    """Links of a task, kept as the degrees of their ends and as links to the smallest end that each reaches.
+
+    Tasks that see parts of one group mostly name the same smallest end, so
+    that equal links of theirs become one.
+    """
 
     def __init__(self) -> None:
         self.root: dict[int, int] = {}
         self.degree: dict[int, int] = {}
-        self.forest: list[tuple[int, int]] = []
 
     def top(self, x: int) -> int:
         root = self.root
@@ -169,13 +172,13 @@ class Linked:
             p, q = self.top(x), self.top(y)
             if p != q:
                 self.root[max(p, q)] = min(p, q)
-                self.forest.append((x, y))
 
     def taken(self) -> pa.RecordBatch:
-        """(a, b, others): links of the forest, and degrees with b null; what was held is given up."""
-        n, m = len(self.forest), len(self.degree)
-        a = [x for x, _ in self.forest] + list(self.degree)
-        b = [y for _, y in self.forest] + [None] * m
+        """(a, b, others): links to smallest ends, and degrees with b null; what was held is given up."""
+        star = [(x, self.top(x)) for x in list(self.root)]
+        n, m = len(star), len(self.degree)
+        a = [x for x, _ in star] + list(self.degree)
+        b = [y for _, y in star] + [None] * m
         out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * n + list(self.degree.values()), pa.int64())], ["a", "b", "others"])
         self.__init__()
         return out
@@ -184,9 +187,9 @@ class Linked:
 def reranked(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Of those of pairs whose cosine, in double precision, is at least `least`: (a, b, others).
 
-    A task gives for each vector how many others it met, and a forest of links
-    that joins what its links join: no more rows than vectors, however many
-    pairs a group of near copies has.
+    A task gives for each vector how many others it met, and a link to the
+    smallest that it reaches: two rows a vector, however many pairs a group of
+    near copies has.
     """
 
     def run(batches):
