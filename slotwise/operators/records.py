@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import text as T
 from slotwise.operators import nested
 from slotwise.operators.agent import recipe_problem
-from slotwise.operators.ordered import running
+from slotwise.operators.ordered import kept_apart, running
 
 # What begins a record in Markdown, logs and YAML, and from where a paragraph is cut by sentences.
 HEADING = r"^#{1,3}\s+"
@@ -255,7 +255,8 @@ def by_rules(texts: DataFrame) -> DataFrame:
 
     A text that gives no record is kept whole up to 4000 characters.
     """
-    cut = _dispatched(texts.select("source", "text", "format"), "format", BY_FORMAT, "text")
+    # used for the counts and for the records: split once
+    cut = kept_apart(_dispatched(texts.select("source", "text", "format"), "format", BY_FORMAT, "text"))
     n = cut.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
     own = texts.join(n, F.col("source") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     kept = F.substring("text", 1, LONGEST_BLOCK)
@@ -384,8 +385,8 @@ def chunks_by_recipe(texts: DataFrame, budget: float | None = BUDGET) -> DataFra
     """
     usable = recipe_problem(F.col("strategy"), F.col("fields") if "fields" in texts.columns else F.create_map().cast("map<string,string>")).isNull()
     told = texts.withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    cut = chunks(by_recipe(told.where("_ok")), budget).join(texts.select("source", "strategy"), "source")
-    rules = chunks(by_rules(told.where("not _ok").select("source", "text", "format")), budget).join(texts.select("source", F.concat(F.lit("fallback:"), F.coalesce("format", F.lit("text"))).alias("strategy")), "source")
+    cut = chunks(kept_apart(by_recipe(told.where("_ok"))), budget).join(texts.select("source", "strategy"), "source")
+    rules = chunks(kept_apart(by_rules(told.where("not _ok").select("source", "text", "format"))), budget).join(texts.select("source", F.concat(F.lit("fallback:"), F.coalesce("format", F.lit("text"))).alias("strategy")), "source")
     return numbered_across(cut.unionByName(rules))
 
 
