@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,13 +22,13 @@ def kept_apart(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running(df: DataFrame, order: list[str], weight: str | None, name: str) -> DataFrame:
+def running(df: DataFrame, order: list[str], weight: str | None, name: str, keep: Callable[[DataFrame], DataFrame] = kept_apart) -> DataFrame:
     """df with, in a new column, the sum of `weight` (or the number) of the rows before each in that order.
 
     Rows are dealt by ranges of the order; sums are taken within a range, and
-    the ranges' own sums, a row each, are added up.
+    the ranges' own sums, a row each, are added up.  keep writes the dealt rows.
     """
-    dealt = kept_apart(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    dealt = keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     w = W.partitionBy("_range").orderBy(*order)
     value = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     sums = dealt.groupBy(F.col("_range").alias("_r")).agg(F.sum(value).alias("_n"))
