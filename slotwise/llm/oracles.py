@@ -56,3 +56,37 @@ DECONTAMINATION = f"""WITH doc AS (SELECT doc_id AS id, {words('text')} AS ws FR
  met AS (SELECT w.doc, w.item, w.s, least(w.item_n, w.doc_n) AS size, w.item_n, h.run, least(count(*), any_value(h.c)) AS shared FROM win w JOIN hit h ON h.doc = w.doc AND h.item = w.item AND h.pos BETWEEN w.s AND w.s + w.item_n - 1 GROUP BY ALL),
  found AS (SELECT DISTINCT doc, item FROM (SELECT doc, item, s, any_value(size) AS size, any_value(item_n) AS item_n, sum(shared) AS shared FROM met GROUP BY doc, item, s) WHERE shared >= 0.8 * (size + item_n - shared))
  SELECT doc_id, count(item) > 0 AS contaminated, coalesce(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item), '') AS item_ids FROM documents LEFT JOIN found ON doc = doc_id GROUP BY doc_id"""
+
+FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, list_transform(range(0, 4), lambda k: CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT)) AS r FROM d),
+ c AS (SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS low, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS high FROM u),
+ p AS (SELECT *, array_to_string(units[1 : low], '') AS prefix, array_to_string(units[low + 1 : high], '') AS middle, array_to_string(units[high + 1 :], '') AS suffix,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _said(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_said(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Unsigned CRC-32 of a decimal number, bit by bit: eight steps for each of its bytes.
+_CRC = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(0, 8)::UBIGINT[]), lambda y, k: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)))"
+
+MERKLE = f"""WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS shown FROM documents),
+ numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+ nodes AS MATERIALIZED (SELECT tree, 0 AS level, i, n, leaf AS h FROM numbered UNION ALL SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2, n),
+ tops AS MATERIALIZED (SELECT 0 AS level, tree AS i, count(*) OVER () AS n, h FROM nodes WHERE n = 1 UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+ steps AS MATERIALIZED (SELECT tree, level, i, n, h, NULL AS o FROM nodes WHERE n > 1 UNION ALL SELECT -1, level, i, n, h, NULL FROM tops WHERE n > 1),
+ height AS MATERIALIZED (SELECT tree, max(level) AS top FROM nodes GROUP BY tree),
+ walk AS MATERIALIZED (SELECT doc_id, tree, i AS k, 0 AS d, top, 0 AS done, shown AS h, NULL::VARCHAR AS sibling FROM numbered JOIN height USING (tree)
+  UNION ALL SELECT w.doc_id, w.tree, w.k, w.d + 1, w.top, 0, CASE WHEN s.h IS NULL THEN sha256(w.h) WHEN w.p % 2 = 1 THEN sha256(s.h || w.h) ELSE sha256(w.h || s.h) END, coalesce(s.h, '')
+   FROM (SELECT *, CASE WHEN d < top THEN k >> d ELSE tree >> (d - top) END AS p FROM walk) w LEFT JOIN steps s ON s.tree = CASE WHEN w.d < w.top THEN w.tree ELSE -1 END AND s.level = CASE WHEN w.d < w.top THEN w.d ELSE w.d - w.top END AND s.i = xor(w.p, 1)
+   WHERE w.d < w.top + (SELECT max(level) FROM tops)),
+ ends AS (SELECT doc_id, k, tree, sha256(coalesce(string_agg(sibling, '' ORDER BY d), '')) AS proof_sha256, max_by(h, d) AS folded_root FROM walk GROUP BY doc_id, k, tree)
+ SELECT m.doc_id, leaf, s.h AS subroot, t.h AS root, proof_sha256, folded_root, folded_root = t.h AS verified
+ FROM numbered m JOIN ends e ON e.tree = m.tree AND e.k = m.i JOIN nodes s ON s.tree = m.tree AND s.n = 1 JOIN tops t ON t.n = 1"""
