@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from slotwise.plans import more, stored  # noqa: F401
@@ -23,7 +24,7 @@ def duck(sf):
 
 def rows(df):
     def cell(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, bool) or not isinstance(x, (int, float)) and not hasattr(x, "dtype"):
             return str(x).replace(" 00:00:00", "")
