@@ -16,8 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import BASE, Workspace, _powers, free_name, hashed_words, mix, read, signed, slices, to_hot
@@ -94,30 +93,25 @@ def chunks(texts: list[str | None]):
         at = end
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, row: Column) -> DataFrame:
     """(doc_id, tie, row, line, n, h1, h2, salt, keys) of every line that has words; a row with line -1 and n lines for each document.
 
-    row: a number of the document of its own.
-
-    tie: a hash of the document's words by lines, so that rows of one doc_id
-    have an order of their own.  salt: 0, or one of 1..SALTS where the line is
-    frequent in its chunk.
+    row: a number of the document of its own.  tie: a hash of its text, so that
+    rows of one doc_id have an order of their own.  salt: 0, or one of 1..SALTS
+    where the line is frequent in its chunk.
     """
 
     def run(batches):
         kind = pa.list_(pa.int64(), 4)
-        base = TaskContext.get().partitionId() << 33  # and the rows of earlier batches
         for b, texts in slices(batches, 1, 1 << 22):
             for at, end, lines, owner, number in chunks(texts):
-                ids = b.column(0)[at:end]
+                ids, tie, all_rows = (b.column(k)[at:end] for k in (0, 2, 3))
                 x = Lines(lines)
                 own = np.flatnonzero(x.n > 0)
                 whole = x.whole()
-                tie = np.zeros(end - at, np.uint64)
-                with np.errstate(over="ignore"):
-                    np.add.at(tie, owner - at, mix(whole + (number.astype(np.uint64) + _U(1)) * _U(BASE)))
                 _, back, times = np.unique(whole[own], return_inverse=True, return_counts=True)
-                rows = owner[own].astype(np.int64) + base
+                mine = pa.array(owner[own] - at)
+                rows = all_rows.to_numpy()[owner[own] - at]
                 salt = np.where(times[back] >= OFTEN, 1 + (mix(rows.astype(np.uint64)) % _U(SALTS)).astype(np.int32), 0).astype(np.int32)
                 keys = np.stack([k[own] for k in x.halves()], axis=1)
                 near = x.n[own] >= LEAST_WORDS
@@ -125,15 +119,18 @@ def line_table(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(owner - at, minlength=end - at)
                 names = ["doc_id", "tie", "row", "line", "n", "h1", "h2", "salt", "keys"]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[own] - at)), pa.array(signed(tie)[owner[own] - at]), pa.array(rows), pa.array(number[own]), pa.array(x.n[own].astype(np.int32)),
+                    [ids.take(mine), tie.take(mine), pa.array(rows), pa.array(number[own]), pa.array(x.n[own].astype(np.int32)),
                      pa.array(signed(whole[own])), pa.array(signed(x.second()[own])), pa.array(salt), pa.FixedSizeListArray.from_arrays(flat, type=kind).cast(pa.list_(pa.int64()))], names)
                 m = end - at
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(signed(tie)), pa.array(np.arange(at, end) + base), pa.array(np.full(m, -1, np.int32)), pa.array(counts.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                    [ids, tie, all_rows, pa.array(np.full(m, -1, np.int32)), pa.array(counts.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                      pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.list_(pa.int64()))], names)
-            base += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tie long, row long, line int, n int, h1 long, h2 long, salt int, keys array<long>")
+    return docs.select("doc_id", "text", tie_of().alias("tie"), row.alias("row")).mapInArrow(run, "doc_id long, tie long, row long, line int, n int, h1 long, h2 long, salt int, keys array<long>")
+
+
+def tie_of() -> Column:
+    return F.xxhash64("text")
 
 
 def neighbourhoods(wanted: DataFrame) -> DataFrame:
@@ -167,7 +164,7 @@ def neighbourhoods(wanted: DataFrame) -> DataFrame:
                 whole, second = signed(x.whole()), signed(x.second())
                 for i, w in enumerate(want):
                     if whole[i] != w["h1"] or second[i] != w["h2"]:
-                        continue  # another document of the same id
+                        continue  # another text of the same id and hash
                     left = signed(np.r_[x.left_by_deletion(i), x.whole()[i]])
                     held.append((w["h1"], w["h2"], w["first"], left, signed(x.h[x.start[i] : x.end[i]]).tobytes()))
                     n += len(left)
@@ -198,8 +195,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, ws: Workspace) -> DataFrame
     keys = distinct.where(f"n >= {LEAST_WORDS}").select("h1", "h2", "first", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
     some = keys.join(shared, F.col("key") == F.col("_key"), "left_semi").select("h1", "h2", "first").distinct()
-    some = some.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "first")).alias("lines"))
-    wanted = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "lines")
+    some = some.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.tie").alias("_tie")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "first")).alias("lines"))
+    # a text and its id tell which lines are looked for in it, so documents without an id have each their own
+    wanted = docs.select("doc_id", "text", tie_of().alias("tie")).join(some, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "lines")
     left = ws.put(neighbourhoods(wanted), "left")
     at_place = left.groupBy("left", "place").agg(F.min("first").alias("m"), F.count("*").alias("c"))
     by = at_place.groupBy("left").agg(F.sum("c").alias("_c"), F.min(F.when(F.col("place") >= 0, F.col("m"))).alias("_cut"), F.min(F.when(F.col("place") < 0, F.col("m"))).alias("_whole")).where("_c > 1")
@@ -224,19 +222,22 @@ def near_lines(docs: DataFrame, distinct: DataFrame, ws: Workspace) -> DataFrame
     return both.mapInArrow(run, f"h1 long, h2 long, near {kind}")
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_lines, n_kept, dropped (numbers of its dropped lines, from 0, ascending).
+def line_decisions(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per document: doc_id, row, n_lines, n_kept, dropped (numbers of its dropped lines, from 0, ascending).
+
+    row is the column `key`, a number of the row that stays the same whenever
+    docs is read; without it, numbers of no further meaning.
 
     A line goes if an earlier line, by doc_id and line number, is equal in
     words or, among lines of at least five words, one word apart.  Case,
     spacing and punctuation don't count.  Lines without words stay.  A null
     text is one empty line; repeated rows are documents of their own, so that
     the lines of the second go; rows of one doc_id stand in the order of a hash
-    of their words, whatever the partitions; a null doc_id comes first; an
+    of their texts, whatever the partitions; a null doc_id comes first; an
     empty table gives no rows; columns other than doc_id and text are not read.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    rows = ws.put(line_table(docs), "rows")
+    rows = ws.put(line_table(docs, F.monotonically_increasing_id() if key is None else F.col(key)), "rows")
     lines = rows.where("line >= 0")
     place = F.struct("doc_id", "tie", "row", "line")
     distinct = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
@@ -249,18 +250,23 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     gone = lines.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("salt") == F.col("_salt"))).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "row", "line")
     all_rows = rows.where("line < 0").select("doc_id", "row", F.col("n").alias("n_lines"), F.lit(None).cast("int").alias("line")).unionByName(gone.withColumn("n_lines", F.lit(None).cast("int")))
     out = all_rows.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_list("line")).alias("dropped"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
+    return out.select("doc_id", "row", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the dropped lines taken out of their texts; for repeated doc_ids each row loses what all of them lose."""
-    mine, gone = free_name(docs, "_id"), free_name(docs, "_gone")
-    own = line_decisions(docs).groupBy(F.col("doc_id").alias(mine)).agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias(gone))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col(mine))).withColumn("text", F.when(F.col("text").isNotNull(), kept)).select(*docs.columns)
+    """docs with the dropped lines taken out of their texts, each row's own; the first of equal rows keeps its lines."""
+    ws = Workspace(docs.sparkSession, "deduped")
+    key, mine, gone = (free_name(docs, c) for c in ("_key", "_row", "_gone"))
+    keyed = ws.put(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+    own = line_decisions(keyed, key).where(F.size("dropped") > 0).select(F.col("row").alias(mine), F.col("dropped").alias(gone))
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.get(F.transform(F.array(lines), lambda ls: F.transform(left, lambda i: F.get(ls, i))), F.lit(0)), "\n")
+    out = keyed.join(own, F.col(key) == F.col(mine), "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_line_dedup(spark, sf_dir):
     """The decisions on every document; the dropped lines' numbers as text, separated by commas."""
     found = line_decisions(read(spark, sf_dir, "documents"))
-    return found.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","))
+    return found.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",")).drop("row")
