@@ -107,16 +107,17 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def held_out(doc_id):
-    """True for the rows that no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the rows that no model may learn from; false for those without an id, which have no label."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most per_class (text, label) rows of each class, never of held-out rows.
 
-    Which rows: the first by a hash of the id, so reruns agree.  A document
-    with contradictory label rows counts as the lower one; null labels, null
-    ids and null texts are left out.
+    Which rows: the first by a hash of the id, so reruns agree; of several rows
+    of one id that of the smallest hash of its text.  A document with
+    contradictory label rows counts as the lower one; null labels, null ids and
+    null texts are left out.
     """
     own = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -133,9 +134,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
         .join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "text", "_y").collect()
+        .groupBy("doc_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: r["doc_id"])
     return [(r["text"], r["_y"]) for r in rows]
 
 

@@ -253,9 +253,10 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], least: float, co
 def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least: float = LEAST, within: Workspace | None = None) -> DataFrame:
     """docs, row by row, with a new last column: (item_id, similarity) of the benchmark items in the text.
 
-    A benchmark of more than MOST_ITEMS items or MOST_CHARS characters takes
+    A benchmark of more than MOST_ITEMS rows or MOST_CHARS characters takes
     several passes over the documents, which then get a key of their own; the
-    rows are the same.
+    rows are the same.  Rows of one item_id are one item, however they are dealt
+    to passes: it has the best similarity of any of its texts.
     """
     own = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
@@ -271,15 +272,17 @@ def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", lea
         found = _pass(keyed.select(key, "text"), [(r[0], r[1]) for r in part.collect()], least, column)  # bounded: about n / passes items
         found = ws.put(found.where(F.size(column) > 0).select(key, column), f"found-{k}")
         every = found if every is None else every.unionByName(found)
-    every = every.groupBy(F.col(key).alias(other)).agg(F.array_sort(F.flatten(F.collect_list(column))).alias(column))
+    each = every.select(key, F.explode(column).alias("_x")).groupBy(key, F.col("_x.item_id").alias("item_id")).agg(F.max("_x.similarity").alias("similarity"))
+    # a document has no more entries than there are items in it
+    every = each.groupBy(F.col(key).alias(other)).agg(F.array_sort(F.collect_list(F.struct("item_id", "similarity"))).alias(column))
     return keyed.join(every, F.col(key) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(column, F.array().cast(every.schema[column].dataType)).alias(column))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document: doc_id, contaminated, items (item_id, similarity) of the benchmark items in it.
 
-    Null and empty texts, and items without words, match nothing; repeated
-    items each count; an empty benchmark leaves every document clean; rows
+    Null and empty texts, and items without words, match nothing; rows of one
+    item_id are one item, found by any of its texts; an empty benchmark leaves every document clean; rows
     with repeated ids or none are marked each by its own text; other columns
     are not read; an empty table gives no rows.
     """
