@@ -150,7 +150,7 @@ def tree_reduced(ws: Workspace, leaves: DataFrame, parts: int, top: int) -> tupl
     rounds = [ws.put(leaves.groupBy("part").applyInArrow(first, _NODE), "round-0")]
     while parts > 1:
         parts = -(-parts // FAN)
-        rounds.append(ws.put(rounds[-1].groupBy(F.expr(f"part div {FAN}")).applyInArrow(further, _NODE), f"round-{len(rounds)}"))
+        rounds.append(ws.put(rounds[-1].groupBy(F.expr(f"cast(part div {FAN} as int)")).applyInArrow(further, _NODE), f"round-{len(rounds)}"))
     return rounds, rounds[-1].first()["digest"]
 
 
@@ -168,7 +168,7 @@ def paths_down(ws: Workspace, rounds: list[DataFrame], top: int) -> DataFrame:
         return t.select(["part", "tree", "level", "index"]).append_column("path", pa.array([path + ups[end] for path, end in found], pa.list_(pa.string())))
 
     for k in range(len(rounds) - 2, -1, -1):
-        below = rounds[k].groupBy(F.expr(f"part div {FAN}").alias("_g")).cogroup(own.groupBy(F.col("part").alias("_g")))
+        below = rounds[k].groupBy(F.expr(f"cast(part div {FAN} as int)").alias("_g")).cogroup(own.groupBy(F.col("part").alias("_g")))
         own = ws.put(below.applyInArrow(run, "part int, tree long, level int, index long, path array<string>"), f"paths-{k}")
     return own
 

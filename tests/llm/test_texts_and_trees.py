@@ -321,3 +321,18 @@ def test_workspaces_leave_nothing(spark, edge):
     ws = Workspace(spark, "nothing")
     merkle.manifest(merkle.row_leaves(edge), ws)
     ws.close()
+
+
+def test_manifest_over_many_tasks(spark, sf, monkeypatch):
+    """Fragments and their paths meet by equal keys also where no tasks are put together."""
+    monkeypatch.setattr(merkle, "FAN", 4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = merkle.op13_merkle_manifest(spark, sf).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    rows = [tuple(r[c] for c in merkle.COLUMNS) for r in read(spark, sf, "documents").collect()]
+    assert sorted((tuple(r) for r in got), key=str) == model_manifest(rows)
