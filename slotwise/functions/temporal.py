@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+# The forms of dates.
+FORMATS = ("yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d H:m:s", "yyyy-M-d")
 
 
 def parsed(text: Column) -> Column:
-    """Timestamp of the four accepted forms, a trailing Z ignored; else null."""
-    plain = F.regexp_replace(F.trim(text), "Z$", "")
+    """Timestamp of the four accepted forms, any Z ignored; else null."""
+    plain = F.replace(F.trim(text), F.lit("Z"), F.lit(""))
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMATS])
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from slotwise.config import TYPES
 
-STRATEGIES = ("lines", "jsonl", "json_array", "conversation", "separator", "markdown", "yaml", "csv", "log", "blank_line", "whole", "text")
-PATH = re.compile(r"^[A-Za-z_]\w*(\[\])?(\.[A-Za-z_]\w*(\[\])?)*$")
-#: Starting brackets that are tried in a text around JSON.
+# The names of the ways to split, and what a path into an object looks like.
+STRATEGIES = ("lines", "jsonl", "json_array", "conversation", "record_separator", "markdown", "yaml", "csv", "log", "blank_line", "whole")
+PATH = re.compile(r"^[a-zA-Z_$][\w$]*(\[\])?(\.[a-zA-Z_$][\w$]*(\[\])?)*$")
+# Starting brackets that are tried in a text around JSON; cards that a result, and a chunk of an own extraction, may give.
 MOST_STARTS = 4
-#: Cards that a result, and a chunk of an own extraction, may give.
 MOST_CARDS, MOST_OF_CHUNK = 60, 40
 # Other names of a card's fields, by rank.
 ALIASES = {"type": ("type", "category"), "title": ("title", "name"), "subject": ("subject", "slot"), "predicate": ("predicate",), "value": ("value", "key"), "body": ("body", "content", "text", "desc", "summary")}
@@ -31,7 +31,7 @@ LABELS = {
 
 
 def loose(text: str | None):
-    """JSON in a text: all of it, a fenced block, or the first balanced stretches; None if there is none."""
+    """JSON in a text: all of it, a fenced block, or the first of its balanced stretches that is a list or has cards; None if there is none."""
     if not text:
         return None
     fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.DOTALL)
@@ -41,25 +41,31 @@ def loose(text: str | None):
                 return json.loads(part)
         except ValueError:
             pass
-    decoder, found = json.JSONDecoder(), []
-    for m in list(re.finditer(r"[\[{]", text))[:MOST_STARTS]:
+    decoder, source = json.JSONDecoder(), fenced[1] if fenced else text
+    for m in list(re.finditer(r"[\[{]", source))[:MOST_STARTS]:
         try:
-            found.append(decoder.raw_decode(text, m.start())[0])
+            x = decoder.raw_decode(source, m.start())[0]
         except ValueError:
             continue
-    return next((x for x in found if isinstance(x, list) or isinstance(x, dict) and "cards" in x), found[0] if found else None)
+        # amid words only a list, or an object with a list of cards, is a result
+        if isinstance(x, list) or isinstance(x, dict) and isinstance(x.get("cards"), list):
+            return x
+    return None
 
 
-def cards_in(value) -> list[dict]:
-    """The list of objects that a result holds, whatever it is called."""
+def listed_in(value) -> list | None:
+    """The list that a result holds, whatever it is called; an object that holds none is no card."""
     if isinstance(value, dict):
         named = next((value[k] for k in ("cards", "memories", "items") if isinstance(value.get(k), list)), None)
-        if named is None and isinstance(value.get("card"), dict):
-            named = [value["card"]]
-        if named is None:
-            named = next((v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)), [value])
-        value = named
-    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+        if named is None and value.get("card"):
+            return [value["card"]]
+        return named if named is not None else next((v for v in value.values() if isinstance(v, list) and v and isinstance(v[0], (dict, list))), None)
+    return value if isinstance(value, list) else None
+
+
+def cards_in(value, most: int | None = None) -> list[dict]:
+    """The objects among the first `most` entries of a result's list."""
+    return [x for x in (listed_in(value) or [])[:most] if isinstance(x, dict)]
 
 
 def said(value) -> str | None:
@@ -91,7 +97,9 @@ def coerced(raw: dict) -> dict:
 
 
 def extracted(results: DataFrame, most: int = MOST_CARDS) -> DataFrame:
-    """Cards of results (chunk, text), at most so many of each; a result without cards gives one row with an error.
+    """Cards of results (chunk, text), from at most so many entries of each; a result without cards gives one row with an error.
+
+    Results of an own extraction, a chunk each, go by MOST_OF_CHUNK instead.
 
     error: no_json, or no_cards for JSON that has none.
     """
@@ -102,7 +110,7 @@ def extracted(results: DataFrame, most: int = MOST_CARDS) -> DataFrame:
             rows = []
             for chunk, text in zip(b["chunk"], b["text"], strict=True):
                 value = loose(text)
-                found = [coerced(x) for x in cards_in(value)[:most]]
+                found = [coerced(x) for x in cards_in(value, most)]
                 none = {"chunk": chunk, "ord": 0, **dict.fromkeys((*ALIASES, *PLAIN)), **{k: [] for k in LISTS}, "error": "no_json" if value is None else "no_cards"}
                 rows += [{"chunk": chunk, "ord": i, **c, "error": None} for i, c in enumerate(found)] or [none]
             yield pd.DataFrame(rows, columns=names)
@@ -111,6 +119,11 @@ def extracted(results: DataFrame, most: int = MOST_CARDS) -> DataFrame:
     return results.select("chunk", "text").mapInPandas(run, f"chunk string, ord int, {fields}, error string")
 
 
+def of_chunks(results: DataFrame) -> DataFrame:
+    """Cards of results (chunk, text) of an own extraction: at most MOST_OF_CHUNK entries of each count."""
+    return extracted(results, MOST_OF_CHUNK)
+
+
 def recipe_problem(strategy: Column, fields: Column) -> Column:
     """Why a splitting recipe is not usable; null if it is."""
     bad = F.exists(F.map_values(F.coalesce(fields, F.create_map().cast("map<string,string>"))), lambda p: ~p.rlike(PATH.pattern))

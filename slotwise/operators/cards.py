@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from slotwise.config import ARCHIVE_IDLE_DAYS, ARCHIVE_IMPORTANCE, CHANGE, DEFAULT, ENRICHMENT, IDENTICAL, NEAR, PROTECTED, RELATIONS, RESTATE, STATUSES, UNKNOWN_TYPE, Config
 from slotwise.functions import temporal as D
 from slotwise.functions import text as T
-from slotwise.operators.ordered import running
+from slotwise.operators.ordered import kept_apart, running
 
 
 # Fixed value: phrases by which a value says that it replaces another.
@@ -222,7 +222,9 @@ def against_baseline(incoming: DataFrame, base: DataFrame) -> DataFrame:
     b = old.groupBy("slot", "vb").agg(F.min("num").alias("old_num"), F.min_by("id", "num").alias("old_id")).withColumn("gb", T.bigrams(F.col("vb")))
     pairs = a.join(b, "slot").select("slot", "va", "old_id", "old_num", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("similarity"))
     top = pairs.groupBy("slot", "va").agg(F.max(F.struct("similarity", (-F.col("old_num")).alias("_o"), "old_id")).alias("m"))
-    best = new.join(top, ["slot", "va"]).select("slot", F.col("id").alias("new_id"), "m.old_id", "m.similarity")
+    # what resembles none of the slot's cards has no best match
+    old_id = F.when(F.col("m.similarity") > 0, F.col("m.old_id"))
+    best = new.join(top, ["slot", "va"]).select("slot", F.col("id").alias("new_id"), old_id.alias("old_id"), "m.similarity")
     s = F.col("similarity")
     return best.withColumn("kind", F.when(s >= IDENTICAL, "identical").when(s >= ENRICHMENT, "enrichment").otherwise("contradiction"))
 
@@ -244,9 +246,14 @@ def uncovered(incoming: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def truth_table(cards: DataFrame) -> DataFrame:
-    """(slot, current, members, needs_human) of slots with several active or disputed cards."""
-    rows = cards.where("status in ('active', 'disputed')")
-    g = rows.groupBy("slot").agg(F.max_by("id", F.struct("valid_from", "num")).alias("current"), F.sort_array(F.collect_list(F.struct("valid_from", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
+    """(slot, current, members, needs_human) of slots with several active or disputed cards, members from the newest.
+
+    Cards count from when they became valid, else from when they were recorded;
+    cards without both parts of their slot are in none.
+    """
+    rows = cards.where("status in ('active', 'disputed') and coalesce(subject, '') <> '' and coalesce(predicate, '') <> ''").withColumn("_at", F.coalesce(F.col("valid_from").cast("timestamp"), F.col("recorded_at")))
+    last = F.struct("_at", "num")
+    g = rows.groupBy("slot").agg(F.max_by("id", last).alias("current"), F.sort_array(F.collect_list(F.struct("_at", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
     return g.where(F.size("m") >= 2).select("slot", "current", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), "needs_human")
 
 
@@ -298,7 +305,10 @@ def with_expiry(cards: DataFrame, ref: str, config: Config = DEFAULT) -> DataFra
     gone = expired(cards, ref, config).select(F.col("id").alias("_id"))
     out = cards.join(gone, F.col("id") == F.col("_id"), "left")
     is_gone = F.col("_id").isNotNull()
-    return out.withColumn("status", F.when(is_gone, "expired").otherwise(F.col("status"))).withColumn("valid_to", F.when(is_gone, F.coalesce("valid_to", F.to_date(F.lit(ref)))).otherwise(F.col("valid_to"))).drop("_id")
+    new = {"status": F.when(is_gone, "expired").otherwise(F.col("status")), "valid_to": F.when(is_gone, F.coalesce("valid_to", F.to_date(F.lit(ref)))).otherwise(F.col("valid_to"))}
+    if "ended_at" in cards.columns:
+        new["ended_at"] = F.when(is_gone, F.lit(ref).cast("timestamp")).otherwise(F.col("ended_at"))
+    return out.withColumns(new).drop("_id")
 
 
 def archive_candidates(cards: DataFrame, ref: str) -> DataFrame:
@@ -403,14 +413,26 @@ def sampled(cards: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def stratified(cards: DataFrame, n: int, seed: int, by: str = "type") -> DataFrame:
-    """n cards shared among the strata by largest remainder."""
-    counts = cards.groupBy(by).agg(F.count("*").alias("c"))
-    whole = W.partitionBy()
-    share = counts.withColumn("x", F.lit(n) * F.col("c") / F.sum("c").over(whole)).withColumn("base", F.floor("x"))
-    rest = F.lit(n) - F.sum("base").over(whole)
-    quota = share.withColumn("rest", rest).withColumn("r", F.row_number().over(W.orderBy(F.desc(F.col("x") - F.col("base")), by))).select(F.col(by).alias("_by"), F.least(F.col("base") + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0), F.col("c")).alias("quota"))
-    ranked = cards.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(keyed_order(seed, F.col("id")), "id")))
-    return ranked.join(quota, F.col(by) == F.col("_by")).where("_r <= quota").drop("_by", "_r", "quota")
+    """n cards shared among the strata by largest remainder; cards without a stratum are one, the last of equals.
+
+    Strata are counted first, a row each; a card's place in its stratum is its
+    place in the pseudorandom order, by ranges of it, so that no stratum meets
+    in a task.
+    """
+    counts = kept_apart(cards.groupBy(by).agg(F.count("*").alias("c")))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    share = counts.withColumn("x", F.lit(n) * F.col("c") / F.lit(max(1, total))).withColumn("base", F.floor("x"))
+    rest = n - (share.agg(F.sum("base")).first()[0] or 0)
+    ranked = running(share.withColumn("_minus", F.col("base") - F.col("x")).withColumn("_none", F.col(by).isNull()), ["_minus", "_none", by], None, "_k")
+    quota = kept_apart(ranked.select(F.col(by).alias("_by"), F.least(F.col("base") + (F.col("_k") < rest).cast("long"), F.col("c")).alias("quota")).where("quota > 0"))
+    keyed = cards.withColumn("_key", keyed_order(seed, F.col("id"))).withColumn("_range", F.substring("_key", 1, 3))
+    # a stratum's rows by the first digits of their keys: ranges before and after the quota's end are settled by counts
+    sizes = keyed.groupBy(F.col(by).alias("_s"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    open_ = before.join(quota, F.col("_s").eqNullSafe(F.col("_by"))).where("_before < quota").select("_s", "_r", (F.col("quota") - F.col("_before")).alias("_left"))
+    met = keyed.join(open_, F.col(by).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    place = F.row_number().over(W.partitionBy(by, "_range").orderBy("_key", "id"))
+    return met.withColumn("_place", place).where("_place <= _left").select(*cards.columns)
 
 
 def spread(cards: DataFrame, n: int, seed: int) -> DataFrame:

@@ -36,7 +36,11 @@ def _share(given: Column, default: Column) -> Column:
     return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), n)))
 
 
-def normalised(cards: DataFrame, day: str, config: Config = DEFAULT, source: str = "forge:import") -> DataFrame:
+# The sources of imported cards, by a file and by results of an extractor.
+IMPORTED, EXTRACTED = "forge:import", "forge:agent"
+
+
+def normalised(cards: DataFrame, day: str, config: Config = DEFAULT, source: str = IMPORTED) -> DataFrame:
     """Cards with all fields in their form, of loose ones; those without a known type, a slot or a value are left out.
 
     Columns that are no fields of cards stay; a missing field column is as one
@@ -99,7 +103,7 @@ def accepted(cards: DataFrame, config: Config = DEFAULT, force: bool = False) ->
 
 def read_results(loose: DataFrame, day: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(cards, rejected (id, problems)) of an extractor's cards (id, ...), of `agent.extracted`."""
-    good = normalised(loose, day, config, "forge:agent")
+    good = normalised(loose, day, config, EXTRACTED)
     found = problems(good, config).groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list("problem")).alias("problems"))
     told = good.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
     useless = F.coalesce(F.exists("problems", lambda p: p.isin(*REJECTING)), F.lit(False))

@@ -15,10 +15,11 @@ from slotwise.operators.ordered import kept_apart, running
 
 # What begins a record in Markdown, logs and YAML, and from where a paragraph is cut by sentences.
 HEADING = r"^#{1,3}\s+"
-STAMP = r"^\[?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)"
+STAMP = r"^\s*[\[(]?(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}|\d{4}[-/]\d{2}[-/]\d{2}|\d{2}:\d{2}:\d{2})"
 YAML_KEY = r"^(\[[^\]]+\]|[A-Za-z_][\w.-]*\s*:)"
 LONGEST_BLOCK = 4000
-# Fixed value: the speaker of what stands before the first marked turn.
+# What begins a turn and what separates records where a recipe doesn't say; the speaker of what stands before the first marked turn.
+MARKERS, SEPARATOR = "User:|Assistant:|用户:|助手:|Human:|AI:", "\n---\n"
 UNMARKED = "(未标注)"
 META = "file-meta"
 # Characters and records of a chunk.
@@ -60,8 +61,13 @@ def by_blank_lines(texts: DataFrame) -> DataFrame:
     return by_pieces(texts, r"\n\s*\n", "paragraph")
 
 
-def by_separator(texts: DataFrame, separator: str = "\n---\n") -> DataFrame:
-    return by_pieces(texts, r"\Q" + separator + r"\E", "block")
+def literally(text: Column) -> Column:
+    """A pattern for the text itself."""
+    return F.regexp_replace(text, r"([\\\[\]{}()*+?.^$|&~#-])", r"\\$1")
+
+
+def by_separator(texts: DataFrame, separator: str = SEPARATOR) -> DataFrame:
+    return _numbered(texts, F.split("text", literally(F.lit(separator)), -1), "block")
 
 
 def whole(texts: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def by_sentences(texts: DataFrame) -> DataFrame:
     return _numbered(texts, sentence_parts(F.col("text")), "text")
 
 
-def island_parts(text: Column, starts: Callable[[Column], Column], head: Callable[[Column], Column]) -> Column:
+def island_parts(text: Column, starts: Callable[[Column], Column], head: Callable[[Column], Column], body: Callable[[Column, Column], Column] | None = None) -> Column:
     """Runs (pos, last, section, text) of a text's lines that begin with a line for which `starts` holds.
 
     The numbers of those lines are an array; a run is a slice between two of
@@ -102,8 +108,9 @@ def island_parts(text: Column, starts: Callable[[Column], Column], head: Callabl
     def runs(ls, fs):
         def run(i, k):
             first, end = F.get(ls, i), F.coalesce(F.get(fs, k + 1), F.size(ls))
-            body = T.trimmed(F.array_join(F.slice(ls, i + 1, end - i), "\n"))
-            return F.struct(i.alias("pos"), (end - 1).alias("last"), F.when(starts(first), head(first)).alias("section"), body.alias("text"))
+            own = F.array_join(F.slice(ls, i + 1, end - i), "\n")
+            said = T.trimmed(own) if body is None else body(first, F.array_join(F.slice(ls, i + 2, end - i - 1), "\n"))
+            return F.struct(i.alias("pos"), (end - 1).alias("last"), F.when(starts(first), head(first)).alias("section"), said.alias("text"))
 
         return F.filter(F.transform(fs, run), lambda r: r["text"] != "")
 
@@ -116,17 +123,35 @@ def islands(texts: DataFrame, rule: tuple[Callable[[Column], Column], Callable[[
     return out.select("source", "seq", F.lit(kind).alias("kind"), F.format_string("L%d-%d", F.col("pos") + 1, F.col("last") + 1).alias("locator"), "section", "text", F.length("text").alias("chars"))
 
 
-def speakers_rule(speakers: tuple[str, ...] = ("user", "assistant", "system")):
-    rule = r"(?i)^(" + "|".join(speakers) + r")\s*[:：]"
-    return (lambda x: x.rlike(rule), lambda x: F.lower(F.regexp_extract(x, rule, 1)))
+def turn_parts(text: Column, markers: Column) -> Column:
+    """Turns (pos, last, section, text) of a text: a line that begins with a marker begins one.
+
+    markers: what may begin a turn, between bars.  A turn's text is its speaker,
+    which is the marker as it stands there, and below it what it says; what
+    stands before the first turn is one of its own.  Turns of blanks are none.
+    """
+    given = F.filter(F.transform(F.split(markers, r"\|"), lambda m: T.trimmed(m)), lambda m: m != "")
+    rule = F.concat(F.lit("(?i)^("), F.array_join(F.transform(given, literally), "|"), F.lit(r")\s*[:：]?\s*"))
+    group = lambda x, r: F.call_function("regexp_extract", x, r, F.lit(1))
+
+    def parts(r):
+        starts = lambda x: F.rlike(T.trimmed(x), r)
+
+        def said(first, rest):
+            rest_of = F.when(starts(first), F.call_function("regexp_replace", T.trimmed(first), r, F.lit(""))).otherwise(first)
+            words = T.trimmed(F.concat(rest_of, F.lit("\n"), rest))
+            return F.when(words == "", "").otherwise(F.concat(F.when(starts(first), group(T.trimmed(first), r)).otherwise(UNMARKED), F.lit(":\n"), words))
+
+        return island_parts(text, starts, lambda x: group(T.trimmed(x), r), said)
+
+    return let(rule, parts)
 
 
 #: What begins a record, and what of its first line is its section.
 RULES = {
     "markdown": (lambda x: x.rlike(HEADING), lambda x: F.regexp_replace(x, HEADING, "")),
     "log": (lambda x: x.rlike(STAMP), lambda x: F.regexp_extract(x, STAMP, 1)),
-    "yaml": (lambda x: x.rlike(YAML_KEY), lambda x: F.substring(F.regexp_replace(x, r"[:\[\]].*$", ""), 1, 60)),
-    "conversation": speakers_rule(),
+    "yaml": (lambda x: x.rlike(YAML_KEY), lambda x: F.substring(F.trim(F.regexp_replace(x, r"[:\s]", " ")), 1, 60)),
 }
 
 
@@ -142,15 +167,16 @@ def yaml_blocks(texts: DataFrame) -> DataFrame:
     return islands(texts, RULES["yaml"], "yaml")
 
 
-def turns(texts: DataFrame, speakers: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
-    """A record a turn; a line that begins with a speaker and a colon begins one."""
-    return islands(texts, speakers_rule(speakers), "conversation").withColumn("section", F.coalesce("section", F.lit(UNMARKED)))
+def turns(texts: DataFrame, markers: str = MARKERS) -> DataFrame:
+    """A record a turn, its speaker in front of what it says; a line that begins with one of the markers begins one."""
+    out = texts.select("source", F.posexplode(turn_parts(F.col("text"), F.lit(markers))).alias("seq", "r")).select("source", "seq", "r.*")
+    return out.select("source", "seq", F.lit("conversation").alias("kind"), F.format_string("L%d-%d", F.col("pos") + 1, F.col("last") + 1).alias("locator"), F.coalesce("section", F.lit(UNMARKED)).alias("section"), "text", F.length("text").alias("chars"))
 
 
 def csv_parts(text: Column) -> Column:
     """A text a row, rendered "name: value" by the header; the delimiter is the header's most frequent one.
 
-    Cells beyond the header are called colN.
+    Cells beyond the header are called colN; those below an empty name are left out.
     """
 
     def rendered(rows):
@@ -159,7 +185,8 @@ def csv_parts(text: Column) -> Column:
         rule = F.concat(F.lit(r"\Q"), F.greatest(*counted)["d"], F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
 
         def shown(rule, names):
-            value = lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get(names, i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c))
+            name = lambda i: F.when(i < F.size(names), F.nullif(F.get(names, i), F.lit(""))).otherwise(F.concat(F.lit("col"), (i + 1).cast("string")))
+            value = lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))
             return F.transform(F.filter(rows, lambda line, i: (i > 0) & (T.trimmed(line) != "")), lambda line: F.array_join(F.filter(F.transform(cells(line, rule), value), lambda x: x.isNotNull()), "\n"))
 
         return let(rule, lambda r: let(cells(head, r), lambda names: shown(r, names)))
@@ -188,13 +215,22 @@ def _texts_of(rule: str) -> Callable[[Column], Column]:
     return lambda t: F.transform(island_parts(t, *RULES[rule]), lambda r: r["text"])
 
 
-#: Splitters as (kind, texts of the records of a text), and those of JSON as functions of texts.
+def _own(separator: Column, default: str) -> Column:
+    """A recipe's separator; none and an empty one mean the default."""
+    return F.coalesce(F.nullif(separator, F.lit("")), F.lit(default))
+
+
+#: Splitters as (kind, texts of the records of a text), some of them by a recipe's separator, and those of JSON as functions of texts.
+BY_SEPARATOR = {
+    "conversation": ("conversation", lambda t: F.transform(turn_parts(t, _own(F.col("separator"), MARKERS)), lambda r: r["text"])),
+    "record_separator": ("block", lambda t: _kept(F.split(t, literally(_own(F.col("separator"), SEPARATOR)), -1))),
+}
 PARTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
-    "lines": ("line", lambda t: _kept(F.split(t, "\r?\n", -1))), "conversation": ("conversation", _texts_of("conversation")), "separator": ("block", lambda t: _kept(F.split(t, "\n---\n", -1))),
+    "lines": ("line", lambda t: _kept(F.split(t, "\r?\n", -1))),
     "markdown": ("markdown", _texts_of("markdown")), "yaml": ("yaml", _texts_of("yaml")), "csv": ("csv", lambda t: _kept(csv_parts(t))), "log": ("log", _texts_of("log")),
     "blank_line": ("paragraph", lambda t: _kept(F.split(t, r"\n\s*\n", -1))), "whole": ("whole", lambda t: F.array(t)), "text": ("text", lambda t: _kept(sentence_parts(t))),
 }
-STRATEGIES = {**PARTS, "jsonl": jsonl_by_recipe, "json_array": json_array}
+STRATEGIES = {**{k: v for k, v in PARTS.items() if k != "text"}, **BY_SEPARATOR, "jsonl": jsonl_by_recipe, "json_array": json_array}
 # The paths that a recipe without fields takes.
 DEFAULT_FIELDS = {"jsonl": {"角色": "role", "内容": "content[].text"}, "json_array": {"角色": "role", "内容": "content"}}
 #: Splitters by the sniffed format; any other text is cut at blank lines and sentences.
@@ -225,16 +261,17 @@ def _noise() -> Column:
 
 
 def _with_recipe(texts: DataFrame) -> DataFrame:
-    """Columns fields and meta, filled with defaults where a recipe has none."""
+    """Columns fields, meta and separator, filled with defaults where a recipe has none."""
     default = F.when(F.col("strategy") == "jsonl", F.create_map(*[F.lit(x) for kv in DEFAULT_FIELDS["jsonl"].items() for x in kv])).when(
         F.col("strategy") == "json_array", F.create_map(*[F.lit(x) for kv in DEFAULT_FIELDS["json_array"].items() for x in kv]))
     fields = F.coalesce("fields", default) if "fields" in texts.columns else default
     meta = F.coalesce("meta", F.array().cast("array<string>")) if "meta" in texts.columns else F.array().cast("array<string>")
-    return texts.select("source", "text", "strategy", fields.alias("fields"), meta.alias("meta"))
+    separator = F.col("separator").cast("string") if "separator" in texts.columns else F.lit(None).cast("string")
+    return texts.select("source", "text", "strategy", fields.alias("fields"), meta.alias("meta"), separator.alias("separator"))
 
 
 def by_recipe(texts: DataFrame) -> DataFrame:
-    """Records of texts (source, text, strategy, and optionally fields, meta); an unknown strategy keeps the text whole."""
+    """Records of texts (source, text, strategy, and optionally fields, meta, separator); an unknown strategy keeps the text whole."""
     return _dispatched(_with_recipe(texts), "strategy", STRATEGIES, "whole").where(~_noise())
 
 
@@ -253,10 +290,13 @@ def recipe_warnings(texts: DataFrame) -> DataFrame:
 def by_rules(texts: DataFrame) -> DataFrame:
     """Records of texts (source, text, format) by format, behind a header record that says what the file is.
 
-    A text that gives no record is kept whole up to 4000 characters.
+    A text that gives no record is kept whole up to 4000 characters.  CSV
+    without any delimiter in its first line is cut like other text.
     """
+    first = F.get(F.filter(F.split("text", "\r?\n"), lambda x: T.trimmed(x) != ""), F.lit(0))
+    how = F.when((F.col("format") == "csv") & ~F.coalesce(first.rlike(r"[,\t;|]"), F.lit(True)), "text").otherwise(F.col("format"))
     # used for the counts and for the records: split once
-    cut = kept_apart(_dispatched(texts.select("source", "text", "format"), "format", BY_FORMAT, "text"))
+    cut = kept_apart(_dispatched(texts.select("source", "text", how.alias("format")), "format", BY_FORMAT, "text"))
     n = cut.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
     own = texts.join(n, F.col("source") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     kept = F.substring("text", 1, LONGEST_BLOCK)
@@ -378,7 +418,7 @@ def numbered_across(chunks_: DataFrame) -> DataFrame:
 
 
 def chunks_by_recipe(texts: DataFrame, budget: float | None = BUDGET) -> DataFrame:
-    """Chunks of texts (source, text, format, strategy, and optionally fields, meta), all numbered in one row.
+    """Chunks of texts (source, text, format, strategy, and optionally fields, meta, separator), all numbered in one row.
 
     A source with a usable recipe is cut by it; one without, or with a bad one,
     by the rules of its format, its strategy being "fallback:" and the format.

@@ -15,6 +15,7 @@ from slotwise.functions import text as T
 from slotwise.operators import cards as C
 from slotwise.operators.ordered import kept_apart
 
+# From where a proposal is sure, and how large a sample is.
 SURE = 0.7
 MAP_ID = r"\b(mem_\d{5})\b"
 DEFAULT_SAMPLE = 20
@@ -55,7 +56,7 @@ def auto_merged(cards: DataFrame, ref: str, least: float = SURE) -> DataFrame:
 
 
 def decided(cards: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Cards after decisions (slot, action) on their slots; slots without one stay as they are.
+    """Cards after decisions (slot, action) on their slots; slots without one, and slots with a single card, stay as they are.
 
     merge keeps the card that says most and appends the others' values and
     bodies; supersede keeps the latest recorded; keep-first the first; dispute
@@ -66,7 +67,9 @@ def decided(cards: DataFrame, decisions: DataFrame) -> DataFrame:
     order = F.when(F.col("_a") == "merge", -said).when(F.col("_a") == "supersede", -F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.lit(0)))
     w = W.partitionBy("slot").orderBy(order.asc_nulls_last(), "num")
     # only slots with a decision are ranked
-    mine = cards.join(d, "slot").withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy("slot")))
+    many = cards.join(d, "slot", "left_semi").groupBy("slot").agg(F.count("*").alias("_n")).where("_n > 1")
+    d = d.join(many, "slot")
+    mine = cards.join(d, "slot").withColumn("_r", F.row_number().over(w))
     rest = cards.join(d, "slot", "left_anti")
     picks = F.col("_a").isin("merge", "supersede", "keep-first")
     text = F.concat_ws("\n", F.nullif("value", F.lit("")), F.nullif("body", F.lit("")))

@@ -60,9 +60,13 @@ def r2_sentences(spark, sf_dir):
     return R.by_sentences(_texts(spark, sf_dir)).select("source", "seq", "chars", F.sha1(F.col("text").cast("binary")).alias("sha"))
 
 
-@query(f"SELECT user_id AS source, {SEQ} AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS section, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || event_type AS text FROM events", None)
+@query(f"""SELECT user_id AS source, {SEQ} AS seq, section, CASE event_id % 3 WHEN 0 THEN '[' ELSE '(' END || section || ') ' || event_type || chr(10) || ' at 10:00' AS text
+ FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y/%m/%d') ELSE strftime(ts, '%H:%M:%S') END AS section FROM events)""", None)
 def r3_log(spark, sf_dir):
-    row = lambda _: F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), "event_type")
+    """Lines with a day and time, with a day alone, with a time alone, in brackets of either kind and behind blanks; others go on."""
+    k = F.col("event_id") % 3
+    at = F.when(k == 0, F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).when(k == 1, F.concat(F.lit("  ("), F.date_format("ts", "yyyy/MM/dd"))).otherwise(F.concat(F.lit("("), F.date_format("ts", "HH:mm:ss")))
+    row = lambda _: F.concat(at, F.lit(") "), "event_type", F.lit("\n at 10:00"))
     return R.log_lines(_event_texts(spark, sf_dir, row)).select("source", "seq", "section", "text")
 
 
@@ -80,9 +84,11 @@ def r5_json_lines(spark, sf_dir):
     return R.json_lines(_event_texts(spark, sf_dir, _object)).select("source", "seq", "text")
 
 
-@query(f"SELECT user_id AS source, {SEQ} AS seq, 'event_' || CAST(event_id AS VARCHAR) AS section FROM events", None)
+@query(f"SELECT user_id AS source, {SEQ} AS seq, CASE event_id % 3 WHEN 0 THEN 'event_' || event_id WHEN 1 THEN '[event_' || event_id || ']' ELSE 'event_' || event_id || '  ' || event_type END AS section FROM events", None)
 def r6_yaml(spark, sf_dir):
-    row = lambda _: F.concat(F.lit("event_"), F.col("event_id").cast("string"), F.lit(":\n  type: "), "event_type")
+    name, k = F.concat(F.lit("event_"), F.col("event_id").cast("string")), F.col("event_id") % 3
+    head = F.when(k == 0, F.concat(name, F.lit(":"))).when(k == 1, F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(name, F.lit(": "), "event_type"))
+    row = lambda _: F.concat(head, F.lit("\n  type: "), "event_type")
     return R.yaml_blocks(_event_texts(spark, sf_dir, row)).select("source", "seq", "section")
 
 
@@ -92,6 +98,14 @@ def r7_csv(spark, sf_dir):
     return R.csv_rows(_event_texts(spark, sf_dir, row, "event_id,note\n")).select("source", "seq", "text")
 
 
+@query("""SELECT event_id AS source, 0 AS seq, 'file-meta' AS kind, 'file: ' || event_id || chr(10) || 'format: csv' || chr(10) || 'records: 2' AS text FROM events UNION ALL SELECT event_id, 1, 'text', 'title ' || event_id FROM events UNION ALL SELECT event_id, 2, 'text', 'it was a ' || event_type FROM events""", None)
+def r7_no_delimiter(spark, sf_dir):
+    """What is called CSV and has no delimiter in its first line is cut into paragraphs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.lit("\n"), F.lit("title "), F.col("event_id").cast("string"), F.lit("\n\nit was a "), "event_type")
+    return R.by_rules(e.select(F.col("event_id").alias("source"), text.alias("text"), F.lit("csv").alias("format"))).select("source", "seq", "kind", "text")
+
+
 def _recipe(texts, fields):
     return texts.withColumn("fields", F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])).withColumn("meta", F.array().cast("array<string>"))
 
@@ -114,6 +128,21 @@ def r12_separator(spark, sf_dir):
     return R.by_separator(_turn_texts(spark, sf_dir, "\n---\n")).select("source", "seq", "text")
 
 
+@query(r"""WITH m AS (SELECT conv_id AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, trim(text) AS t, CASE WHEN role = 'user' THEN 'Q.' ELSE 'A*' END AS mark FROM conversations)
+ SELECT source, seq, CASE WHEN source % 3 = 2 THEN 'conversation' ELSE 'block' END AS kind, CASE WHEN source % 3 = 2 THEN mark || ':' || chr(10) || regexp_replace(t, '\s+', ' ', 'g') ELSE t END AS text FROM m""", None)
+def r15_separators(spark, sf_dir):
+    """Separators and markers of recipes, with signs that patterns read otherwise; a recipe without one has the usual one."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k = F.col("conv_id") % 3
+    t = F.when(k == 2, F.concat(F.when(F.col("role") == "user", "q. ").otherwise(" a*：").cast("string"), F.regexp_replace(F.trim("text"), r"\s+", " "))).otherwise(F.trim("text"))
+    said = F.array_sort(F.collect_list(F.struct("turn", t.alias("t"))))
+    g = c.groupBy(F.col("conv_id").alias("source")).agg(said.alias("r"))
+    k = F.col("source") % 3
+    between = F.when(k == 0, "\n---\n").when(k == 1, "|=.*\\E|").otherwise("\n")
+    texts = g.select("source", F.array_join(F.transform("r", lambda x: F.concat(x["t"], between)), "").alias("text"), F.when(k == 2, "conversation").otherwise("record_separator").alias("strategy"), F.when(k == 1, between).when(k == 2, "Q.| A* |").alias("separator"))
+    return R.by_recipe(texts).select("source", "seq", "kind", F.when(k == 2, F.regexp_replace(F.regexp_replace("text", "^q", "Q"), "^a", "A")).otherwise(F.col("text")).alias("text"))
+
+
 @query(r"SELECT source, (row_number() OVER (PARTITION BY source ORDER BY pos) - 1)::INTEGER AS seq, trim(t) AS text FROM (SELECT doc_id AS source, unnest(regexp_split_to_array(text, '\n\s*\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS pos FROM documents) WHERE regexp_replace(t, '\s', '', 'g') <> ''", None)
 def r13_paragraphs(spark, sf_dir):
     return R.by_blank_lines(_texts(spark, sf_dir)).select("source", "seq", "text")
@@ -126,24 +155,24 @@ def r15_recipes(spark, sf_dir):
 
 
 RULES_SQL = """ SELECT event_id AS source, 0 AS seq, 'file-meta' AS kind, 'file: ' || event_id || chr(10) || 'format: ' || ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1] || chr(10) || 'records: ' || [3, 3, 3, 2, 1, 1][event_id % 6 + 1] AS text FROM events
- UNION ALL SELECT event_id, p, ['log', 'jsonl-line', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1],
-  CASE event_id % 6 WHEN 0 THEN '2024-01-05 10:00:00 ' || event_id WHEN 1 THEN '{"a":' || event_id || '}' WHEN 2 THEN 'k' || event_id || ':' || chr(10) || '  v: 1' WHEN 3 THEN event_id || ': ' || event_id || chr(10) || 'b: b' || chr(10) || 'c: c' WHEN 5 THEN 'words and ' || event_id || chr(10) || 'words and ' || event_id || chr(10) || 'words and ' || event_id END
-  FROM events, LATERAL (SELECT unnest(range(1, 1 + [3, 3, 3, 2, 0, 1][event_id % 6 + 1]))::INTEGER AS p)"""
+ UNION ALL SELECT event_id, p, ['log', 'jsonl-line', 'yaml', 'csv', 'text-whole', 'text'][event_id % 6 + 1],
+  CASE event_id % 6 WHEN 0 THEN '2024-01-05 10:00:00 ' || event_id WHEN 1 THEN '{"a":' || event_id || '}' WHEN 2 THEN 'k' || event_id || ':' || chr(10) || '  v: 1' WHEN 3 THEN event_id || ': ' || event_id || chr(10) || 'b: b' || chr(10) || 'c: c' WHEN 4 THEN '{"a": [' || event_id || ']}' WHEN 5 THEN 'words and ' || event_id || chr(10) || 'words and ' || event_id || chr(10) || 'words and ' || event_id END
+  FROM events, LATERAL (SELECT unnest(range(1, 1 + [3, 3, 3, 2, 1, 1][event_id % 6 + 1]))::INTEGER AS p)"""
 
 
-@query("SELECT * FROM (" + RULES_SQL + ") WHERE source % 6 <> 4", None)
+@query(RULES_SQL, None)
 def r16_rules(spark, sf_dir):
     texts = _formatted(spark, sf_dir)
-    return R.by_rules(texts.withColumn("format", S.sniffed(F.col("text"), F.lit("x")))).where("source % 6 <> 4").select("source", "seq", "kind", "text")
+    return R.by_rules(texts.withColumn("format", S.sniffed(F.col("text"), F.lit("x")))).select("source", "seq", "kind", "text")
 
 
 @query(""" SELECT event_id AS source, 'lines' AS strategy, 1 AS chunks FROM events WHERE event_id % 3 = 0 UNION ALL
- SELECT event_id, 'fallback:' || ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1], 2 FROM events WHERE event_id % 3 > 0 AND event_id % 6 <> 4""", None)
+ SELECT event_id, 'fallback:' || ['log', 'jsonl', 'yaml', 'csv', 'json', 'text'][event_id % 6 + 1], 2 FROM events WHERE event_id % 3 > 0""", None)
 def u7_recipe_chunks(spark, sf_dir):
     """Sources without a recipe, and those with a bad one, go by the rules of their format."""
     strategy = F.when(F.col("source") % 3 == 0, "lines").when(F.col("source") % 3 == 1, "magic")
     texts = _formatted(spark, sf_dir).withColumn("format", S.sniffed(F.col("text"), F.lit("x"))).withColumn("strategy", strategy)
-    c = R.chunks_by_recipe(texts.where("source % 6 <> 4"))
+    c = R.chunks_by_recipe(texts)
     return c.groupBy("source", "strategy").agg(F.count("*").cast("int").alias("chunks"))
 
 
@@ -250,7 +279,7 @@ ACTIONS = ("merge", "supersede", "keep-first", "dispute", "drop")
 def l6_decided(spark, sf_dir):
     c = claims(spark, sf_dir)
     at = (F.count("*") + F.length("slot")) % len(ACTIONS) + 1
-    d = c.groupBy("slot").agg(F.element_at(F.array(*map(F.lit, ACTIONS)), at.cast("int")).alias("action"), F.count("*").alias("n")).where("n > 1")
+    d = c.groupBy("slot").agg(F.element_at(F.array(*map(F.lit, ACTIONS)), at.cast("int")).alias("action"), F.count("*").alias("n"))
     return U.decided(c, d).select("id", "status", "body")
 
 
@@ -331,9 +360,9 @@ def a14_report(spark, sf_dir):
 
 @query(" SELECT type, n, row_number() OVER (ORDER BY n DESC, type)::INTEGER AS place FROM (SELECT type, count(*) AS n FROM claims GROUP BY type)")
 def o5_types(spark, sf_dir):
-    # the order is what is shown: places of the ordered rows, a row for each type
-    rows = C.types_by_count(claims(spark, sf_dir)).collect()
-    return spark.createDataFrame([(r["type"], r["n"], i + 1) for i, r in enumerate(rows)], "type string, n long, place int")
+    """The order is what is shown: places of the ordered rows, a row for each type."""
+    place = F.row_number().over(W.orderBy(F.desc("n"), "type"))
+    return C.types_by_count(claims(spark, sf_dir)).withColumn("place", place)
 
 
 @query(BASELINE_SQL.replace(", base AS (SELECT * FROM grams", ", old AS (SELECT * FROM grams").replace("base.", "old.").replace("JOIN base", "JOIN old") + " SELECT new_id, CASE WHEN similarity >= 0.93 THEN 'identical' WHEN similarity >= 0.7 THEN 'enrichment' ELSE 'contradiction' END AS kind, similarity FROM best WHERE r = 1 ORDER BY CASE WHEN similarity >= 0.93 THEN 2 WHEN similarity >= 0.7 THEN 1 ELSE 0 END, similarity, slot, new_id LIMIT 40")

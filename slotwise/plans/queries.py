@@ -162,9 +162,9 @@ def f14_normalised(spark, sf_dir):
     return n.select("id", "type", "title", "subject", "predicate", "value", "status", "confidence", "importance", "valid_from", "valid_to", F.sha1(F.col("body").cast("binary")).alias("body"), F.size("tags").alias("tags"), F.array_join("links", ",").alias("links"), "slot")
 
 
-FORGE_SQL = f""", {TYPES_SQL}, odd AS (SELECT c.* REPLACE (CASE WHEN num % 7 = 0 THEN '' ELSE title END AS title, CASE WHEN num % 5 = 0 THEN 'a' || chr(9) || 'b' ELSE subject END AS subject, CASE WHEN num % 3 = 0 THEN -0.5 ELSE confidence END AS confidence, repeat(body, (num % 60)) AS body, CASE WHEN num % 4 = 0 THEN ' ' ELSE value END AS value),
+IMPORT_SQL = f""", {TYPES_SQL}, odd AS (SELECT c.* REPLACE (CASE WHEN num % 7 = 0 THEN '' ELSE title END AS title, CASE WHEN num % 5 = 0 THEN 'a' || chr(9) || 'b' ELSE subject END AS subject, CASE WHEN num % 3 = 0 THEN -0.5 ELSE confidence END AS confidence, repeat(body, (num % 60)) AS body, CASE WHEN num % 4 = 0 THEN ' ' ELSE value END AS value),
   t.type AS known, coalesce(t.body_limit, 1200) AS lim FROM claims c LEFT JOIN types t USING (type)),
- forged AS (SELECT id, 'missing_title' AS problem FROM odd WHERE title = '' UNION ALL SELECT id, 'unknown_type' FROM odd WHERE known IS NULL UNION ALL SELECT id, 'subject_space' FROM odd WHERE regexp_matches(subject, '\\s')
+ rejected AS (SELECT id, 'missing_title' AS problem FROM odd WHERE title = '' UNION ALL SELECT id, 'unknown_type' FROM odd WHERE known IS NULL UNION ALL SELECT id, 'subject_space' FROM odd WHERE regexp_matches(subject, '\\s')
   UNION ALL SELECT id, 'predicate_space' FROM odd WHERE regexp_matches(predicate, '\\s') UNION ALL SELECT id, 'body_limit' FROM odd WHERE length(body) > lim UNION ALL SELECT id, 'empty' FROM odd WHERE trim(value) = '' AND trim(body) = ''
   UNION ALL SELECT id, 'confidence_range' FROM odd WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'valid_order' FROM odd WHERE valid_to < valid_from UNION ALL SELECT id, 'active_ended' FROM odd WHERE status = 'active' AND valid_to IS NOT NULL)"""
 
@@ -176,12 +176,12 @@ def _odd(spark, sf_dir):
         "body": F.repeat(F.col("body"), (n % 60).cast("int")), "value": F.when(n % 4 == 0, " ").otherwise(F.col("value"))})
 
 
-@query(FORGE_SQL + " SELECT id, problem FROM forged")
-def f9_forge_problems(spark, sf_dir):
+@query(IMPORT_SQL + " SELECT id, problem FROM rejected")
+def f9_import_problems(spark, sf_dir):
     return I.problems(_odd(spark, sf_dir))
 
 
-@query(FORGE_SQL + " SELECT id, id NOT IN (SELECT id FROM forged) AS plain FROM odd WHERE id NOT IN (SELECT id FROM forged WHERE problem <> 'body_limit')")
+@query(IMPORT_SQL + " SELECT id, id NOT IN (SELECT id FROM rejected) AS plain FROM odd WHERE id NOT IN (SELECT id FROM rejected WHERE problem <> 'body_limit')")
 def x9_forced(spark, sf_dir):
     odd = _odd(spark, sf_dir)
     plain = I.accepted(odd).select(F.col("id").alias("_id"))
@@ -205,9 +205,11 @@ def _halves(spark, sf_dir):
     return c.where("num % 2 = 0"), C.active(c.where("num % 2 = 1"))
 
 
-@query(BASELINE_SQL.replace(", base AS (SELECT * FROM grams", ", old AS (SELECT * FROM grams").replace("base.", "old.").replace("JOIN base", "JOIN old").replace("'base'", "'old'") + " SELECT slot, new_id, old_id, similarity, CASE WHEN similarity >= 0.93 THEN 'identical' WHEN similarity >= 0.7 THEN 'enrichment' ELSE 'contradiction' END AS kind FROM best WHERE r = 1")
+@query(BASELINE_SQL.replace(", base AS (SELECT * FROM grams", ", old AS (SELECT * FROM grams").replace("base.", "old.").replace("JOIN base", "JOIN old").replace("'base'", "'old'").replace("FROM grams WHERE num % 2 = 0", "FROM (SELECT * REPLACE (CASE WHEN num % 13 = 0 THEN '' ELSE v END AS v, CASE WHEN num % 13 = 0 THEN [] ELSE g END AS g) FROM grams) WHERE num % 2 = 0") + " SELECT slot, new_id, CASE WHEN similarity > 0 THEN old_id END AS old_id, similarity, CASE WHEN similarity >= 0.93 THEN 'identical' WHEN similarity >= 0.7 THEN 'enrichment' ELSE 'contradiction' END AS kind FROM best WHERE r = 1")
 def jb_baseline(spark, sf_dir):
-    return C.against_baseline(*_halves(spark, sf_dir))
+    """Every thirteenth card says nothing and is like none."""
+    new, old = _halves(spark, sf_dir)
+    return C.against_baseline(new.withColumn("value", F.when(F.col("num") % 13 == 0, "!").otherwise(F.col("value"))), old)
 
 
 @query("SELECT DISTINCT slot FROM claims WHERE num % 2 = 0 AND slot NOT IN (SELECT slot FROM claims WHERE num % 2 = 1 AND status = 'active')")
@@ -309,9 +311,18 @@ def a5_keepers(spark, sf_dir):
     return C.conflicts(claims(spark, sf_dir)).select("slot", "keeper")
 
 
-@query(" SELECT slot, first(id ORDER BY valid_from DESC, num DESC) AS current, string_agg(id, ',' ORDER BY valid_from DESC, num DESC) AS members, bool_or(status = 'disputed') AS needs_human FROM claims WHERE status IN ('active', 'disputed') GROUP BY slot HAVING count(*) >= 2")
+TRUTH_SQL = """, dated AS (SELECT *, coalesce(CASE WHEN num % 2 = 1 THEN CAST(valid_from AS TIMESTAMP) END, recorded_at) AS since FROM claims WHERE status IN ('active', 'disputed') AND num % 11 <> 0),
+ truth AS (SELECT slot, first(id ORDER BY since DESC, num DESC) AS current, string_agg(id, ',' ORDER BY since DESC, num DESC) AS members, bool_or(status = 'disputed') AS needs_human FROM dated GROUP BY slot HAVING count(*) >= 2)"""
+
+
+def _undated(cards):
+    """Every other card without the day from which it is valid, every eleventh without a subject."""
+    return cards.withColumn("valid_from", F.when(F.col("num") % 2 == 1, F.col("valid_from"))).withColumn("subject", F.when(F.col("num") % 11 != 0, F.col("subject")))
+
+
+@query(TRUTH_SQL + " SELECT * FROM truth")
 def a6_truth_table(spark, sf_dir):
-    return C.truth_table(claims(spark, sf_dir))
+    return C.truth_table(_undated(claims(spark, sf_dir)))
 
 
 @query(VALUES_SQL + f", s AS (SELECT a.slot, max({sim_sql('a', 'b')}) AS similarity FROM grams a JOIN grams b ON a.slot = b.slot AND a.num < b.num GROUP BY a.slot), g AS (SELECT slot, count(*) AS n, count(DISTINCT v) AS k, bool_or(contains(value, 'no longer')) AS changed FROM grams GROUP BY slot HAVING count(*) > 1) SELECT slot, n, CASE WHEN k = 1 THEN 'duplicate' ELSE 'divergent' END AS kind, similarity, CASE WHEN similarity >= 0.88 THEN 'merge' WHEN changed THEN 'supersede' WHEN similarity >= 0.7 THEN 'merge' ELSE 'escalate' END AS action FROM g JOIN s USING (slot)")
@@ -463,9 +474,11 @@ def p2_sample(spark, sf_dir):
     return C.sampled(claims(spark, sf_dir), 200, 7).select("id")
 
 
-@query(", c AS (SELECT type, count(*) AS c FROM claims GROUP BY type), x AS (SELECT type, c, 100 * c / sum(c) OVER () AS x FROM c), b AS (SELECT *, floor(x) AS base FROM x), q AS (SELECT type, least(base + CASE WHEN row_number() OVER (ORDER BY x - base DESC, type) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END, c) AS quota FROM b), r AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY sha1('7|' || id), id) AS r FROM claims) SELECT id, type FROM r JOIN q USING (type) WHERE r <= quota")
+@query(", t AS (SELECT * REPLACE (CASE WHEN num % 6 > 0 THEN type END AS type) FROM claims), c AS (SELECT type, count(*) AS c FROM t GROUP BY type), x AS (SELECT type, c, 100 * c / sum(c) OVER () AS x FROM c), b AS (SELECT *, floor(x) AS base FROM x), q AS (SELECT type, least(base + CASE WHEN row_number() OVER (ORDER BY x - base DESC, type) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END, c) AS quota FROM b), r AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY sha1('7|' || id), id) AS r FROM t) SELECT id, r.type FROM r JOIN q ON r.type IS NOT DISTINCT FROM q.type WHERE r <= quota")
 def p3_stratified(spark, sf_dir):
-    return C.stratified(claims(spark, sf_dir), 100, 7).select("id", "type")
+    """Every sixth card has no type: those are a stratum too."""
+    c = claims(spark, sf_dir)
+    return C.stratified(c.withColumn("type", F.when(F.col("num") % 6 > 0, F.col("type"))), 100, 7).select("id", "type")
 
 
 @query(", r AS (SELECT id, slot, row_number() OVER (PARTITION BY slot ORDER BY status <> 'active', sha1('7|' || id), id) AS r FROM claims) SELECT id, slot FROM r ORDER BY r > 1, sha1('7|' || id), id LIMIT 150")
@@ -478,9 +491,10 @@ def p4_spread(spark, sf_dir):
 EXPIRY_REF = "2024-06-01 00:00:00"
 
 
-@query(f", {TYPES_SQL}, x AS (SELECT c.*, status = 'active' AND greatest(0.0, (epoch(TIMESTAMP '{EXPIRY_REF}') - epoch(recorded_at)) / 86400.0) > floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance)) AS gone FROM claims c LEFT JOIN types USING (type)) SELECT id, CASE WHEN gone THEN 'expired' ELSE status END AS status, CASE WHEN gone THEN coalesce(valid_to, DATE '2024-06-01') ELSE valid_to END AS valid_to FROM x")
+@query(f", {TYPES_SQL}, x AS (SELECT c.*, status = 'active' AND greatest(0.0, (epoch(TIMESTAMP '{EXPIRY_REF}') - epoch(recorded_at)) / 86400.0) > floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance)) AS gone FROM claims c LEFT JOIN types USING (type)) SELECT id, CASE WHEN gone THEN 'expired' ELSE status END AS status, CASE WHEN gone THEN coalesce(valid_to, DATE '2024-06-01') ELSE valid_to END AS valid_to, CASE WHEN gone THEN '{EXPIRY_REF}' END AS ended_at FROM x")
 def l4_expiry(spark, sf_dir):
-    return C.with_expiry(claims(spark, sf_dir), EXPIRY_REF).select("id", "status", "valid_to")
+    c = claims(spark, sf_dir).withColumn("ended_at", F.lit(None).cast("timestamp"))
+    return C.with_expiry(c, EXPIRY_REF).select("id", "status", "valid_to", F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"))
 
 
 # --- records and chunks ----------------------------------------------------------------------
@@ -505,15 +519,18 @@ def a17_file_stats(spark, sf_dir):
 
 
 def _said(spark, sf_dir):
-    """(source, text): conversations as texts of marked turns, below a line that no one says."""
+    """(source, text): conversations as texts of turns under all kinds of markers, below a line that no one says."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    t = F.concat(F.initcap("role"), F.lit(": "), F.regexp_replace("text", r"\s+", " "))
+    odd = F.col("turn") % 2 == 1
+    mark = F.when(F.col("role") == "user", F.when(odd, "User:").otherwise("Human:")).when(F.col("role") == "assistant", F.when(odd, "  assistant: ").otherwise("AI: ")).otherwise("用户:：")
+    t = F.concat(mark, F.regexp_replace("text", r"\s+", "\n"))
     g = c.groupBy(F.col("conv_id").alias("source")).agg(F.array_sort(F.collect_list(F.struct("turn", t.alias("t")))).alias("r"))
     return g.select("source", F.concat(F.lit("a talk\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
 
 
-@query(r""" SELECT conv_id AS source, 0 AS seq, '(未标注)' AS section, 'a talk' AS text FROM conversations GROUP BY 1 UNION ALL
- SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER, lower(role), trim(upper(role[1]) || role[2:] || ': ' || regexp_replace(text, '\s+', ' ', 'g')) FROM conversations""", None)
+@query(r""" WITH m AS (SELECT *, CASE role WHEN 'user' THEN CASE WHEN turn % 2 = 1 THEN 'User:' ELSE 'Human:' END WHEN 'assistant' THEN CASE WHEN turn % 2 = 1 THEN 'assistant:' ELSE 'AI:' END ELSE '用户:' END AS mark FROM conversations)
+ SELECT conv_id AS source, 0 AS seq, '(未标注)' AS section, '(未标注):' || chr(10) || 'a talk' AS text FROM conversations GROUP BY 1 UNION ALL
+ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER, mark, mark || ':' || chr(10) || regexp_replace(trim(text), '\s+', chr(10), 'g') FROM m""", None)
 def r11_turns(spark, sf_dir):
     return R.turns(_said(spark, sf_dir)).select("source", "seq", "section", "text")
 
@@ -562,19 +579,44 @@ def s7_sniffed(spark, sf_dir):
     return _formatted(spark, sf_dir).select("source", S.sniffed(F.col("text"), F.lit("x.txt")).alias("format"), S.sniffed(F.col("text"), name).alias("named"))
 
 
-SHOWN_SQL = """'---' || chr(10) || 'id: ' || id || chr(10) || 'type: ' || type || chr(10) || 'title: ' || title || chr(10) || 'subject: ' || subject || chr(10) || 'predicate: ' || predicate || chr(10) || 'value: ' || value || chr(10) || 'status: ' || status || chr(10) || 'source: ' || source"""
+SHOWN_SQL = "'---' || chr(10) || concat_ws(chr(10), " + ", ".join(f"'{k}: ' || {v}" for k, v in {
+    **{k: k for k in ("id", "type", "title", "subject", "predicate", "value", "status")}, **{k: f"CAST({k} AS VARCHAR)" for k in ("confidence", "importance", "valid_from", "valid_to")},
+    "recorded_at": "strftime(recorded_at, '%Y-%m-%dT%H:%M:%S')", "source": "source", **{k: f"'[' || array_to_string({k}, ', ') || ']'" for k in ("links", "tags", "aliases")},
+    "hits": "CAST(hits AS VARCHAR)", "last_hit": "strftime(last_hit, '%Y-%m-%dT%H:%M:%S')", "superseded_by": "coalesce(superseded_by, '\"\"')", "schema": f"'{S.SCHEMA}'"}.items()) + ") || chr(10) || '---' || chr(10) || body"
 
 
-@query(f" SELECT type || '/' || id || '.md' AS path, {SHOWN_SQL} || chr(10) AS head, body FROM claims")
+@query(f" SELECT type || '/' || id || '.md' AS path, {SHOWN_SQL} AS text FROM claims")
 def t9_rendered(spark, sf_dir):
-    shown = S.rendered(claims(spark, sf_dir))
-    return shown.select("path", F.regexp_extract("text", r"(?s)\A(.*?)confidence: ", 1).alias("head"), F.element_at(F.split("text", "\n---\n"), -1).alias("body"))
+    return S.rendered(claims(spark, sf_dir))
+
 
+# what stands in old files: no type and no status, nulls, quotes, words for days, indented keys, lists of all kinds
+OLD_SQL = f"""SELECT id, CASE num % 3 WHEN 0 THEN 'lesson' WHEN 1 THEN 'lesson' ELSE type END AS type, CASE num % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'active' ELSE status END AS status, title, CASE num % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(num AS VARCHAR) WHEN 2 THEN 'True' WHEN 3 THEN 'key: x' ELSE value END AS value,
+ CASE num % 3 WHEN 0 THEN CAST({REF} AS DATE) WHEN 1 THEN CAST({REF} AS DATE) - 1 ELSE valid_from END AS valid_from, CASE num % 3 WHEN 0 THEN tags[1] || ',' || tags[2] WHEN 1 THEN tags[1] || ', ' || tags[2] ELSE tags[2] END AS tags, CASE num % 2 WHEN 0 THEN 0.8 ELSE confidence END AS confidence, body, CASE WHEN num % 50 = 0 THEN 'no_id' END AS problem FROM claims"""
 
-@query(" SELECT id, type, title, subject, predicate, value, status, source, confidence, importance, valid_from, valid_to, hits, array_to_string(tags, ',') AS tags, body, NULL::VARCHAR AS problem FROM claims")
+
+@query(" SELECT * REPLACE (CASE WHEN problem IS NULL THEN id END AS id) FROM (" + OLD_SQL + ")")
+def s4_old_files(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    n = lambda k: F.col("num") % k
+    j = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    one, two = F.get("tags", F.lit(0)), F.get("tags", F.lit(1))
+    lines = [
+        j("id: ", F.when(n(50) == 0, "null").otherwise(F.col("id"))), F.when(n(3) == 1, "type: ~").when(n(3) == 2, j("  type:  ", F.col("type"))), F.when(n(4) == 1, "status:").when(n(4) > 1, j("status: '", F.col("status"), "'")),
+        j("# comment: no key\ntitle: '", F.col("title"), "'"),
+        F.when(n(5) == 0, "value: None").when(n(5) == 1, j("value: 00", F.col("num").cast("string"))).when(n(5) == 2, "value: yes").when(n(5) == 3, 'value: "key: x"').otherwise(j("value: old\nvalue: ", F.col("value"))),
+        F.when(n(3) == 0, "valid_from: Today").when(n(3) == 1, "valid_from: yesterday").otherwise(j("valid_from: ", F.date_format("valid_from", "yyyy-MM-dd'T'HH:mm:ss"))),
+        F.when(n(3) == 0, j("tags:\n  - ", one, "\n  - null\n  - '", two, "'")).when(n(3) == 1, j("tags: ", one, ", ", two)).otherwise(j("tags: [~, \"", two, '"]')),
+        F.when(n(2) == 0, "confidence: high").otherwise(j("confidence: '", F.col("confidence").cast("string"), "'"))]
+    text = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), "body")
+    back = S.parsed_cards(c.select(j("a/", F.col("id"), ".md").alias("path"), text.alias("text")), F.lit(REF_TS).cast("timestamp"))
+    return back.select("id", "type", "status", "title", "value", "valid_from", F.array_join("tags", ",").alias("tags"), "confidence", "body", "problem")
+
+
+@query(" SELECT id, type, title, subject, predicate, value, status, source, confidence, importance, valid_from, valid_to, hits, array_to_string(tags, ',') AS tags, array_to_string(aliases, ',') AS aliases, array_to_string(links, ',') AS links, strftime(recorded_at, '%Y-%m-%d %H:%M:%S') AS recorded_at, strftime(last_hit, '%Y-%m-%d %H:%M:%S') AS last_hit, superseded_by, body, NULL::VARCHAR AS problem FROM claims")
 def s4_round_trip(spark, sf_dir):
     back = S.parsed_cards(S.rendered(claims(spark, sf_dir)))
-    return back.select("id", "type", "title", "subject", "predicate", "value", "status", "source", "confidence", "importance", "valid_from", "valid_to", "hits", F.array_join("tags", ",").alias("tags"), "body", "problem")
+    return back.select("id", "type", "title", "subject", "predicate", "value", "status", "source", "confidence", "importance", "valid_from", "valid_to", "hits", *[F.array_join(k, ",").alias(k) for k in ("tags", "aliases", "links")], *[F.date_format(k, "yyyy-MM-dd HH:mm:ss").alias(k) for k in ("recorded_at", "last_hit")], "superseded_by", "body", "problem")
 
 
 @query(" SELECT id, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(slot, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295)) AS fnv FROM claims")

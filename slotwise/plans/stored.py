@@ -103,18 +103,19 @@ def sk8_json_lines(spark, sf_dir):
 
 # --- dates, hashes, recipes ------------------------------------------------------------------------
 
-@query(" SELECT id, strftime(recorded_at, '%Y-%m-%d %H:%M:%S') AS recorded_at, CAST(recorded_at AS DATE) AS day FROM claims")
+@query(" SELECT id, CASE num % 4 WHEN 1 THEN strftime(recorded_at, '%Y-%m-%d %H:%M:00') WHEN 3 THEN NULL ELSE strftime(recorded_at + to_seconds(num % 60), '%Y-%m-%d %H:%M:%S') END AS recorded_at, CAST(recorded_at AS DATE) AS day FROM claims")
 def dt1_parsed(spark, sf_dir):
-    pick = F.col("num") % 3
-    at = F.col("recorded_at")
-    shown = F.when(pick == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(pick == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm")).otherwise(F.concat(F.lit(" "), F.date_format(at, "yyyy-MM-dd HH:mm")))
+    """Three of the accepted forms, and one that is none: a blank between day and time, without seconds."""
+    pick = F.col("num") % 4
+    at = F.timestamp_seconds(F.unix_timestamp("recorded_at") + F.col("num") % 60)
+    shown = F.when(pick == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(pick == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm")).when(pick == 2, F.concat(F.lit(" "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"))).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
     return claims(spark, sf_dir).select("id", F.date_format(D.parsed(shown), "yyyy-MM-dd HH:mm:ss").alias("recorded_at"), D.parsed(F.date_format(at, "yyyy-MM-dd")).cast("date").alias("day"))
 
 
 @query(f" SELECT id, CASE num % 5 WHEN 0 THEN strftime({REF}, '%Y-%m-%d') WHEN 1 THEN strftime({REF} - INTERVAL 1 DAY, '%Y-%m-%d') WHEN 2 THEN strftime(recorded_at, '%Y-%m-%d') WHEN 3 THEN strftime({REF}, '%Y-%m-%d') ELSE 'soon' END AS day FROM claims")
 def dt2_normalised(spark, sf_dir):
     n = F.col("num") % 5
-    said = F.when(n == 0, "Today").when(n == 1, " yesterday").when(n == 2, F.date_format("recorded_at", "yyyy-MM-dd HH:mm")).when(n == 3, "now").otherwise("soon")
+    said = F.when(n == 0, "Today").when(n == 1, " yesterday").when(n == 2, F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss")).when(n == 3, "now").otherwise("soon")
     return claims(spark, sf_dir).select("id", D.normalized_date(said, F.lit("2024-03-01").cast("date")).alias("day"))
 
 
@@ -125,23 +126,23 @@ def t10_phrases(spark, sf_dir):
     return claims(spark, sf_dir).select("id", F.col("value").rlike("(?i)" + CHANGE).alias("changed"), F.col("value").rlike("(?i)" + RESTATE).alias("restated"))
 
 
-@query(" SELECT id, CASE num % 4 WHEN 0 THEN 'unknown_strategy' WHEN 1 THEN 'bad_path' END AS problem FROM claims")
+@query(" SELECT id, CASE num % 6 WHEN 0 THEN 'unknown_strategy' WHEN 1 THEN 'bad_path' WHEN 4 THEN 'unknown_strategy' END AS problem FROM claims")
 def f15_recipes(spark, sf_dir):
-    n = F.col("num") % 4
-    strategy = F.when(n == 0, "magic").when(n == 2, "csv").otherwise("jsonl")
-    fields = F.when(n == 1, F.create_map(F.lit("t"), F.lit("a..b"))).when(n == 3, F.create_map(F.lit("t"), F.lit("a[].b_1.c")))
+    n = F.col("num") % 6
+    strategy = F.when(n == 0, "magic").when(n == 2, "record_separator").when(n == 4, "separator").otherwise("jsonl")
+    fields = F.when(n == 1, F.create_map(F.lit("t"), F.lit("a..b"))).when(n == 3, F.create_map(F.lit("t"), F.lit("a[].b_1.c"))).when(n == 5, F.create_map(F.lit("t"), F.lit("$a.b$")))
     return claims(spark, sf_dir).select("id", A.recipe_problem(strategy, fields).alias("problem"))
 
 
-@query(" SELECT id, CASE WHEN num % 6 = 5 THEN 'no_json' END AS error, CASE WHEN num % 6 = 5 THEN NULL ELSE title END AS title FROM claims")
+@query(" SELECT id, CASE WHEN num % 8 IN (5, 6) THEN 'no_json' WHEN num % 8 = 7 THEN 'no_cards' END AS error, CASE WHEN num % 8 >= 5 THEN NULL ELSE title END AS title FROM claims")
 def n2_loose_results(spark, sf_dir):
-    """One card in each of the shapes that results come in: bare, fenced, amid words, as a list, under other names."""
+    """One card in each of the shapes that results come in: bare, fenced, amid words, as a list, under other names; an object amid words and a bare one are none."""
     c = claims(spark, sf_dir)
     card = F.to_json(F.struct(F.col("title").alias("name"), F.lit("s").alias("subject")))
-    n = F.col("num") % 6
+    n = F.col("num") % 8
     j = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
     text = F.when(n == 0, j('{"cards": [', card, "]}")).when(n == 1, j("so:\n```json\n[", card, "]\n```\nend")).when(n == 2, j("It is (see below) ", '{"memories": [', card, "]} thanks"))
-    text = text.when(n == 3, j('{"card": ', card, "}")).when(n == 4, j('{"a": 1, "found": [', card, "]}")).otherwise(F.lit("nothing {here"))
+    text = text.when(n == 3, j('{"card": ', card, "}")).when(n == 4, j('{"a": 1, "found": [', card, "]}")).when(n == 6, j("I saw ", card, " there")).when(n == 7, card).otherwise(F.lit("nothing {here"))
     return A.extracted(c.select(F.col("id").alias("chunk"), text.alias("text"))).select(F.col("chunk").alias("id"), "error", "title")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.functions.temporal import parsed
+from slotwise.functions.temporal import normalized_date, parsed
 from slotwise.functions.text import SPACES, digest, quoted, slot
 
+# What stands around a card's front matter, and the largest file.
 FENCED = r"(?s)\A[ \t]*\\?---[ \t]*\r?\n(.*?)\r?\n[ \t]*\\?---[ \t]*(?:\r?\n(.*))?\z"
 MOST_BYTES = 8 * 1024 * 1024
 
@@ -19,29 +20,51 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(small, F.decode("content", "UTF-8")).alias("text"), F.when(~small, F.lit("too_large")).alias("problem"))
 
 
+def scalar(raw: Column) -> Column:
+    """A value as the text that it stands for: quotes taken off, null words null, numbers in their plain form.
+
+    Zero, false and empty values count as missing, as they always have in card files.
+    """
+    s, low = F.trim(raw), F.lower(F.trim(raw))
+    whole = F.regexp_replace(s, r"^(-?)0+(?=\d)", "$1")
+    plain = F.regexp_replace(F.regexp_replace(whole, r"0+$", ""), r"\.$", ".0")
+    return (
+        F.when(s.rlike(r"""(?s)^(".*"|'.*')$""") & (F.length(s) > 1), F.nullif(F.substr(s, F.lit(2), F.length(s) - 2), F.lit("")))
+        .when(low.isin("", "null", "none", "~", "false", "no", "off"), None).when(low.isin("true", "yes", "on"), "True")
+        .when(s.rlike(r"^-?\d+$"), F.when(~s.rlike("^-?0+$"), whole)).when(s.rlike(r"^-?\d+\.\d+$"), F.when(~s.rlike(r"^-?0+\.0+$"), plain)).otherwise(s))
+
+
 def front_matter(block: Column) -> Column:
-    """(key, value) of "key: value" lines in order, values raw; comments and list items are left out."""
-    lines = F.filter(F.split(block, "\r?\n", -1), lambda x: x.rlike(r"^[A-Za-z_]\w*\s*:") & ~x.startswith("#"))
-    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^\w+\s*:", "")), r'^"(.*)"$', "$1")
-    return F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^(\w+)\s*:", 1)).alias("key"), value(x).alias("value")))
+    """(key, value, items) of "key: value" lines in order, indented ones too, values raw; items: the "- item" lines that follow, raw."""
+    lines = F.filter(F.transform(F.split(block, "\r?\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & (x.startswith("- ") | F.contains(x, F.lit(":"))))
+    empty = F.array().cast("array<struct<key:string,value:string,items:array<string>>>")
 
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        more = F.struct(last["key"].alias("key"), last["value"].alias("value"), F.concat(last["items"], F.array(F.trim(F.substring(x, 3, 1 << 30)))).alias("items"))
+        new = F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"), F.array().cast("array<string>").alias("items"))
+        item = F.when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more)))
+        return F.when(x.startswith("- "), item).otherwise(F.concat(acc, F.array(new)))
 
-def value_of(pairs: Column, key: str) -> Column:
-    """The last value of a key, null if it is missing or empty."""
-    return F.nullif(F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"], F.lit(""))
+    return F.aggregate(lines, empty, step)
+
+
+def _last(pairs: Column, key: str) -> Column:
+    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))
 
 
-def inline_list(raw: Column) -> Column:
-    """[a, b] or a single value as a list."""
-    inner = F.regexp_replace(raw, r"^\[|\]$", "")
-    return F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r'^["\x27]|["\x27]$', "")), lambda x: x != "")
+def value_of(pairs: Column, key: str) -> Column:
+    """The last value of a key, null if it is missing or empty."""
+    return scalar(_last(pairs, key)["value"])
 
 
-def block_list(block: Column, key: str) -> Column:
-    """Items of "- item" lines below a key."""
-    lines = F.regexp_extract(block, rf"(?m)^{key}\s*:[ \t]*\r?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))+)", 1)
-    items = F.transform(F.split(lines, "\r?\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[ \t]*-[ \t]+", "")), r'^["\x27]|["\x27]$', ""))
-    return F.filter(items, lambda x: x != "")
+def list_of(pairs: Column, key: str) -> Column:
+    """The last value of a key as a list: [a, b], the items below it, or a list of the value itself."""
+    last = _last(pairs, key)
+    raw, items = last["value"], last["items"]
+    inner = F.split(F.regexp_replace(raw, r"^\[|\]$", ""), ",")
+    given = F.when(raw.rlike(r"^\[.*\]$"), F.concat(inner, items)).when((F.size(items) > 0) | (raw == ""), items).otherwise(F.array(raw))
+    return F.coalesce(F.filter(F.transform(given, scalar), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
 def samples(texts: DataFrame, head: int = 3000, tail: int = 1200) -> DataFrame:
@@ -50,17 +73,24 @@ def samples(texts: DataFrame, head: int = 3000, tail: int = 1200) -> DataFrame:
     return texts.select("source", F.length("text").alias("chars"), F.substring("text", 1, head).alias("head"), F.when(long, F.right("text", F.lit(tail))).alias("tail"))
 
 
-def parsed_cards(files: DataFrame) -> DataFrame:
-    """Cards of (path, text); files without front matter or id have a problem instead."""
-    block = F.regexp_extract("text", FENCED, 1)
-    m = front_matter(block)
-    base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$")).withColumn("m", m)
+def parsed_cards(files: DataFrame, today: Column | None = None) -> DataFrame:
+    """Cards of (path, text); files without front matter or id have a problem instead.
+
+    A card without a type is a lesson, one without a status active.  Dates may
+    be words like "today", which mean days before or at `today`, the current
+    time if not given.
+    """
+    today = F.current_timestamp() if today is None else today
+    m = front_matter(F.regexp_extract("text", FENCED, 1))
+    base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$")).withColumn("m", F.when(F.col("text").rlike(FENCED), m))
     get = lambda k: value_of(F.col("m"), k)
-    texts = [get(k).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
+    defaults = {"type": "lesson", "status": "active"}
+    texts = [(F.coalesce(get(k), F.lit(defaults[k])) if k in defaults else get(k)).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
+    number = lambda k, default: F.coalesce(_last(F.col("m"), k)["value"].try_cast("double"), get(k).try_cast("double"), F.lit(default)).alias(k)
     return base.select(
-        "path", *texts, F.coalesce(get("confidence").try_cast("double"), F.lit(0.8)).alias("confidence"), F.coalesce(get("importance").try_cast("double"), F.lit(0.6)).alias("importance"),
-        *[parsed(get(k)).alias(k) for k in ("recorded_at", "ended_at", "last_hit")], get("review_after").try_cast("date").alias("review_after"), get("valid_from").try_cast("date").alias("valid_from"), get("valid_to").try_cast("date").alias("valid_to"), F.coalesce(get("hits").try_cast("int"), F.lit(0)).alias("hits"),
-        *[F.coalesce(inline_list(get(k)), block_list(block, k)).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
+        "path", *texts, number("confidence", 0.8), number("importance", 0.6), *[parsed(get(k)).alias(k) for k in ("recorded_at", "ended_at", "last_hit")],
+        *[normalized_date(get(k), today).try_cast("date").alias(k) for k in ("review_after", "valid_from", "valid_to")], F.coalesce(get("hits").try_cast("double").try_cast("int"), F.lit(0)).alias("hits"),
+        *[list_of(F.col("m"), k).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
         F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"),
         F.when(~F.col("text").rlike(FENCED), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
 
@@ -147,12 +177,27 @@ def structure(texts: DataFrame) -> DataFrame:
         whole.alias("json_valid"), root.alias("json_root"))
 
 
+# The keys of a card file in their order, and its schema's number.
+KEYS = ("id", "type", "title", "subject", "predicate", "value", "status", "confidence", "importance", "valid_from", "valid_to", "recorded_at", "ended_at", "source", "links", "tags", "aliases", "hits", "last_hit", "supersedes", "superseded_by", "review_after", "schema")
+SCHEMA = "1"
+
+
+def _shown(cards: DataFrame, key: str) -> Column:
+    """A key's value as a card file has it: texts in quotes, lists in brackets, times to the second."""
+    kind = cards.schema[key].dataType.simpleString() if key in cards.columns else None
+    if kind is None:
+        return F.lit(SCHEMA) if key == "schema" else F.lit(None).cast("string")
+    x = F.col(key)
+    if kind.startswith("array"):
+        return F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+    if kind.startswith("timestamp"):
+        return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+    return quoted(x) if kind == "string" else x.cast("string")
+
+
 def rendered(cards: DataFrame) -> DataFrame:
-    """(path, text): each card as a front-matter file."""
-    keys = [k for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source") if k in cards.columns]
-    lines = [F.concat(F.lit(f"{k}: "), quoted(F.col(k).cast("string"))) for k in keys]
-    lines += [F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in ("confidence", "importance", "valid_from", "valid_to", "hits") if k in cards.columns]
-    lines += [F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]"))] if "tags" in cards.columns else []
+    """(path, text): each card as a front-matter file with the keys that it has values for."""
+    lines = [F.concat(F.lit(f"{k}: "), _shown(cards, k)) for k in KEYS]
     text = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
     return cards.select(F.concat(F.col("type"), F.lit("/"), F.col("id"), F.lit(".md")).alias("path"), text.alias("text"))
 

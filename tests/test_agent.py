@@ -10,7 +10,7 @@ from slotwise.operators import upkeep as U
 
 @pytest.mark.parametrize(("text", "want"), [
     ('{"cards": [{"title": "t"}]}', 1), ('```json\n[{"name": "t"}, {"name": "u"}]\n```', 2), ('Here: {"memories": [{"title": "x"}]} done', 1),
-    ('{"card": {"title": "x"}}', 1), ('{"title": "x"}', 1), ("nothing", 0), (None, 0), ("[1, 2]", 0), ('{"a": [{"title": "x"}, {"title": "y"}]}', 2)])
+    ('{"card": {"title": "x"}}', 1), ('{"title": "x"}', 0), ('I saw {"foo": 1} there', 0), ('so {"cards": 1} and [{"title": "x"}]', 1), ("nothing", 0), (None, 0), ("[1, 2]", 0), ('{"a": [{"title": "x"}, {"title": "y"}]}', 2)])
 def test_loose_results(text, want):
     assert len(A.cards_in(A.loose(text))) == want
 
@@ -26,8 +26,8 @@ def test_coercion(spark):
 
 
 def test_recipes(spark):
-    df = spark.createDataFrame([("a", "jsonl", {"t": "a[].b"}), ("b", "jsonl", {"t": "a..b"}), ("c", "magic", None)], "id string, s string, f map<string,string>")
-    assert {r["id"]: r["p"] for r in df.select("id", A.recipe_problem(F.col("s"), F.col("f")).alias("p")).collect()} == {"a": None, "b": "bad_path", "c": "unknown_strategy"}
+    df = spark.createDataFrame([("a", "jsonl", {"t": "a[].$b"}), ("b", "jsonl", {"t": "a..b"}), ("c", "magic", None), ("d", "record_separator", None), ("e", "separator", None)], "id string, s string, f map<string,string>")
+    assert {r["id"]: r["p"] for r in df.select("id", A.recipe_problem(F.col("s"), F.col("f")).alias("p")).collect()} == {"a": None, "b": "bad_path", "c": "unknown_strategy", "d": None, "e": "unknown_strategy"}
 
 
 def test_fields_and_lists_of_loose_cards(spark):
@@ -38,7 +38,7 @@ def test_fields_and_lists_of_loose_cards(spark):
     assert [r["error"] for r in got] == [None, None, "no_cards", "no_json"]
     many = '{"cards": [' + ",".join(['{"title": "t"}'] * 70) + "]}"
     df = spark.createDataFrame([("1", many)], "chunk string, text string")
-    assert A.extracted(df).count() == 60 and A.extracted(df, A.MOST_OF_CHUNK).count() == 40
+    assert A.extracted(df).count() == 60 and A.of_chunks(df).count() == 40
 
 
 def test_normalised_cards(spark):

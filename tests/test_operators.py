@@ -130,10 +130,13 @@ def test_markdown_sections(spark):
 
 
 def test_log_and_turns(spark):
-    log = R.log_lines(texts(spark, "head\n2024-01-01 10:00 a\nmore\n2024-01-01 10:01 b")).orderBy("seq").collect()
-    assert [r["text"].split("\n")[0] for r in log] == ["head", "2024-01-01 10:00 a", "2024-01-01 10:01 b"]
-    turns = R.turns(texts(spark, "User: hi\nthere\nassistant：yes")).orderBy("seq").collect()
-    assert [r["section"] for r in turns] == ["user", "assistant"]
+    log = R.log_lines(texts(spark, "head\n2024-01-01 10:00 a\nmore\n (2024/01/01) b\n10:01:00 c\n10:01 d")).orderBy("seq").collect()
+    assert [r["text"] for r in log] == ["head", "2024-01-01 10:00 a\nmore", "(2024/01/01) b", "10:01:00 c\n10:01 d"]
+    assert [r["section"] for r in log] == [None, "2024-01-01", "2024/01/01", "10:01:00"]
+    turns = R.turns(texts(spark, "User: hi\nthere\nassistant:yes\n用户: x\nAI: hello\n\nHuman:\n \nhuman: y")).orderBy("seq").collect()
+    assert [r["section"] for r in turns] == ["User:", "assistant:", "用户:", "AI:", "human:"]
+    assert [r["text"] for r in turns] == ["User::\nhi\nthere", "assistant::\nyes", "用户::\nx", "AI::\nhello", "human::\ny"]
+    assert [r["text"] for r in R.turns(texts(spark, "so\nA. b\nB+ c\nA d"), "A.|B+").orderBy("seq").collect()] == ["(未标注):\nso", "A.:\nb", "B+:\nc\nA d"]
 
 
 def test_csv_quotes(spark):
@@ -142,7 +145,7 @@ def test_csv_quotes(spark):
 
 
 def test_recipe_dispatch(spark):
-    df = spark.createDataFrame([("a", "x\ny", "lines"), ("b", "x\n\ny", "blank_line"), ("c", "x\ny", "strange"), ("d", "x\n---\ny\n---\n...", "separator")], "source string, text string, strategy string")
+    df = spark.createDataFrame([("a", "x\ny", "lines"), ("b", "x\n\ny", "blank_line"), ("c", "x\ny", "strange"), ("d", "x\n---\ny\n---\n...", "record_separator")], "source string, text string, strategy string")
     got = R.by_recipe(df).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in got} == {"a": 2, "b": 2, "c": 1, "d": 2}
 

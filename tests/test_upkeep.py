@@ -46,7 +46,7 @@ def test_recipes(spark):
     rows = [("a", '[{"role": "u", "content": "c"}, 5]', "json_array"), ("b", '{"role": "u", "content": [{"text": "x"}]}\nbad', "jsonl"), ("c", "?", "whole"), ("d", "[", "json_array"), ("e", "k,v\n1,2", "csv"), ("f", "hi\nUser: a", "conversation")]
     df = texts(spark, *rows, columns="source string, text string, strategy string")
     got = {s: [r["text"] for r in sorted(R.by_recipe(df).collect(), key=lambda r: r["seq"]) if r["source"] == s] for s, _, _ in rows}
-    assert got == {"a": ["角色: u\n内容: c", "5"], "b": ["角色: u\n内容: x", "bad"], "c": [], "d": [], "e": ["k: 1\nv: 2"], "f": ["hi", "User: a"]}
+    assert got == {"a": ["角色: u\n内容: c", "5"], "b": ["角色: u\n内容: x", "bad"], "c": [], "d": [], "e": ["k: 1\nv: 2"], "f": ["(未标注):\nhi", "User::\na"]}
     said = {(r["source"], r["warning"]) for r in R.recipe_warnings(df.withColumn("strategy", F.when(F.col("source") == "e", "magic").otherwise(F.col("strategy")))).collect()}
     assert said == {("c", "noise_dropped"), ("d", "noise_dropped"), ("e", "unknown_strategy")}
 
@@ -79,10 +79,11 @@ def card(spark, *rows):
 
 
 def test_decisions(spark):
-    c = card(spark, ("1", 1, "m", "t", "v", "long body"), ("2", 2, "m", "t", "w", ""), ("3", 3, "d", "t", "v", ""), ("4", 4, "x", "t", "v", ""), ("5", 5, "k", "t", "v", "b"), ("6", 6, "k", "t", "v", "b"), ("7", 7, "o", "t", None, None))
-    d = spark.createDataFrame([("m", "merge"), ("d", "dispute"), ("x", "drop"), ("k", "keep-first")], "slot string, action string")
+    c = card(spark, ("1", 1, "m", "t", "v", "long body"), ("2", 2, "m", "t", "w", ""), ("3", 3, "d", "t", "v", ""), ("4", 4, "x", "t", "v", ""), ("5", 5, "k", "t", "v", "b"), ("6", 6, "k", "t", "v", "b"), ("7", 7, "o", "t", None, None), ("8", 8, "d", "t", "v", ""), ("9", 9, "x", "t", "v", ""), ("10", 10, "l", "t", "v", "lone"))
+    # a slot of one card has no conflict to decide
+    d = spark.createDataFrame([("m", "merge"), ("d", "dispute"), ("x", "drop"), ("k", "keep-first"), ("l", "drop"), ("o", "supersede")], "slot string, action string")
     got = {r["id"]: (r["status"], r["body"]) for r in U.decided(c, d).collect()}
-    assert got == {"1": ("active", "long body\n\nw\n\n> merged 1 cards of this slot"), "3": ("disputed", ""), "5": ("active", "b"), "7": ("active", None)}
+    assert got == {"1": ("active", "long body\n\nw\n\n> merged 1 cards of this slot"), "3": ("disputed", ""), "8": ("disputed", ""), "5": ("active", "b"), "7": ("active", None), "10": ("active", "lone")}
 
 
 def test_chains_end_or_are_cycles(spark):
