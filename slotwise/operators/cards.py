@@ -144,20 +144,96 @@ def _value_pairs(values: DataFrame, least: float = 0.0) -> DataFrame:
     return pairs.select("slot", "va", "vb", T.similarity_of(F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= least)
 
 
+#: Different values of a slot up to which they are compared each with each; beyond, candidates are looked for.
+FEW = 64
+
+
+def _by_size(values: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Values of slots with few different ones, and of those with many, if there are any."""
+    many = values.groupBy("slot").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("slot")
+    if many.isEmpty():
+        return values, None
+    return values.join(many, "slot", "left_anti"), values.join(many, "slot", "left_semi")
+
+
+def shared_at_least(n: Column, m: Column, least: float) -> Column:
+    """How many bigrams values of n and m of them must share to be at least so similar, whatever their lengths."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(least) / (0.7 / (n + m) + 0.65 / F.least(n, m)) - 1e-6)).cast("int")
+
+
+def prefixes(values: DataFrame, least: float) -> DataFrame:
+    """(slot, t, i, v, n): the rarest bigrams t of each value, as many of its n as no value that similar can do without, numbered from 0.
+
+    Bigrams are ranked by how many of the slot's values have them.  If two
+    values share k bigrams, then they share one of the first n - k + 1.
+    """
+    each = values.select("slot", "v", F.explode("g").alias("t"))
+    often = each.groupBy("slot", "t").agg(F.count("*").alias("f"))
+    ranked = each.join(often, ["slot", "t"]).groupBy("slot", "v").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    n = F.size("ts")
+    share = max(0.0, (least - 0.65) / 0.7)
+    # the smallest partner that can be so similar at all needs the fewest in common
+    smallest = F.greatest(F.lit(1), F.ceil(n * (share / (1 - share)) - 1e-6))
+    kept = n - shared_at_least(n, smallest, least) + 1
+    return ranked.select("slot", "v", n.alias("n"), F.posexplode(F.slice("ts", F.lit(1), kept)).alias("i", "x")).select("slot", F.col("x.t").alias("t"), "i", "v", "n")
+
+
+def candidates(a: DataFrame, b: DataFrame, least: float, ordered: bool = False) -> DataFrame:
+    """(slot, va, vb) of prefix rows that may be at least so similar, each pair once; ordered: of one set, va before vb."""
+    left = a.select("slot", "t", F.col("i").alias("ia"), F.col("v").alias("va"), F.col("n").alias("na"))
+    right = b.select("slot", "t", F.col("i").alias("ib"), F.col("v").alias("vb"), F.col("n").alias("nb"))
+    k = shared_at_least(F.col("na"), F.col("nb"), least)
+    fits = (k <= F.least("na", "nb")) & (F.col("ia") <= F.col("na") - k) & (F.col("ib") <= F.col("nb") - k)
+    return left.join(right, ["slot", "t"]).where(fits & (F.col("va") < F.col("vb") if ordered else F.col("va") != F.col("vb"))).select("slot", "va", "vb").distinct()
+
+
+def _compared(pairs: DataFrame, least: float) -> DataFrame:
+    sim = T.similarity_of(F.col("va"), F.col("vb"), T.bigrams(F.col("va")), T.bigrams(F.col("vb")))
+    return pairs.withColumn("sim", sim).where(F.col("sim") >= least)
+
+
+def _found_pairs(values: DataFrame, least: float) -> DataFrame:
+    """_value_pairs of slots with many values, by their rarest bigrams."""
+    rows = prefixes(values, least)
+    return _compared(candidates(rows, rows, least, ordered=True), least)
+
+
+#: Similarities from which the most similar pair of a slot with many values is looked for, one after another.
+STEPS = (NEAR, 0.7, 0.4, 0.0)
+
+
 def slot_similarity(cards: DataFrame) -> DataFrame:
     """(slot, sim): the largest similarity of two cards' values in each slot with several cards.
 
-    Cards of one value are counted, not paired; only different values meet.
+    Cards of one value are counted, not paired; only different values meet.  In
+    slots with many values the most similar pair is looked for from high
+    similarities down, and a slot is done with the first step that finds one.
     """
-    values = _values(cards)
+    values = kept_apart(_values(cards))
     same = values.where("n > 1").select("slot", F.when(F.col("v") == "", 0.0).otherwise(1.0).alias("sim"))
-    return _value_pairs(values).select("slot", "sim").unionByName(same).groupBy("slot").agg(F.max("sim").alias("sim"))
+    few, many = _by_size(values)
+    found = _value_pairs(few).select("slot", "sim").unionByName(same)
+    if many is not None:
+        # two equal values can't be surpassed
+        rest = kept_apart(many.join(same.where("sim = 1"), "slot", "left_anti"))
+        for least in STEPS:
+            best = kept_apart(_found_pairs(rest, least).groupBy("slot").agg(F.max("sim").alias("sim")))
+            found = found.unionByName(best)
+            rest = kept_apart(rest.join(best, "slot", "left_anti"))
+            if rest.isEmpty():
+                break
+        # no two values of what is left share anything
+        found = found.unionByName(rest.select("slot", F.lit(0.0).alias("sim")).distinct())
+    return found.groupBy("slot").agg(F.max("sim").alias("sim"))
 
 
 def near_pairs(cards: DataFrame, least: float = NEAR, left: str = "num") -> DataFrame:
     """(a, b, sim) of two cards of a slot, the first by number first, whose values are at least so similar."""
-    values = _values(cards)
-    near = _value_pairs(values, least).select("slot", "va", "vb", "sim")
+    values = kept_apart(_values(cards))
+    few, many = _by_size(values)
+    near = _value_pairs(few, least).select("slot", "va", "vb", "sim")
+    if many is not None:
+        near = near.unionByName(_found_pairs(many, least).select("slot", "va", "vb", "sim"))
     same = values.where("n > 1 and v <> ''").select("slot", F.col("v").alias("va"), F.col("v").alias("vb"), F.lit(1.0).alias("sim"))
     both = near.unionByName(same)
     v = cards.select("slot", left, "id", T.comparable(F.col("value")).alias("v"))
@@ -178,21 +254,71 @@ def internal_conflicts(cards: DataFrame) -> DataFrame:
     return g.join(sims, "slot").select("slot", "n", F.when(F.col("values") == 1, "duplicate").otherwise("divergent").alias("kind"), "similarity", action.alias("action"))
 
 
+def _kept_of(batch: DataFrame, least: float) -> DataFrame:
+    """Of values (slot, v, num, g), those that no kept value of a smaller number is near to: the first independent set.
+
+    A value without an undecided earlier neighbour stays, its later neighbours
+    go, and so on in rounds.
+    """
+    rows = prefixes(batch, least)
+    near = _compared(candidates(rows, rows, least, ordered=True), least)
+    of = batch.select("slot", "v", "num")
+    a, b = of.withColumnsRenamed({"v": "va", "num": "na"}), of.withColumnsRenamed({"v": "vb", "num": "nb"})
+    both = near.join(a, ["slot", "va"]).join(b, ["slot", "vb"])
+    swap = F.col("na") > F.col("nb")
+    edges = kept_apart(both.select("slot", F.when(swap, F.col("vb")).otherwise(F.col("va")).alias("early"), F.when(swap, F.col("va")).otherwise(F.col("vb")).alias("late")))
+    open_, kept = of, None
+    while True:
+        live = edges.join(open_.select("slot", F.col("v").alias("early")), ["slot", "early"], "left_semi").join(open_.select("slot", F.col("v").alias("late")), ["slot", "late"], "left_semi")
+        new = kept_apart(open_.join(live.select("slot", F.col("late").alias("v")), ["slot", "v"], "left_anti"))
+        kept = new if kept is None else kept.unionByName(new)
+        gone = live.join(new.select("slot", F.col("v").alias("early")), ["slot", "early"], "left_semi").select("slot", F.col("late").alias("v"))
+        open_ = kept_apart(open_.join(new.select("slot", "v"), ["slot", "v"], "left_anti").join(gone, ["slot", "v"], "left_anti"))
+        if open_.isEmpty():
+            return kept_apart(kept)
+
+
+def _first_wins(values: DataFrame, least: float = NEAR, batch: int = FEW) -> DataFrame:
+    """(slot, v, _lead, _into) of the values (slot, v, num, id) of slots with many: _into null for those that stay.
+
+    The first values of each slot are settled, what is near a kept one of them
+    goes, and a larger batch of the rest follows: so a large group of values
+    that are all near each other meets one or a few of them and not itself.
+    """
+    rest = kept_apart(values.withColumn("g", T.bigrams(F.col("v"))))
+    ids, told = values.select("slot", "num", F.col("id").alias("_lead")), None
+    while not rest.isEmpty():
+        first = kept_apart(rest.withColumn("_r", F.row_number().over(W.partitionBy("slot").orderBy("num"))).where(F.col("_r") <= batch).drop("_r"))
+        kept = _kept_of(first, least)
+        others = rest.join(kept.select("slot", "v"), ["slot", "v"], "left_anti")
+        stay = rest.join(kept.select("slot", "v"), ["slot", "v"], "left_semi")
+        near = _compared(candidates(prefixes(rest, least).join(stay.select("slot", "v"), ["slot", "v"], "left_semi"), prefixes(rest, least).join(others.select("slot", "v"), ["slot", "v"], "left_semi"), least), least)
+        own = near.join(stay.select("slot", F.col("v").alias("va"), F.col("num").alias("na")), ["slot", "va"]).join(others.select("slot", F.col("v").alias("vb"), F.col("num").alias("nb")), ["slot", "vb"])
+        into = kept_apart(own.where("na < nb").groupBy("slot", F.col("vb").alias("v")).agg(F.min("na").alias("na")))
+        out = stay.select("slot", "v", "num", F.lit(None).cast("long").alias("na")).unionByName(others.join(into, ["slot", "v"]).select("slot", "v", "num", F.col("na").cast("long").alias("na")))
+        told = out if told is None else told.unionByName(out)
+        rest = kept_apart(others.join(into.select("slot", "v"), ["slot", "v"], "left_anti"))
+        batch *= 8
+    named = told.join(ids, ["slot", "num"])
+    keepers = ids.select("slot", F.col("num").alias("na"), F.col("_lead").alias("_into"))
+    return named.join(keepers, ["slot", "na"], "left").select("slot", "v", "_lead", "_into")
+
+
 def deduplicated(cards: DataFrame) -> DataFrame:
     """Cards in order of num, first wins: reason null (kept), exact or near, and into which card.
 
     Equal digests go before any comparison, and cards of one value share their
-    fate, so only a slot's different values meet.  The fold compares a value
-    with those kept before it, which is linear in the kept ones; slots are
-    independent and are not gathered across.  A copy of a kept card is exact; a
-    copy of a near one is near, and into the same card.  Cards without a value
-    are near nothing.
+    fate, so only a slot's different values meet.  Few of them are folded in a
+    row; of many, `_first_wins` finds those that stay in rounds of joins.  A
+    copy of a kept card is exact; a copy of a near one is near, and into the
+    same card.  Cards without a value are near nothing.
     """
     first = F.row_number().over(W.partitionBy("digest").orderBy("num"))
     rows = cards.select("id", "num", "slot", T.comparable(F.col("value")).alias("v"), first.alias("_r"), F.first("id").over(W.partitionBy("digest").orderBy("num")).alias("_first"))
     uniq = rows.where("_r = 1")
-    values = uniq.where("v <> ''").groupBy("slot", "v").agg(F.min("num").alias("num"), F.min_by("id", "num").alias("id"))
-    grouped = values.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("num", "id", "v", T.bigrams(F.col("v")).alias("g")))).alias("cs"))
+    values = kept_apart(uniq.where("v <> ''").groupBy("slot", "v").agg(F.min("num").alias("num"), F.min_by("id", "num").alias("id")))
+    few, many = _by_size(values)
+    grouped = few.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("num", "id", "v", T.bigrams(F.col("v")).alias("g")))).alias("cs"))
     kept = "array<struct<id:string,v:string,g:array<string>>>"
     out = "array<struct<id:string,v:string,into:string>>"
     zero = F.struct(F.array().cast(kept).alias("k"), F.array().cast(out).alias("o"))
@@ -205,6 +331,8 @@ def deduplicated(cards: DataFrame) -> DataFrame:
         return F.struct(F.when(near, acc["k"]).otherwise(F.concat(acc["k"], F.array(own))).alias("k"), F.concat(acc["o"], F.array(said)).alias("o"))
 
     folded = grouped.select("slot", F.explode(F.aggregate("cs", zero, step, lambda a: a["o"])).alias("x")).select("slot", "x.v", F.col("x.id").alias("_lead"), F.col("x.into").alias("_into"))
+    if many is not None:
+        folded = folded.unionByName(_first_wins(many))
     # later cards of a kept value are near its first one
     into = F.when(F.col("id") == F.col("_lead"), F.col("_into")).otherwise(F.coalesce("_into", "_lead"))
     told = uniq.join(folded, ["slot", "v"], "left").select("id", "slot", F.when(into.isNotNull(), "near").alias("reason"), into.alias("into"))

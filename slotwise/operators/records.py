@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import text as T
 from slotwise.operators import nested
 from slotwise.operators.agent import recipe_problem
-from slotwise.operators.ordered import kept_apart, running
+from slotwise.operators.ordered import MAP, chained, kept_apart, running
 
 # What begins a record in Markdown, logs and YAML, and from where a paragraph is cut by sentences.
 HEADING = r"^#{1,3}\s+"
@@ -340,45 +341,112 @@ def limits(budget: float | None, most: float | None) -> tuple[int, int]:
     return max(64, int(budget)) if usable(budget) else BUDGET, int(most) if usable(most) else MOST_RECORDS
 
 
-def fitted(costs: list[int], alone: list[bool], budget: int, most: int) -> list[int]:
-    """Chunk numbers of records in order, next-fit: a record begins a chunk if it would not fit, or stands alone."""
-    out, chunk, used, n, shut = [], 0, 0, 0, False
-    for cost, by_itself in zip(costs, alone, strict=True):
-        if n and (used + cost > budget or n >= most or by_itself or shut):
-            chunk, used, n = chunk + 1, 0, 0
-        used, n, shut = used + cost, n + 1, by_itself
-        out.append(chunk)
-    return out
+#: Records that a block of the packing holds, at least.
+BLOCK = 1 << 17
+
+
+def successors(cost: np.ndarray, alone: np.ndarray, first: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """For each record, where the chunk after one that begins with it begins, next-fit.
+
+    A chunk ends before the record that would not fit, which sorted prefix sums
+    show, before one that stands alone or is a source's first, behind one that
+    stands alone, and after `most` records.
+    """
+    n = len(cost)
+    upto = np.cumsum(cost)
+    fits = np.searchsorted(upto, upto - cost + budget, "right")
+    stops = np.flatnonzero(first | alone | np.r_[False, alone[:-1]]) if n else np.zeros(0, np.int64)
+    stop = np.r_[stops, n][np.searchsorted(stops, np.arange(n), "right")]
+    return np.maximum(np.minimum(np.minimum(fits, stop), np.arange(n) + most), np.arange(n) + 1)
+
+
+def landings(after: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place at or behind `end` that the chunks from each place lead to, how many chunks begin before it), by pointer doubling."""
+    at = np.r_[np.minimum(after[:end], len(after)), np.arange(end, len(after) + 1)]
+    n = (np.arange(len(at)) < end).astype(np.int64)
+    while (at[:end] < end).any():
+        n, at = n + n[at], at[at]
+    return at, n
 
 
 def packed(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS) -> DataFrame:
     """(source, seq, part, chunk): next-fit packing in order; header records and windows of long records stay alone.
 
-    What meets in one row is a source's record sizes, not its texts.
+    However many records a source has, a task holds the sizes of a block of them.
     """
     budget, most = limits(budget, most)
     return _packed(sliced(records, budget), records, budget, most)
 
 
 def _packed(own: DataFrame, records: DataFrame, budget: int, most: int) -> DataFrame:
+    """The records of all sources in order are one sequence, dealt into blocks of a fixed number of them.
+
+    A block also sees as many of the next one's records as a chunk may have, so
+    it knows for each place where it may be entered where the next block will
+    be; these maps are chained.  Then a block's chunks follow from its entry.
+    """
     alone = F.coalesce((F.col("kind") == META) | F.endswith("kind", F.lit("-part")), F.lit(False)) if "kind" in records.columns else F.lit(False)
-    items = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "part", (F.col("chars") + 2).alias("cost"), alone.alias("alone")))).alias("xs"))
-
-    def run(batches):
-        for b in batches:
-            xs = b.column(1)
-            flat = xs.flatten()
-            cost, by_itself = (flat.field(k).to_pylist() for k in ("cost", "alone"))
-            sizes = xs.value_lengths().to_pylist()
-            chunk, at = [], 0
-            for n in sizes:
-                chunk += fitted(cost[at : at + n], by_itself[at : at + n], budget, most)
-                at += n
-            owner = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), flat.field("seq"), flat.field("part"), pa.array(chunk, pa.int32())], ["source", "seq", "part", "chunk"])
-
-    kind = records.schema["source"].dataType.simpleString()
-    return items.mapInArrow(run, f"source {kind}, seq int, part int, chunk int")
+    longest = max(1, min(most, budget // 2))
+    size = max(BLOCK, 4 * longest)
+    items = running(own.select("source", "seq", "part", (F.col("chars") + 2).cast("long").alias("cost"), alone.alias("alone")), ["source", "seq", "part"], None, "_i")
+    block, place = F.expr(f"_i div {size}"), F.col("_i") % size
+    # the block before sees the first records of this one, the block behind its last
+    seen = F.array(block, F.when((place < longest) & (block > 0), block - 1), F.when(place == size - 1, block + 1))
+    dealt = items.withColumn("b", F.explode(F.filter(seen, lambda x: x.isNotNull())))
+    n = 1 + (items.agg(F.max("_i")).first()[0] or 0)
+    many = n > size
+    if many:
+        dealt = kept_apart(dealt)
+
+    def parts(table: pa.Table):
+        table = table.sort_by("_i").combine_chunks()
+        b, at = table.column("b")[0].as_py(), table.column("_i").to_numpy()
+        # a source is told from its predecessor's, nulls being one
+        code = table.column("source").combine_chunks().dictionary_encode(null_encoding="encode")
+        code = np.asarray(code.indices)
+        first = np.r_[True, code[1:] != code[:-1]]
+        low, end = np.searchsorted(at, [b * size, (b + 1) * size])
+        cost, by_itself = (table.column(k).to_numpy(zero_copy_only=False)[low:] for k in ("cost", "alone"))
+        first = first[low:]
+        return table, low, end - low, first, successors(cost, by_itself.astype(bool), first, budget, most)
+
+    def maps(table: pa.Table) -> pa.Table:
+        table, low, end, first, after = parts(table)
+        b = table.column("b")[0].as_py()
+        lands, count = landings(after, end)
+        firsts = np.flatnonzero(first[:end])
+        reset = bool(len(firsts))
+        entries = np.minimum(np.arange(longest), end)
+        exits = np.minimum(lands[entries] - end, longest - 1)
+        since = np.full(longest, count[firsts[-1]]) if reset else count[entries]
+        return pa.table([pa.array([b], pa.int64()), pa.array([exits.tolist()], pa.list_(pa.int32())), pa.array([since.tolist()], pa.list_(pa.int64())), pa.array([reset])], ["b", "exits", "since", "reset"])
+
+    def assigned(table: pa.Table, entry: int, before: int) -> pa.Table:
+        table, low, end, first, after = parts(table)
+        starts = np.zeros(end, np.int64)
+        after, i = after.tolist(), entry
+        while i < end:
+            starts[i] = 1
+            i = after[i]
+        number = np.cumsum(starts) + before - 1
+        # chunks are numbered from a source's first on
+        firsts = np.flatnonzero(first[:end])
+        if len(firsts):
+            which = np.searchsorted(firsts, np.arange(end), "right") - 1
+            number = np.where(which >= 0, number - number[firsts[np.maximum(which, 0)]], number)
+        own = table.slice(low, end)
+        return pa.table([own.column("source"), own.column("seq"), own.column("part"), pa.array(number.astype(np.int32))], ["source", "seq", "part", "chunk"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    out = f"source {kinds['source']}, seq {kinds['seq']}, part {kinds['part']}, chunk int"
+    if not many:
+        return dealt.groupBy("b").applyInArrow(lambda t: assigned(t, 0, 0), out)
+    entries = chained(kept_apart(dealt.groupBy("b").applyInArrow(maps, MAP)), -(-n // size))
+
+    def entered(table: pa.Table, at: pa.Table) -> pa.Table:
+        return assigned(table, at.column("entry")[0].as_py(), at.column("before")[0].as_py())
+
+    return dealt.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(entered, out)
 
 
 def chunks(records: DataFrame, budget: float | None = BUDGET, most: float | None = MOST_RECORDS, cap: int | None = None) -> DataFrame:
