@@ -373,16 +373,16 @@ def uncovered(incoming: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(incoming.select("slot"), "slot", "left_anti").groupBy("slot").agg(F.count("*").alias("n"))
 
 
-def truth_table(cards: DataFrame) -> DataFrame:
-    """(slot, current, members, needs_human) of slots with several active or disputed cards, members from the newest.
+def truth_table(cards: DataFrame, *within: str) -> DataFrame:
+    """(slot, current, members, needs_human) of slots with several active or disputed cards, members from the newest; for each value of the columns `within`.
 
     Cards count from when they became valid, else from when they were recorded;
     cards without both parts of their slot are in none.
     """
     rows = cards.where("status in ('active', 'disputed') and coalesce(subject, '') <> '' and coalesce(predicate, '') <> ''").withColumn("_at", F.coalesce(F.col("valid_from").cast("timestamp"), F.col("recorded_at")))
     last = F.struct("_at", "num")
-    g = rows.groupBy("slot").agg(F.max_by("id", last).alias("current"), F.sort_array(F.collect_list(F.struct("_at", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
-    return g.where(F.size("m") >= 2).select("slot", "current", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), "needs_human")
+    g = rows.groupBy(*within, "slot").agg(F.max_by("id", last).alias("current"), F.sort_array(F.collect_list(F.struct("_at", "num", "id")), asc=False).alias("m"), F.bool_or(F.col("status") == "disputed").alias("needs_human"))
+    return g.where(F.size("m") >= 2).select(*within, "slot", "current", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), "needs_human")
 
 
 def types_by_count(cards: DataFrame) -> DataFrame:

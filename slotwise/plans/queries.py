@@ -16,6 +16,7 @@ from slotwise.operators import agent as A
 from slotwise.operators import cards as C
 from slotwise.operators import intake as I
 from slotwise.operators import records as R
+from slotwise.operators import search as Q
 from slotwise.operators import upkeep as U
 from slotwise.sources import cards as S
 from slotwise.sources.claims import CLAIMS_SQL, REF_TS, claims
@@ -455,6 +456,54 @@ def m7_search(spark, sf_dir):
     return C.search(claims(spark, sf_dir), QUERY, REF_TS).select("id", F.round("score", 9).alias("score"), "lexical", "slot_exact", "tag_hit", "alias_hit")
 
 
+#: A query for each supplier, of four kinds.
+ASKED_SQL = """, asked AS (SELECT s_suppkey AS qid, CASE s_suppkey % 4 WHEN 0 THEN 'click by ' || s_suppkey || ' on k1 card' WHEN 1 THEN 'What of User:' || s_suppkey || ', reply-style of team all?' WHEN 2 THEN 'reply_style in team:all, no longer k=' || s_suppkey ELSE 'ERROR card number ' || s_suppkey END AS q FROM supplier)"""
+
+
+def _asked(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    j = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    n = F.col("s_suppkey") % 4
+    q = F.when(n == 0, j("click by ", k, " on k1 card")).when(n == 1, j("What of User:", k, ", reply-style of team all?")).when(n == 2, j("reply_style in team:all, no longer k=", k)).otherwise(j("ERROR card number ", k))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("qid"), q.alias("query"))
+
+
+def _search_many_sql() -> str:
+    words = r"list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda w: lower(w)))"
+    pen = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PENALTIES.items()) + " END"
+    w = WEIGHTS
+    return ASKED_SQL + f""", a AS MATERIALIZED (SELECT qid, lower(q) AS flat, regexp_replace(lower(q), '[_:-]', '', 'g') AS compact, {words.format('q')} AS ts FROM asked),
+ h AS MATERIALIZED (SELECT *, {words.format("concat_ws(' ', title, value, body, array_to_string(tags, ' '), predicate)")} AS hay, {words.format("array_to_string(aliases, ' ')")} AS ats, lower(array_to_string(aliases, ' ')) AS names, split_part(split_part(slot, '::', 1), ':', -1) AS last, replace(split_part(slot, '::', 2), '_', '') AS pred,
+  importance * {w['importance']}::DOUBLE + confidence * {w['confidence']}::DOUBLE + power(0.5, {AGE_SQL} / 180.0) * {w['recency']}::DOUBLE + least(1.0, ln(1.0 + hits) / ln(21.0::DOUBLE)) * {w['reuse']}::DOUBLE AS prior, {pen} AS penalty FROM claims WHERE status = 'active'),
+ s AS (SELECT qid, id, num, prior, penalty, len(list_intersect(ts, hay))::DOUBLE / len(ts) AS lexical, (CASE WHEN last <> '' AND contains(compact, last) THEN 0.6 ELSE 0.0 END + CASE WHEN length(split_part(slot, '::', 2)) > 2 AND contains(compact, pred) THEN 0.6 ELSE 0.0 END)::DOUBLE AS slot_exact,
+  CASE WHEN len(list_filter(tags, lambda t: contains(flat, lower(t)))) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS tag_hit, (CASE WHEN len(list_intersect(ts, ats)) > 0 THEN least(1.0, len(list_intersect(ts, ats)) / least(len(ts), 6)::DOUBLE) WHEN names <> '' AND contains(flat, names) THEN 1.0 ELSE 0.0 END)::DOUBLE AS alias_hit FROM a, h),
+ z AS (SELECT *, lexical * {w['lexical']}::DOUBLE + slot_exact * {w['slot_exact']}::DOUBLE + tag_hit * {w['tag_hit']}::DOUBLE + alias_hit * {w['alias_hit']}::DOUBLE AS relevance FROM s), y AS (SELECT *, relevance * (1 + prior) + penalty AS score FROM z),
+ best AS (SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, num))::INTEGER AS rank, id, round(score, 9) AS score, lexical, slot_exact, tag_hit, alias_hit FROM y WHERE relevance > 0 AND score > 0 QUALIFY rank <= 8)"""
+
+
+@query(_search_many_sql() + " SELECT * FROM best")
+def m7_many_queries(spark, sf_dir):
+    """A query for each supplier, all at once, over an inverted index."""
+    found = Q.search_many(claims(spark, sf_dir), _asked(spark, sf_dir), REF_TS)
+    return found.withColumn("score", F.round("score", 9))
+
+
+NAMED_SQL = ASKED_SQL + r""", named AS (SELECT qid, unnest(list_distinct(list_transform(regexp_extract_all(q, '[\w-]+:[\w-]+'), lambda x: lower(x)))) AS subject FROM asked)"""
+
+
+@query(NAMED_SQL + " SELECT qid, id FROM named JOIN claims ON lower(claims.subject) = named.subject")
+def m7_same_slot(spark, sf_dir):
+    return Q.same_slot(claims(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(_search_many_sql() + NAMED_SQL.replace(ASKED_SQL, "") + """, x AS (SELECT qid, id FROM named JOIN claims ON lower(claims.subject) = named.subject), every AS (SELECT * FROM x UNION ALL SELECT qid, id FROM best WHERE qid NOT IN (SELECT qid FROM x))
+ SELECT qid, slot, first(id ORDER BY valid_from DESC, num DESC) AS current, string_agg(id, ',' ORDER BY valid_from DESC, num DESC) AS members, bool_or(status = 'disputed') AS needs_human FROM every JOIN claims USING (id) WHERE status IN ('active', 'disputed') GROUP BY qid, slot HAVING count(*) >= 2""")
+def m7_contested(spark, sf_dir):
+    """What stands against each other in what the queries name, else in what they find."""
+    c, asked = claims(spark, sf_dir), _asked(spark, sf_dir)
+    return Q.contested(c, asked, Q.search_many(c, asked, REF_TS))
+
+
 @query(f", {TYPES_SQL} SELECT id, floor(coalesce(ttl_days, 365) * (0.7 + 0.6 * importance))::BIGINT AS ttl FROM claims LEFT JOIN types USING (type)")
 def m9_ttl(spark, sf_dir):
     return C.with_type(claims(spark, sf_dir)).select("id", D.effective_ttl(F.col("ttl_days"), F.col("importance")).alias("ttl"))
