@@ -13,7 +13,7 @@ from slotwise.operators import cards as C
 from slotwise.operators import records as R
 from slotwise.operators import upkeep as U
 from slotwise.operators.ordered import shared_folder
-from slotwise.plans.queries import LINES_SQL, REF, _formatted, _texts, query
+from slotwise.plans.queries import LINES_SQL, REF, TRUTH_SQL, _formatted, _texts, query
 from slotwise.sources import cards as S
 from slotwise.sources import sinks
 from slotwise.sources.claims import claims
@@ -207,3 +207,52 @@ def st5_progress_stream(spark, sf_dir):
     results = log.select(F.col("id").alias("chunk"), F.when(F.col("hits") == 0, "no_cards").alias("error"))
     _finished(ST.progress_stream(results).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start())
     return spark.read.parquet(f"{at}/state").select(F.col("chunk").alias("id"), "cards", "errors")
+
+
+TTL_SQL = "recorded_at + to_hours(2 + num % 200)"
+
+
+@query(f", last AS (SELECT max(recorded_at) AS now FROM claims) SELECT id, strftime({TTL_SQL}, '%Y-%m-%d %H:%M:%S') AS expires_at FROM claims, last WHERE num % 10 <> 3 AND {TTL_SQL} + INTERVAL 1 MINUTE <= now")
+def st2_expirations(spark, sf_dir):
+    """Cards that live some hours, by timers of a stream; every tenth has no end.  What ends within the last minute may still be open."""
+    at, log = _log(spark, sf_dir)
+    num = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    # to the minute, as recorded
+    until = F.when(num % 10 != 3, F.timestamp_seconds(F.unix_timestamp("recorded_at") + 3600 * (2 + num % 200)))
+    with ST.timed_state(spark):
+        q = ST.expirations(log.withColumn("expires_at", until)).writeStream.outputMode("append").format("parquet").option("path", f"{at}/gone").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start()
+        _finished(q)
+    now = claims(spark, sf_dir).agg(F.max("recorded_at").alias("_now"))
+    gone = spark.read.parquet(f"{at}/gone").crossJoin(now).where(F.col("expires_at") + F.expr("INTERVAL 1 MINUTE") <= F.col("_now"))
+    return gone.select("id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+@query(TRUTH_SQL.replace("AND num % 11 <> 0", "").replace("CASE WHEN num % 2 = 1 THEN CAST(valid_from AS TIMESTAMP) END", "CAST(valid_from AS TIMESTAMP)") + " SELECT * FROM truth")
+def st3_truth_changes(spark, sf_dir):
+    """Every card is active first and gets its own state later; the changes of all slots, folded."""
+    at = _folder(spark)
+    c = claims(spark, sf_dir).select("id", "num", "slot", "status", F.col("valid_from").cast("timestamp").alias("since"))
+    c.withColumn("status", F.lit("active")).withColumn("version", F.lit(1).cast("long")).write.parquet(f"{at}/log/a")
+    c.withColumn("version", F.col("num") + 1).write.parquet(f"{at}/log/b")
+    log = spark.readStream.schema("id string, num long, slot string, status string, since timestamp, version long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000).parquet(f"{at}/log")
+
+    def keep(batch, number):
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/changes/b{number:09d}")
+
+    with ST.timed_state(spark):
+        _finished(ST.truth_changes(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start())
+    return ST.folded_changes(spark.read.parquet(f"{at}/changes/b*"))
+
+
+@query("SELECT n_name AS chunk, CASE n_nationkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'error' ELSE CASE WHEN n > 0 THEN 'ok' ELSE 'error' END END AS state, CASE WHEN n_nationkey % 3 = 2 THEN least(n, 60) ELSE 0 END AS cards FROM (SELECT n_name, n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)", None)
+def st5_result_files(spark, sf_dir):
+    """A chunk a nation, its result a file that has a card for each customer, or none, or is no JSON, or isn't there."""
+    at = _folder(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    card = F.struct(F.col("c_name").alias("title"), F.lit("lesson").alias("type"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey").groupBy("c_nationkey").agg(F.slice(F.collect_list(card), 1, 100).alias("cards"))
+    result = F.when(F.col("n_nationkey") % 3 == 1, "I found nothing to say").otherwise(F.to_json(F.struct(F.coalesce("cards", F.array().cast("array<struct<title:string,type:string>>")).alias("cards"))))
+    files = nation.where("n_nationkey % 3 > 0").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("chunk"), result.alias("value"))
+    files.repartition("chunk").write.partitionBy("chunk").text(f"{at}/results")
+    _finished(ST.task_progress(ST.result_files(spark, f"{at}/results", r"chunk=([^/]+)/"), nation.select(F.col("n_name").alias("chunk")), f"{at}/state", f"{at}/cp"))
+    return spark.read.parquet(f"{at}/state")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def audit_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,10 +30,11 @@ def upsert(path: str):
 
     A batch is written once below its own number, whatever the table's size, and
     written again if it is repeated; older batches are never read or rewritten.
+    Of rows of one time in a batch the one with the largest hash is kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), "recorded_at").alias("r")).select("r.*")
+        newest = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), F.struct("recorded_at", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
         newest.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/b{number:012d}")
 
     return write
@@ -93,3 +97,129 @@ def expiring(claims: DataFrame, ttl: str = "30 days", late: str = "0 seconds") -
 def progress_stream(results: DataFrame) -> DataFrame:
     """Cards and errors of each chunk so far, of a stream of extractor results (chunk, error); run in update mode."""
     return results.groupBy("chunk").agg(F.count_if(F.col("error").isNull()).alias("cards"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@contextmanager
+def timed_state(spark: SparkSession):
+    """Within it streams may be started whose state has timers and maps of its own, which takes the RocksDB state store."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def expirations(cards: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(id, expires_at) of a stream of cards (id, recorded_at, expires_at), each once event time has passed it; append mode, within timed_state.
+
+    State is the latest time of a card.  News of a card move its timer, news
+    with no time to live take it away, and when it fires the state goes too.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Expiry(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.until = handle.getValueState("until", "seen long, at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            newest = None
+            for b in rows:
+                r = b.loc[b["recorded_at"].idxmax()]
+                if newest is None or r["recorded_at"] > newest["recorded_at"]:
+                    newest = r
+            seen = newest["recorded_at"].value // 1_000_000
+            known = self.until.exists()
+            if not known or self.until.get()[0] <= seen:
+                for at in list(self.handle.listTimers()) if known else ():
+                    self.handle.deleteTimer(at)
+                if pd.isna(newest["expires_at"]):
+                    self.until.clear()
+                else:
+                    at = newest["expires_at"].value // 1_000_000
+                    self.until.update((seen, at))
+                    self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at = self.until.get()[1]
+            self.until.clear()
+            yield pd.DataFrame({"id": [key[0]], "expires_at": [pd.Timestamp(at, unit="ms")]})
+
+        def close(self):
+            pass
+
+    own = cards.withWatermark("recorded_at", late).select("id", "recorded_at", "expires_at")
+    return own.groupBy("id").transformWithStateInPandas(statefulProcessor=Expiry(), outputStructType="id string, expires_at timestamp", outputMode="Append", timeMode="EventTime")
+
+
+def truth_changes(cards: DataFrame) -> DataFrame:
+    """(slot, version, current, members, needs_human) whenever cards of a slot change; update mode, within timed_state.
+
+    cards: a stream of (id, num, slot, status, since, version): a card's state
+    from a version on, the largest of which holds.  A slot's cards are a map in
+    its state, of which only active and disputed ones stay.  A change that
+    leaves a slot with fewer than two of them says so by null members.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Truth(StatefulProcessor):
+        def init(self, handle):
+            self.cards = handle.getMapState("cards", "id string", "num long, since long, disputed boolean, live boolean, version long")
+            self.version = handle.getValueState("version", "n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            top = self.version.get()[0] if self.version.exists() else -1
+            for b in rows:
+                for r in b.itertuples(index=False):
+                    old = self.cards.getValue((r.id,)) if self.cards.containsKey((r.id,)) else None
+                    if old is None or old[4] <= r.version:
+                        since = -(2**62) if pd.isna(r.since) else r.since.value // 1000
+                        self.cards.updateValue((r.id,), (int(r.num), int(since), r.status == "disputed", r.status in ("active", "disputed"), int(r.version)))
+                    top = max(top, int(r.version))
+            self.version.update((top,))
+            live = sorted(((v[1], v[0], k[0], v[2]) for k, v in self.cards.iterator() if v[3]), reverse=True)
+            some = len(live) > 1
+            yield pd.DataFrame({"slot": [key[0]], "version": [top], "current": [live[0][2] if some else None], "members": [",".join(x[2] for x in live) if some else None], "needs_human": [any(x[3] for x in live) if some else None]})
+
+        def close(self):
+            pass
+
+    own = cards.select("id", "num", "slot", "status", "since", "version")
+    return own.groupBy("slot").transformWithStateInPandas(statefulProcessor=Truth(), outputStructType="slot string, version long, current string, members string, needs_human boolean", outputMode="Update", timeMode="None")
+
+
+def folded_changes(changes: DataFrame) -> DataFrame:
+    """The truth table that changes add up to, (slot, current, members, needs_human)."""
+    last = changes.groupBy("slot").agg(F.max_by(F.struct("current", "members", "needs_human"), F.struct("version", "_batch")).alias("r"))
+    return last.select("slot", "r.*").where("members is not null")
+
+
+def result_files(spark: SparkSession, path: str, chunk: str = r"([^/]+)\.result\.json$") -> DataFrame:
+    """A stream of (chunk, text) of the result files below a folder, as they appear; `chunk` finds a file's chunk in its path."""
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract(F.url_decode("_metadata.file_path"), chunk, 1).alias("chunk"), F.col("value").alias("text")).where("chunk <> ''")
+
+
+def task_progress(results: DataFrame, manifest: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the state of each chunk of a manifest (chunk) under a path, from a stream of result files (chunk, text): missing, error or ok, and its cards.
+
+    The counts of chunks with results are the stream's state; each batch joins
+    the manifest to them, so chunks without results are seen.
+    """
+    from slotwise.operators.agent import extracted
+
+    counts = progress_stream(extracted(results).select("chunk", "error"))
+
+    def keep(batch: DataFrame, _: int) -> None:
+        state = F.when(F.col("cards").isNull(), "missing").when(F.col("cards") == 0, "error").otherwise("ok")
+        manifest.select("chunk").join(batch, "chunk", "left").select("chunk", state.alias("state"), F.coalesce("cards", F.lit(0)).alias("cards")).write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -14,6 +14,7 @@ from slotwise.functions import text as T
 from slotwise.operators import cards as C
 from slotwise.operators import ordered as O
 from slotwise.operators import records as R
+from slotwise.sources import blocks as B
 
 
 def model_fit(costs, alone, budget, most):
@@ -126,3 +127,42 @@ def test_few_candidates_of_a_large_slot(spark):
     df = spark.createDataFrame([("s", v) for v in values], "slot string, value string").select("slot", T.comparable(F.col("value")).alias("v")).withColumn("g", T.bigrams(F.col("v")))
     p = C.prefixes(df, C.NEAR)
     assert C.candidates(p, p, C.NEAR, ordered=True).count() < 0.05 * n * (n - 1) / 2
+
+
+# --- files in blocks ---------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def large_files(tmp_path_factory):
+    """A log of several blocks with records that cross them, a file without any mark, one of blanks, one empty."""
+    at = tmp_path_factory.mktemp("large")
+    rng = random.Random(8)
+    rows = ["before it all", ""]
+    for i in range(120):
+        rows.append(rng.choice(["[2024-01-05 10:00:{:02d}] first {}", " 2024/01/05 day {1}", "10:00:{:02d} time {}"]).format(i % 60, i))
+        rows += [rng.choice(["  goes on", "", "and on \u00fc\u4e2d", "\tlast\r"]) for _ in range(rng.randrange(0, 6))]
+    files = {"a.log": "\n".join([*rows, "end"]), "b.log": "\n".join(f"plain {i}" for i in range(90)), "c.log": "\n \n\t", "d.log": ""}
+    for name, text in files.items():
+        (at / name).write_bytes(text.encode())
+    return at, files
+
+
+def in_blocks(spark, path):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        return B.lines(spark, str(path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_files_in_blocks_like_whole_texts(spark, large_files):
+    at, files = large_files
+    ls = in_blocks(spark, at)
+    assert ls.where("source like '%a.log'").select("_block").distinct().count() >= 4
+    whole = spark.createDataFrame(list(files.items()), "source string, text string")
+    name = F.element_at(F.split("source", "/"), -1).alias("source")
+    got = sorted(tuple(r) for r in ls.select(name, "line", "text").collect())
+    assert got == sorted((f, i, t.removesuffix("\r")) for f, text in files.items() for i, t in enumerate(text.split("\n")) if text)
+    rows = lambda df, *cols: sorted(map(tuple, df.select(name, "seq", *cols, "text", "chars").collect()))
+    assert rows(B.by_lines(ls), "kind") == rows(R.by_lines(whole), "kind")
+    assert rows(B.islands(ls, "log"), "section", "locator") == rows(R.log_lines(whole), "section", "locator")
