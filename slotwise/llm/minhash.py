@@ -30,6 +30,8 @@ STAR_ROUNDS = 2
 BLOCK = 256
 #: Rows that one group of blocks has, about.
 GROUP_ROWS = 4000
+#: Bytes and rows of text that signatures are worked out for together; a document has about 600 darts, however short.
+SLICE, SLICE_ROWS = 1 << 19, 512
 #: Agreeing coordinates, in standard deviations below what the least similarity gives, from
 #: which two members of a block are held against each other; what is missed is under 1e-11.
 DEVIATIONS = 7.0
@@ -135,7 +137,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, content, bands): a hash of the words, the join keys (null without words)."""
 
     def run(batches):
-        for b, texts in slices(batches):
+        for b, texts in slices(batches, size=SLICE, rows=SLICE_ROWS):
             words = list(hashed_texts(texts))
             keys = signed(band_keys(signatures([shingle_hashes(h, WORDS) for h in words])))
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +152,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(content, sig, units) of (doc_id, text): the low 16 bits of each coordinate, and the units."""
 
     def run(batches):
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, size=SLICE, rows=SLICE_ROWS):
             words = [h for h in hashed_texts(texts) if len(h)]
             own = [shingle_hashes(h, WORDS) for h in words]
             low = (signatures(own) & _U(0xFFFF)).astype(np.uint16)
