@@ -101,7 +101,7 @@ def conflicts(cards: DataFrame) -> DataFrame:
     last = F.struct("_at", "num")
     keeper = F.struct(F.length("body"), "recorded_at", -F.col("num"))
     g = rows.groupBy("slot").agg(
-        F.count("*").alias("n"), F.count_distinct("digest").alias("digests"), F.count_distinct("source").alias("sources"),
+        F.count("*").alias("n"), F.size(F.collect_set("digest")).alias("digests"), F.size(F.collect_set("source")).alias("sources"),
         F.max_by("id", last).alias("newest"), F.max_by(F.coalesce(F.when(F.col("value") != "", F.col("value")), "title"), last).alias("claim"), F.max_by("id", keeper).alias("keeper"),
         F.max_by("recorded_at", last).alias("newest_at"), F.min("recorded_at").alias("oldest_at"),
         F.sort_array(F.collect_list(F.struct("_at", "num", "id")), asc=False).alias("_m"),

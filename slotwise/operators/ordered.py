@@ -11,8 +11,17 @@ from pyspark.sql import Window as W
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share: the cluster's checkpoint folder, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work").rstrip("/")
+    """The folder that driver and executors share: the cluster's checkpoint folder, else one in the warehouse.
+
+    On a cluster a warehouse in the driver's own files is none: that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if at.startswith(("file:", "/")) and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{at}/.work"
 
 
 def kept_apart(df: DataFrame) -> DataFrame:

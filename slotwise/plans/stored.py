@@ -13,9 +13,10 @@ from slotwise.operators import cards as C
 from slotwise.operators import records as R
 from slotwise.operators import upkeep as U
 from slotwise.operators.ordered import shared_folder
-from slotwise.plans.queries import LINES_SQL, REF, TRUTH_SQL, _formatted, _texts, query
+from slotwise.plans.queries import CONFLICTS_SQL, LINES_SQL, REF, TRUTH_SQL, _formatted, _texts, query
 from slotwise.sources import cards as S
 from slotwise.sources import sinks
+from slotwise.sources import table as TB
 from slotwise.sources.claims import claims
 from slotwise.streaming import stream as ST
 
@@ -101,6 +102,19 @@ def sk8_json_lines(spark, sf_dir):
     return spark.read.text(at).select(F.get_json_object("value", "$.id").alias("id"), F.col("value").alias("line"))
 
 
+@query(CONFLICTS_SQL + " SELECT slot, n, newest, keeper FROM g")
+def l1_updated_table(spark, sf_dir):
+    """A table of some cards, a part of them old and some gone since, is brought up to date; conflicts are read from it by bucket."""
+    name = f"cards_{uuid.uuid4().hex}"
+    c = claims(spark, sf_dir)
+    n = F.col("num")
+    stale = c.where(n % 7 > 0).withColumn("value", F.when(n % 5 == 0, "old").otherwise(F.col("value"))).withColumn("slot", F.when(n % 35 == 5, "old::slot").otherwise(F.col("slot")))
+    gone = c.where(n % 50 == 1).withColumn("id", F.concat(F.lit("gone_"), "id"))
+    TB.build(stale.unionByName(gone), name, 4, 8)
+    TB.update(spark, name, c.where((n % 7 == 0) | (n % 5 == 0)), gone.select("id"), 4, 8)
+    return C.conflicts(TB.table(spark, name)).select("slot", "n", "newest", "keeper")
+
+
 # --- dates, hashes, recipes ------------------------------------------------------------------------
 
 @query(" SELECT id, CASE num % 4 WHEN 1 THEN strftime(recorded_at, '%Y-%m-%d %H:%M:00') WHEN 3 THEN NULL ELSE strftime(recorded_at + to_seconds(num % 60), '%Y-%m-%d %H:%M:%S') END AS recorded_at, CAST(recorded_at AS DATE) AS day FROM claims")

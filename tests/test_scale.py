@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -14,7 +15,11 @@ from slotwise.functions import text as T
 from slotwise.operators import cards as C
 from slotwise.operators import ordered as O
 from slotwise.operators import records as R
+from slotwise.operators import search as Q
 from slotwise.sources import blocks as B
+from slotwise.sources import table as TB
+from slotwise.sources.claims import REF_TS, claims
+from slotwise.streaming import stream as ST
 
 
 def model_fit(costs, alone, budget, most):
@@ -166,3 +171,95 @@ def test_files_in_blocks_like_whole_texts(spark, large_files):
     rows = lambda df, *cols: sorted(map(tuple, df.select(name, "seq", *cols, "text", "chars").collect()))
     assert rows(B.by_lines(ls), "kind") == rows(R.by_lines(whole), "kind")
     assert rows(B.islands(ls, "log"), "section", "locator") == rows(R.log_lines(whole), "section", "locator")
+
+
+# --- a table that is kept up ---------------------------------------------------------------------
+
+def test_updates_rewrite_few_groups(spark, sf):
+    name = "cards_kept_up"
+    c = claims(spark, sf)
+    n = F.col("num")
+    TB.build(c.where(n % 9 > 0).unionByName(c.where(n % 100 == 2).withColumns({"id": F.concat(F.lit("x"), "id"), "slot": F.lit("lone::slot")})), name, 8, 4)
+    try:
+        some = c.where("slot = 'team:all::reply_style'").withColumn("value", F.lit("new"))
+        at = TB.update(spark, name, some, spark.table(name).where("slot = 'lone::slot'").select("id"), 8, 4)
+        assert 1 <= len(at) <= 2
+        want = c.where((n % 9 > 0) & (F.col("slot") != "team:all::reply_style")).unionByName(some)
+        key = lambda df: sorted((r["id"], r["slot"], r["value"]) for r in df.select("id", "slot", "value").collect())
+        assert key(TB.table(spark, name)) == key(want)
+        assert TB.update(spark, name, c.limit(0), None, 8, 4) == []
+        # the last card of a group goes
+        left = TB.table(spark, name)
+        TB.update(spark, name, c.limit(0), left.select("id"), 8, 4)
+        assert TB.table(spark, name).count() == 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_slots_of_a_table_need_no_shuffle(spark, sf):
+    name = "cards_by_bucket"
+    TB.build(claims(spark, sf), name, 2, 4)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        t = TB.table(spark, name)
+        plan = C.conflicts(t).join(t.select("slot", "id"), "slot")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+# --- searches of many queries ----------------------------------------------------------------------
+
+def test_many_queries_like_one_by_one(spark, sf):
+    c = claims(spark, sf)
+    asked = ["click by 42 on k1 card, reply-style of team all", "ERROR", "", "k=7 number 3", "用户 view_d20240101"]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(asked)] + [(99, None)], "qid int, query string")
+    got = {}
+    for r in Q.search_many(c, df, REF_TS, 5).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], round(r["score"], 9)))
+    for i, q in enumerate(asked):
+        one = C.search(c, q, REF_TS, 5).collect() if q else []
+        assert sorted(got.get(i, [])) == [(k + 1, r["id"], round(r["score"], 9)) for k, r in enumerate(one)]
+    assert 99 not in got
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+def test_expirations_go_on_after_a_restart(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+
+    def run(number, rows):
+        (src / f"{number}.json").write_text("\n".join(f'{{"id": "{i}", "recorded_at": "{a}", "expires_at": {e}}}' for i, a, e in rows))
+        with ST.timed_state(spark):
+            log = ST.audit_stream(spark, str(src), "id string, recorded_at timestamp, expires_at timestamp")
+            q = ST.expirations(log).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert q.exception() is None
+        return sorted((r["id"], str(r["expires_at"])) for r in spark.read.schema("id string, expires_at timestamp").parquet(out).collect())
+
+    assert run(1, [("a", "2024-01-01T00:00:00", '"2024-01-02T00:00:00"'), ("b", "2024-01-01T00:00:00", '"2024-01-02T00:00:00"'), ("c", "2024-01-01T00:00:00", "null")]) == []
+    # news of b move its end; what ended by the new event time goes
+    assert run(2, [("b", "2024-01-01T12:00:00", '"2024-01-09T00:00:00"'), ("d", "2024-01-03T00:00:00", '"2024-01-04T00:00:00"')]) == [("a", "2024-01-02 00:00:00")]
+    assert run(3, [("e", "2024-02-01T00:00:00", "null")]) == [("a", "2024-01-02 00:00:00"), ("b", "2024-01-09 00:00:00"), ("d", "2024-01-04 00:00:00")]
+
+
+def test_truth_changes_card_by_card(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    steps = [[("1", 1, "s", "active", "2024-01-01", 1), ("2", 2, "s", "active", "2024-01-02", 1), ("3", 3, "t", "active", "2024-01-01", 1)], [("2", 2, "s", "disputed", "2024-01-02", 2)], [("2", 2, "s", "active", "2024-01-02", 1), ("1", 1, "s", "superseded", "2024-01-01", 3)]]
+    schema, seen = "id string, num long, slot string, status string, since timestamp, version long", []
+    for k, rows in enumerate(steps):
+        names = ("id", "num", "slot", "status", "since", "version")
+        (src / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+
+        def keep(batch, number):
+            seen.extend((r["slot"], r["current"], r["members"], r["needs_human"]) for r in batch.collect())
+
+        with ST.timed_state(spark):
+            q = ST.truth_changes(ST.audit_stream(spark, str(src), schema)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert q.exception() is None
+    assert sorted(seen[:2], key=str) == [("s", "2", "2,1", False), ("t", None, None, None)] and seen[2:] == [("s", "2", "2,1", True), ("s", None, None, None)]
