@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,19 @@ BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-_OPENED: list[Workspace] = []
+_OPENED: ContextVar[list[Workspace] | None] = ContextVar("opened", default=None)
 
 
 @contextmanager
 def closing_all():
-    """Close every workspace that is opened inside, at the end; what reads them must be written by then."""
-    at = len(_OPENED)
+    """Close every workspace that this context opens inside, at the end; what reads them must be written by then."""
+    token = _OPENED.set([])
     try:
         yield
     finally:
-        for ws in _OPENED[at:]:
+        for ws in _OPENED.get():
             ws.close()
-        del _OPENED[at:]
+        _OPENED.reset(token)
 
 
 class Workspace:
@@ -47,7 +48,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str, within: Workspace | None = None):
         self.spark = spark
         self.root = f"{within.root if within else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _OPENED.append(self)
+        if (held := _OPENED.get()) is not None:
+            held.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
