@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import Workspace, connected_components, read
+from slotwise.llm.common import Workspace, connected_components, read, to_hot
 
 LEAST = 0.95
 #: Vectors, by a hash of their ids, that the rotation is learned from.
@@ -115,8 +115,7 @@ def meeting(rows: DataFrame, least: float) -> DataFrame:
     counts = counts.select("key", "n", "_h", F.ceil(F.col("_h") / BLOCK).cast("int").alias("_kh"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kn"))
     total = counts.agg(F.sum(F.col("_h").cast("double") * F.col("_kn") + F.col("n").cast("double") * F.col("_kh"))).first()[0] or 0
     groups = max(1, int(total // GROUP_ROWS))
-    # an entry that holds many of the rows is split by the planner's skew handling
-    own = rows.join(counts.select(F.col("key").alias("_key"), "_kh", "_kn"), F.col("key") == F.col("_key")).drop("_key")
+    own = to_hot(rows, counts.select("key", "n", "_kh", "_kn"), "key", F.col("rep")).drop("n")
     at_home = own.where("home").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("_kh"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_kn") - 1))).withColumn("side", F.lit(True))
     look = own.withColumn("q", F.pmod(F.xxhash64("rep"), F.col("_kn"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_kh") - 1))).withColumn("side", F.lit(False))
     cols = ["key", F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), "rep", "code", "side"]
