@@ -551,8 +551,10 @@ def stratified(cards: DataFrame, n: int, seed: int, by: str = "type") -> DataFra
     total = counts.agg(F.sum("c")).first()[0] or 0
     share = counts.withColumn("x", F.lit(n) * F.col("c") / F.lit(max(1, total))).withColumn("base", F.floor("x"))
     rest = n - (share.agg(F.sum("base")).first()[0] or 0)
-    ranked = running(share.withColumn("_minus", F.col("base") - F.col("x")).withColumn("_none", F.col(by).isNull()), ["_minus", "_none", by], None, "_k")
-    quota = kept_apart(ranked.select(F.col(by).alias("_by"), F.least(F.col("base") + (F.col("_k") < rest).cast("long"), F.col("c")).alias("quota")).where("quota > 0"))
+    # as many of the largest remainders as cards are left
+    more = share.orderBy(F.desc(F.col("x") - F.col("base")), F.col(by).asc_nulls_last()).limit(max(0, rest)).select(F.col(by).alias("_more"), F.lit(1).alias("_one"))
+    told = share.join(more, F.col(by).eqNullSafe(F.col("_more")), "left")
+    quota = told.select(F.col(by).alias("_by"), F.least(F.col("base") + F.coalesce("_one", F.lit(0)), F.col("c")).alias("quota")).where("quota > 0")
     keyed = cards.withColumn("_key", keyed_order(seed, F.col("id"))).withColumn("_range", F.substring("_key", 1, 3))
     # a stratum's rows by the first digits of their keys: ranges before and after the quota's end are settled by counts
     sizes = keyed.groupBy(F.col(by).alias("_s"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))

@@ -201,9 +201,9 @@ def x10_chunk(spark, sf_dir):
 
 # --- sources ---------------------------------------------------------------------------------
 
-@query("SELECT doc_id AS source, length(text)::INTEGER AS chars, substr(text, 1, 3000) AS head, CASE WHEN length(text) > 4200 THEN right(text, 1200) END AS tail FROM documents", None)
+@query(f"SELECT doc_id AS source, length(text)::INTEGER AS chars, substr(text, 1, 3000) AS head, CASE WHEN length(text) > 4200 THEN right(text, 1200) END AS tail, 'text' AS format, len(ls)::INTEGER AS lines, len(list_filter(ls, lambda t: regexp_matches(t, '^#{{1,6}}\\s+')))::INTEGER AS headings FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda t: {TRIM_SQL.format('t')} <> '') AS ls FROM documents)", None)
 def s9_samples(spark, sf_dir):
-    return S.samples(_texts(spark, sf_dir))
+    return S.samples(_texts(spark, sf_dir)).select("source", "chars", "head", "tail", "format", "lines", "headings")
 
 
 @query(r"SELECT coalesce(nullif(trim(regexp_extract(text, '(?m)^#+(.*)$', 1)), ''), CAST(doc_id AS VARCHAR)) AS title, 'import:' || CAST(doc_id AS VARCHAR) AS subject, 'import:' || CAST(doc_id AS VARCHAR) || '.md' AS source, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::INTEGER AS chars FROM documents WHERE trim(text) <> ''", None)

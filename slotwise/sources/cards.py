@@ -67,10 +67,15 @@ def list_of(pairs: Column, key: str) -> Column:
     return F.coalesce(F.filter(F.transform(given, scalar), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
-def samples(texts: DataFrame, head: int = 3000, tail: int = 1200) -> DataFrame:
-    """(source, chars, head, tail): the beginning of a text, and the end of one longer than both."""
+def samples(texts: DataFrame, head: int = 3000, tail: int = 1200, path: Column | None = None) -> DataFrame:
+    """What a recipe's author is shown of texts: (source, chars, head, tail, format) and all of `structure`.
+
+    tail: the end of a text longer than both.  format: as sniffed, by `path` or else the source.
+    """
     long = F.length("text") > head + tail
-    return texts.select("source", F.length("text").alias("chars"), F.substring("text", 1, head).alias("head"), F.when(long, F.right("text", F.lit(tail))).alias("tail"))
+    shown_tail = F.when(long, F.right("text", F.lit(tail)))
+    named = F.col("source").cast("string") if path is None else path
+    return structure(texts, F.length("text").alias("chars"), F.substring("text", 1, head).alias("head"), shown_tail.alias("tail"), sniffed(F.col("text"), named).alias("format"))
 
 
 def parsed_cards(files: DataFrame, today: Column | None = None) -> DataFrame:
@@ -143,14 +148,15 @@ def rounded(x: Column) -> Column:
     return F.round(x, 2)
 
 
-def structure(texts: DataFrame) -> DataFrame:
+def structure(texts: DataFrame, *more: Column) -> DataFrame:
     """What a recipe's author wants to know of texts (source, text), 14 fields: lines, JSON, roles, tables, keys, stamps, separators.
 
     Rates are of the lines that are not blank; those of JSON and stamps divide
     by at most 200 of them, the stamps counted over all.
     """
     lines = F.filter(F.split("text", "\r?\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    p = texts.select("source", "text", lines.alias("ls"))
+    p = texts.select("source", "text", lines.alias("ls"), *more)
+    others = [c for c in p.columns if c not in ("source", "text", "ls")]
     n = F.size("ls")
     bare = lambda x: F.btrim(x, F.lit(SPACES))
     # parsers stop at the end of the first value; within brackets all of the text has to be one
@@ -168,7 +174,7 @@ def structure(texts: DataFrame) -> DataFrame:
     keys = F.array_join(F.slice(F.json_object_keys("text"), 1, 8), ",")
     root = F.when(~whole, F.lit(None)).when(bare(F.col("text")).startswith("["), F.concat(F.lit("array("), F.json_array_length("text").cast("string"), F.lit(")"))).otherwise(keys)
     return p.select(
-        "source", n.alias("lines"), share(F.size(F.filter(F.slice("ls", 1, 200), is_json)), F.least(n, F.lit(200))).alias("json_line_rate"),
+        "source", *others, n.alias("lines"), share(F.size(F.filter(F.slice("ls", 1, 200), is_json)), F.least(n, F.lit(200))).alias("json_line_rate"),
         F.size(F.filter(F.slice("ls", 1, 200), lambda x: is_json(x) & x.rlike(r"""^\s*\{.*:\s*\[[^\]]*\{[^}]*"text"\s*:\s*\""""))).alias("nested_lines"),
         F.struct(*[found(rf'"role"\s*:\s*"{r}"').alias(r) for r in ("user", "assistant", "system")], found('"mapping"').alias("mapping")).alias("roles"),
         ((count(first, ",") >= 2) & F.forall(F.slice("ls", 1, 10), lambda x: count(x, ",") == count(first, ","))).alias("csv_like"), (count(first, ",") + 1).alias("csv_columns"),
