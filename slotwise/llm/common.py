@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import uuid
 from contextlib import contextmanager
@@ -83,6 +84,15 @@ def lean(keep: int = 1 << 20) -> None:
         pass
 
 
+def give_back() -> None:
+    """Have this process return what it has freed to the system, small blocks too; for the driver, once it is done with texts."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory stays with the process longer
+        pass
+
+
 def slices(batches, column: int | str = 1, size: int = 1 << 20, rows: int = 2048, keep: int = 1 << 20):
     """(slice of an Arrow batch, its texts) of about `size` bytes of text, so that few texts are Python objects at a time."""
     lean(keep)

@@ -264,6 +264,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, within: Workspace | N
     for r in range(STAR_ROUNDS + 1):
         here = members.join(comps, F.col("rep") == F.col("id")).select("key", "band", "rep", "comp")
         apart = here.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), F.col("rep").alias("center"), F.col("comp").alias("other"))).alias("m")).where("_c < _d")
+        apart = ws.put(apart, f"apart-{r}")
+        if links is not None and apart.isEmpty():
+            break
         here = to_hot(here, apart.select("key", "n", "m.center", "m.other"), "key", F.col("rep"))
         if r < STAR_ROUNDS:
             pairs = here.where("comp <> other").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))

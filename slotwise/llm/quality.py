@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import held_out, labelled_sample, read, slices
+from slotwise.llm.common import give_back, held_out, labelled_sample, read, slices
 
 PIECE = 2048
 DICTIONARY = 32768
@@ -82,7 +82,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     # each class weighs as in all labels, not as in the balanced sample
     weight = np.where(y == 1, share.get(1, 1) / n[1], share.get(0, 1) / n[0])
-    return good, bad, logistic(x, y, weight / weight.mean()).tolist()
+    weights = logistic(x, y, weight / weight.mean()).tolist()
+    del rows, build, check
+    give_back()
+    return good, bad, weights
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]], column: str = "score") -> DataFrame:
