@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +241,12 @@ BY_FORMAT = {**{k: PARTS[k] for k in ("markdown", "log", "yaml", "csv", "text")}
 FIELDS = ("source", "seq", "kind", "text", "chars")
 
 
+@lru_cache(maxsize=64)
+def _built(jvm: int, parts: Callable[[Column], Column]) -> Column:
+    """A splitter's expression over the column text, put together once for a JVM: it takes hundreds of calls to it."""
+    return parts(F.col("text"))
+
+
 def _dispatched(texts: DataFrame, by: str, branches: dict, other: str) -> DataFrame:
     """Each text through the splitter that column `by` names; an unknown name means `other`.
 
@@ -249,7 +257,7 @@ def _dispatched(texts: DataFrame, by: str, branches: dict, other: str) -> DataFr
     native = {k: v for k, v in branches.items() if isinstance(v, tuple)}
     parts, kind = F.lit(None), F.lit(None)
     for name, (what, f) in native.items():
-        parts, kind = F.when(F.col(by) == name, f(F.col("text"))).otherwise(parts), F.when(F.col(by) == name, what).otherwise(kind)
+        parts, kind = F.when(F.col(by) == name, _built(id(SparkContext._jvm), f)).otherwise(parts), F.when(F.col(by) == name, what).otherwise(kind)
     out = named.where(F.col(by).isin(*native)).select("source", kind.alias("kind"), F.posexplode(parts).alias("seq", "text")).withColumn("chars", F.length("text")).select(*FIELDS)
     for name, split in branches.items():
         if name not in native:
