@@ -383,7 +383,7 @@ def s14_results(spark, sf_dir):
     c = claims(spark, sf_dir)
     kind = F.when(F.col("num") % 3 == 0, "memo").otherwise(F.col("type"))
     obj = F.to_json(F.struct(kind.alias("category"), F.col("title").alias("name"), F.col("slot"), F.col("value").alias("key"), F.col("body").alias("content"), F.lit("a，b").alias("tags"), F.lit(0.5).alias("confidence")))
-    results = c.select(F.col("id").alias("chunk"), F.concat(F.lit("Here they are:\n```json\n"), obj, F.lit("\n```")).alias("text"))
+    results = c.select(F.col("id").alias("chunk"), F.concat(F.lit('Here they are:\n```json\n{"cards": ['), obj, F.lit("]}\n```")).alias("text"))
     loose = A.extracted(results).withColumn("id", F.col("chunk"))
     good, bad = I.read_results(loose, "2024-03-01")
     return good.select("id", F.lit(True).alias("kept")).unionByName(bad.select("id", F.lit(False).alias("kept")))
