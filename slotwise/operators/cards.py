@@ -145,7 +145,7 @@ def _value_pairs(values: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 #: Different values of a slot up to which they are compared each with each; beyond, candidates are looked for.
-FEW = 64
+FEW = 1024
 
 
 def _by_size(values: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -278,7 +278,7 @@ def _kept_of(batch: DataFrame, least: float) -> DataFrame:
             return kept_apart(kept)
 
 
-def _first_wins(values: DataFrame, least: float = NEAR, batch: int = FEW) -> DataFrame:
+def _first_wins(values: DataFrame, least: float = NEAR, batch: int = 64) -> DataFrame:
     """(slot, v, _lead, _into) of the values (slot, v, num, id) of slots with many: _into null for those that stay.
 
     The first values of each slot are settled, what is near a kept one of them

@@ -350,7 +350,7 @@ def limits(budget: float | None, most: float | None) -> tuple[int, int]:
 
 
 #: Records that a block of the packing holds, at least.
-BLOCK = 1 << 17
+BLOCK = 1 << 20
 
 
 def successors(cost: np.ndarray, alone: np.ndarray, first: np.ndarray, budget: int, most: int) -> np.ndarray:

@@ -105,7 +105,8 @@ def test_first_wins_in_rounds(spark, claims_of_a_slot, monkeypatch):
     assert got == want and {x for x, _ in want.values()} == {None, "exact", "near"}
 
 
-def test_pairs_of_a_slot_by_prefixes(spark, claims_of_a_slot):
+def test_pairs_of_a_slot_by_prefixes(spark, claims_of_a_slot, monkeypatch):
+    monkeypatch.setattr(C, "FEW", 20)
     v = claims_of_a_slot
     assert len(set(v)) > C.FEW
     want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if model_similarity(v[i], v[j]) >= C.NEAR}
