@@ -17,7 +17,7 @@ from slotwise.operators.ordered import kept_apart
 
 # From where a proposal is sure, and how large a sample is.
 SURE = 0.7
-MAP_ID = r"\b(mem_\d{5})\b"
+MAP_ID = r"\b(mem_\d{5,})\b"
 DEFAULT_SAMPLE = 20
 
 

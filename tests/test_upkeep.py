@@ -151,3 +151,9 @@ def test_streaming_expiry(spark, tmp_path):
         assert [r["id"] for r in got] == ["a"]
     finally:
         q.stop()
+
+
+def test_map_notes_name_ids_of_any_length(spark):
+    c = spark.createDataFrame([("mem_00001", "active"), ("mem_123456", "active"), ("mem_100000", "expired")], "id string, status string")
+    maps = spark.createDataFrame([("m", "see mem_00001, mem_100000, mem_123456, mem_1234567 and mem_1234")], "map string, text string")
+    assert {tuple(r) for r in U.stale_maps(maps, c).collect()} == {("m", "mem_100000"), ("m", "mem_1234567")}
