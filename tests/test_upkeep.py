@@ -157,3 +157,9 @@ def test_map_notes_name_ids_of_any_length(spark):
     c = spark.createDataFrame([("mem_00001", "active"), ("mem_123456", "active"), ("mem_100000", "expired")], "id string, status string")
     maps = spark.createDataFrame([("m", "see mem_00001, mem_100000, mem_123456, mem_1234567 and mem_1234")], "map string, text string")
     assert {tuple(r) for r in U.stale_maps(maps, c).collect()} == {("m", "mem_100000"), ("m", "mem_1234567")}
+
+
+def test_sweep_finds_long_ids_in_map_notes(spark, sf):
+    c = claims(spark, sf).limit(0).unionByName(claims(spark, sf).where("num = 8").withColumn("id", F.lit("mem_100000")))
+    maps = c.select(F.lit("all").alias("map"), F.concat(F.lit("see "), "id").alias("text"))
+    assert U.sweep(c, "2024-06-01", maps).where("kind = 'stale_map'").select("id", "detail").collect() == [("mem_100000", "all")]
