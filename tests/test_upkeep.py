@@ -163,3 +163,10 @@ def test_sweep_finds_long_ids_in_map_notes(spark, sf):
     c = claims(spark, sf).limit(0).unionByName(claims(spark, sf).where("num = 8").withColumn("id", F.lit("mem_100000")))
     maps = c.select(F.lit("all").alias("map"), F.concat(F.lit("see "), "id").alias("text"))
     assert U.sweep(c, "2024-06-01", maps).where("kind = 'stale_map'").select("id", "detail").collect() == [("mem_100000", "all")]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("One, two, three. Four\nand, so, on.", "text"), ("One; two; three.\nand; so; on.", "text"), ("a | b | c.\nd | e |", "text"), ("a, b, c\n1, 2, 3", "csv"),
+    ("1,It works. Now,x\n2,No.,y", "csv"), ("a;b;c\n1.;2.;3.", "csv"), ("a\tb\tc\nOne. Two\tx\ty", "csv"), ("no., name, note\n1, x, y", "csv")])
+def test_even_commas_of_sentences_make_no_table(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(S.sniffed(F.col("t"), F.lit("x"))).first()[0] == want
