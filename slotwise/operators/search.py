@@ -63,31 +63,88 @@ def search_many(cards: DataFrame, queries: DataFrame, ref: str, limit: int = 8,
     lengths: dict[str, list[int]] = {}
     for r in sizes:
         lengths.setdefault(r["kind"], []).append(r["n"])
-    met = index.join(query_keys(queries, lengths), ["kind", "key"])
-    kind = F.col("kind")
-    hits = met.groupBy("qid", "id").agg(
-        F.count_if(kind == TOKEN).alias("_t"), F.count_if(kind == ALIAS_TOKEN).alias("_a"), F.max((kind == LAST).cast("int")).alias("_last"), F.max((kind == PREDICATE).cast("int")).alias("_pred"),
-        F.max((kind == TAG).cast("double")).alias("tag_hit"), F.max((kind == ALIASES).cast("int")).alias("_j"))
-    sized = queries.select("qid", F.size(T.tokens(F.col("query"))).alias("_n"))
+    asked = kept_apart(query_keys(queries, lengths))
+    common, ids = _common(index, asked, queries)
+    counts = lambda own: [F.size(F.array_intersect(own, F.array(*map(F.lit, ids[k])).cast("array<int>"))).alias(k) for k in KINDS]
+    w = config.weights
     rows = cards if include_inactive else C.active(cards)
     age = D.age_days(F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
     prior = {"importance": F.col("importance"), "confidence": F.col("confidence"), "recency": D.recency(age, config.half_life_days), "reuse": D.reuse(F.col("hits"))}
-    w = config.weights
     penalty = F.element_at(F.create_map(*[F.lit(x) for kv in config.penalties.items() for x in kv]), F.col("status"))
     of = rows.select("id", "num", sum((x * w[k] for k, x in list(prior.items())[1:]), prior["importance"] * w["importance"]).alias("_prior"), penalty.alias("_penalty"))
-    alias = F.when(F.col("_a") > 0, F.least(F.lit(1.0), F.col("_a") / F.greatest(F.lit(1), F.least("_n", F.lit(6))).cast("double"))).otherwise(F.col("_j").cast("double"))
-    slot = F.when(F.col("_last") == 1, 0.6).otherwise(0.0) + F.when(F.col("_pred") == 1, 0.6).otherwise(0.0)
-    s = hits.join(sized, "qid").select("qid", "id", (F.col("_t") / F.greatest(F.lit(1), "_n")).alias("lexical"), slot.alias("slot_exact"), "tag_hit", alias.alias("alias_hit")).join(of, "id")
-    relevance = F.col("lexical") * w["lexical"] + F.col("slot_exact") * w["slot_exact"] + F.col("tag_hit") * w["tag_hit"] + F.col("alias_hit") * w["alias_hit"]
-    s = s.withColumn("_relevance", relevance).withColumn("score", F.col("_relevance") * (1 + F.col("_prior")) + F.col("_penalty")).where("_relevance > 0 and score > 0")
-    ranked = s.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "num"))).where(F.col("rank") <= limit)
+    none = F.array().cast("array<int>")
+    numbered = lambda df, by: df.join(F.broadcast(common), ["kind", "key"]).groupBy(by).agg(F.sort_array(F.collect_set("_k")).alias("_has"))
+    of = kept_apart(of.join(numbered(index, "id"), "id", "left").withColumn("_has", F.coalesce("_has", none)))
+    asks = numbered(asked, "qid").withColumnRenamed("_has", "_asks")
+    sized = kept_apart(queries.select("qid", F.size(T.tokens(F.col("query"))).alias("_n")).join(asks, "qid", "left").withColumn("_asks", F.coalesce("_asks", none)))
+
+    # cards that share a rare key with a query: all that they share is counted
+    rare = index.join(asked.join(F.broadcast(common), ["kind", "key"], "left_anti"), ["kind", "key"]).groupBy("qid", "id").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS])
+    rare = rare.join(sized, "qid").join(of, "id")
+    rare = rare.select("qid", "id", "num", "_prior", "_penalty", "_n", *[(F.col(f"_{c}") + x).alias(c) for c, x in zip(KINDS, counts(F.array_intersect("_has", "_asks")), strict=True)])
+    rare = kept_apart(_scored(rare, w))
+    # other cards: of those that have the same common keys the best ones by what isn't the query's, for all queries that ask for the same
+    best = _best(_best(of.where(F.size("_has") > 0).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))), limit, "_part"), limit).drop("_part")
+    kinds = sized.select("_n", "_asks").distinct().where(F.size("_asks") > 0)
+    both = F.array_intersect("_has", "_asks")
+    classes = best.select("_has", "_penalty").distinct().crossJoin(kinds).where(F.arrays_overlap("_has", "_asks")).select("_has", "_penalty", "_n", "_asks", *counts(both))
+    found = _scored(classes.withColumnRenamed("_has", "_h").withColumnRenamed("_penalty", "_p").join(best, (F.col("_h") == F.col("_has")) & F.col("_p").eqNullSafe(F.col("_penalty"))), w)
+    # rare keys take cards out of this list, of which none falls behind by it
+    found = found.withColumn("_r", F.row_number().over(W.partitionBy("_n", "_asks").orderBy(F.desc(F.round("score", PLACES)), "num"))).where(F.col("_r") <= limit)
+    shared = found.join(sized, ["_n", "_asks"]).join(rare.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
+    out = ["qid", "id", "num", "score", "lexical", "slot_exact", "tag_hit", "alias_hit"]
+    s = rare.select(*out).unionByName(shared.select(*out))
+    ranked = s.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", PLACES)), "num"))).where(F.col("rank") <= limit)
     return ranked.select("qid", "rank", "id", "score", "lexical", "slot_exact", "tag_hit", "alias_hit")
 
 
+#: Scores equal to so many places are ties; what a card's prior may lack to tie still, at any relevance over a hundred-thousandth.
+PLACES, MARGIN = 9, 1e-4
+#: Parts in which the cards of the same common keys are looked through first.
+PARTS = 64
+KINDS = (TOKEN, ALIAS_TOKEN, LAST, PREDICATE, TAG, ALIASES)
+
+
+def _common(index: DataFrame, asked: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict[str, list[int]]]:
+    """(kind, key, _k) of the keys at which more rows would meet than there are cards' keys and queries; and their numbers by kind.
+
+    All other names are never among them: they count only where none of their
+    tokens does, and with every other key a card's relevance grows.
+    """
+    spark = index.sparkSession
+    least = index.count() // 16 + queries.count()
+    had = index.groupBy("kind", "key").agg(F.count("*").alias("_c"))
+    often = had.join(asked.groupBy("kind", "key").agg(F.count("*").alias("_q")), ["kind", "key"]).where((F.col("kind") != ALIASES) & (F.col("_q") > 1) & (F.col("_c") * F.col("_q") > least))
+    got = [(r["kind"], r["key"], i) for i, r in enumerate(often.orderBy("kind", "key").collect())]
+    return spark.createDataFrame(got, "kind string, key string, _k int"), {k: [i for kind, _, i in got if kind == k] for k in KINDS}
+
+
+def _scored(s: DataFrame, w: dict[str, float]) -> DataFrame:
+    """Rows with numbers of shared keys by kind, with the parts of their relevance and their score, where there is any."""
+    n = F.col("_n")
+    alias = F.when(F.col(ALIAS_TOKEN) > 0, F.least(F.lit(1.0), F.col(ALIAS_TOKEN) / F.greatest(F.lit(1), F.least(n, F.lit(6))).cast("double"))).otherwise(F.when(F.col(ALIASES) > 0, 1.0).otherwise(0.0))
+    slot = F.when(F.col(LAST) > 0, 0.6).otherwise(0.0) + F.when(F.col(PREDICATE) > 0, 0.6).otherwise(0.0)
+    s = s.withColumns({"lexical": F.col(TOKEN) / F.greatest(F.lit(1), n), "slot_exact": slot, "tag_hit": F.when(F.col(TAG) > 0, 1.0).otherwise(0.0), "alias_hit": alias}).drop(*KINDS)
+    relevance = F.col("lexical") * w["lexical"] + F.col("slot_exact") * w["slot_exact"] + F.col("tag_hit") * w["tag_hit"] + F.col("alias_hit") * w["alias_hit"]
+    return s.withColumn("_relevance", relevance).withColumn("score", F.col("_relevance") * (1 + F.col("_prior")) + F.col("_penalty")).where("_relevance > 0 and score > 0")
+
+
+def _best(cards: DataFrame, limit: int, *within: str) -> DataFrame:
+    """Of cards of the same common keys and penalty those that may be among the `limit` best: by prior, then number."""
+    same = ["_has", "_penalty", *within]
+    ranks = cards.withColumn("_i", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("_prior"), "num"))).withColumn("_e", F.row_number().over(W.partitionBy(*same, "_prior").orderBy("num")))
+    last = F.min(F.when(F.col("_i") <= limit, F.col("_prior"))).over(W.partitionBy(*same))
+    return ranks.withColumn("_last", last).where((F.col("_prior") >= F.col("_last") - MARGIN) & (F.col("_e") <= limit)).drop("_i", "_e", "_last")
+
+
+def _named(queries: DataFrame) -> DataFrame:
+    """(qid, _subject) of the subjects that queries name as kind:name, lower-cased."""
+    return queries.select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(SUBJECT), F.lit(0)), lambda x: F.lower(x)))).alias("_subject"))
+
+
 def same_slot(cards: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id) of the cards, whatever their status, whose subject a query names as kind:name, in any case."""
-    named = queries.select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(SUBJECT), F.lit(0)), lambda x: F.lower(x)))).alias("_subject"))
-    return cards.select("id", F.lower("subject").alias("_subject")).join(named, "_subject").select("qid", "id")
+    return cards.select("id", F.lower("subject").alias("_subject")).join(_named(queries), "_subject").select("qid", "id")
 
 
 def contested(cards: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -264,3 +264,33 @@ def test_truth_changes_card_by_card(spark, tmp_path):
             q.awaitTermination()
             assert q.exception() is None
     assert sorted(seen[:2], key=str) == [("s", "2", "2,1", False), ("t", None, None, None)] and seen[2:] == [("s", "2", "2,1", True), ("s", None, None, None)]
+
+
+def _searched(spark, n=3000, asked=400):
+    """Cards and queries that share frequent words, a subject for many and rare ones for some."""
+    c = spark.range(n).select(
+        F.format_string("mem_%05d", "id").alias("id"), (n - F.col("id")).alias("num"), F.lit("all things").alias("title"), F.concat(F.lit("word"), F.col("id") % 40).alias("value"), F.concat(F.lit("text of "), F.col("id") % 700).alias("body"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit("often"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.array(F.concat(F.lit("name "), F.col("id") % 5)).alias("aliases"),
+        F.when(F.col("id") % 30 == 0, "team:all").otherwise(F.concat(F.lit("u:"), F.col("id") % 90)).alias("subject"), F.concat(F.lit("p_"), F.col("id") % 2).alias("predicate"), F.lit("active").alias("status"),
+        (F.lit(0.5) + (F.col("id") % 7) * 1e-12).alias("confidence"), ((F.col("id") % 13) / 13).alias("importance"), F.lit("2024-01-01").cast("timestamp").alias("recorded_at"), F.lit("2024-01-01").cast("date").alias("valid_from"), (F.col("id") % 2).cast("int").alias("hits"))
+    c = c.withColumn("slot", T.slot(F.col("subject"), F.col("predicate")))
+    q = spark.range(asked).select(F.col("id").alias("qid"), F.concat(F.lit("things of team:all, often name "), F.col("id") % 9, F.lit(" word"), F.col("id") % 50).alias("query"))
+    return c, q
+
+
+def test_frequent_keys_of_many_queries(spark):
+    c, q = _searched(spark)
+    c, q = c.localCheckpoint(), q.localCheckpoint()
+    index = Q.inverted(c).localCheckpoint()
+    asked = Q.query_keys(q, {"last": [1, 2, 3], "predicate": [2], "tag": [5], "aliases": [6]}).localCheckpoint()
+    common, _ = Q._common(index, asked, q)
+    # what is left to meet by keys is less than what the keys are
+    rare = index.join(asked.join(common, ["kind", "key"], "left_anti"), ["kind", "key"]).where("kind <> 'aliases'")
+    assert rare.count() < index.count() * 2 < index.join(asked, ["kind", "key"]).count() / 5
+    got = {(r["qid"], r["rank"]): r["id"] for r in Q.search_many(c, q, REF_TS, index=index).collect()}
+    assert len(got) == 400 * 8
+    for qid in (0, 3, 44, 399):
+        text = q.where(F.col("qid") == qid).first()["query"]
+        # scores that agree to nine places are ties, which the smaller number wins
+        want = C.search(c, text, REF_TS, limit=3000).orderBy(F.desc(F.round("score", 9)), "num").limit(8).collect()
+        assert [got[qid, i + 1] for i in range(8)] == [r["id"] for r in want]
