@@ -148,7 +148,12 @@ def same_slot(cards: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def contested(cards: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:
-    """(qid, slot, current, members, needs_human): the slots with several active or disputed cards among those that a query names, else among what it found."""
-    named = same_slot(cards, queries)
-    others = found.join(named.select("qid").distinct(), "qid", "left_anti").select("qid", "id")
-    return C.truth_table(cards.join(named.unionByName(others), "id"), "qid")
+    """(qid, slot, current, members, needs_human): the slots with several active or disputed cards among those that a query names, else among what it found.
+
+    A named subject's slots are put together once, however many queries name it.
+    """
+    named = _named(queries)
+    has = cards.select(F.lower("subject").alias("_subject")).distinct()
+    told = C.truth_table(cards.withColumn("_subject", F.lower("subject")).join(named.select("_subject").distinct(), "_subject", "left_semi"), "_subject")
+    others = found.join(named.join(has, "_subject", "left_semi").select("qid").distinct(), "qid", "left_anti").select("qid", "id")
+    return told.join(named, "_subject").drop("_subject").select("qid", "slot", "current", "members", "needs_human").unionByName(C.truth_table(cards.join(others, "id"), "qid"))

@@ -294,3 +294,13 @@ def test_frequent_keys_of_many_queries(spark):
         # scores that agree to nine places are ties, which the smaller number wins
         want = C.search(c, text, REF_TS, limit=3000).orderBy(F.desc(F.round("score", 9)), "num").limit(8).collect()
         assert [got[qid, i + 1] for i in range(8)] == [r["id"] for r in want]
+
+
+def test_what_many_queries_name_is_put_together_once(spark):
+    c, q = _searched(spark, 600, 40)
+    c = c.withColumn("status", F.when(F.col("num") % 5 == 0, "disputed").when(F.col("num") % 7 == 0, "expired").otherwise("active"))
+    q = q.withColumn("query", F.when(F.col("qid") % 4 == 0, "u:7, U:8 and u:none").when(F.col("qid") % 4 == 1, "u:none name 3").otherwise(F.col("query")))
+    found = Q.search_many(c, q, REF_TS)
+    named = Q.same_slot(c, q)
+    plain = C.truth_table(c.join(named.unionByName(found.join(named.select("qid").distinct(), "qid", "left_anti").select("qid", "id")), "id"), "qid")
+    assert sorted(Q.contested(c, q, found).collect()) == sorted(plain.collect())
