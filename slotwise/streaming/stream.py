@@ -114,11 +114,42 @@ def timed_state(spark: SparkSession):
             spark.conf.set(key, before)
 
 
-def expirations(cards: DataFrame, late: str = "0 seconds") -> DataFrame:
+#: Keys whose state is one value: a read and a write of it serve all that a batch has for them.
+BUCKETS = 1 << 10
+
+
+def _packed(df) -> bytes:
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(df, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(state):
+    """The rows of a bucket's state, None if there are none."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(bytes(state.get()[0])).read_all().to_pandas() if state.exists() else None
+
+
+def _ticks(times, unit: str):
+    """Whole units since 1970 of a column of times; missing ones are -2**62."""
+    import numpy as np
+
+    at = times.astype("datetime64[ns]")
+    return np.where(at.isna(), -(2**62), at.to_numpy().astype(f"datetime64[{unit}]").astype("int64"))
+
+
+def expirations(cards: DataFrame, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(id, expires_at) of a stream of cards (id, recorded_at, expires_at), each once event time has passed it; append mode, within timed_state.
 
-    State is the latest time of a card.  News of a card move its timer, news
-    with no time to live take it away, and when it fires the state goes too.
+    State is the latest time of a card.  News of a card replace it, news with no
+    time to live take it away, and when it has passed the state goes too.  Cards
+    of a bucket, by a hash of their ids, have one value and one timer, that of
+    the first to end; the number of buckets is fixed for a checkpoint.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -126,74 +157,81 @@ def expirations(cards: DataFrame, late: str = "0 seconds") -> DataFrame:
     class Expiry(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.until = handle.getValueState("until", "seen long, at long")
+            self.until = handle.getValueState("until", "cards binary")
+
+        def keep(self, held, timerValues):
+            """Hold cards (id, seen, at), with a timer for the first to end."""
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if len(held):
+                self.until.update((_packed(held),))
+                self.handle.registerTimer(max(int(held["at"].min()), timerValues.getCurrentWatermarkInMs() + 1))
+            else:
+                self.until.clear()
 
         def handleInputRows(self, key, rows, timerValues):
-            newest = None
-            for b in rows:
-                r = b.loc[b["recorded_at"].idxmax()]
-                if newest is None or r["recorded_at"] > newest["recorded_at"]:
-                    newest = r
-            seen = newest["recorded_at"].value // 1_000_000
-            known = self.until.exists()
-            if not known or self.until.get()[0] <= seen:
-                for at in list(self.handle.listTimers()) if known else ():
-                    self.handle.deleteTimer(at)
-                if pd.isna(newest["expires_at"]):
-                    self.until.clear()
-                else:
-                    at = newest["expires_at"].value // 1_000_000
-                    self.until.update((seen, at))
-                    self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+            news = pd.concat([pd.DataFrame({"id": b["id"], "seen": _ticks(b["recorded_at"], "us"), "at": _ticks(b["expires_at"], "ms")}) for b in rows], ignore_index=True)
+            # of a batch the first of the newest; then the batch's unless what is held is newer
+            news = news.sort_values("seen", ascending=False, kind="stable").drop_duplicates("id")
+            news["seen"] //= 1000
+            held = _unpacked(self.until)
+            if held is not None:
+                news = pd.concat([news, held], ignore_index=True).sort_values("seen", ascending=False, kind="stable").drop_duplicates("id")
+            self.keep(news[news["at"] > -(2**62)], timerValues)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            at = self.until.get()[1]
-            self.until.clear()
-            yield pd.DataFrame({"id": [key[0]], "expires_at": [pd.Timestamp(at, unit="ms")]})
+            held = _unpacked(self.until)
+            gone = held["at"] <= timerValues.getCurrentWatermarkInMs()
+            self.keep(held[~gone], timerValues)
+            yield pd.DataFrame({"id": held["id"][gone], "expires_at": pd.to_datetime(held["at"][gone], unit="ms")})
 
         def close(self):
             pass
 
-    own = cards.withWatermark("recorded_at", late).select("id", "recorded_at", "expires_at")
-    return own.groupBy("id").transformWithStateInPandas(statefulProcessor=Expiry(), outputStructType="id string, expires_at timestamp", outputMode="Append", timeMode="EventTime")
+    own = cards.withWatermark("recorded_at", late).select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("_bucket"), "id", "recorded_at", "expires_at")
+    return own.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=Expiry(), outputStructType="id string, expires_at timestamp", outputMode="Append", timeMode="EventTime")
 
 
-def truth_changes(cards: DataFrame) -> DataFrame:
+def truth_changes(cards: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(slot, version, current, members, needs_human) whenever cards of a slot change; update mode, within timed_state.
 
     cards: a stream of (id, num, slot, status, since, version): a card's state
-    from a version on, the largest of which holds.  A slot's cards are a map in
-    its state, of which only active and disputed ones stay.  A change that
-    leaves a slot with fewer than two of them says so by null members.
+    from a version on, the largest of which holds.  Slots of a bucket, by their
+    hash, have one value as state, the cards of all of them; the number of
+    buckets is fixed for a checkpoint.  A change that leaves a slot with fewer
+    than two active or disputed cards says so by null members.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Truth(StatefulProcessor):
         def init(self, handle):
-            self.cards = handle.getMapState("cards", "id string", "num long, since long, disputed boolean, live boolean, version long")
-            self.version = handle.getValueState("version", "n long")
+            self.cards = handle.getValueState("cards", "cards binary")
 
         def handleInputRows(self, key, rows, timerValues):
-            top = self.version.get()[0] if self.version.exists() else -1
-            for b in rows:
-                for r in b.itertuples(index=False):
-                    old = self.cards.getValue((r.id,)) if self.cards.containsKey((r.id,)) else None
-                    if old is None or old[4] <= r.version:
-                        since = -(2**62) if pd.isna(r.since) else r.since.value // 1000
-                        self.cards.updateValue((r.id,), (int(r.num), int(since), r.status == "disputed", r.status in ("active", "disputed"), int(r.version)))
-                    top = max(top, int(r.version))
-            self.version.update((top,))
-            live = sorted(((v[1], v[0], k[0], v[2]) for k, v in self.cards.iterator() if v[3]), reverse=True)
-            some = len(live) > 1
-            yield pd.DataFrame({"slot": [key[0]], "version": [top], "current": [live[0][2] if some else None], "members": [",".join(x[2] for x in live) if some else None], "needs_human": [any(x[3] for x in live) if some else None]})
+            read = lambda b: pd.DataFrame({
+                "slot": b["slot"], "id": b["id"], "num": b["num"].astype("int64"), "since": _ticks(b["since"], "us"), "disputed": b["status"] == "disputed", "live": b["status"].isin(["active", "disputed"]), "version": b["version"].astype("int64")})
+            news = pd.concat([read(b) for b in rows], ignore_index=True)
+            held = _unpacked(self.cards)
+            every = news if held is None else pd.concat([held, news], ignore_index=True)
+            # of equal versions the later one
+            every = every.sort_values("version", kind="stable").drop_duplicates(["slot", "id"], keep="last")
+            self.cards.update((_packed(every),))
+            # groups by a hash would leave out cards without a slot
+            own = every[every["slot"].isin(news["slot"])]
+            top = own.groupby("slot", dropna=False)["version"].max()
+            live = own[own["live"]].sort_values(["since", "num", "id"], ascending=False).groupby("slot", dropna=False)
+            some = pd.DataFrame({"n": live.size(), "current": live["id"].first(), "members": live["id"].agg(",".join), "needs_human": live["disputed"].any()})
+            some = some[some["n"] > 1].drop(columns="n")
+            out = top.to_frame("version").join(some).reset_index()
+            yield out.astype(object).where(out.notna(), None)[["slot", "version", "current", "members", "needs_human"]]
 
         def close(self):
             pass
 
-    own = cards.select("id", "num", "slot", "status", "since", "version")
-    return own.groupBy("slot").transformWithStateInPandas(statefulProcessor=Truth(), outputStructType="slot string, version long, current string, members string, needs_human boolean", outputMode="Update", timeMode="None")
+    own = cards.select(F.pmod(F.xxhash64("slot"), F.lit(buckets)).cast("int").alias("_bucket"), "id", "num", "slot", "status", "since", "version")
+    return own.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=Truth(), outputStructType="slot string, version long, current string, members string, needs_human boolean", outputMode="Update", timeMode="None")
 
 
 def folded_changes(changes: DataFrame) -> DataFrame:

@@ -304,3 +304,23 @@ def test_what_many_queries_name_is_put_together_once(spark):
     named = Q.same_slot(c, q)
     plain = C.truth_table(c.join(named.unionByName(found.join(named.select("qid").distinct(), "qid", "left_anti").select("qid", "id")), "id"), "qid")
     assert sorted(Q.contested(c, q, found).collect()) == sorted(plain.collect())
+
+
+def _streamed(spark, at, df, stream):
+    """Rows that a stream over a folder gives in one run, and the values that its state holds."""
+    df.write.json(f"{at}/in", timestampFormat="yyyy-MM-dd'T'HH:mm:ss")
+    rows = []
+    with ST.timed_state(spark):
+        q = stream(ST.audit_stream(spark, f"{at}/in", df.schema)).writeStream.outputMode("update").foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+    return rows, max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+
+
+def test_state_of_expirations_is_a_few_values(spark, tmp_path):
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 50 * 3600 + n * 86400)
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), day(F.lit(0)).alias("recorded_at"), F.when(F.col("id") % 7 > 0, day(F.col("id") % 3)).alias("expires_at"))
+    rows, held = _streamed(spark, tmp_path, df, lambda s: ST.expirations(s).select("id", F.date_format("expires_at", "yyyy-MM-dd HH").alias("at")))
+    end = 1704067200 + 49 * 3600
+    want = {(r["id"], r["at"]) for r in df.where(F.unix_timestamp("expires_at") < end).select("id", F.date_format("expires_at", "yyyy-MM-dd HH").alias("at")).collect()}
+    assert want <= {tuple(r) for r in rows} and len(rows) == len(set(rows)) and held <= 3 * ST.BUCKETS
