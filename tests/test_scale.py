@@ -324,3 +324,12 @@ def test_state_of_expirations_is_a_few_values(spark, tmp_path):
     end = 1704067200 + 49 * 3600
     want = {(r["id"], r["at"]) for r in df.where(F.unix_timestamp("expires_at") < end).select("id", F.date_format("expires_at", "yyyy-MM-dd HH").alias("at")).collect()}
     assert want <= {tuple(r) for r in rows} and len(rows) == len(set(rows)) and held <= 3 * ST.BUCKETS
+
+
+def test_state_of_truth_changes_is_a_few_values(spark, tmp_path):
+    i = F.col("id")
+    df = spark.range(4000).select(i.cast("string").alias("id"), i.alias("num"), F.concat(F.lit("s"), i % 1500).alias("slot"), F.when(i % 4 == 0, "expired").otherwise("active").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("since"), F.lit(1).cast("long").alias("version"))
+    rows, held = _streamed(spark, tmp_path, df, ST.truth_changes)
+    assert len(rows) == 1500 and held <= ST.BUCKETS
+    got = {r["slot"]: r["members"] for r in rows}
+    assert got["s1"] == "3001,1501,1" and got["s0"] is None and got["s2"] == "3002,1502,2" and got["s1000"] is None and got["s1002"] == "2502,1002" and got["s1001"] == "2501,1001"
