@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,18 @@ def test_sweep_finds_long_ids_in_map_notes(spark, sf):
     ("1,It works. Now,x\n2,No.,y", "csv"), ("a;b;c\n1.;2.;3.", "csv"), ("a\tb\tc\nOne. Two\tx\ty", "csv"), ("no., name, note\n1, x, y", "csv")])
 def test_even_commas_of_sentences_make_no_table(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.sniffed(F.col("t"), F.lit("x"))).first()[0] == want
+
+
+def test_json_records_are_handed_on_in_frames():
+    class Texts:
+        schema = {"source": type("S", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "string")})})}
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    row = "x" * 3000
+    run = N._records(Texts(), lambda r: (("k", f"l{i}", row) for i in range(int(r.text))))
+    frames = list(run([pd.DataFrame({"source": ["a", "b", "c"], "text": ["7000", None, "3"]}), pd.DataFrame({"source": ["d"], "text": ["2"]})]))
+    assert max(map(len, frames)) <= N.MOST_CHARS // 3000 + 1 and sum(map(len, frames)) == 7005
+    every = pd.concat(frames)
+    assert list(every["pos"]) == [*range(7000), 0, 1, 2, 0, 1] and list(every["source"].unique()) == ["a", "c", "d"]
