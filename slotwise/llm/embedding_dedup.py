@@ -4,8 +4,10 @@ A rotation, learned so that the signs of rotated vectors lose little, gives each
 vector a binary code.  Codes are cut into blocks, each a table; a vector stands
 in a table under its block's value and looks there also under the values that
 come from flipping coordinates so small that a near vector may have the other
-sign.  Pairs that meet and whose whole codes are near are compared by cosine in
-double precision on the original vectors.
+sign.  Pairs that meet and whose whole codes are near are compared where they
+meet, by 8 bits a coordinate with known errors; those for which these errors
+leave it open are compared by cosine in double precision on the vectors.  Only
+these pairs are ever rows.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ BLOCK_BITS = 16
 FLIPS = 3.6
 #: Deviations above what the least similarity gives by which the bits may number in which codes of a pair differ.
 DEVIATIONS = 7.0
-BLOCK = 512
-GROUP_ROWS = 40_000
-#: Vectors that a task holds links of before it hands them on.
-HELD = 100_000
+#: Vectors of a table entry from which it is dealt into blocks.
+BLOCK = 4096
+#: Vectors of 64 coordinates that stand in a piece of a table, about; and vectors that a task holds links of before it hands them on.
+HELD = 1 << 17
+#: Vectors whose lookups are listed at a time.
+CHUNK = 256
 
 
 def rotation(x: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -59,91 +63,218 @@ def radius(bits: int, least: float) -> int:
     return min(bits, math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))))
 
 
-def flips_of(z: np.ndarray, limit: float) -> list[np.ndarray]:
-    """For each row of z, the masks of coordinates whose squares sum to at most `limit`."""
-    out = []
-    for row in z * z:
-        small = np.flatnonzero(row <= limit)
-        small = small[np.argsort(row[small])]
-        masks, sums = np.zeros(1, np.int64), np.zeros(1)
-        for i in small:
-            fit = sums + row[i] <= limit
-            if not fit.any():
-                break
-            masks, sums = np.r_[masks, masks[fit] | (1 << int(i))], np.r_[sums, sums[fit] + row[i]]
-        out.append(masks)
-    return out
+def flips_of(cost: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, mask) of all sets of coordinates whose costs, whole numbers, sum to at most the row's limit."""
+    row, mask, total = np.arange(len(cost)), np.zeros(len(cost), np.int32), np.zeros(len(cost), np.int64)
+    for i in range(cost.shape[1]):
+        more = total + cost[row, i]
+        fit = np.flatnonzero(more <= limit[row])
+        row, mask, total = np.r_[row, row[fit]], np.r_[mask, mask[fit] | (1 << i)], np.r_[total, more[fit]]
+    return row, mask
+
+
+def coded(raw: list[list[float]], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(q, scale, shift, error) of vectors of one dimension: rotated ones are (q + 1/2) * scale but for an error of that length.
+
+    q has 8 bits a coordinate and the signs of the code; the products of two
+    rotated vectors and of the vectors themselves differ by their shifts.
+    """
+    mean, r = model
+    x = unit(raw)
+    z = (x - mean) @ r
+    scale = np.maximum(np.abs(z).max(axis=1) / 127.5, 1e-30)
+    q = np.clip(np.floor(z / scale[:, None]), -128, 127).astype(np.int8)
+    error = np.linalg.norm(z - (q + 0.5) * scale[:, None], axis=1)
+    return q, scale, x @ mean - mean @ mean / 2, error
+
+
+def costs(q: np.ndarray) -> np.ndarray:
+    """What it takes to flip each coordinate: four times its square, in units of the scale's."""
+    return (2 * q.astype(np.int64) + 1) ** 2
+
 
+def limits(scale: np.ndarray, d: int, least: float) -> np.ndarray:
+    """The largest sum of costs that a lookup flips."""
+    return np.floor(FLIPS * (2 - 2 * least) / d * 4 / scale**2).clip(max=2.0**60).astype(np.int64)
 
-def lookups(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
-    """(key, rep, code, home) rows: where each vector stands and looks; vectors of one dimension meet only each other."""
+
+def tables(d: int) -> list[slice]:
+    return [slice(k, min(d, k + BLOCK_BITS)) for k in range(0, d, BLOCK_BITS)]
+
+
+def entries(q: np.ndarray, part: slice) -> np.ndarray:
+    """Under which value each vector stands in a table."""
+    return (q[:, part] >= 0) @ (1 << np.arange(part.stop - part.start))
+
+
+def full_entries(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
+    """How many blocks of BLOCK vectors the fuller table entries have, by key; there are at most a few for BLOCK vectors."""
 
     def run(batches):
         for b in batches:
-            ids, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
+            raw = b.column(0).to_pylist()
+            sizes = np.array([len(v) for v in raw])
+            for d in np.unique(sizes).tolist():
+                q = coded([raw[i] for i in np.flatnonzero(sizes == d)], model.get(d) or rotation(np.zeros((0, d))))[0]
+                for k, part in enumerate(tables(d)):
+                    value, n = np.unique(entries(q, part), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((d << 24) | (k << 16) | value, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    n = reps.select("embedding").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    return {r["key"]: -(-r["n"] // BLOCK) for r in n.collect()}
+
+
+HOME, LOOKS = 1, 2
+
+
+def pieces(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], least: float, bits: int, full: dict[int, int]) -> DataFrame:
+    """(piece, p, q, side, rep, copies, code, scale, shift, error) rows: where each vector stands and where it looks.
+
+    A piece is the part of a table whose entries agree in the first `bits`
+    coordinates; a vector is a row in its own and in those which its flips of
+    these lead to.  A full entry is pieces of its own, one for each pair of
+    its blocks.  Vectors of one dimension meet only each other.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids, copies, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             sizes = np.array([len(v) for v in raw])
             for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
-                x = unit([raw[i] for i in own])
-                mean, r = model.get(d) or rotation(np.zeros((0, d)))
-                z = (x - mean) @ r
-                bits = z >= 0
-                code = [c.tobytes() for c in np.packbits(np.pad(bits, ((0, 0), (0, -d % 64))), axis=1)]
-                limit = FLIPS * (2 - 2 * least) / d
-                key, rep, codes, home = [], [], [], []
-                for k in range(-(-d // BLOCK_BITS)):
-                    part = slice(k * BLOCK_BITS, min(d, (k + 1) * BLOCK_BITS))
-                    value = bits[:, part] @ (1 << np.arange(part.stop - part.start))
-                    for n, masks in enumerate(flips_of(z[:, part], limit)):
-                        key.append(((d << 24) | (k << 16) | (value[n] ^ masks)))
-                        rep.append(np.full(len(masks), ids[own[n]]))
-                        codes += [code[n]] * len(masks)
-                        home.append(masks == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(rep), pa.int64()), pa.array(codes, pa.binary()), pa.array(np.concatenate(home))], ["key", "rep", "code", "home"])
-
-    return reps.select("rep", "embedding").mapInArrow(run, "key long, rep long, code binary, home boolean")
-
-
-def meeting(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one key, at least one of them at home, whose codes are near.
-
-    A full table entry is dealt into blocks, and each pair of blocks is a piece
-    of work of bounded size; so many groups of pieces are made that one has
-    about GROUP_ROWS rows once each block stands beside all others.
+                q, scale, shift, error = coded([raw[i] for i in own], model.get(d) or rotation(np.zeros((0, d))))
+                cost, limit = costs(q), limits(scale, d, least)
+                code = [x.tobytes() for x in q]
+                for k, part in enumerate(tables(d)):
+                    table, value = (d << 24) | (k << 16), entries(q, part)
+                    at_full = np.array([int(v) | table in full for v in value])
+                    n, mask = flips_of(cost[:, part][:, :bits], limit)
+                    low = (1 << bits) - 1
+                    rows = [(n, table | ((value[n] ^ mask) & low), np.full(len(n), -1), np.full(len(n), -1), LOOKS + HOME * ((mask == 0) & ~at_full[n]))]
+                    here = np.array([x & 0xFFFF for x in full if x >> 16 == table >> 16], np.int64)
+                    for at in range(0, len(q) if len(here) else 0, CHUNK):
+                        n, mask = flips_of(cost[at : at + CHUNK, part], limit[at : at + CHUNK])
+                        n += at
+                        hit = np.isin(value[n] ^ mask, here)
+                        for i, v, m in zip(n[hit].tolist(), (value[n] ^ mask)[hit].tolist(), mask[hit].tolist(), strict=True):
+                            blocks = full[table | v]
+                            mine, every = np.full(blocks, hash((int(ids[own[i]]), 7)) % blocks), np.arange(blocks)
+                            rows.append((np.full(blocks, i), np.full(blocks, table | v), every, mine, np.full(blocks, LOOKS)))
+                            if m == 0:
+                                rows.append((np.full(blocks, i), np.full(blocks, table | v), mine, every, np.full(blocks, HOME)))
+                    n, piece, p, o, side = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    for at in range(0, len(n), 1 << 15):
+                        x = slice(at, at + (1 << 15))
+                        i = n[x]
+                        cols = [pa.array(piece[x], pa.int64()), pa.array(p[x], pa.int32()), pa.array(o[x], pa.int32()), pa.array(side[x], pa.int32()), pa.array(ids[own[i]], pa.int64()), pa.array(copies[own[i]], pa.int64()),
+                                pa.array([code[j] for j in i.tolist()], pa.binary()), pa.array(scale[i]), pa.array(shift[i]), pa.array(error[i])]
+                        yield pa.RecordBatch.from_arrays(cols, ["piece", "p", "q", "side", "rep", "copies", "code", "scale", "shift", "error"])
+
+    return reps.select("rep", "copies", "embedding").mapInArrow(run, "piece long, p int, q int, side int, rep long, copies long, code binary, scale double, shift double, error double")
+
+
+class Joined:
+    """Which of the numbers up to n are linked, each under the smallest that it reaches."""
+
+    def __init__(self, n: int) -> None:
+        self.low = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        p, q = self.low[a], self.low[b]
+        apart = p != q
+        if not apart.any():
+            return
+        low = self.low
+        for x, y in np.unique(np.stack([p[apart], q[apart]], axis=1), axis=0).tolist():
+            while (up := int(low[x])) != x:
+                x = up
+            while (up := int(low[y])) != y:
+                y = up
+            low[max(x, y)] = min(x, y)
+        while True:
+            further = low[low]
+            if (further == low).all():
+                break
+            low = further
+        self.low = low
+
+
+def met(table: pa.Table, bits: int, least: float) -> pa.Table:
+    """(a, b, others) of one piece: degrees of vectors (b null), links to the smallest that each reaches (others 0), pairs left open (others null).
+
+    A vector looks under all its flips that lie in the piece; what it meets
+    there and is near by the codes is compared by the 8-bit coordinates, whose
+    errors are known.  Only pairs that these leave open are handed on.  A pair
+    that meets in several tables, or both ways, counts where it meets first.
     """
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("_h")).where("n > 1 and _h > 0")
-    counts = counts.select("key", "n", "_h", F.ceil(F.col("_h") / BLOCK).cast("int").alias("_kh"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_kn"))
-    total = counts.agg(F.sum(F.col("_h").cast("double") * F.col("_kn") + F.col("n").cast("double") * F.col("_kh"))).first()[0] or 0
-    groups = max(1, int(total // GROUP_ROWS))
-    own = to_hot(rows, counts.select("key", "n", "_kh", "_kn"), "key", F.col("rep")).drop("n")
-    at_home = own.where("home").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("_kh"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_kn") - 1))).withColumn("side", F.lit(True))
-    look = own.withColumn("q", F.pmod(F.xxhash64("rep"), F.col("_kn"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_kh") - 1))).withColumn("side", F.lit(False))
-    cols = ["key", F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), "rep", "code", "side"]
-    both = at_home.select(*cols).unionByName(look.select(*cols))
-    both = both.withColumn("g", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        col = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "rep", "side")}
-        codes = table.column("code")
-        order = np.lexsort((col["side"], col["q"], col["p"], col["key"]))
-        new = np.flatnonzero(np.r_[True, np.any([np.diff(col[c][order]) != 0 for c in ("key", "p", "q")], axis=0)])
-        out = [np.zeros((0, 2), np.int64)]
-        for at in np.split(order, new[1:]):
-            side = col["side"][at]
-            h, n = at[side], at[~side]
-            if not len(h) or not len(n):
-                continue
-            # vectors of one key have one dimension
-            own, other = (np.frombuffer(b"".join(codes.take(pa.array(x)).to_pylist()), np.uint64).reshape(len(x), -1) for x in (h, n))
-            apart = sum(np.bitwise_count(own[:, k][:, None] ^ other[:, k][None, :]).astype(np.int16) for k in range(own.shape[1]))
-            i, j = np.nonzero(apart <= radius(int(col["key"][at[0]]) >> 24, least))
-            a, b = col["rep"][h][i], col["rep"][n][j]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return both.groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    table = table.combine_chunks()
+    col = {c: table.column(c).to_numpy() for c in ("side", "rep", "copies", "scale", "shift", "error")}
+    piece, hot = table.column("piece")[0].as_py(), table.column("p")[0].as_py() >= 0
+    d, k = piece >> 24, piece >> 16 & 0xFF
+    parts = tables(d)
+    starts = [x.start for x in parts]
+    q = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(-1, d)
+    bools = np.packbits(np.pad(q >= 0, ((0, 0), (0, -d % 64))), axis=1)
+    words = np.ascontiguousarray(bools).view(np.uint64)
+    size = np.concatenate([np.sqrt(costs(x).sum(axis=1)) for x in np.array_split(q, len(q) // 10000 + 1)]) * col["scale"] / 2
+    limit, value = limits(col["scale"], d, least), entries(q, parts[k])
+    far = radius(d, least)
+    home, looks = np.flatnonzero(col["side"] & HOME), np.flatnonzero(col["side"] & LOOKS)
+    home = home[np.argsort(value[home], kind="stable")]
+    bound = np.searchsorted(value[home], np.arange((1 << BLOCK_BITS) + 1))
+    names, number = np.unique(col["rep"], return_inverse=True)
+    degree, joined, left = np.zeros(len(names), np.int64), Joined(len(names)), []
+    kept = 0xFFFF if hot else (1 << bits) - 1
+    slack = 1e-9 + d * 2.0**-22
+    step = max(1, (1 << 22) // d)
+
+    def compare(a, b):
+        near = sum(np.bitwise_count(words[a, i] ^ words[b, i]).astype(np.int32) for i in range(words.shape[1])) <= far
+        a, b = a[near], b[near]
+        wa, wb = (2 * q[x].astype(np.float32) + 1 for x in (a, b))
+        about = np.einsum("ij,ij->i", wa, wb).astype(np.float64) * col["scale"][a] * col["scale"][b] / 4 + col["shift"][a] + col["shift"][b]
+        most = col["error"][a] * (size[b] + col["error"][b]) + size[a] * col["error"][b] + slack
+        may = np.flatnonzero(about + most >= least)
+        a, b, sure = a[may], b[may], (about - most >= least)[may]
+        other = (q[a] >= 0) != (q[b] >= 0)
+        there, back = (np.add.reduceat(other * costs(q[x]), starts, axis=1) <= limit[x][:, None] for x in (a, b))
+        here = ((there | back).argmax(axis=1) == k) & ((col["rep"][a] < col["rep"][b]) | ~there[:, k])
+        a, b, sure = a[here], b[here], sure[here]
+        left.append(np.stack([col["rep"][a], col["rep"][b]], axis=1)[~sure])
+        a, b = a[sure], b[sure]
+        np.add.at(degree, number[a], col["copies"][b])
+        np.add.at(degree, number[b], col["copies"][a])
+        joined.add(number[a], number[b])
+
+    for at in range(0, len(looks), CHUNK):
+        own = looks[at : at + CHUNK]
+        n, mask = flips_of(costs(q[own][:, parts[k]]), limit[own])
+        under = value[own][n] ^ mask
+        n, under = (x[(under & kept) == (piece & kept)] for x in (n, under))
+        there = bound[under + 1] - bound[under]
+        n, under, there = (x[there > 0] for x in (n, under, there))
+        ends = np.cumsum(there)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, step):
+            i = np.arange(first, min(first + step, int(ends[-1])))
+            at_look = np.searchsorted(ends, i, side="right")
+            a, b = home[bound[under[at_look]] + i - (ends - there)[at_look]], own[n[at_look]]
+            apart = col["rep"][a] != col["rep"][b]
+            compare(a[apart], b[apart])
+    star, some = np.flatnonzero(joined.low != np.arange(len(names))), np.flatnonzero(degree)
+    open_ = np.concatenate([np.zeros((0, 2), np.int64), *left])
+    none = lambda m: pa.nulls(m, pa.int64())
+    return pa.table({
+        "a": pa.array(np.concatenate([names[star], names[some], open_[:, 0]]), pa.int64()),
+        "b": pa.chunked_array([pa.array(names[joined.low[star]], pa.int64()), none(len(some)), pa.array(open_[:, 1], pa.int64())]),
+        "others": pa.chunked_array([pa.array(np.zeros(len(star), np.int64)), pa.array(degree[some]), none(len(open_))])})
+
+
+def meeting(reps: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
+    """Rows of `met` of all pieces: parts of a table by as many of its bits as leave about HELD vectors of 64 coordinates in one."""
+    n = reps.agg(F.sum(F.size("embedding").cast("double"))).first()[0] or 0
+    bits = min(BLOCK_BITS, max(1, math.ceil(math.log2(max(1, n / 64 / HELD)))))
+    rows = pieces(reps, model, least, bits, full_entries(reps, model))
+    return rows.groupBy("piece", "p", "q").applyInArrow(lambda t: met(t, bits, least), "a long, b long, others long")
 
 
 class Linked:
@@ -229,13 +360,17 @@ def links(vectors: DataFrame, ws: Workspace, least: float = LEAST) -> tuple[Data
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     known = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     good = known.where(F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    good = ws.put(good, "vectors")
-    reps = ws.put(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    member = good.join(reps, "embedding").select("vec_id", "rep", "copies")
-    rows = ws.put(lookups(reps, fit(reps), least), "lookups")
-    pairs = ws.put(meeting(rows, least), "pairs")
-    ws.drop("lookups")
-    return member, reps, ws.put(reranked(pairs, reps, least), "links")
+    # -0.0 and 0.0 group together but read differently; sha2 stands for the vector where members meet their representative
+    kind = vectors.schema["embedding"].dataType.elementType
+    good = good.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(kind)))
+    good = ws.put(good.withColumn("digest", F.unhex(F.sha2(F.col("embedding").cast("string"), 256))), "vectors")
+    reps = ws.put(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("digest").alias("digest")), "reps")
+    ids = ws.put(good.select("vec_id", "digest"), "ids")
+    ws.drop("vectors")
+    member = ids.join(reps.select("digest", "rep", "copies"), "digest").select("vec_id", "rep", "copies")
+    found = ws.put(meeting(reps, fit(reps), least), "met")
+    left = reranked(found.where("others is null").select("a", "b"), reps, least)
+    return member, reps, ws.put(found.where("others is not null").unionByName(left), "links")
 
 
 def embedding_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:

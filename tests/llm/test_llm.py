@@ -516,6 +516,44 @@ def test_recall_at_larger_dimensions(spark, d):
     assert all(got[i]["n_links"] <= want[i] for i in range(len(v)))
 
 
+@pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 50])
+def test_near_copies_are_no_rows_of_pairs(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    v = np.array([*(base + rng.standard_normal((500, 64)) * 0.05), *rng.standard_normal((100, 64))]).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    rows, put = {}, embedding_dedup.Workspace.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(embedding_dedup.Workspace, "put", counted)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert [got[i] for i in range(600)] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+    # a few rows a vector and piece, whatever the group's size
+    assert max(rows.values()) <= (100 if block == 50 else 20) * 600
+
+
+def test_pairs_that_eight_bits_leave_open_are_compared_exactly(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((150, 64))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    # cosines from 1e-4 below to 1e-4 above the least
+    c = (0.95 + np.linspace(-1e-4, 1e-4, 150))[:, None]
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert not any(got[i] for i in range(75))
+    assert sum(got[i] for i in range(75, 150)) >= 74
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 def test_contamination_like_brute_force(spark, sf, docs):
