@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from slotwise.config import DEFAULT, RELATIONS, STATUSES, TYPES, Config
 from slotwise.functions import text as T
@@ -47,6 +48,11 @@ def normalised(cards: DataFrame, day: str, config: Config = DEFAULT, source: str
     of nulls.  Long fields are cut, a body with a mark; lists have at most 12
     entries and links of known relations only, at most 8.
     """
+    return _formed(cards, day, config, source).where("_usable").drop("_usable")
+
+
+def _formed(cards: DataFrame, day: str, config: Config, source: str) -> DataFrame:
+    """All cards with the fields of `normalised`, and _usable: whether they have a known type, a slot and a value."""
     text = lambda n: T.trimmed(F.coalesce(_given(cards, n), F.lit("")))
     typed = C.with_type(cards, config)
     limit = F.col("body_limit")
@@ -66,10 +72,12 @@ def normalised(cards: DataFrame, day: str, config: Config = DEFAULT, source: str
     }
     title = F.substring(T.trimmed(or_else("title", new["value"])), 1, TITLE)
     known = F.col("type").isin(*config.types)
-    out = typed.where(known).withColumns(new | {"title": title}).where("subject <> '' and predicate <> '' and value <> ''")
+    usable = F.coalesce(known & F.expr("subject <> '' and predicate <> '' and value <> ''"), F.lit(False))
+    out = typed.withColumns(new | {"title": title}).withColumn("_usable", usable)
     kept = [c for c in cards.columns if c not in (*new, "title")]
     slot = T.slot(F.col("subject"), F.col("predicate"))
-    return out.select(*kept, "title", *new).withColumn("slot", slot).withColumn("digest", T.digest(F.col("slot"), F.col("value"), F.col("body")))
+    own = out.select(*kept, "title", *new, "_usable").withColumn("slot", slot).withColumn("digest", T.digest(F.col("slot"), F.col("value"), F.col("body")))
+    return own.select(*[c for c in own.columns if c != "_usable"], "_usable")
 
 
 def problems(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -79,8 +87,12 @@ def problems(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
     asked for, and a closed card may do without a successor.  An unknown type
     has the limit of a lesson.
     """
+    return C.with_type(cards, config).select("id", F.explode(_broken(config)).alias("problem"))
+
+
+def _broken(config: Config) -> Column:
+    """The names of the rules of `problems` that a card with its type's settings breaks."""
     blank = lambda x: T.trimmed(F.coalesce(F.col(x), F.lit(""))) == ""
-    c = C.with_type(cards, config)
     limit = F.when(F.col("known_type"), F.col("body_limit")).otherwise(config.types.get("lesson", TYPES["lesson"])[2])
     rules = [(f"missing_{x}", blank(x)) for x in ("type", "title", "subject", "predicate", "status")]
     rules += [
@@ -90,8 +102,7 @@ def problems(cards: DataFrame, config: Config = DEFAULT) -> DataFrame:
         ("confidence_range", ~F.col("confidence").between(0, 1)), ("importance_range", ~F.col("importance").between(0, 1)),
         ("valid_order", F.col("valid_to") < F.col("valid_from")), ("active_ended", (F.col("status") == "active") & F.col("valid_to").isNotNull()),
     ]
-    found = F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules]), lambda x: x.isNotNull())
-    return c.select("id", F.explode(found).alias("problem"))
+    return F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules]), lambda x: x.isNotNull())
 
 
 def accepted(cards: DataFrame, config: Config = DEFAULT, force: bool = False) -> DataFrame:
@@ -103,12 +114,19 @@ def accepted(cards: DataFrame, config: Config = DEFAULT, force: bool = False) ->
 
 def read_results(loose: DataFrame, day: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(cards, rejected (id, problems)) of an extractor's cards (id, ...), of `agent.extracted`."""
-    good = normalised(loose, day, config, EXTRACTED)
-    found = problems(good, config).groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list("problem")).alias("problems"))
-    told = good.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
+    # one pass over the extraction: a card's rows meet once, by its id; rows without an id are cards of their own
+    formed = _formed(loose, day, config, EXTRACTED)
+    kept = [c for c in formed.columns if c not in ("_usable", "problems")]
+    own = C.with_type(formed, config).select(*kept, "_usable", F.when(F.col("_usable"), _broken(config)).alias("_broken"))
+    card = W.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64("title", "value", "body")))
+    found = F.array_sort(F.flatten(F.collect_list("_broken").over(card)))
+    told = own.select(*kept, "_usable", found.alias("problems"), F.max("_usable").over(card).alias("_some"))
+    told = told.withColumn("problems", F.when(F.col("id").isNotNull() & (F.size("problems") > 0), F.col("problems")))
     useless = F.coalesce(F.exists("problems", lambda p: p.isin(*REJECTING)), F.lit(False))
-    lost = loose.join(good.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", F.array(F.lit("no_card")).alias("problems"))
-    return told.where(~useless), lost.unionByName(told.where(useless).select("id", "problems"))
+    # one branch, so that no card is read twice: what was none, and what is useless
+    rejected = told.where(~F.col("_some") | F.col("id").isNull() | (F.col("_usable") & useless))
+    why = F.filter(F.array(F.when(~F.col("_some") | F.col("id").isNull(), F.array(F.lit("no_card"))), F.when(F.col("_usable") & useless, F.col("problems"))), lambda x: x.isNotNull())
+    return told.where(F.col("_usable") & ~useless).select(*kept, "problems"), rejected.select("id", F.explode(why).alias("problems"))
 
 
 def added(new: DataFrame, cards: DataFrame, ref: str, config: Config = DEFAULT, force: bool = False) -> DataFrame:

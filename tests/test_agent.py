@@ -74,3 +74,21 @@ def test_resolution(spark):
     assert [after("merge", "4")[i]["status"] for i in "1234"] == ["disputed", "active", "expired", "active"]
     d = spark.createDataFrame([("s", "merge", "4"), ("t", "guess", None), ("u", "keep", None)], "slot string, verdict string, winner string")
     assert {(r["slot"], r["error"]) for r in U.resolution_errors(held(), d).collect()} == {("s", "unknown_winner"), ("t", "unknown_verdict"), ("u", "no_members")}
+
+
+def test_results_are_read_once(spark):
+    rows = [(f"c{i}", "lesson" if i % 3 else "memo", f"t{i}", "s", "p", f"v{i}", "b" * (2000 if i % 5 == 0 else 5)) for i in range(60)] + [(None, "lesson", "t", "s", "p", "v", "b"), ("c1", "memo", "t", "s", "p", "v", "b")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    loose = spark.createDataFrame(rows, "id string, type string, title string, subject string, predicate string, value string, body string")
+    good, bad = I.read_results(loose.mapInPandas(counted, loose.schema), "2024-03-01")
+    got = [tuple(r) for r in good.selectExpr("id", "true").union(bad.selectExpr("id", "false")).collect()]
+    # a card without an id is kept and told to be none, as before; one of the rows of c1 is a card
+    want = [(f"c{i}", i % 3 > 0) for i in range(60)] + [(None, True), (None, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert seen.value == len(rows)
