@@ -34,33 +34,33 @@ def scalar(raw: Column) -> Column:
         .when(s.rlike(r"^-?\d+$"), F.when(~s.rlike("^-?0+$"), whole)).when(s.rlike(r"^-?\d+\.\d+$"), F.when(~s.rlike(r"^-?0+\.0+$"), plain)).otherwise(s))
 
 
+def _matter_lines(block: Column) -> Column:
+    return F.filter(F.transform(F.split(block, "\r?\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & (x.startswith("- ") | F.contains(x, F.lit(":"))))
+
+
 def front_matter(block: Column) -> Column:
     """(key, value, items) of "key: value" lines in order, indented ones too, values raw; items: the "- item" lines that follow, raw."""
-    lines = F.filter(F.transform(F.split(block, "\r?\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & (x.startswith("- ") | F.contains(x, F.lit(":"))))
+    return _matter(_matter_lines(block))
+
+
+def _matter(lines: Column) -> Column:
+    """`front_matter` of its lines; they are folded only where there are items."""
     empty = F.array().cast("array<struct<key:string,value:string,items:array<string>>>")
 
+    def pair(x):
+        return F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value"), F.array().cast("array<string>").alias("items"))
+
     def step(acc, x):
         last = F.try_element_at(acc, F.lit(-1))
         more = F.struct(last["key"].alias("key"), last["value"].alias("value"), F.concat(last["items"], F.array(F.trim(F.substring(x, 3, 1 << 30)))).alias("items"))
-        new = F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"), F.array().cast("array<string>").alias("items"))
         item = F.when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more)))
-        return F.when(x.startswith("- "), item).otherwise(F.concat(acc, F.array(new)))
-
-    return F.aggregate(lines, empty, step)
-
-
-def _last(pairs: Column, key: str) -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))
-
+        return F.when(x.startswith("- "), item).otherwise(F.concat(acc, F.array(pair(x))))
 
-def value_of(pairs: Column, key: str) -> Column:
-    """The last value of a key, null if it is missing or empty."""
-    return scalar(_last(pairs, key)["value"])
+    return F.when(F.exists(lines, lambda x: x.startswith("- ")), F.aggregate(lines, empty, step)).otherwise(F.transform(lines, pair))
 
 
-def list_of(pairs: Column, key: str) -> Column:
-    """The last value of a key as a list: [a, b], the items below it, or a list of the value itself."""
-    last = _last(pairs, key)
+def list_of(last: Column) -> Column:
+    """A key's (value, items) as a list: [a, b], the items below it, or a list of the value itself."""
     raw, items = last["value"], last["items"]
     inner = F.split(F.regexp_replace(raw, r"^\[|\]$", ""), ",")
     given = F.when(raw.rlike(r"^\[.*\]$"), F.concat(inner, items)).when((F.size(items) > 0) | (raw == ""), items).otherwise(F.array(raw))
@@ -86,18 +86,25 @@ def parsed_cards(files: DataFrame, today: Column | None = None) -> DataFrame:
     time if not given.
     """
     today = F.current_timestamp() if today is None else today
-    m = front_matter(F.regexp_extract("text", FENCED, 1))
-    base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$")).withColumn("m", F.when(F.col("text").rlike(FENCED), m))
-    get = lambda k: value_of(F.col("m"), k)
+    base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$"))
+    # each step is read by several columns of the next one, so that its work is done once a file, not once a reader;
+    # pairs stand from the last to the first with their plain values, and of a key the first one counts
+    base = base.select("path", F.col("text").rlike(FENCED).alias("fenced"), F.regexp_extract("text", FENCED, 1).alias("block"), F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"))
+    base = base.select("path", "fenced", "body", F.when(F.col("fenced"), _matter_lines(F.col("block"))).alias("lines"))
+    base = base.select("path", "fenced", "body", F.reverse(F.transform(_matter(F.col("lines")), lambda p: F.struct(*[p[k].alias(k) for k in ("key", "value", "items")], scalar(p["value"]).alias("plain")))).alias("m"))
+    base = base.select("path", "fenced", "body", "m", F.transform("m", lambda p: p["key"]).alias("keys"))
+    base = base.select("path", "fenced", "body", *[F.get("m", (F.array_position("keys", k) - 1).cast("int")).alias(f"m_{k}") for k in KEYS])
+    last = lambda k: F.col(f"m_{k}")
+    get = lambda k: last(k)["plain"]
     defaults = {"type": "lesson", "status": "active"}
     texts = [(F.coalesce(get(k), F.lit(defaults[k])) if k in defaults else get(k)).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
-    number = lambda k, default: F.coalesce(_last(F.col("m"), k)["value"].try_cast("double"), get(k).try_cast("double"), F.lit(default)).alias(k)
+    number = lambda k, default: F.coalesce(last(k)["value"].try_cast("double"), get(k).try_cast("double"), F.lit(default)).alias(k)
     return base.select(
         "path", *texts, number("confidence", 0.8), number("importance", 0.6), *[parsed(get(k)).alias(k) for k in ("recorded_at", "ended_at", "last_hit")],
         *[normalized_date(get(k), today).try_cast("date").alias(k) for k in ("review_after", "valid_from", "valid_to")], F.coalesce(get("hits").try_cast("double").try_cast("int"), F.lit(0)).alias("hits"),
-        *[list_of(F.col("m"), k).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
-        F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"),
-        F.when(~F.col("text").rlike(FENCED), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
+        *[list_of(last(k)).alias(k) for k in ("tags", "aliases", "links", "supersedes")],
+        "body",
+        F.when(~F.col("fenced"), "no_front_matter").when(get("id").isNull(), "no_id").alias("problem"))
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:

@@ -316,3 +316,14 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in upserted(spark, path).collect()} == want
     sink(spark.createDataFrame([("a", 4, day(9))], "id string, v int, recorded_at timestamp"), 3)
     assert {(r["id"], r["v"]) for r in upserted(spark, path).collect()} == {("a", 4), ("b", 0), ("c", 2)}
+
+
+def test_front_matter_is_folded_only_where_it_has_items(spark):
+    at = "---\nid: 1\nsubject: a: b\n%ssubject: c\nvalid_from: 2024-1-5\nrecorded_at: 2024-01-05T07:08\nended_at: 2024-01-05 07:08\nlast_hit: 07:08:09\n---\nbody"
+    df = spark.createDataFrame([("x/1.md", at % ""), ("x/2.md", at % "tags:\n- a\n- b\n"), ("x/3.md", "none")], "path string, text string")
+    one, two, none = S.parsed_cards(df, F.lit("2024-03-01").cast("timestamp")).orderBy("path").collect()
+    assert [(r["id"], r["subject"], str(r["valid_from"]), str(r["recorded_at"]), str(r["ended_at"]), r["last_hit"], r["body"]) for r in (one, two)] == [("1", "c", "2024-01-05", "2024-01-05 07:08:00", "None", None, "body")] * 2
+    assert (one["tags"], two["tags"], none["problem"], none["tags"], none["type"]) == ([], ["a", "b"], "no_front_matter", [], "lesson")
+    # what a column reads is worked out in the steps below it, not again for each column
+    plan = S.parsed_cards(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
