@@ -142,9 +142,26 @@ def _named(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(SUBJECT), F.lit(0)), lambda x: F.lower(x)))).alias("_subject"))
 
 
+#: Queries, and cards, of a subject that meet in one piece of the work, about.
+TOGETHER = 1 << 10
+
+
 def same_slot(cards: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id) of the cards, whatever their status, whose subject a query names as kind:name, in any case."""
-    return cards.select("id", F.lower("subject").alias("_subject")).join(_named(queries), "_subject").select("qid", "id")
+    """(qid, id) of the cards, whatever their status, whose subject a query names as kind:name, in any case.
+
+    A subject's queries stand in lists, which are unpacked behind the join: a row
+    of it is about TOGETHER rows of the result.  Lists and cards of a frequent
+    subject are dealt in pieces, each part of the cards with each list.
+    """
+    own, named = cards.select("id", F.lower("subject").alias("_subject")), _named(queries)
+    deal = lambda of, into: F.pmod(F.xxhash64(of), F.col(into)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    size = named.groupBy("_subject").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_lists")).join(own.groupBy("_subject").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts")), "_subject")
+    # in structs a query without a qid is kept
+    lists = named.join(size, "_subject").groupBy("_subject", deal("qid", "_lists").alias("_list"), "_parts").agg(F.collect_list(F.struct("qid")).alias("_asked"))
+    lists = lists.select("_subject", "_list", every("_parts").alias("_part"), "_asked")
+    dealt = own.join(size, "_subject").select("id", "_subject", every("_lists").alias("_list"), deal("id", "_parts").alias("_part")).repartition("_subject", "_list", "_part")
+    return dealt.join(lists, ["_subject", "_list", "_part"]).select("id", F.explode("_asked").alias("_q")).select("_q.qid", "id")
 
 
 def contested(cards: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -333,3 +333,22 @@ def test_state_of_truth_changes_is_a_few_values(spark, tmp_path):
     assert len(rows) == 1500 and held <= ST.BUCKETS
     got = {r["slot"]: r["members"] for r in rows}
     assert got["s1"] == "3001,1501,1" and got["s0"] is None and got["s2"] == "3002,1502,2" and got["s1000"] is None and got["s1002"] == "2502,1002" and got["s1001"] == "2501,1001"
+
+
+def test_cards_of_one_named_subject_are_dealt(spark):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    c = spark.createDataFrame([(f"m{i}", "team:all" if i else "Team:ALL") for i in range(5000)] + [("x", "user:1"), ("y", None)], "id string, subject string")
+    asked = [(i, "who is team:all, team:all?") for i in range(1500)] + [(None, "team:all"), (7, "user:1"), (8, "user:2")]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = Q.same_slot(c, spark.createDataFrame(asked, "qid long, query string"))
+        assert found.columns == ["qid", "id"]
+        assert found.distinct().count() == found.count() == 1501 * 5000 + 1
+        assert {(r["qid"], r["id"]) for r in found.where("id in ('x', 'y') or id = 'm0' and (qid is null or qid < 2)").collect()} == {(7, "x"), (None, "m0"), (0, "m0"), (1, "m0")}
+        in_tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(in_tasks) < 0.7 * 1501 * 5000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
