@@ -247,21 +247,29 @@ def _built(jvm: int, parts: Callable[[Column], Column]) -> Column:
     return parts(F.col("text"))
 
 
-def _dispatched(texts: DataFrame, by: str, branches: dict, other: str) -> DataFrame:
+def _dispatched(texts: DataFrame, by: str, branches: dict, other: str, marked: tuple[str, ...] = ()) -> DataFrame:
     """Each text through the splitter that column `by` names; an unknown name means `other`.
 
     All native splitters share one pass over the texts, whose expression the
-    name chooses; those of JSON take a pass each over theirs.
+    name chooses; those of JSON take a pass each over theirs.  With columns to
+    mark texts by, these come along in a row of number -1 for each text, whose
+    own text is the beginning of one that gave no record, or may have given none.
     """
     named = texts.withColumn(by, F.when(F.col(by).isin(*branches), F.col(by)).otherwise(other))
     native = {k: v for k, v in branches.items() if isinstance(v, tuple)}
     parts, kind = F.lit(None), F.lit(None)
     for name, (what, f) in native.items():
         parts, kind = F.when(F.col(by) == name, _built(id(SparkContext._jvm), f)).otherwise(parts), F.when(F.col(by) == name, what).otherwise(kind)
-    out = named.where(F.col(by).isin(*native)).select("source", kind.alias("kind"), F.posexplode(parts).alias("seq", "text")).withColumn("chars", F.length("text")).select(*FIELDS)
+    kept = F.substring("text", 1, LONGEST_BLOCK)
+    if marked:
+        parts = let(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.concat(F.array(F.when(F.size(p) == 0, kept).otherwise("")), p))
+    place = F.col("_at") - 1 if marked else F.col("_at")
+    out = named.where(F.col(by).isin(*native)).select("source", kind.alias("kind"), F.posexplode(parts).alias("_at", "text"), *marked).select("source", place.alias("seq"), "kind", "text", F.length("text").alias("chars"), *marked)
+    if marked:
+        out = out.unionByName(named.where(~F.col(by).isin(*native)).select("source", F.lit(-1).alias("seq"), F.lit(None).cast("string").alias("kind"), kept.alias("text"), F.length(kept).alias("chars"), *marked))
     for name, split in branches.items():
         if name not in native:
-            out = out.unionByName(split(named.where(F.col(by) == name)).select(*FIELDS))
+            out = out.unionByName(split(named.where(F.col(by) == name)).select(*FIELDS), allowMissingColumns=True)
     return out
 
 
@@ -304,14 +312,15 @@ def by_rules(texts: DataFrame) -> DataFrame:
     """
     first = F.get(F.filter(F.split("text", "\r?\n"), lambda x: T.trimmed(x) != ""), F.lit(0))
     how = F.when((F.col("format") == "csv") & ~F.coalesce(first.rlike(r"[,\t;|]"), F.lit(True)), "text").otherwise(F.col("format"))
-    # used for the counts and for the records: split once
-    cut = kept_apart(_dispatched(texts.select("source", "text", how.alias("format")), "format", BY_FORMAT, "text"))
+    # used for the counts, the records and the headers: each text is read once
+    read = texts.select("source", "text", how.alias("format"), F.col("format").alias("said"), (F.trim("text") != "").alias("filled"))
+    every = kept_apart(_dispatched(read, "format", BY_FORMAT, "text", ("said", "filled")))
+    cut = every.where("seq >= 0").select(*FIELDS)
     n = cut.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
-    own = texts.join(n, F.col("source") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    kept = F.substring("text", 1, LONGEST_BLOCK)
-    bare = own.where("n = 0 and trim(text) <> ''").select("source", F.lit(0).alias("seq"), F.lit("text-whole").alias("kind"), kept.alias("text"), F.length(kept).alias("chars"))
-    said = F.concat_ws("\n", F.concat(F.lit("file: "), F.col("source").cast("string")), F.concat(F.lit("format: "), F.coalesce("format", F.lit("text"))),
-                       F.concat(F.lit("records: "), F.when((F.col("n") == 0) & (F.trim("text") != ""), 1).otherwise(F.col("n")).cast("string")))
+    own = every.where("seq < 0").join(n, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bare = own.where("n = 0 and filled").select("source", F.lit(0).alias("seq"), F.lit("text-whole").alias("kind"), "text", "chars")
+    said = F.concat_ws("\n", F.concat(F.lit("file: "), F.col("source").cast("string")), F.concat(F.lit("format: "), F.coalesce("said", F.lit("text"))),
+                       F.concat(F.lit("records: "), F.when((F.col("n") == 0) & F.col("filled"), 1).otherwise(F.col("n")).cast("string")))
     head = own.select("source", F.lit(0).alias("seq"), F.lit(META).alias("kind"), said.alias("text"), F.length(said).alias("chars"))
     later = cut.unionByName(bare).withColumn("seq", F.col("seq") + 1)
     return head.unionByName(later)

@@ -60,6 +60,22 @@ def test_rules_put_a_header_first_and_keep_it_alone(spark):
     assert [r["record_count"] for r in R.chunks(got.where("source = 'a'")).orderBy("chunk").collect()] == [1, 2]
 
 
+def test_rules_read_a_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [("a", "one\n\ntwo"), ("b", " " * 5000 + "x"), ("c", ""), (None, "three"), ("d", None), ("e", "\u3000"), ("e", "four")]
+    df = texts(spark, *rows, columns="source string, text string").select("source", counted("text").alias("text"), F.lit("text").alias("format"))
+    got = R.by_rules(df)
+    R.chunks(got).collect()
+    assert seen.value == len(rows)
+    assert {r["source"]: r["count"] for r in got.groupBy("source").count().collect()} == {"a": 3, "b": 2, "c": 1, None: 2, "d": 1, "e": 3}
+
+
 def test_long_blocks_are_refilled(spark):
     text = "A sentence. " * 1000
     got = R.by_sentences(texts(spark, ("s", text))).collect()
