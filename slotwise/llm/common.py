@@ -283,24 +283,33 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFram
 
     Alternating large-star and small-star steps: every node's neighbours move
     to the smallest of them.  A step is an aggregation of minima and a join,
-    so that no node's neighbours are gathered; each round is written out.  The
-    rows of a node with many neighbours are dealt over SALTS tasks in the join.
+    so that no node's neighbours are gathered; each round is written out.  While
+    some node has HOT_ROWS neighbours, the rows of such are dealt over SALTS
+    tasks in the join; else that is one merge, without a table for the driver
+    to hand out in each of its many rounds.
     """
     step = ws.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+
+    def told(rows: DataFrame, low: DataFrame) -> DataFrame:
+        if most >= HOT_ROWS:
+            return to_hot(rows, low, "u", F.col("v"))
+        return rows.join(low.withColumnRenamed("u", "_key").hint("merge"), F.col("u") == F.col("_key")).drop("_key")
+
     before, n = None, 0
     while True:
+        # order-independent state of the graph; the first half of a round leaves no node with more neighbours
+        hashed = step.select("u", F.xxhash64("u", "v").cast("decimal(38,0)").alias("h")).union(step.select("v", F.lit(0).cast("decimal(38,0)")))
+        *state, most = hashed.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if state == before or not state[0]:
+            break
+        before = state
         both = step.union(step.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = to_hot(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = told(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = to_hot(large, low, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = told(large, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", "m")).where("u <> v").distinct()
         n += 1
         step = ws.put(small, f"{name}-{n}")
         ws.drop(f"{name}-{n - 1}")
-        # order-independent state of the graph
-        state = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
     return step.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(step.select(F.col("v"), F.col("v")).distinct())

@@ -275,10 +275,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, within: Workspace | N
             found = linked_in_blocks(ws.put(here.select("key", "band", "rep", "comp"), "rest"), sketch, least)
         found = ws.put(found, f"links-{r}")
         links = found if links is None else links.union(found)
-        ids = ws.put(connected_components(ws, links, f"comps-{r}"), f"comps-{r}-all")
-        comps = need.select("rep").join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp"))
+        ids = connected_components(ws, links, f"comps-{r}")
+        comps = ws.put(need.select("rep").join(ids, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("id"), F.coalesce("comp", "rep").alias("comp")), f"comps-{r}-all")
     ws.drop("sketches", "shared", "rest", "need")
-    grouped = reps.select("content", "rep", "least_id").join(ids, F.col("rep") == F.col("id"), "left").select("content", "least_id", F.coalesce("comp", "rep").alias("comp"))
+    grouped = reps.select("content", "rep", "least_id").join(comps, F.col("rep") == F.col("id"), "left").select("content", "least_id", F.coalesce("comp", "rep").alias("comp"))
     classes = grouped.groupBy("comp").agg(F.min("least_id").alias("_class"))
     classes = ws.put(grouped.join(classes, "comp").select(F.col("content").alias("_content"), "_class"), "classes")
     out = own.join(classes, F.col("content") == F.col("_content"), "left").select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("slotwise.llm")
 
-from slotwise.llm import decontaminate, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, token_output, toxicity  # noqa: E402
+from slotwise.llm import common, decontaminate, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, token_output, toxicity  # noqa: E402
 from slotwise.llm.common import hashed_words, read, shingle_hashes  # noqa: E402
 from slotwise.llm.queries import queries  # noqa: E402
 
@@ -52,6 +52,23 @@ def components(n, links):
     return [top(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_components_by_joins_with_and_without_hot_nodes(spark, monkeypatch, hot):
+    """Where no node has many neighbours no rows are dealt by salts, which takes two more joins each time."""
+    dealt = []
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "to_hot", lambda *x, f=common.to_hot: dealt.append(1) or f(*x))
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(200, i) for i in range(150, 200)] + [(7, 7)]
+    ws = common.Workspace(spark, "test")
+    got = {r["id"]: r["comp"] for r in common.connected_components(ws, spark.createDataFrame(links, "a long, b long"), "x").collect()}
+    none = common.connected_components(ws, spark.createDataFrame([(1, 1)], "a long, b long"), "y").count()
+    ws.close()
+    want = components(201, links)
+    assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}} and none == 0
+    assert bool(dealt) == (hot == 3)
+
+
 # --- line dedup ------------------------------------------------------------------------------
 
 def model_lines(rows):
