@@ -88,14 +88,16 @@ def parsed_cards(files: DataFrame, today: Column | None = None) -> DataFrame:
     today = F.current_timestamp() if today is None else today
     base = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^_|^README\.md$"))
     # each step is read by several columns of the next one, so that its work is done once a file, not once a reader;
-    # pairs stand from the last to the first with their plain values, and of a key the first one counts
+    # pairs stand from the last to the first, and of a key the first one counts: only values that a column asks for are made plain,
+    # in lambdas, as twenty of them written out are too much code for a compiled step
     base = base.select("path", F.col("text").rlike(FENCED).alias("fenced"), F.regexp_extract("text", FENCED, 1).alias("block"), F.trim(F.regexp_extract("text", FENCED, 2)).alias("body"))
     base = base.select("path", "fenced", "body", F.when(F.col("fenced"), _matter_lines(F.col("block"))).alias("lines"))
-    base = base.select("path", "fenced", "body", F.reverse(F.transform(_matter(F.col("lines")), lambda p: F.struct(*[p[k].alias(k) for k in ("key", "value", "items")], scalar(p["value"]).alias("plain")))).alias("m"))
+    base = base.select("path", "fenced", "body", F.reverse(_matter(F.col("lines"))).alias("m"))
     base = base.select("path", "fenced", "body", "m", F.transform("m", lambda p: p["key"]).alias("keys"))
     base = base.select("path", "fenced", "body", *[F.get("m", (F.array_position("keys", k) - 1).cast("int")).alias(f"m_{k}") for k in KEYS])
+    base = base.select("*", *[F.get(F.transform(F.array(F.col(f"m_{k}")["value"]), scalar), F.lit(0)).alias(f"plain_{k}") for k in KEYS])
     last = lambda k: F.col(f"m_{k}")
-    get = lambda k: last(k)["plain"]
+    get = lambda k: F.col(f"plain_{k}")
     defaults = {"type": "lesson", "status": "active"}
     texts = [(F.coalesce(get(k), F.lit(defaults[k])) if k in defaults else get(k)).alias(k) for k in ("id", "type", "title", "subject", "predicate", "value", "status", "source", "superseded_by")]
     number = lambda k, default: F.coalesce(last(k)["value"].try_cast("double"), get(k).try_cast("double"), F.lit(default)).alias(k)

@@ -202,3 +202,11 @@ def test_json_records_are_handed_on_in_frames():
     assert max(map(len, frames)) <= N.MOST_CHARS // 3000 + 1 and sum(map(len, frames)) == 7005
     every = pd.concat(frames)
     assert list(every["pos"]) == [*range(7000), 0, 1, 2, 0, 1] and list(every["source"].unique()) == ["a", "c", "d"]
+
+
+def test_only_values_asked_for_are_made_plain(spark):
+    """Numbers are told by a pattern, once for each column, however many keys a card has."""
+    df = spark.createDataFrame([("lesson/a.md", "---\nid: 007\ntitle: '1.50'\nhits: 2.0\nvalue: 01.50\nsubject: no\n---\nb")], "path string, text string")
+    patterns = lambda *names: S.parsed_cards(df).select(*names)._jdf.queryExecution().optimizedPlan().toString().count(r"^-?\d+\.\d+$")
+    assert 0 < patterns("id") and patterns("id", "title") == 2 * patterns("id") and patterns("body") == 0
+    assert tuple(S.parsed_cards(df).select("id", "title", "value", "subject", "hits", "body", "problem").first()) == ("7", "1.50", "1.5", None, 2, "b", None)
