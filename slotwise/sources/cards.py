@@ -127,11 +127,14 @@ def sniffed(text: Column, path: Column) -> Column:
     delims = [F.length(first) - F.length(F.replace(first, F.lit(d))) for d in (",", "\t", ";")]
     ten = F.slice(lines, 1, 10)
     even = lambda d: F.size(F.array_distinct(F.transform(ten, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d)))))) == 1
-    # a sentence's commas or semicolons may be even by chance: blanks follow them, and a row of cells doesn't read on after a full stop or end in one
-    prose = lambda d: first.rlike(r"[.!?](\s|$)") & ~first.rlike(rf"{d}[^\s!?]") if d in ",;" else F.lit(False)
+    # a sentence's commas or semicolons may be even by chance: blanks follow most of them, and a row of cells doesn't read on after a full stop
+    # or end in one; runs of a symbol may trail both, but no cell is empty or quoted
+    blank = r"""(?:([^\p{L}\p{N}_\s,;"'.])\1+)?(?:\s|$)"""
+    spaced = lambda d: F.regexp_count(first, F.lit(rf"{d}(?=[!?]|{blank})"))
+    prose = lambda d, k: first.rlike(rf"[.!?]{blank}") & ~first.rlike(rf"{d}[{d}\"']") & (2 * spaced(d) >= k) if d in ",;" else F.lit(False)
     csv = F.lit(False)
     for d, k in zip((",", "\t", ";"), delims, strict=True):
-        csv = csv | ((k >= 2) & even(d) & (n >= 2) & ~prose(d))
+        csv = csv | ((k >= 2) & even(d) & (n >= 2) & ~prose(d, k))
     top = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Za-z_][\w-]*:( |$)")))
     ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
     by_ext = F.when(ext.isin("md", "markdown"), "markdown").when(ext == "json", "json").when(ext.isin("jsonl", "ndjson"), "jsonl").when(ext.isin("yaml", "yml"), "yaml").when(ext.isin("csv", "tsv"), "csv").when(ext == "log", "log")

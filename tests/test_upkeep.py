@@ -189,6 +189,13 @@ def test_even_commas_of_sentences_make_no_table(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.sniffed(F.col("t"), F.lit("x"))).first()[0] == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("One,$$$ two&&& three,### four.***\nand,%%% so,*** on.", "text"), ("One goes on,xy two, three. Four\nand, so, on.", "text"), ("Un, dos,éé tres.&&&\ny, así, ya.", "text"),
+    ("1,It works. Now, well,x\n2,No.,y,z", "csv"), ("1,--,So it is.\n2,--,No.", "csv"), ("a.,$$,b\n1,2,3", "csv"), ('"So. It, is",,\n"x, y",,', "csv")])
+def test_words_with_marks_behind_them_make_no_table(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(S.sniffed(F.col("t"), F.lit("x"))).first()[0] == want
+
+
 def test_json_records_are_handed_on_in_frames():
     class Texts:
         schema = {"source": type("S", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "string")})})}
