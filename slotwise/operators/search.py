@@ -41,6 +41,8 @@ def query_keys(queries: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
     """(qid, kind, key), each once, of queries (qid, query): their tokens, and their stretches of the lengths that keys of a kind have."""
     flat = F.lower("query")
     compact = F.regexp_replace(flat, "[_:-]", "")
+    # a query is little to read and much to cut up: a small file of queries is more than one task's work
+    queries = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "qid")
     tokens = queries.select("qid", F.explode(F.array(F.lit(TOKEN), F.lit(ALIAS_TOKEN))).alias("kind"), T.tokens(F.col("query")).alias("ks"))
     out = tokens.select("qid", "kind", F.explode("ks").alias("key"))
     for kind, text in ((LAST, compact), (PREDICATE, compact), (TAG, flat), (ALIASES, flat)):
@@ -57,17 +59,20 @@ def search_many(cards: DataFrame, queries: DataFrame, ref: str, limit: int = 8,
     index: `inverted` of these cards or of more.  Queries of one qid are one of
     several rows; null and empty queries find nothing.
     """
-    index = kept_apart(inverted(cards)) if index is None else index
+    rows = cards if include_inactive else C.active(cards)
+    index = kept_apart(inverted(rows)) if index is None else index
+    had = kept_apart(_had(index))
     # as many numbers as keys have different lengths
-    sizes = index.where(F.col("kind").isin(LAST, PREDICATE, TAG, ALIASES)).select("kind", F.length("key").alias("n")).distinct().collect()
+    sizes = had.where(F.col("kind").isin(LAST, PREDICATE, TAG, ALIASES)).select("kind", F.length("key").alias("n")).distinct().collect()
     lengths: dict[str, list[int]] = {}
     for r in sizes:
         lengths.setdefault(r["kind"], []).append(r["n"])
-    asked = kept_apart(query_keys(queries, lengths))
-    common, ids = _common(index, asked, queries)
+    # most stretches are no card's key.  What is cut out of queries is far more than Spark expects of their file: unless
+    # it is told how to join, it sends all of it through the driver
+    asked = kept_apart(_telling(query_keys(queries, lengths).join(had.hint("merge"), ["kind", "key"], "left_semi")))
+    common, ids = _common(index, asked, queries, had)
     counts = lambda own: [F.size(F.array_intersect(own, F.array(*map(F.lit, ids[k])).cast("array<int>"))).alias(k) for k in KINDS]
     w = config.weights
-    rows = cards if include_inactive else C.active(cards)
     age = D.age_days(F.col("recorded_at"), F.col("valid_from"), F.lit(ref).cast("timestamp"))
     prior = {"importance": F.col("importance"), "confidence": F.col("confidence"), "recency": D.recency(age, config.half_life_days), "reuse": D.reuse(F.col("hits"))}
     penalty = F.element_at(F.create_map(*[F.lit(x) for kv in config.penalties.items() for x in kv]), F.col("status"))
@@ -79,23 +84,26 @@ def search_many(cards: DataFrame, queries: DataFrame, ref: str, limit: int = 8,
     sized = kept_apart(queries.select("qid", F.size(T.tokens(F.col("query"))).alias("_n")).join(asks, "qid", "left").withColumn("_asks", F.coalesce("_asks", none)))
 
     # cards that share a rare key with a query: all that they share is counted
-    rare = index.join(asked.join(F.broadcast(common), ["kind", "key"], "left_anti"), ["kind", "key"]).groupBy("qid", "id").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS])
-    rare = rare.join(sized, "qid").join(of, "id")
+    few = lambda df: df.join(F.broadcast(common), ["kind", "key"], "left_anti")
+    # dealt by cards, as these rows meet the cards next; only a query's best go on
+    rare = few(index).join(few(asked).hint("merge"), ["kind", "key"]).repartition("id").groupBy("id", "qid").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in KINDS])
+    rare = rare.join(of, "id").join(sized, "qid")
     rare = rare.select("qid", "id", "num", "_prior", "_penalty", "_n", *[(F.col(f"_{c}") + x).alias(c) for c, x in zip(KINDS, counts(F.array_intersect("_has", "_asks")), strict=True)])
-    rare = kept_apart(_scored(rare, w))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", PLACES)), "num"))).where(F.col("rank") <= limit)
+    out = ["qid", "id", "num", "score", "lexical", "slot_exact", "tag_hit", "alias_hit"]
+    rare = kept_apart(ranked(_scored(rare, w)).select(*out, F.lit(0).alias("_list")))
     # other cards: of those that have the same common keys the best ones by what isn't the query's, for all queries that ask for the same
-    best = _best(_best(of.where(F.size("_has") > 0).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))), limit, "_part"), limit).drop("_part")
+    best = kept_apart(_best(_best(of.where(F.size("_has") > 0).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))), limit, "_part"), limit).drop("_part"))
     kinds = sized.select("_n", "_asks").distinct().where(F.size("_asks") > 0)
     both = F.array_intersect("_has", "_asks")
     classes = best.select("_has", "_penalty").distinct().crossJoin(kinds).where(F.arrays_overlap("_has", "_asks")).select("_has", "_penalty", "_n", "_asks", *counts(both))
     found = _scored(classes.withColumnRenamed("_has", "_h").withColumnRenamed("_penalty", "_p").join(best, (F.col("_h") == F.col("_has")) & F.col("_p").eqNullSafe(F.col("_penalty"))), w)
     # rare keys take cards out of this list, of which none falls behind by it
     found = found.withColumn("_r", F.row_number().over(W.partitionBy("_n", "_asks").orderBy(F.desc(F.round("score", PLACES)), "num"))).where(F.col("_r") <= limit)
-    shared = found.join(sized, ["_n", "_asks"]).join(rare.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
-    out = ["qid", "id", "num", "score", "lexical", "slot_exact", "tag_hit", "alias_hit"]
-    s = rare.select(*out).unionByName(shared.select(*out))
-    ranked = s.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", PLACES)), "num"))).where(F.col("rank") <= limit)
-    return ranked.select("qid", "rank", "id", "score", "lexical", "slot_exact", "tag_hit", "alias_hit")
+    shared = found.join(sized, ["_n", "_asks"]).select(*out, F.lit(1).alias("_list"))
+    # a card of both lists has all that it shares in the first; one that isn't among the first's best is behind them in the second too
+    once = rare.unionByName(shared).withColumn("_l", F.min("_list").over(W.partitionBy("qid", "id"))).where("_list = _l")
+    return ranked(once).select("qid", "rank", "id", "score", "lexical", "slot_exact", "tag_hit", "alias_hit")
 
 
 #: Scores equal to so many places are ties; what a card's prior may lack to tie still, at any relevance over a hundred-thousandth.
@@ -105,16 +113,31 @@ PARTS = 64
 KINDS = (TOKEN, ALIAS_TOKEN, LAST, PREDICATE, TAG, ALIASES)
 
 
-def _common(index: DataFrame, asked: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict[str, list[int]]]:
+def _telling(asked: DataFrame) -> DataFrame:
+    """asked without the names that a query also shares a token with: where a token of a card's names is met, the names as a whole don't count.
+
+    Else a name that many cards and many queries have would meet in as many rows as their product.
+    """
+    own = asked.where(F.col("kind") == ALIAS_TOKEN).groupBy("qid").agg(F.collect_set("key").alias("_own"))
+    met = F.coalesce(F.arrays_overlap(T.tokens(F.col("key")), "_own"), F.lit(False))
+    return asked.join(own.hint("merge"), "qid", "left").where((F.col("kind") != ALIASES) | ~met).select(*asked.columns)
+
+
+def _had(index: DataFrame) -> DataFrame:
+    """(kind, key, _c): the numbers of cards that have the keys."""
+    return index.groupBy("kind", "key").agg(F.count("*").alias("_c"))
+
+
+def _common(index: DataFrame, asked: DataFrame, queries: DataFrame, had: DataFrame | None = None) -> tuple[DataFrame, dict[str, list[int]]]:
     """(kind, key, _k) of the keys at which more rows would meet than there are cards' keys and queries; and their numbers by kind.
 
     All other names are never among them: they count only where none of their
     tokens does, and with every other key a card's relevance grows.
     """
     spark = index.sparkSession
-    least = index.count() // 16 + queries.count()
-    had = index.groupBy("kind", "key").agg(F.count("*").alias("_c"))
-    often = had.join(asked.groupBy("kind", "key").agg(F.count("*").alias("_q")), ["kind", "key"]).where((F.col("kind") != ALIASES) & (F.col("_q") > 1) & (F.col("_c") * F.col("_q") > least))
+    had = _had(index) if had is None else had
+    least = (had.agg(F.sum("_c")).first()[0] or 0) // 16 + queries.count()
+    often = had.join(asked.groupBy("kind", "key").agg(F.count("*").alias("_q")).hint("merge"), ["kind", "key"]).where((F.col("kind") != ALIASES) & (F.col("_q") > 1) & (F.col("_c") * F.col("_q") > least))
     got = [(r["kind"], r["key"], i) for i, r in enumerate(often.orderBy("kind", "key").collect())]
     return spark.createDataFrame(got, "kind string, key string, _k int"), {k: [i for kind, _, i in got if kind == k] for k in KINDS}
 

@@ -296,6 +296,22 @@ def test_frequent_keys_of_many_queries(spark):
         assert [got[qid, i + 1] for i in range(8)] == [r["id"] for r in want]
 
 
+def test_stretches_of_many_queries_are_not_broadcast(spark, monkeypatch):
+    """What is cut out of a small file of queries looks small to Spark, and all of it went through the driver."""
+    c, q = _searched(spark, 600, 40)
+    plans = []
+    kept = Q.kept_apart
+    monkeypatch.setattr(Q, "kept_apart", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    Q.search_many(c, q, REF_TS).collect()
+    lines = [line for p in plans for line in p.splitlines()]
+    assert any("SortMergeJoin [kind" in line and line.endswith("Inner") for line in lines)
+
+
+def test_names_whose_tokens_are_met_do_not_meet_again(spark):
+    asked = spark.createDataFrame([(1, "token", "error"), (1, "alias_token", "error"), (1, "aliases", "error card"), (1, "aliases", "rror"), (2, "aliases", "error card")], "qid int, kind string, key string")
+    assert {tuple(r) for r in Q._telling(asked).collect()} == {(1, "token", "error"), (1, "alias_token", "error"), (1, "aliases", "rror"), (2, "aliases", "error card")}
+
+
 def test_what_many_queries_name_is_put_together_once(spark):
     c, q = _searched(spark, 600, 40)
     c = c.withColumn("status", F.when(F.col("num") % 5 == 0, "disputed").when(F.col("num") % 7 == 0, "expired").otherwise("active"))
