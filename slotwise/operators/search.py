@@ -193,7 +193,14 @@ def contested(cards: DataFrame, queries: DataFrame, found: DataFrame) -> DataFra
     A named subject's slots are put together once, however many queries name it.
     """
     named = _named(queries)
-    has = cards.select(F.lower("subject").alias("_subject")).distinct()
-    told = C.truth_table(cards.withColumn("_subject", F.lower("subject")).join(named.select("_subject").distinct(), "_subject", "left_semi"), "_subject")
-    others = found.join(named.join(has, "_subject", "left_semi").select("qid").distinct(), "qid", "left_anti").select("qid", "id")
-    return told.join(named, "_subject").drop("_subject").select("qid", "slot", "current", "members", "needs_human").unionByName(C.truth_table(cards.join(others, "id"), "qid"))
+    own = cards.withColumn("_subject", F.lower("subject"))
+    told = C.truth_table(own.join(named.select("_subject").distinct().hint("merge"), "_subject", "left_semi"), "_subject")
+    # a subject that many queries name is dealt in lists of them, each of which meets its slots
+    lists = named.groupBy("_subject").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_lists")).hint("merge")
+    asks = named.join(lists, "_subject").withColumn("_list", F.pmod(F.xxhash64("qid"), F.col("_lists")).cast("int")).drop("_lists")
+    told = told.join(lists, "_subject").withColumn("_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)))
+    out = ["qid", "slot", "current", "members", "needs_human"]
+    told = told.repartition("_subject", "_list").join(asks.hint("merge"), ["_subject", "_list"]).select(*out)
+    has = own.select("_subject").distinct()
+    others = found.join(named.join(has.hint("merge"), "_subject", "left_semi").select("qid").distinct().hint("merge"), "qid", "left_anti").select("qid", "id")
+    return told.unionByName(C.truth_table(cards.join(others.hint("merge"), "id"), "qid"))
